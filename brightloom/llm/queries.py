@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, url_filter
+from . import bpe, mixing, quality, url_filter
 from .common import n_words, table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -71,6 +71,13 @@ SELECT p.page_id, p.host, p.path, h.won.rule AS rule, coalesce(h.won.verdict, 'a
 FROM p LEFT JOIN h USING (k)"""
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = quality.trusted_ids(table(spark, sf_dir, "labels"))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"]
+    return quality.judge(docs, trusted).select(*columns)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.decode(bpe.encode(docs).drop("text"))
@@ -82,5 +89,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op10_bpe": op10_bpe}
+QUERIES = {"op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
 ORACLES = {"op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
