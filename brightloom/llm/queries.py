@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, ngram_join, pii, quality, toxicity, url_filter
+from . import bpe, chat, mixing, ngram_join, pii, quality, topk, toxicity, url_filter
 from .common import n_words, table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -17,12 +17,35 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(table(spark, sf_dir, "documents"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+OP2_SQL = """
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+         md5(role || chr(1) || text) AS h FROM t),
+r AS (
+  SELECT conv_id, k, md5(string_agg(h, '') OVER (PARTITION BY conv_id ORDER BY k)) AS so_far,
+         k = max(k) OVER (PARTITION BY conv_id) AS whole FROM p),
+w AS (
+  SELECT k AS n_turns, so_far, min(conv_id) AS conv_id, count(*) AS n_same FROM r WHERE whole GROUP BY ALL),
+m AS (
+  SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE NOT r.whole AND r.k = w.n_turns AND r.so_far = w.so_far))
+SELECT m.conv_id, m.n_turns, m.n_same,
+       string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY p.k) AS text
+FROM m JOIN p ON p.conv_id IS NOT DISTINCT FROM m.conv_id GROUP BY ALL"""
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(docs, pii.fit(docs)).drop("text")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
@@ -34,6 +57,21 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "part")
@@ -112,7 +150,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_chat": op2_chat,
     "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
+    "op5_topk": op5_topk,
    "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
-ORACLES = {"op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
+ORACLES = {"op2_chat": OP2_SQL, "op5_topk": OP5_SQL, "op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
