@@ -63,12 +63,21 @@ def chunks(raw: list[bytes], most: int = _CHUNK):
         yield start, len(raw)
 
 
+class Ranges:
+    """Polynomial hashes of ranges of a sequence of 64-bit values."""
+
+    def __init__(self, values: np.ndarray):
+        up, self.down = _powers.get(len(values) + 2)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[: len(values)], out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.sums[ends] - self.sums[starts]) * self.down[starts]
+
+
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte ranges [start, end) of ``data``."""
-    up, down = _powers.get(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return mix64(Ranges(values[data]).of(starts, ends) + (ends - starts).astype(np.uint64))
 
 
 def word_hashes(raw: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

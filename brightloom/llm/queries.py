@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, ngram_join, pii, quality, topk, toxicity, url_filter
+from . import bpe, chat, line_dedup, mixing, ngram_join, pii, quality, topk, toxicity, url_filter
 from .common import n_words, table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -72,6 +72,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_kept", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "part")
@@ -154,5 +159,6 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
     "op5_topk": op5_topk,
+    "op6_line_dedup": op6_line_dedup,
    "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
 ORACLES = {"op2_chat": OP2_SQL, "op5_topk": OP5_SQL, "op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
