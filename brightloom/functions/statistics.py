@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..checkpoints import settle
 from ..errors import EmptyInput, InvalidParameter
 from ..operators.frame import need, numeric_columns
 from . import special
@@ -149,6 +150,7 @@ def prefix_sums(df: DataFrame, order_by: str, sums: dict[str, Column], partition
     numbers for each range)."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.withColumns({f"_{k}": v for k, v in sums.items()}).repartitionByRange(n, order_by).withColumn("_range", F.spark_partition_id())
+    dealt = settle(dealt)  # ranges are sampled: they must not be drawn twice
     totals = sorted(map(tuple, dealt.groupBy("_range").agg(*[F.sum(f"_{k}").alias(k) for k in sums]).collect()))
     over = W.partitionBy("_range").orderBy(order_by).rowsBetween(W.unboundedPreceding, 0)
     for i, k in enumerate(sums):

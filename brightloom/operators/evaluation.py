@@ -74,7 +74,7 @@ def ranking_curve(df: DataFrame, truth: str, score: str) -> DataFrame:
     levels = df.groupBy((-F.col(score)).alias("minus")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("n"))
     p, n = levels.agg(F.sum("p"), F.sum("n")).first()
     rows = prefix_sums(levels, "minus", {"tp": F.col("p"), "fp": F.col("n")})
-    return rows.select((-F.col("minus")).alias("threshold"), "tp", "fp", (F.lit(p or 0) - F.col("tp")).alias("fn"), (F.lit(n or 0) - F.col("fp")).alias("tn"))
+    return rows.select((F.lit(0.0) - F.col("minus")).alias("threshold"), "tp", "fp", (F.lit(p or 0) - F.col("tp")).alias("fn"), (F.lit(n or 0) - F.col("fp")).alias("tn"))
 
 
 def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..checkpoints import settle
 from ..errors import CastFailed, ColumnNotFound, DuplicateColumn, InvalidParameter, PartialCastFailure
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -115,16 +116,16 @@ def with_row_id(df: DataFrame, order_by: str | Sequence[str], name: str = "row_i
     global window: rows are dealt by ranges, numbered within them, and the
     ranges' sizes (one number each) shift them."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *ordered(order_by)).sortWithinPartitions(*ordered(order_by)).withColumn("_at", F.monotonically_increasing_id())
-    dealt = dealt.withColumn("_range", F.shiftright("_at", 33))
-    sizes = {r["_range"]: r["n"] for r in dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    dealt = df.repartitionByRange(n, *ordered(order_by)).sortWithinPartitions(*ordered(order_by)).withColumn("__at", F.monotonically_increasing_id())
+    dealt = settle(dealt).withColumn("__range", F.shiftright("__at", 33))  # ranges are sampled: they must not be drawn twice
+    sizes = {r["__range"]: r["n"] for r in dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()}
     before, total = {}, 0
     for k in sorted(sizes):
         before[k], total = total, total + sizes[k]
     shift = F.lit(0).cast("long")
     if before:
-        shift = F.element_at(F.create_map(*[F.lit(int(x)).cast("long") for kv in before.items() for x in kv]), F.col("_range"))
-    return dealt.withColumn(name, F.col("_at") - F.shiftleft("_range", 33) + shift).drop("_at", "_range")
+        shift = F.element_at(F.create_map(*[F.lit(int(x)).cast("long") for kv in before.items() for x in kv]), F.col("__range"))
+    return dealt.withColumn(name, F.col("__at") - F.shiftleft("__range", 33) + shift).drop("__at", "__range")
 
 
 def row_at(df: DataFrame, index: int, order_by: str | Sequence[str]) -> dict | None:

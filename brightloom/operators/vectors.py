@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..checkpoints import settle
 from ..errors import EmptyInput, InvalidParameter
 from ..functions import statistics as st
 from .frame import need
@@ -239,7 +240,7 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples:
         new = labels.join(low, "a", "left").select("a", "label", F.least("label", "low").alias("new"))
         up = new.select(F.col("a").alias("p"), F.col("new").alias("up"))
         new = new.join(up, F.col("new") == F.col("p"), "left").select("a", "label", F.least("new", F.coalesce("up", "new")).alias("new"))
-        new = new.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else new.persist()
+        new = settle(new)
         changed = not new.where("new <> label").isEmpty()
         labels = new.select("a", F.col("new").alias("label"))
         if not changed:

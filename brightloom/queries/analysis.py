@@ -473,7 +473,7 @@ def silhouette(t: Tables):
     return one_row(t, {"silhouette": round(vec.silhouette(t.embeddings, "vec_id", "embedding", "label"), 6)})
 
 
-@query("WITH c AS (SELECT label, vec_id % 3 AS b, count(*) AS n FROM embeddings GROUP BY ALL), p AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS both, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY label)) AS ra, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY b)) AS rb, (SELECT sum(n) FROM c) AS n) SELECT round((both - ra * rb / (n * (n - 1) / 2)) / ((ra + rb) / 2 - ra * rb / (n * (n - 1) / 2)), 8) AS ari FROM p")
+@query("WITH c AS (SELECT label, vec_id % 3 AS b, count(*) AS n FROM embeddings GROUP BY ALL), p AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS cc, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY label)) AS ra, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY b)) AS rb, (SELECT sum(n) FROM c) AS n) SELECT round((cc - ra * rb / (n * (n - 1) / 2)) / ((ra + rb) / 2 - ra * rb / (n * (n - 1) / 2)), 8) AS ari FROM p")
 def adjusted_rand(t: Tables):
     return rounded(vec.adjusted_rand(t.embeddings.withColumn("b", F.col("vec_id") % 3), "label", "b"), 8)
 

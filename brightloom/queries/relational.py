@@ -77,9 +77,9 @@ def cast_try(t: Tables):
     return frame.cast_column(frame.cast_column(rows, "p_name", "double", strict=False), "p_size", "string")
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS charge FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge FROM lineitem")
 def add_column(t: Tables):
-    charge = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")), 4)
+    charge = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")), 6)
     return frame.add_column(t.lineitem, "charge", charge).select("l_orderkey", "l_linenumber", "charge")
 
 
@@ -243,10 +243,10 @@ def rolling_std(t: Tables):
     return rows.select("event_id", F.round("v_rolling_std_5", 6).alias("v_rolling_std_5"))
 
 
-@query(f"SELECT event_id, round(avg(v) OVER w, 6) AS v_expanding_mean, round(CASE WHEN count(v) OVER w = 1 THEN 0.0 ELSE stddev_samp(v) OVER w END, 6) AS v_expanding_std FROM ({GAPS}) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+@query(f"SELECT event_id, round(avg(v) OVER w, 10) AS v_expanding_mean, round(CASE WHEN count(v) OVER w = 1 THEN 0.0 ELSE stddev_samp(v) OVER w END, 10) AS v_expanding_std FROM ({GAPS}) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def expanding(t: Tables):
     rows = windows.expanding(gaps(t), "v", "event_id", ["user_id"], min_periods=0)
-    return rows.select("event_id", *[F.round(f"v_expanding_{k}", 6).alias(f"v_expanding_{k}") for k in ("mean", "std")])
+    return rows.select("event_id", *[F.round(f"v_expanding_{k}", 10).alias(f"v_expanding_{k}") for k in ("mean", "std")])
 
 
 @query(f"""WITH g AS (SELECT *, list(v) FILTER (v IS NOT NULL) OVER (PARTITION BY user_id ORDER BY event_id) AS l FROM ({GAPS}))
