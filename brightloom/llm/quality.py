@@ -29,6 +29,7 @@ from .common import ASCII_SPACE, words
 BUCKETS = 1 << 14
 MAX_TRUSTED = 50_000
 THRESHOLD = -0.3
+PRIOR = 8.0
 WINDOW = 8
 TOKEN = r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D]+)"
 
@@ -82,16 +83,17 @@ def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
 
 
 def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> list[float]:
-    """log p_trusted - log p_raw of each bucket, both with add-one smoothing."""
+    """log p_trusted - log p_raw of each bucket. Both counts get ``PRIOR`` more
+    n-grams, dealt as the raw corpus is, so rare buckets weigh little and
+    a bucket that is as common in either weighs nothing at any size."""
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted.limit(max_trusted).select(F.col("doc_id").alias("good_id"))), F.col("doc_id") == F.col("good_id"), "left")
     grams = marked.select(F.col("good_id").isNotNull().alias("good"), F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket"))
     rows = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("good").alias("t")).collect()  # at most `buckets` rows
     n, t = sum(r["n"] for r in rows), sum(r["t"] for r in rows)
     weights = [0.0] * buckets
     if t:
-        weights = [log(n + buckets) - log(t + buckets)] * buckets
         for r in rows:
-            weights[r["bucket"]] += log(r["t"] + 1) - log(r["n"] + 1)
+            weights[r["bucket"]] = log((r["t"] + PRIOR * t / n) / ((r["n"] + PRIOR) * t / n))
     return weights
 
 
