@@ -19,7 +19,8 @@ an added token, through the one that reads the vocabulary file.
 
 Null texts encode as empty; empty texts give no ids; rows are independent, so
 repeated rows and repeated ids give repeated results, and other columns,
-whatever their names, are passed through untouched.
+whatever their names, are passed through untouched, but for one that already
+has the name of the result, which is replaced.
 """
 
 from __future__ import annotations
@@ -158,6 +159,7 @@ def codec(path: str) -> Codec:
 
 
 def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, work) -> DataFrame:
+    df = df.drop(*([target] if target != source else []))
     schema = T.StructType([*df.schema.fields, T.StructField(target, kind)])
     position = df.columns.index(source)
 

@@ -34,6 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def packed(df: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
+    """The needed columns, and the others in one struct ``__rest``, so that no
+    name of theirs can clash; and the fields to select to get them back."""
+    rest = [c for c in df.columns if c not in needed]
+    made = df.select(*needed, *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__rest")] if rest else []))
+    return made, [F.col("__rest").getField(c).alias(c) for c in rest]
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: this cuts the
     lineage and survives the loss of any executor."""

@@ -195,6 +195,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     """``docs`` with ``text`` reduced to the lines that stay, and n_lines,
     n_kept (lines with a word before and after) and n_near (lines that went
     for a near copy only)."""
+    docs = docs.drop("n_lines", "n_kept", "n_near")
     id_type = dict(docs.dtypes)[doc_id]
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.col(text).alias("text"))
     rows = line_rows(slim, id_type)
@@ -202,11 +203,11 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     firsts = materialize(firsts.select("f.doc_id", "f.th", "f.line", "h1", "h2", "size"))
     near = near_copies(slim, firsts, id_type).withColumn("near", F.lit(True))
     marks = firsts.select("doc_id", "th", "line").alias("a").join(near.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")) & (F.col("a.line") == F.col("b.line")), "left")
-    kept = marks.groupBy(F.col("a.doc_id").alias("k_id"), F.col("a.th").alias("k_th")).agg(
-        F.collect_list(F.when(F.col("near").isNull(), F.col("a.line"))).alias("k_lines"), F.count("near").alias("k_near")
+    kept = marks.groupBy(F.col("a.doc_id").alias("__k_id"), F.col("a.th").alias("__k_th")).agg(
+        F.collect_list(F.when(F.col("near").isNull(), F.col("a.line"))).alias("__k_lines"), F.count("near").alias("__k_near")
     )
-    out = docs.withColumn("k_hash", F.xxhash64(F.coalesce(text, F.lit(""))))
-    out = out.join(kept, out[doc_id].eqNullSafe(F.col("k_id")) & (F.col("k_hash") == F.col("k_th")), "left").drop("k_id", "k_th", "k_hash")
+    out = docs.withColumn("__k_hash", F.xxhash64(F.coalesce(text, F.lit(""))))
+    out = out.join(kept, out[doc_id].eqNullSafe(F.col("__k_id")) & (F.col("__k_hash") == F.col("__k_th")), "left").drop("__k_id", "__k_th", "__k_hash")
     position, width = docs.columns.index(text), len(docs.columns)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.LongType()) for n in ("n_lines", "n_kept", "n_near")]])
 

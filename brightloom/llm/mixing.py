@@ -16,7 +16,8 @@ holds it), so no source, however large, is ever sorted in one task.
 Defined cases: null texts have size 0; a null source is a source of its own,
 last in order; sources of size 0 have target 0; an empty table gives an empty
 result; rows that repeat a doc_id are separate documents (equal rows are
-interchangeable); other columns are passed through.
+interchangeable); other columns are passed through under their names, which
+should differ from those of the result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, small_or_plain
+from .common import materialize, packed, small_or_plain
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3.0
@@ -80,6 +81,7 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: floa
     """(doc_id, source, size, ...) -> the same rows with source_size, target,
     copies (whole repetitions, long), part (words of the one partial
     repetition of its source, else 0) and taken = copies * size + part."""
+    sizes, rest = packed(sizes, "doc_id", "source", "size")
     rows = materialize(sizes.withColumn("mix_hash", mix_hash(F.col("doc_id"), seed)))
     per = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     plan = targets(per, weights, max_epochs)
@@ -122,4 +124,4 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: floa
     done = done.withColumn("copies", F.col("plan_whole") + full.cast("long")).withColumn("part", F.when(full, F.lit(0)).otherwise(F.col("part")).cast("long"))
     done = done.withColumn("taken", F.col("copies") * F.col("size") + F.col("part"))
     made = [F.col("plan_source_size").alias("source_size"), F.col("plan_target").alias("target"), "copies", "part", "taken"]
-    return done.select(*sizes.columns, *made)
+    return done.select("doc_id", "source", "size", *rest, *made)

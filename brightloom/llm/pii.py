@@ -241,6 +241,7 @@ def tagged_spans(text: str, starts: list[int], tags: np.ndarray) -> list[tuple[i
 def find(docs: DataFrame, tagger: Tagger, text: str = "text", target: str = "spans") -> DataFrame:
     """``docs`` with ``target``: all spans as an array of (kind, start, end,
     base), by kind in the order of ``KINDS`` and by start."""
+    docs = docs.drop(target)
     position = docs.columns.index(text)
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())])
     schema = T.StructType([*docs.schema.fields, T.StructField(target, T.ArrayType(span))])

@@ -202,6 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) ->
 
 def score(docs: DataFrame, model: Model, text: str = "text", target: str = "score") -> DataFrame:
     """``docs`` with a double column ``target`` in 0..1."""
+    docs = docs.drop(target)
     position = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(target, T.DoubleType())])
 

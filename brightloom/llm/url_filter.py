@@ -14,7 +14,8 @@ expressions.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path
 and gets ``default``; an empty rule table or URL table is fine; repeated rows
-and ids are judged alike; other columns are passed through.
+and ids are judged alike; other columns are passed through, but for ones with
+the names of the result, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, small_or_plain
+from .common import LOWER, UPPER, packed, small_or_plain
 
 
 def host_of(url: Column) -> Column:
@@ -46,7 +47,8 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
 
     ``rules``: host, path (a prefix; may be empty) and verdict (allow or block).
     """
-    rows = urls.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    rows, rest = packed(urls, url)
+    rows = rows.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     clean = rules.select(F.translate("host", UPPER, LOWER).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict")).where(F.col("rule_host").isNotNull())
     clean = clean.groupBy("rule_host", "rule_path").agg(F.max("rule_verdict").alias("rule_verdict"))  # block over allow
     shape = clean.agg(F.collect_set(F.size(F.split("rule_host", r"\."))).alias("labels"), F.collect_set(F.length("rule_path")).alias("lengths")).first()
@@ -66,4 +68,6 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     best = F.max(F.struct(F.length("rule").alias("size"), F.col("rule_verdict").alias("verdict"), F.col("rule")))
     won = hits.groupBy("host", "path").agg(best.alias("won")).select(F.col("host").alias("won_host"), F.col("path").alias("won_path"), F.col("won.rule").alias("rule"), F.col("won.verdict").alias("won_verdict"))
     out = rows.join(won, (F.col("host") == F.col("won_host")) & (F.col("path") == F.col("won_path")), "left")
-    return out.withColumn("verdict", F.coalesce("won_verdict", F.lit(default))).drop("won_host", "won_path", "won_verdict")
+    made = ["host", "path", "rule", F.coalesce("won_verdict", F.lit(default)).alias("verdict")]
+    kept = [c for c, n in zip(rest, [c for c in urls.columns if c != url], strict=True) if n not in ("host", "path", "rule", "verdict")]
+    return out.select(*kept, url, *made)
