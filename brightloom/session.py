@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +22,12 @@ def get_session(app: str = "brightloom", master: str | None = None, **conf: str)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return builder.config(map=settings).getOrCreate()
+
+
+def show_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it,
+    also if it's neither installed nor in their working folder."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    there = env.get("PYTHONPATH", "")
+    if root not in there.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, there) if x)
