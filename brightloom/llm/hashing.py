@@ -9,7 +9,7 @@ import pyarrow as pa
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _BYTE_SEED = 20_240_611
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -4,20 +4,23 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|``. The join runs
 over distinct sets; equal sets are one node.
 
 1. One pass gives each document its set size, a digest of its set, a hashed
-   bitmap signature (a power of two of bits, about two for each n-gram), and
+   bitmap signature (a power of two of bits, two or more for each n-gram), and
    counts all n-grams in a fixed number of hashed counters.
 2. A second pass emits each set's prefix: its ``n - ceil(t n) + 1`` rarest
    n-grams by those counters. Linked sets share an n-gram of their prefixes,
    whatever the order, so the counters steer the work and not the result.
 3. Sets that share a prefix n-gram form a list. Short lists give all their
-   pairs of compatible size; longer ones first link each set to the first
-   one of its own size band and of the band below, which joins up
-   groups of near copies by a number of pairs in proportion to their size.
+   pairs of compatible size; longer ones first link each set to a few hubs
+   of its own size band and of the band below, which joins up groups of near
+   copies by a number of pairs in proportion to their size.
 4. What these links leave apart in long lists is compared in tiles: the sets
    of a list are dealt into tiles of bounded size, tile pairs are spread over
    tasks, and only pairs of compatible size, of different components, and
    whose signatures allow enough overlap survive. (The number of bits set only
-   in A bounds |A - B| from below, hence the overlap from above.)
+   in A bounds |A - B| from below, hence the overlap from above.) Each set
+   names its most promising survivors first; they are verified and components
+   merge. Then the lists in which a set had more to name are looked through
+   again, without that limit, so no survivor between components is left out.
 5. All surviving pairs are verified by intersecting the sorted arrays of
    64-bit n-gram hashes, which are computed again for the sets involved only.
 
@@ -49,7 +52,12 @@ WIDTH = 5
 PERCENT = 75
 COUNTER_BITS = 17
 SHORT_LIST = 4
+HUBS = 4
 TILE = 1024
+NAMED = 8
+#: A quarter of the long lists, by hash, is enough to join up most near copies
+#: before the rest is looked through.
+FIRST_PART = 4
 
 
 def _table(schema: dict[str, pa.DataType], **columns) -> pa.RecordBatch:
@@ -81,6 +89,12 @@ def most_overlap(one: np.ndarray, n_one: int, many: np.ndarray, n_many: np.ndarr
     return np.minimum(n_one - only_one, n_many - only_many)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
+
+
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Tables of whole runs of equal leading columns, of a stream that is
     sorted by them."""
@@ -114,7 +128,7 @@ def node_rows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, id_type = np.zeros(1 << COUNTER_BITS, np.int64), None
-        for batch in batches:
+        for batch in _slices(batches):
             ids, id_type = batch.column(0), batch.column(0).type
             n, nodes, bits = [], [], []
             for s in shingle_sets(raw_texts(batch.column(1)), width):
@@ -146,7 +160,7 @@ def postings(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             grams, sizes, nodes = [], [], []
             for s in shingle_sets(raw_texts(batch.column(0)), width):
                 if not len(s) or (node := digest64(s)) in met:
@@ -178,7 +192,7 @@ def list_pairs(post: DataFrame, percent: int) -> DataFrame:
             start = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
             size = np.diff(np.append(start, len(gram)))
             out: list[tuple] = []
-            if len(seen) > 300_000:
+            if len(seen) > 100_000:
                 seen.clear()
 
             def pair(i: int, j: int, n=n, node=node, out=out) -> None:
@@ -201,14 +215,16 @@ def list_pairs(post: DataFrame, percent: int) -> DataFrame:
                 seen.add(key)
                 # sets whose bands are two apart are never compatible in size
                 bands = np.floor(np.log(n[s : s + g]) / np.log(100 / percent) + 1e-9).astype(np.int64)
-                first: dict[int, int] = {}
+                hubs: dict[int, list[int]] = {}
                 for i in s + np.argsort(node[s : s + g], kind="stable"):
-                    first.setdefault(int(bands[i - s]), int(i))
+                    some = hubs.setdefault(int(bands[i - s]), [])
+                    if len(some) < HUBS:
+                        some.append(int(i))
                 for i in range(s, s + g):
-                    for k in (0, 1):
-                        hub = first.get(int(bands[i - s]) - k)
-                        if hub is not None and hub != i:
-                            pair(i, hub)
+                    for k in (0, 1) if gram[s] % FIRST_PART == 0 else ():
+                        for hub in hubs.get(int(bands[i - s]) - k, ()):
+                            if hub != i:
+                                pair(i, hub)
                     out.append((int(gram[i]), int(node[i]), int(n[i]), None, None))
             if out:
                 yield _table(schema, **dict(zip(schema, zip(*out, strict=True), strict=True)))
@@ -243,31 +259,32 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, pe
     some = docs.select("doc_id", "text").join(carriers, F.col("doc_id").eqNullSafe(F.col("carrier")), "left_semi")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [s for s in shingle_sets(raw_texts(batch.column(0)), width) if len(s)]
             yield _table({"node": pa.int64(), "n": pa.int64(), "grams": pa.binary()}, node=[digest64(s) for s in sets], n=[len(s) for s in sets], grams=[s.tobytes() for s in sets])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                na, nb = batch.column(1).to_numpy(), batch.column(3).to_numpy()
-                both = np.zeros(batch.num_rows, np.int64)
-                for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    if len(x) > len(y):
-                        x, y = y, x
-                    both[i] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()
-                yield batch.filter(pa.array(100 * both >= percent * (na + nb - both))).select([0, 2])
-
-    sets = some.select("text").mapInArrow(arrays, "node long, n long, grams binary")
+        for batch in _slices(batches, 500):
+            na, nb = batch.column(1).to_numpy(), batch.column(3).to_numpy()
+            both = np.zeros(batch.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                if len(x) > len(y):
+                    x, y = y, x
+                both[i] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()
+            yield batch.filter(pa.array(100 * both >= percent * (na + nb - both))).select([0, 2])
+
+    # written once: read for either end, and one Python function a stage
+    sets = materialize(some.select("text").mapInArrow(arrays, "node long, n long, grams binary"))
     for end in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("grams").alias(f"grams_{end}")), [end, f"n{end}"])
     return pairs.select("a", "na", "b", "nb", "grams_a", "grams_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def tile_pairs(left: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of long lists that lie in different components and may link."""
+def tile_pairs(left: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, named: int) -> DataFrame:
+    """Pairs of long lists that lie in different components and may link: of
+    each set and tile pair the ``named`` of the highest bounds; and a row
+    without b for each set that has more."""
     left = left.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     whole = left.groupBy("gram").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     left = left.join(whole.select("gram", "size"), "gram")
@@ -279,7 +296,10 @@ def tile_pairs(left: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
     schema = {"a": pa.int64(), "na": pa.int64(), "b": pa.int64(), "nb": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for rows in _runs(batches, 3):
+            if len(seen) > 100_000:
+                seen.clear()
             keys = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in range(3)])
             start = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))).tolist()
             tile, node, n, root = (rows.column(k).to_numpy() for k in (3, 4, 5, 6))
@@ -302,11 +322,17 @@ def tile_pairs(left: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
                             ok &= tile[at] != tile[i]
                         if ok.any():
                             o = most_overlap(bits[i - s], n[i], many[ok], n[at[ok]])
-                            for j in at[ok][100 * o >= percent * (n[i] + n[at[ok]] - o)]:
+                            pick = np.flatnonzero(100 * o >= percent * (n[i] + n[at[ok]] - o))
+                            if len(pick) > named:
+                                pick = pick[np.argsort(-(o[pick] / (n[i] + n[at[ok][pick]])), kind="stable")[:named]]
+                                out.append((int(node[i]), int(n[i]), None, None))
+                            for j in at[ok][pick]:
                                 x, y = (i, j) if node[i] < node[j] else (j, i)
                                 out.append((int(node[x]), int(n[x]), int(node[y]), int(n[y])))
+            out = list(set(out) - seen)
+            seen.update(out)
             if out:
-                yield _table(schema, **dict(zip(schema, zip(*set(out), strict=True), strict=True)))
+                yield _table(schema, **dict(zip(schema, zip(*out, strict=True), strict=True)))
 
     dealt = left.repartition("gram", "low", "high").sortWithinPartitions("gram", "low", "high", "na")
     return dealt.mapInArrow(run, "a long, na long, b long, nb long").distinct()
@@ -331,10 +357,22 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     links = materialize(verified(pairs, docs, nodes, width, percent))
     roots = components(links)
     left = found.where("gram is not null").select("gram", "a", "na")
-    more = materialize(tile_pairs(left, roots, nodes, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "na", "b", "nb"))
-    if not more.isEmpty():
-        links = materialize(links.union(verified(more, docs, nodes, width, percent)).distinct())
-        roots = components(links)
+    tested = pairs.select("a", "b")
+    for part, named in ((left.where(F.col("gram") % FIRST_PART == 0), NAMED), (left, NAMED), (None, 1 << 62)):
+        if part is None:  # the lists in which the last round was cut short
+            cut = some.where("b is null").select("a").distinct()  # noqa: F821
+            if cut.isEmpty():
+                break
+            lists = left.join(cut, "a", "left_semi").select("gram").distinct()
+            part = left.join(lists, "gram", "left_semi")
+        some = materialize(tile_pairs(part, roots, nodes, percent, named))
+        new = materialize(some.where("b is not null").join(tested, ["a", "b"], "left_anti").select("a", "na", "b", "nb"))
+        if not new.isEmpty():
+            tested = tested.union(new.select("a", "b"))
+            more = materialize(verified(new, docs, nodes, width, percent))
+            if not more.isEmpty():
+                links = materialize(links.union(more).distinct())
+                roots = components(links)
 
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     classes = nodes.select("node", "n", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
