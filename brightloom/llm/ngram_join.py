@@ -55,8 +55,8 @@ SHORT_LIST = 4
 HUBS = 4
 TILE = 1024
 NAMED = 8
-#: A quarter of the long lists, by hash, is enough to join up most near copies
-#: before the rest is looked through.
+#: Hubs are linked in a quarter of the long lists, by hash: enough to join up
+#: most near copies before all lists are looked through.
 FIRST_PART = 4
 
 
@@ -281,10 +281,12 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, pe
     return pairs.select("a", "na", "b", "nb", "grams_a", "grams_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def tile_pairs(left: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, named: int) -> DataFrame:
+def tile_pairs(left: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, named: int | None) -> DataFrame:
     """Pairs of long lists that lie in different components and may link: of
     each set and tile pair the ``named`` of the highest bounds; and a row
-    without b for each set that has more."""
+    without b for each set that has more. Without ``named`` all pairs, each in
+    the first only of the lists that both sets are in."""
+    own = left.groupBy("a").agg(F.sort_array(F.collect_list("gram")).alias("grams"))  # at most a set's prefix
     left = left.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     whole = left.groupBy("gram").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     left = left.join(whole.select("gram", "size"), "gram")
@@ -292,7 +294,8 @@ def tile_pairs(left: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
     left = left.withColumn("tile", F.pmod(F.xxhash64("a"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
     left = left.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
     bits = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), "bits")
-    left = left.join(bits, ["a", "na"]).select("gram", "low", "high", "tile", "a", "na", "root", "bits")
+    left = left.join(bits, ["a", "na"]) if named else left.join(bits, ["a", "na"]).join(own, "a")
+    left = left.select("gram", "low", "high", "tile", "a", "na", "root", "bits", *([] if named else ["grams"]))
     schema = {"a": pa.int64(), "na": pa.int64(), "b": pa.int64(), "nb": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,6 +310,7 @@ def tile_pairs(left: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
             out: list[tuple] = []
             for s, e in zip(start, [*start[1:], len(tile)], strict=True):
                 bits = [np.frombuffer(x, np.uint64) for x in raw.slice(s, e - s).to_pylist()]
+                grams = None if named else [np.array(x, np.int64) for x in rows.column(8).slice(s, e - s).to_pylist()]
                 width = np.array([len(x) for x in bits])
                 for w in np.unique(width):
                     at = np.flatnonzero(width == w)
@@ -323,7 +327,10 @@ def tile_pairs(left: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
                         if ok.any():
                             o = most_overlap(bits[i - s], n[i], many[ok], n[at[ok]])
                             pick = np.flatnonzero(100 * o >= percent * (n[i] + n[at[ok]] - o))
-                            if len(pick) > named:
+                            if named is None:
+                                first = [np.intersect1d(grams[i - s], grams[j - s])[0] == keys[0, s] for j in at[ok][pick]]
+                                pick = pick[np.array(first, bool)]
+                            elif len(pick) > named:
                                 pick = pick[np.argsort(-(o[pick] / (n[i] + n[at[ok][pick]])), kind="stable")[:named]]
                                 out.append((int(node[i]), int(n[i]), None, None))
                             for j in at[ok][pick]:
@@ -358,7 +365,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     roots = components(links)
     left = found.where("gram is not null").select("gram", "a", "na")
     tested = pairs.select("a", "b")
-    for part, named in ((left.where(F.col("gram") % FIRST_PART == 0), NAMED), (left, NAMED), (None, 1 << 62)):
+    for part, named in ((left, NAMED), (None, None)):
         if part is None:  # the lists in which the last round was cut short
             cut = some.where("b is null").select("a").distinct()  # noqa: F821
             if cut.isEmpty():

@@ -63,7 +63,8 @@ def brute_components(texts):
 def test_ngram_join(docs, texts, monkeypatch):
     want = brute_components(texts)
     assert len({r for _, r in want.values()}) < len(texts) - 15
-    for short, tile in ((4, 1024), (1, 8)):  # with tiny tiles all steps are taken
+    for short, tile, named in ((4, 1024, 8), (1, 8, 1)):  # with tiny limits all steps are taken
+        monkeypatch.setattr(ngram_join, "NAMED", named)
         monkeypatch.setattr(ngram_join, "SHORT_LIST", short)
         monkeypatch.setattr(ngram_join, "TILE", tile)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(docs).collect()}
