@@ -24,8 +24,14 @@ over distinct sets; equal sets are one node.
 5. All surviving pairs are verified by intersecting the sorted arrays of
    64-bit n-gram hashes, which are computed again for the sets involved only.
 
+6. Every link lies within a component. A component whose verified links are all
+   its pairs is counted by them; in the others all pairs are compared once, by
+   exact overlaps of tiles of bounded size, which give a number for each set
+   instead of pairs.
+
 Components are those of the whole link graph: pairs that step 4 skips lie in
-one component already.
+one component already. n_links is the number of other distinct sets that a
+document's set links with; documents of equal sets are one set in it.
 
 Defined cases: null, empty and blank texts have the empty set (n_shingles 0)
 and link with nothing; a text of fewer words than ``width`` has one n-gram, the
@@ -58,6 +64,9 @@ NAMED = 8
 #: Hubs are linked in a quarter of the long lists, by hash: enough to join up
 #: most near copies before all lists are looked through.
 FIRST_PART = 4
+#: N-grams of a tile of a component, about; and columns of a block of its overlaps.
+TILE_GRAMS = 1 << 19
+BLOCK = 4096
 
 
 def _table(schema: dict[str, pa.DataType], **columns) -> pa.RecordBatch:
@@ -251,9 +260,9 @@ def may_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "na", "b", "nb", "bits_a", "bits_b").mapInArrow(run, "a long, na long, b long, nb long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by exact intersection of sorted arrays."""
-    wanted = pairs.select(F.col("a").alias("node"), F.col("na").alias("n")).union(pairs.select("b", "nb")).distinct()
+def gram_sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, n, grams) of the sets in ``wanted`` (node, n), and of some others;
+    a set may occur again."""
     carriers = materialize(nodes.join(wanted, ["node", "n"], "left_semi").select(F.col("doc_id").alias("carrier")).distinct())
     carriers, _ = small_or_plain(carriers, 1_000_000)
     some = docs.select("doc_id", "text").join(carriers, F.col("doc_id").eqNullSafe(F.col("carrier")), "left_semi")
@@ -263,6 +272,15 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, pe
             sets = [s for s in shingle_sets(raw_texts(batch.column(0)), width) if len(s)]
             yield _table({"node": pa.int64(), "n": pa.int64(), "grams": pa.binary()}, node=[digest64(s) for s in sets], n=[len(s) for s in sets], grams=[s.tobytes() for s in sets])
 
+    # written once: read more than once, and one Python function a stage
+    return materialize(some.select("text").mapInArrow(arrays, "node long, n long, grams binary"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by exact intersection of sorted arrays."""
+    wanted = pairs.select(F.col("a").alias("node"), F.col("na").alias("n")).union(pairs.select("b", "nb")).distinct()
+    sets = gram_sets(wanted, docs, nodes, width)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, 500):
             na, nb = batch.column(1).to_numpy(), batch.column(3).to_numpy()
@@ -274,8 +292,6 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, pe
                 both[i] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()
             yield batch.filter(pa.array(100 * both >= percent * (na + nb - both))).select([0, 2])
 
-    # written once: read for either end, and one Python function a stage
-    sets = materialize(some.select("text").mapInArrow(arrays, "node long, n long, grams binary"))
     for end in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("grams").alias(f"grams_{end}")), [end, f"n{end}"])
     return pairs.select("a", "na", "b", "nb", "grams_a", "grams_b").mapInArrow(run, "a long, b long").distinct()
@@ -345,10 +361,70 @@ def tile_pairs(left: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
     return dealt.mapInArrow(run, "a long, na long, b long, nb long").distinct()
 
 
-def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """|A & B| of each set of ``left`` (places in ``sets``) and of ``right``."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, gram, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = seen > 1
+    column, keep = np.cumsum(shared) - 1, shared[gram]
+    gram, owner = column[gram[keep]], owner[keep]
+    order = np.argsort(gram, kind="stable")
+    gram, owner = gram[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, int(shared.sum()), BLOCK):
+        part = slice(*np.searchsorted(gram, (at, at + BLOCK)))
+        has = np.zeros((len(sets), BLOCK), np.float32)  # sums up to the block's width are exact
+        has[owner[part], gram[part] - at] = 1
+        out += (has[left] @ has[right].T).astype(np.int64)
+    return out
+
+
+def link_counts(links: DataFrame, roots: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, n_links): of each set with links, how many sets it links with."""
+    members = materialize(roots.join(nodes.select("node", "n"), "node"))
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("grams"))
+    found = links.join(roots.withColumnRenamed("node", "a"), "a").groupBy("root").agg(F.count(F.lit(1)).alias("found"))
+    tiles = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("grams") / TILE_GRAMS)).cast("int")
+    classes = materialize(sizes.join(found, "root").select("root", "size", (2 * F.col("found") == F.col("size") * (F.col("size") - 1)).alias("whole"), tiles.alias("tiles")))
+    classes, _ = small_or_plain(classes, 1_000_000)
+    members = materialize(members.join(classes, "root"))
+    counted = members.where("whole").select("node", (F.col("size") - 1).alias("n_links"))
+    part = members.where("not whole").select("node", "n", "root", "tiles")
+    if part.isEmpty():
+        return counted
+    left = gram_sets(part, docs, nodes, width).join(part, ["node", "n"])
+    left = left.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    left = left.select("root", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "n", "grams")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, 3):
+            keys = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in range(3)])
+            start = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))).tolist()
+            for s, e in zip(start, [*start[1:], rows.num_rows], strict=True):
+                tile, node, n = (rows.column(k).slice(s, e - s).to_numpy() for k in (3, 4, 5))
+                _, at = np.unique(node, return_index=True)
+                grams = rows.column(6).slice(s, e - s).take(pa.array(at)).to_pylist()
+                tile, node, n = tile[at], node[at], n[at]
+                low, high = np.flatnonzero(tile == keys[1, s]), np.flatnonzero(tile == keys[2, s])
+                if not len(low) or not len(high):
+                    continue
+                both = overlaps([np.frombuffer(x, np.uint64) for x in grams], low, high)
+                linked = 100 * both >= percent * (n[low][:, None] + n[high][None] - both)
+                if keys[1, s] == keys[2, s]:
+                    np.fill_diagonal(linked, False)
+                    places, seen = low, linked.sum(1)
+                else:
+                    places, seen = np.concatenate([low, high]), np.concatenate([linked.sum(1), linked.sum(0)])
+                yield _table({"node": pa.int64(), "n_links": pa.int64()}, node=node[places], n_links=seen)
+
+    dealt = left.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
+    return counted.union(dealt.mapInArrow(run, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links")))
+
+
+def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, counted: bool = True) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, n_links, component_id), one row for
-    each row. n_links counts the verified links of the document's set that the
-    search needed to see; all links beyond them lie within the component."""
+    each row. n_links counts all sets that the document's set links with; it is
+    left out unless ``counted``."""
     docs = docs.select("doc_id", "text")
     first = materialize(node_rows(docs, width))
     counts = np.zeros(1 << COUNTER_BITS, np.int64)
@@ -381,10 +457,12 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
                 links = materialize(links.union(more).distinct())
                 roots = components(links)
 
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     classes = nodes.select("node", "n", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = classes.join(whole, "root").join(degree, "node", "left").select("node", "n", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    some = rows.where("n > 0").join(classes, ["node", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "n_links", "component_id")
-    none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
+    classes = classes.join(whole, "root")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if counted else []), "component_id"]
+    if counted:
+        classes = classes.join(materialize(link_counts(links, roots, docs, nodes, width, percent)), "node", "left").select("node", "n", "component_id", "n_links")
+    some = rows.where("n > 0").join(classes, ["node", "n"]).select(*columns)
+    none = rows.where("n = 0").select("doc_id", "n", F.lit(0).alias("n_links"), F.col("doc_id").alias("component_id")).select(*columns)
     return some.unionByName(none)

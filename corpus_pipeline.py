@@ -28,7 +28,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document of the smallest id."""
-    linked = ngram_join.link_components(docs)
+    linked = ngram_join.link_components(docs, counted=False)
     kept = linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")).where("stays")
     kept, _ = small_or_plain(materialize(kept.select(F.col("doc_id").alias("kept_id"), F.col("n").alias("kept_n"))), 1_000_000)
     joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")))

@@ -71,6 +71,24 @@ def test_ngram_join(docs, texts, monkeypatch):
         assert got == want
 
 
+def test_ngram_join_counts_all_links(spark, monkeypatch):
+    near = prose(21, 300)
+    rows = [near] + [variant(near, s, 0.012) for s in range(150)] + [near.upper(), prose(22, 60), None]
+    chain = prose(23, 400).split()
+    rows += [" ".join(chain[k : k + 120]) for k in range(0, 200, 8)]  # neighbours link, ends don't
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in ((t or "").lower().split() for t in rows)]
+    alone = {frozenset(s) for s in sets}
+    want = [sum(bool(s) and s != o and 100 * len(s & o) >= 75 * len(s | o) for o in alone) for s in sets]
+    assert max(want) > 100 and want[151] == want[0] and len(set(want)) > 20
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    for tile, grams in ((1024, 1 << 19), (16, 4000)):
+        monkeypatch.setattr(ngram_join, "TILE", tile)
+        monkeypatch.setattr(ngram_join, "TILE_GRAMS", grams)
+        monkeypatch.setattr(ngram_join, "BLOCK", 64)
+        got = {r.doc_id: r.n_links for r in ngram_join.link_components(df).collect()}
+        assert [got[i] for i in range(len(rows))] == want
+
+
 def test_ngram_join_repeats_and_nothing(spark):
     schema = "doc_id long, text string"
     assert ngram_join.link_components(spark.createDataFrame([], schema)).count() == 0
