@@ -12,8 +12,10 @@ its kind and must not touch a base span.
 
 Texts are tagged whole, in windows of 48 characters every 24: a window counts
 for its central half, so each character is decided where it has the most
-context, and runs of tags are joined across windows. Windows without any digit
-and at sign or ``at`` word are skipped, as every kind needs one.
+context, and runs of tags are joined across windows. Every span has a digit, an
+at sign or the word ``at``, so the windows around these come first; where a run
+of tags reaches the edge of what is tagged, the next window follows, until all
+such runs are whole. The spans are those of tagging every window.
 
 Positions are code points, ends exclusive. Defined cases: a null text is
 empty; empty and blank texts have no spans; very long texts are tagged in
@@ -212,6 +214,31 @@ def window_starts(text: str) -> list[int]:
     return list(starts)
 
 
+def tag_windows(texts: list[str], tagger: Tagger) -> list[dict[int, np.ndarray]]:
+    """Of each text the tags of windows by start: of those that hold a trigger,
+    and of all that runs of tags reach from there."""
+    margin, tags = (WINDOW - STRIDE) // 2, [{} for _ in texts]
+    jobs = [(k, s) for k, t in enumerate(texts) for s in window_starts(t)]
+    while jobs:
+        for at in range(0, len(jobs), BATCH):
+            some = jobs[at : at + BATCH]
+            ids = np.full((len(some), WINDOW), 1, np.int64)
+            for i, (k, s) in enumerate(some):
+                found = char_classes(texts[k][s : s + WINDOW])
+                ids[i, : len(found)] = found
+            for (k, s), row in zip(some, tagger.decode(ids), strict=True):
+                tags[k][s] = row
+        more: dict[tuple[int, int], None] = {}
+        for k, s in jobs:
+            row, end = tags[k][s], s + margin + STRIDE
+            if row[margin + STRIDE - 1] and end < len(texts[k]) and s + STRIDE not in tags[k]:
+                more[k, s + STRIDE] = None
+            if s and row[margin] and s - STRIDE not in tags[k]:
+                more[k, s - STRIDE] = None
+        jobs = list(more)
+    return tags
+
+
 def tagged_spans(text: str, starts: list[int], tags: np.ndarray) -> list[tuple[int, int, int]]:
     """Runs of tags, joined across windows, that pass their checks."""
     margin, marks = (WINDOW - STRIDE) // 2, {}
@@ -248,18 +275,7 @@ def find(docs: DataFrame, tagger: Tagger, text: str = "text", target: str = "spa
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     def tags_of(texts: list[str]) -> list[list[tuple[int, int, int]]]:
-        starts = [window_starts(t) for t in texts]
-        jobs = [(k, s) for k, x in enumerate(starts) for s in x]
-        tags: list[list[np.ndarray]] = [[] for _ in texts]
-        for at in range(0, len(jobs), BATCH):
-            some = jobs[at : at + BATCH]
-            ids = np.full((len(some), WINDOW), 1, np.int64)
-            for i, (k, s) in enumerate(some):
-                found = char_classes(texts[k][s : s + WINDOW])
-                ids[i, : len(found)] = found
-            for (k, _), row in zip(some, tagger.decode(ids), strict=True):
-                tags[k].append(row)
-        return [tagged_spans(t, s, np.array(g)) if s else [] for t, s, g in zip(texts, starts, tags, strict=True)]
+        return [tagged_spans(t, list(x), np.array(list(x.values()))) if x else [] for t, x in zip(texts, tag_windows(texts, tagger), strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

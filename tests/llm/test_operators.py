@@ -159,6 +159,17 @@ def test_tagger_learns_and_finds(spark):
     assert got[5] in ([], [("card", 5, 24, False)])
 
 
+def test_written_around_addresses_are_tagged_at_every_offset(spark):
+    class Plain:  # tags all but the signs around
+        def decode(self, ids):
+            return np.where(ids == 96, 0, 2).astype(np.int8)
+
+    addresses = ("john.doe (at) example (dot) com", "anna.smith at mailhost dot org", "maria.hofmann (at) universitaet (dot) de", "a" * 70 + " at " + "b" * 70 + " dot org")
+    rows = [("\u20ac" * offset + a + "\u20ac" * after, offset, offset + len(a)) for a in addresses for offset in range(50) for after in (0, 1, 60)]
+    got = pii.find(spark.createDataFrame(rows, "text string, s int, e int"), Plain()).collect()
+    assert len(got) == len(rows) and all([tuple(x) for x in r.spans] == [("email", r.s, r.e, False)] for r in got)
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     model = bilstm_crf.Tagger(7, 3)
