@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
@@ -14,6 +15,12 @@ ASCII_SPACE = "\t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: A broadcast side has at most so many rows and bytes, both measured.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
+SALTS = 8
+#: Keys of at least this part of all rows are heavy; so there are no more.
+HEAVY = 4096
+
 _own: dict[str, str] = {}
 
 
@@ -24,11 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset,
-    as in local tests, a temporary folder takes its place.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
+    and all threads are this machine's, as in tests, a temporary folder takes
+    its place.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="brightloom-")
         _own[spark.sparkContext.applicationId] = path
     return path.rstrip("/")
@@ -38,7 +48,7 @@ def packed(df: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
     """The needed columns, and the others in one struct ``__rest``, so that no
     name of theirs can clash; and the fields to select to get them back."""
     rest = [c for c in df.columns if c not in needed]
-    made = df.select(*needed, *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__rest")] if rest else []))
+    made = df.select(*[F.col(f"`{c}`") for c in needed], *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__rest")] if rest else []))
     return made, [F.col("__rest").getField(c).alias(c) for c in rest]
 
 
@@ -48,14 +58,64 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brightloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written = path
+    return made
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing reads it any more."""
+    for df in written:
+        if path := getattr(df, "_written", None):
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes."""
+    size = F.lit(8 * len(df.columns)).cast("long")
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            size = size + F.octet_length(F.to_json(F.struct(F.col(f"`{name}`"))))
+    return size
+
+
+def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows of ``size``
+    bytes in all (both are measured, never assumed), else as it is; and whether
+    it was small."""
+    got = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("b")).first()
+    small = got["n"] <= rows and got["b"] <= size
+    return (F.broadcast(df) if small else df), small
 
 
-def small_or_plain(df: DataFrame, limit: int = 100_000) -> tuple[DataFrame, bool]:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows (it is
-    counted, never assumed), else as it is; and whether it was small."""
-    small = df.limit(limit + 1).count() <= limit
-    return (F.broadcast(df) if small else df), small
+def join_salted(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str = "inner", small: bool | None = None) -> DataFrame:
+    """A join of ``left`` with a small number of columns whose keys may hold
+    very many rows of ``left``: each key's rows are dealt out over ``SALTS``
+    tasks by the column ``by``. Broadcast instead if ``right`` is small, which
+    is measured unless known."""
+    if small is None:
+        small = small_or_plain(right)[1]
+    if small:
+        return left.join(F.broadcast(right), on, how)
+    left = left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [*on, "__salt"], how).drop("__salt")
+
+
+def join_heavy(left: DataFrame, right: DataFrame, on: list[str], copies: str) -> DataFrame:
+    """Inner join with the one row of ``right`` for each key, whose column
+    ``copies`` says how many rows of ``left`` have it. Keys that hold a part of
+    1 in ``HEAVY`` of all rows or more are at most ``HEAVY``, so these are
+    broadcast; the others are joined by a shuffle."""
+    total = right.agg(F.coalesce(F.sum(copies), F.lit(0)).alias("n")).first()["n"]
+    heavy = F.col(copies) * HEAVY >= F.lit(max(total, 1))
+    most, _ = small_or_plain(right.where(heavy), HEAVY)
+    rest = left.join(most.select(*on), on, "left_anti").join(right.where(~heavy), on)
+    return left.join(most, on).unionByName(rest)
 
 
 def words(text) -> object:

@@ -9,64 +9,63 @@ over distinct sets; equal sets are one node.
 2. A second pass emits each set's prefix: its ``n - ceil(t n) + 1`` rarest
    n-grams by those counters. Linked sets share an n-gram of their prefixes,
    whatever the order, so the counters steer the work and not the result.
-3. Sets that share a prefix n-gram form a list. Short lists give all their
-   pairs of compatible size; longer ones first link each set to a few hubs
-   of its own size band and of the band below, which joins up groups of near
-   copies by a number of pairs in proportion to their size.
-4. What these links leave apart in long lists is compared in tiles: the sets
-   of a list are dealt into tiles of bounded size, tile pairs are spread over
-   tasks, and only pairs of compatible size, of different components, and
-   whose signatures allow enough overlap survive. (The number of bits set only
-   in A bounds |A - B| from below, hence the overlap from above.) Each set
-   names its most promising survivors first; they are verified and components
-   merge. Then the lists in which a set had more to name are looked through
-   again, without that limit, so no survivor between components is left out.
-5. All surviving pairs are verified by intersecting the sorted arrays of
-   64-bit n-gram hashes, which are computed again for the sets involved only.
-
-6. Every link lies within a component. A component whose verified links are all
-   its pairs is counted by them; in the others all pairs are compared once, by
-   exact overlaps of tiles of bounded size, which give a number for each set
-   instead of pairs.
-
-Components are those of the whole link graph: pairs that step 4 skips lie in
-one component already. n_links is the number of other distinct sets that a
-document's set links with; documents of equal sets are one set in it.
+3. Sets that share a prefix n-gram form a list. Short lists give their pairs of
+   compatible size. Longer ones, and all of n-grams that may be very common
+   (their rows are dealt out by set from the start), are cut into tiles: by
+   size band, and large bands by hash. Tiles meet only within a band and with
+   the band above, as sets two bands apart are never compatible. In a tile pair
+   bit counts bound each overlap from above (the number of bits set only in A
+   bounds |A - B| from below), and a union-find keeps at most sets - 1 of the
+   pairs that the bound lets pass.
+4. Components of those pairs are clusters: every link lies within one.
+   The clusters are cut into size-banded tiles again, now with the sorted
+   arrays of 64-bit n-gram hashes, computed again for their sets only. Pairs
+   that pass the bit-count bound are intersected exactly; a tile pair returns a
+   number of links for each set and at most sets - 1 links that join them up, so
+   no step makes rows in proportion to the pairs of a group.
+5. Components of those links are the classes.
+
+``n_links`` is the number of other distinct sets that a document's set links
+with; documents of equal sets are one set in it. Counting every link compares
+all pairs of a cluster that the bounds let pass. Without ``counted``, pairs
+already joined up are skipped: clusters of more than one tile first have the
+pairs of step 3 verified, and only those that these links leave apart are
+compared in tiles.
 
 Defined cases: null, empty and blank texts have the empty set (n_shingles 0)
 and link with nothing; a text of fewer words than ``width`` has one n-gram, the
-whole sequence; rows that repeat a doc_id are separate rows; null ids are
-ignored in the smallest id of a component, unless it has no other; an empty
-table gives an empty result; extra columns of the input take no part.
+whole sequence; very long texts are one set like any other; rows that repeat a
+doc_id are separate rows; null ids are ignored in the smallest id of a
+component, unless it has no other; an empty table gives an empty result; extra
+columns of the input take no part.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_or_plain
+from .common import discard, join_heavy, join_salted, materialize, small_or_plain
 from .graph import components
 from .hashing import digest64, raw_texts, shingle_sets
 
 WIDTH = 5
 PERCENT = 75
 COUNTER_BITS = 17
+#: Counters travel in so many pieces for each task.
+CHUNKS = 128
+#: A list whose n-gram's counter is above this, and above 5/4 of the mean, is
+#: dealt out by set from the start.
+HOT = 1024
 SHORT_LIST = 4
-HUBS = 4
+#: Sets of a tile at most, about; and their n-grams.
 TILE = 1024
-NAMED = 8
-#: Hubs are linked in a quarter of the long lists, by hash: enough to join up
-#: most near copies before all lists are looked through.
-FIRST_PART = 4
-#: N-grams of a tile of a component, about; and columns of a block of its overlaps.
 TILE_GRAMS = 1 << 19
-BLOCK = 4096
 
 
 def _table(schema: dict[str, pa.DataType], **columns) -> pa.RecordBatch:
@@ -130,13 +129,13 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def node_rows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, text) -> rows (doc_id, n, node, bits) for each document, and
-    rows (counter, seen) of the hashed n-gram counters."""
+    """(doc_id, text) -> rows (doc_id, n, node, bits) for each document, and of
+    each task the hashed n-gram counters in rows (chunk, seen)."""
     kind = dict(docs.dtypes)["doc_id"]
-    schema = {"n": pa.int64(), "node": pa.int64(), "bits": pa.binary(), "counter": pa.int32(), "seen": pa.int64()}
+    schema = {"n": pa.int64(), "node": pa.int64(), "bits": pa.binary(), "chunk": pa.int32(), "seen": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, id_type = np.zeros(1 << COUNTER_BITS, np.int64), None
+        counters, id_type = np.zeros(1 << COUNTER_BITS, "<i8"), None
         for batch in _slices(batches):
             ids, id_type = batch.column(0), batch.column(0).type
             n, nodes, bits = [], [], []
@@ -146,15 +145,32 @@ def node_rows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 bits.append(signature(s) if len(s) else b"")
                 np.add.at(counters, (s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
             none = [None] * len(n)
-            rest = _table(schema, n=n, node=nodes, bits=bits, counter=none, seen=none)
+            rest = _table(schema, n=n, node=nodes, bits=bits, chunk=none, seen=none)
             yield pa.RecordBatch.from_arrays([ids, *rest.columns], names=["doc_id", *schema])
-        at = np.flatnonzero(counters)
-        none = [None] * len(at)
-        rest = _table(schema, n=none, node=none, bits=none, counter=at, seen=counters[at])
-        if id_type is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), id_type), *rest.columns], names=["doc_id", *schema])
+        parts = {k: x.tobytes() for k, x in enumerate(counters.reshape(CHUNKS, -1)) if x.any()}
+        none = [None] * len(parts)
+        rest = _table(schema, n=none, node=none, bits=none, chunk=list(parts), seen=list(parts.values()))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), id_type), *rest.columns], names=["doc_id", *schema])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, bits binary, counter int, seen long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, bits binary, chunk int, seen binary")
+
+
+def gram_counts(first: DataFrame) -> np.ndarray:
+    """The counters of all tasks, summed piece by piece on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, seen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(seen, "<i8")
+        yield _table({"chunk": pa.int32(), "seen": pa.binary()}, chunk=list(sums), seen=[x.tobytes() for x in sums.values()])
+
+    counts = np.zeros((CHUNKS, (1 << COUNTER_BITS) // CHUNKS), np.int64)
+    parts = first.where("chunk is not null").select("chunk", "seen").repartition("chunk")
+    for row in parts.mapInArrow(run, "chunk int, seen binary").collect():  # of fixed size
+        counts[row["chunk"]] = np.frombuffer(row["seen"], "<i8")
+    return counts.ravel()
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -162,83 +178,71 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def postings(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(gram, n, node): the prefix of each set; sets that occur again within a
-    task are left out there."""
-    schema = {"gram": pa.int64(), "n": pa.int64(), "node": pa.int64()}
+    """(gram, salt, n, node): the prefix of each set; sets that occur again
+    within a task are left out there. salt is 0, or from 1 on for an n-gram that
+    may be very common."""
+    schema = {"gram": pa.int64(), "salt": pa.int32(), "n": pa.int64(), "node": pa.int64()}
     shift = np.uint64(64 - COUNTER_BITS)
+    hot = counts > max(HOT, 1.25 * counts.mean())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in _slices(batches):
-            grams, sizes, nodes = [], [], []
+            grams, salts, sizes, nodes = [], [], [], []
             for s in shingle_sets(raw_texts(batch.column(0)), width):
                 if not len(s) or (node := digest64(s)) in met:
                     continue
                 met.add(node)
                 n = len(s)
                 p = prefix_length(n, percent)
-                order = np.argsort(counts[(s >> shift).astype(np.int64)], kind="stable")[:p]  # ties by hash
+                own = (s >> shift).astype(np.int64)
+                order = np.argsort(counts[own], kind="stable")[:p]  # ties by hash
                 grams.append(s[order])
+                salts.append(np.where(hot[own[order]], 1 + (node & 63), 0))
                 sizes.append(np.full(p, n))
                 nodes.append(np.full(p, node))
             if grams:
-                yield _table(schema, gram=np.concatenate(grams).view(np.int64), n=np.concatenate(sizes), node=np.concatenate(nodes))
+                yield _table(schema, gram=np.concatenate(grams).view(np.int64), salt=np.concatenate(salts), n=np.concatenate(sizes), node=np.concatenate(nodes))
 
-    return docs.select("text").mapInArrow(run, "gram long, n long, node long")
+    return docs.select("text").mapInArrow(run, "gram long, salt int, n long, node long")
 
 
 def list_pairs(post: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (gram null) and what is left of long lists (b null)."""
+    """Pairs of short lists (gram null), and the sets of other lists (b null)."""
     schema = {"gram": pa.int64(), "a": pa.int64(), "na": pa.int64(), "b": pa.int64(), "nb": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
-        for rows in _runs(batches, 1):
-            gram, n, node = (rows.column(k).to_numpy() for k in range(3))
+        seen: set[tuple[int, int]] = set()
+        for rows in _runs(batches, 2):
+            gram, salt, n, node = (rows.column(k).to_numpy() for k in range(4))
             new = np.ones(len(gram), bool)
             new[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1]) | (n[1:] != n[:-1])
-            gram, n, node = gram[new], n[new], node[new]
-            start = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+            gram, salt, n, node = gram[new], salt[new], n[new], node[new]
+            edge = np.append(True, (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1]))
+            start = np.flatnonzero(edge)
             size = np.diff(np.append(start, len(gram)))
-            out: list[tuple] = []
             if len(seen) > 100_000:
                 seen.clear()
-
-            def pair(i: int, j: int, n=n, node=node, out=out) -> None:
-                if 100 * min(n[i], n[j]) >= percent * max(n[i], n[j]):
-                    i, j = (i, j) if node[i] < node[j] else (j, i)
-                    key = (int(node[i]), int(node[j]))
-                    if key not in seen:
-                        seen.add(key)
-                        out.append((None, key[0], int(n[i]), key[1], int(n[j])))
-
-            for s, g in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-                if g <= SHORT_LIST:
-                    for i in range(s, s + g):
-                        for j in range(i + 1, s + g):
-                            pair(i, j)
-                    continue
-                key = hashlib.blake2b(node[s : s + g].tobytes(), digest_size=16).digest()  # the same list again
-                if key in seen:
-                    continue
-                seen.add(key)
-                # sets whose bands are two apart are never compatible in size
-                bands = np.floor(np.log(n[s : s + g]) / np.log(100 / percent) + 1e-9).astype(np.int64)
-                hubs: dict[int, list[int]] = {}
-                for i in s + np.argsort(node[s : s + g], kind="stable"):
-                    some = hubs.setdefault(int(bands[i - s]), [])
-                    if len(some) < HUBS:
-                        some.append(int(i))
+            pairs: list[tuple[int, int, int, int]] = []
+            short = (size > 1) & (size <= SHORT_LIST) & (salt[start] == 0)
+            for s, g in zip(start[short].tolist(), size[short].tolist(), strict=True):
                 for i in range(s, s + g):
-                    for k in (0, 1) if gram[s] % FIRST_PART == 0 else ():
-                        for hub in hubs.get(int(bands[i - s]) - k, ()):
-                            if hub != i:
-                                pair(i, hub)
-                    out.append((int(gram[i]), int(node[i]), int(n[i]), None, None))
-            if out:
-                yield _table(schema, **dict(zip(schema, zip(*out, strict=True), strict=True)))
-
-    dealt = post.repartition("gram").sortWithinPartitions("gram", "n", "node")
+                    for j in range(i + 1, s + g):
+                        if 100 * n[i] >= percent * n[j]:  # sizes ascend
+                            x, y = (i, j) if node[i] < node[j] else (j, i)
+                            key = (int(node[x]), int(node[y]))
+                            if key not in seen:
+                                seen.add(key)
+                                pairs.append((key[0], int(n[x]), key[1], int(n[y])))
+            if pairs:
+                a, na, b, nb = zip(*pairs, strict=True)
+                yield _table(schema, gram=[None] * len(pairs), a=a, na=na, b=b, nb=nb)
+            at = np.repeat((size > SHORT_LIST) | (salt[start] > 0), size)
+            if at.any():
+                none = [None] * int(at.sum())
+                yield _table(schema, gram=gram[at], a=node[at], na=n[at], b=none, nb=none)
+
+    dealt = post.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "n", "node")
     return dealt.mapInArrow(run, "gram long, a long, na long, b long, nb long")
 
 
@@ -261,19 +265,20 @@ def may_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def gram_sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, n, grams) of the sets in ``wanted`` (node, n), and of some others;
-    a set may occur again."""
+    """(node, n, bits, grams) of the sets in ``wanted`` (node, n), and of some
+    others; a set may occur again."""
     carriers = materialize(nodes.join(wanted, ["node", "n"], "left_semi").select(F.col("doc_id").alias("carrier")).distinct())
-    carriers, _ = small_or_plain(carriers, 1_000_000)
+    carriers, _ = small_or_plain(carriers)
     some = docs.select("doc_id", "text").join(carriers, F.col("doc_id").eqNullSafe(F.col("carrier")), "left_semi")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             sets = [s for s in shingle_sets(raw_texts(batch.column(0)), width) if len(s)]
-            yield _table({"node": pa.int64(), "n": pa.int64(), "grams": pa.binary()}, node=[digest64(s) for s in sets], n=[len(s) for s in sets], grams=[s.tobytes() for s in sets])
+            schema = {"node": pa.int64(), "n": pa.int64(), "bits": pa.binary(), "grams": pa.binary()}
+            yield _table(schema, node=[digest64(s) for s in sets], n=[len(s) for s in sets], bits=[signature(s) for s in sets], grams=[s.tobytes() for s in sets])
 
     # written once: read more than once, and one Python function a stage
-    return materialize(some.select("text").mapInArrow(arrays, "node long, n long, grams binary"))
+    return materialize(some.select("text").mapInArrow(arrays, "node long, n long, bits binary, grams binary"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -297,128 +302,157 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, pe
     return pairs.select("a", "na", "b", "nb", "grams_a", "grams_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def tile_pairs(left: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, named: int | None) -> DataFrame:
-    """Pairs of long lists that lie in different components and may link: of
-    each set and tile pair the ``named`` of the highest bounds; and a row
-    without b for each set that has more. Without ``named`` all pairs, each in
-    the first only of the lists that both sets are in."""
-    own = left.groupBy("a").agg(F.sort_array(F.collect_list("gram")).alias("grams"))  # at most a set's prefix
-    left = left.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    whole = left.groupBy("gram").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    left = left.join(whole.select("gram", "size"), "gram")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    left = left.withColumn("tile", F.pmod(F.xxhash64("a"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    left = left.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
-    bits = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), "bits")
-    left = left.join(bits, ["a", "na"]) if named else left.join(bits, ["a", "na"]).join(own, "a")
-    left = left.select("gram", "low", "high", "tile", "a", "na", "root", "bits", *([] if named else ["grams"]))
-    schema = {"a": pa.int64(), "na": pa.int64(), "b": pa.int64(), "nb": pa.int64()}
+def tiled(rows: DataFrame, group: str, percent: int) -> DataFrame:
+    """``rows`` (group, node, n) once for each pair of size-banded tiles (low,
+    high) of their group that they belong to, with their own tile."""
+    rows = rows.withColumn("band", F.floor(F.log("n") / F.lit(log(100 / min(percent, 99))) + F.lit(1e-9)).cast("long"))
+    fits = lambda sets, grams: F.greatest(F.ceil(sets / TILE), F.ceil(grams / TILE_GRAMS)).cast("long")
+    shape = rows.groupBy(group, "band").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
+    # as many bands as the logarithm of the largest size
+    parts = F.map_from_entries(F.collect_list(F.struct("band", fits(F.col("sets"), F.col("grams")))))
+    shape = shape.groupBy(group).agg(F.sum("sets").alias("sets"), F.sum("grams").alias("grams"), parts.alias("parts"))
+    shape = shape.where("sets > 1").select(group, F.when(fits(F.col("sets"), F.col("grams")) > 1, F.col("parts")).alias("parts"))
+    rows = join_salted(rows, shape, [group], "node")
+    own, below, above = (F.coalesce(F.col("parts")[F.col("band") + k], F.lit(0)) for k in (0, -1, 1))
+    tile = lambda k, part: (F.col("band") + k) * F.lit(1 << 20) + part
+    mine = tile(0, F.pmod(F.xxhash64("node"), own))
+
+    def meets(k: int, n) -> object:
+        other = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(other, lambda q: F.struct(F.least(mine, tile(k, q)).alias("low"), F.greatest(mine, tile(k, q)).alias("high"), mine.alias("tile")))
+
+    zero = F.lit(0).cast("long")
+    whole = F.array(F.struct(zero.alias("low"), zero.alias("high"), zero.alias("tile")))
+    pairs = F.when(F.col("parts").isNull(), whole).otherwise(F.concat(meets(0, own), meets(-1, below), meets(1, above)))
+    names = [c for c in rows.columns if c not in ("band", "parts")]
+    return rows.select(*names, F.explode(pairs).alias("t")).select(*names, "t.low", "t.high", "t.tile")
+
+
+class Sets:
+    """The sets of a pair of tiles."""
+
+    def __init__(self, node: np.ndarray, n: np.ndarray, tile: np.ndarray, bits: list[bytes], one: bool, percent: int):
+        self.node, self.n, self.tile, self.one, self.percent = node, n, tile, one, percent
+        self.bits = [np.frombuffer(x, np.uint64) for x in bits]
+        self.root = np.arange(len(node))
+
+    def near(self, skip: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each set, and others whose bit counts allow a link with it, with the
+        bounds of their overlaps: each pair once, or with ``skip`` not at all if
+        the two are joined up already."""
+        n, size = self.n, np.array([len(x) for x in self.bits])
+        for w in np.unique(size):
+            at = np.flatnonzero(size == w)
+            many = np.stack([self.bits[i] for i in at])
+            # each set against those of its own width, and wider ones against these
+            for i in np.flatnonzero((size >= w) & (self.percent * size <= 200 * w)).tolist():
+                ok = 100 * np.minimum(n[at], n[i]) >= self.percent * np.maximum(n[at], n[i])
+                if size[i] == w:
+                    ok &= at < i
+                if not self.one:
+                    ok &= self.tile[at] != self.tile[i]
+                if skip:
+                    ok &= self.root[at] != self.root[i]
+                if ok.any():
+                    o = most_overlap(self.bits[i], n[i], many[ok], n[at[ok]])
+                    may = 100 * o >= self.percent * (n[i] + n[at[ok]] - o)
+                    if may.any():
+                        yield i, at[ok][may], o[may]
+
+    def join(self, i: int, others: np.ndarray) -> list[tuple[int, int]]:
+        """Joins a set up with others; the links that it took."""
+        took = []
+        for root, k in zip(*np.unique(self.root[others], return_index=True), strict=True):
+            if root != self.root[i]:
+                self.root[self.root == root] = self.root[i]
+                took.append((i, int(others[k])))
+        return took
+
+
+def _tile_sets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[Sets, list[bytes]]]:
+    """The sets of each (group, low, high) with what the last column holds, of
+    rows (group, low, high, tile, node, n, bits, ...) sorted by these."""
+    for rows in _runs(batches, 3):
+        keys = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in range(3)])
+        start = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))).tolist()
+        for s, e in zip(start, [*start[1:], rows.num_rows], strict=True):
+            some = rows.slice(s, e - s)
+            tile, node, n = (some.column(k).to_numpy() for k in (3, 4, 5))
+            _, at = np.unique(node, return_index=True)  # a set may come again
+            if len(at) > 1:
+                some = some.take(pa.array(at))
+                yield Sets(node[at], n[at], tile[at], some.column(6).to_pylist(), keys[1, s] == keys[2, s], percent), some.column(some.num_columns - 1).to_pylist()
+
+
+def _dealt(rows: DataFrame, group: str, *more: str) -> DataFrame:
+    names = [group, "low", "high", "tile", "node", "n", "bits", *more]
+    return rows.select(*names).repartition(group, "low", "high").sortWithinPartitions(group, "low", "high")
+
+
+def list_links(left: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of (gram, node, n): pairs that may link and join up all sets of a
+    list that such pairs join up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple] = set()
-        for rows in _runs(batches, 3):
+        seen: set[tuple[int, int]] = set()
+        for sets, _ in _tile_sets(batches, percent):
             if len(seen) > 100_000:
                 seen.clear()
-            keys = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in range(3)])
-            start = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))).tolist()
-            tile, node, n, root = (rows.column(k).to_numpy() for k in (3, 4, 5, 6))
-            raw = rows.column(7)
-            out: list[tuple] = []
-            for s, e in zip(start, [*start[1:], len(tile)], strict=True):
-                bits = [np.frombuffer(x, np.uint64) for x in raw.slice(s, e - s).to_pylist()]
-                grams = None if named else [np.array(x, np.int64) for x in rows.column(8).slice(s, e - s).to_pylist()]
-                width = np.array([len(x) for x in bits])
-                for w in np.unique(width):
-                    at = np.flatnonzero(width == w)
-                    many = np.stack([bits[i] for i in at])
-                    at = at + s
-                    # each set against those of its own width, and the wider ones against these
-                    for i in range(s, e):
-                        if len(bits[i - s]) not in (w, 2 * w):
-                            continue
-                        ok = (root[at] != root[i]) & (100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i]))
-                        ok &= (node[at] < node[i]) | (len(bits[i - s]) != w)
-                        if keys[1, s] != keys[2, s]:
-                            ok &= tile[at] != tile[i]
-                        if ok.any():
-                            o = most_overlap(bits[i - s], n[i], many[ok], n[at[ok]])
-                            pick = np.flatnonzero(100 * o >= percent * (n[i] + n[at[ok]] - o))
-                            if named is None:
-                                first = [np.intersect1d(grams[i - s], grams[j - s])[0] == keys[0, s] for j in at[ok][pick]]
-                                pick = pick[np.array(first, bool)]
-                            elif len(pick) > named:
-                                pick = pick[np.argsort(-(o[pick] / (n[i] + n[at[ok][pick]])), kind="stable")[:named]]
-                                out.append((int(node[i]), int(n[i]), None, None))
-                            for j in at[ok][pick]:
-                                x, y = (i, j) if node[i] < node[j] else (j, i)
-                                out.append((int(node[x]), int(n[x]), int(node[y]), int(n[y])))
-            out = list(set(out) - seen)
-            seen.update(out)
-            if out:
-                yield _table(schema, **dict(zip(schema, zip(*out, strict=True), strict=True)))
-
-    dealt = left.repartition("gram", "low", "high").sortWithinPartitions("gram", "low", "high", "na")
-    return dealt.mapInArrow(run, "a long, na long, b long, nb long").distinct()
-
-
-def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """|A & B| of each set of ``left`` (places in ``sets``) and of ``right``."""
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, gram, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = seen > 1
-    column, keep = np.cumsum(shared) - 1, shared[gram]
-    gram, owner = column[gram[keep]], owner[keep]
-    order = np.argsort(gram, kind="stable")
-    gram, owner = gram[order], owner[order]
-    out = np.zeros((len(left), len(right)), np.int64)
-    for at in range(0, int(shared.sum()), BLOCK):
-        part = slice(*np.searchsorted(gram, (at, at + BLOCK)))
-        has = np.zeros((len(sets), BLOCK), np.float32)  # sums up to the block's width are exact
-        has[owner[part], gram[part] - at] = 1
-        out += (has[left] @ has[right].T).astype(np.int64)
-    return out
-
-
-def link_counts(links: DataFrame, roots: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, n_links): of each set with links, how many sets it links with."""
-    members = materialize(roots.join(nodes.select("node", "n"), "node"))
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("grams"))
-    found = links.join(roots.withColumnRenamed("node", "a"), "a").groupBy("root").agg(F.count(F.lit(1)).alias("found"))
-    tiles = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("grams") / TILE_GRAMS)).cast("int")
-    classes = materialize(sizes.join(found, "root").select("root", "size", (2 * F.col("found") == F.col("size") * (F.col("size") - 1)).alias("whole"), tiles.alias("tiles")))
-    classes, _ = small_or_plain(classes, 1_000_000)
-    members = materialize(members.join(classes, "root"))
-    counted = members.where("whole").select("node", (F.col("size") - 1).alias("n_links"))
-    part = members.where("not whole").select("node", "n", "root", "tiles")
-    if part.isEmpty():
-        return counted
-    left = gram_sets(part, docs, nodes, width).join(part, ["node", "n"])
-    left = left.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    left = left.select("root", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "n", "grams")
+            took = [x for i, others, _ in sets.near(skip=True) for x in sets.join(i, others)]
+            ends = {(min(x), max(x)) for x in ((int(sets.node[i]), int(sets.node[j])) for i, j in took)} - seen
+            seen |= ends
+            if ends:
+                a, b = zip(*sorted(ends), strict=True)
+                yield _table({"a": pa.int64(), "b": pa.int64()}, a=a, b=b)
+
+    rows = tiled(left, "gram", percent).join(nodes.select("node", "n", "bits"), ["node", "n"])
+    return _dealt(rows, "gram").mapInArrow(run, "a long, b long").distinct()
+
+
+class Overlaps:
+    """Exact |A & B| of the sorted arrays of a pair of tiles."""
+
+    def __init__(self, arrays: list[bytes]):
+        sets = [np.frombuffer(x, np.uint64) for x in arrays]
+        self.start = np.cumsum([0, *map(len, sets)])
+        grams, self.codes = np.unique(np.concatenate(sets), return_inverse=True)
+        self.inside = np.zeros(len(grams), bool)
+
+    def of(self, i: int, others: np.ndarray) -> np.ndarray:
+        part = lambda k: self.codes[self.start[k] : self.start[k + 1]]
+        self.inside[part(i)] = True
+        if 8 * len(others) < len(self.start):
+            found = np.array([np.count_nonzero(self.inside[part(j)]) for j in others])
+        else:
+            found = np.add.reduceat(self.inside[self.codes], self.start[:-1], dtype=np.int64)[others]
+        self.inside[part(i)] = False
+        return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, 3):
-            keys = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in range(3)])
-            start = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))).tolist()
-            for s, e in zip(start, [*start[1:], rows.num_rows], strict=True):
-                tile, node, n = (rows.column(k).slice(s, e - s).to_numpy() for k in (3, 4, 5))
-                _, at = np.unique(node, return_index=True)
-                grams = rows.column(6).slice(s, e - s).take(pa.array(at)).to_pylist()
-                tile, node, n = tile[at], node[at], n[at]
-                low, high = np.flatnonzero(tile == keys[1, s]), np.flatnonzero(tile == keys[2, s])
-                if not len(low) or not len(high):
-                    continue
-                both = overlaps([np.frombuffer(x, np.uint64) for x in grams], low, high)
-                linked = 100 * both >= percent * (n[low][:, None] + n[high][None] - both)
-                if keys[1, s] == keys[2, s]:
-                    np.fill_diagonal(linked, False)
-                    places, seen = low, linked.sum(1)
-                else:
-                    places, seen = np.concatenate([low, high]), np.concatenate([linked.sum(1), linked.sum(0)])
-                yield _table({"node": pa.int64(), "n_links": pa.int64()}, node=node[places], n_links=seen)
 
-    dealt = left.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
-    return counted.union(dealt.mapInArrow(run, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links")))
+def cluster_links(rows: DataFrame, percent: int, counted: bool) -> DataFrame:
+    """(node, other, n_links) of (root, low, high, tile, node, n, bits, grams,
+    known): links that join up what links join up, and, if ``counted``, numbers
+    of links (other null)."""
+    schema = {"node": pa.int64(), "other": pa.int64(), "n_links": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sets, more in _tile_sets(batches, percent):
+            exact = Overlaps([x["grams"] for x in more])
+            _, sets.root = np.unique([x["known"] for x in more], return_inverse=True)
+            seen, took = np.zeros(len(sets.node), np.int64), []
+            for i, others, _ in sets.near(skip=not counted):
+                both = exact.of(i, others)
+                linked = others[100 * both >= percent * (sets.n[i] + sets.n[others] - both)]
+                seen[i] += len(linked)
+                seen[linked] += 1
+                took += sets.join(i, linked)
+            if took:
+                i, j = map(list, zip(*took, strict=True))
+                yield _table(schema, node=sets.node[i], other=sets.node[j], n_links=[0] * len(took))
+            if counted and (at := np.flatnonzero(seen)).size:
+                yield _table(schema, node=sets.node[at], other=[None] * len(at), n_links=seen[at])
+
+    return _dealt(rows.withColumn("own", F.struct("grams", "known")), "root", "own").mapInArrow(run, "node long, other long, n_links long")
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, counted: bool = True) -> DataFrame:
@@ -427,42 +461,43 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     left out unless ``counted``."""
     docs = docs.select("doc_id", "text")
     first = materialize(node_rows(docs, width))
-    counts = np.zeros(1 << COUNTER_BITS, np.int64)
-    for row in first.where("counter is not null").groupBy("counter").agg(F.sum("seen").alias("seen")).collect():  # of fixed number
-        counts[row["counter"]] = row["seen"]
-    rows = first.where("counter is null").select("doc_id", "n", "node")
-    nodes = first.where("counter is null and n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"))
-    nodes = materialize(nodes)
-
-    found = materialize(list_pairs(postings(docs, counts, width, percent), percent))
-    pairs = found.where("gram is null").select("a", "na", "b", "nb").distinct()
-    pairs = materialize(may_link(pairs, nodes, percent))
-    links = materialize(verified(pairs, docs, nodes, width, percent))
-    roots = components(links)
-    left = found.where("gram is not null").select("gram", "a", "na")
-    tested = pairs.select("a", "b")
-    for part, named in ((left, NAMED), (None, None)):
-        if part is None:  # the lists in which the last round was cut short
-            cut = some.where("b is null").select("a").distinct()  # noqa: F821
-            if cut.isEmpty():
-                break
-            lists = left.join(cut, "a", "left_semi").select("gram").distinct()
-            part = left.join(lists, "gram", "left_semi")
-        some = materialize(tile_pairs(part, roots, nodes, percent, named))
-        new = materialize(some.where("b is not null").join(tested, ["a", "b"], "left_anti").select("a", "na", "b", "nb"))
-        if not new.isEmpty():
-            tested = tested.union(new.select("a", "b"))
-            more = materialize(verified(new, docs, nodes, width, percent))
-            if not more.isEmpty():
-                links = materialize(links.union(more).distinct())
-                roots = components(links)
-
-    classes = nodes.select("node", "n", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = first.where("chunk is null").select("doc_id", "n", "node")
+    nodes = first.where("chunk is null and n > 0").groupBy("node", "n")
+    nodes = materialize(nodes.agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies")))
+
+    found = materialize(list_pairs(postings(docs, gram_counts(first), width, percent), percent))
+    pairs = may_link(found.where("gram is null").select("a", "na", "b", "nb").distinct(), nodes, percent)
+    left = found.where("gram is not null").select("gram", F.col("a").alias("node"), F.col("na").alias("n"))
+    edges = materialize(pairs.select("a", "b").union(list_links(left, nodes, percent)))
+    members = materialize(components(edges).join(nodes.select("node", "n"), "node"))
+    known, links = members.select("node", F.col("node").alias("known")), None
+    if not counted:
+        large = members.groupBy("root").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > TILE).select("root")
+        sets = materialize(members.join(large, "root", "left_semi").select("node", "n"))
+        if not sets.isEmpty():
+            some = edges.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+            links = materialize(verified(some.select("a", "na", "b", "nb"), docs, nodes, width, percent))
+            known = known.join(components(links), "node", "left").select("node", F.coalesce("root", "known").alias("known"))
+    members = materialize(members.join(known, "node"))
+    apart = members
+    if not counted:
+        several = members.groupBy("root").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low <> high").select("root")
+        apart = materialize(members.join(several, "root", "left_semi"))
+    sets = gram_sets(apart.select("node", "n"), docs, nodes, width)
+    rows_of = tiled(apart.select("root", "node", "n", "known"), "root", percent)
+    exact = materialize(cluster_links(rows_of.join(sets, ["node", "n"]), percent, counted))
+    new = exact.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    roots = components(new if links is None else new.union(links))
+
+    classes = nodes.select("node", "n", "doc_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = classes.join(whole, "root")
-    columns = ["doc_id", F.col("n").alias("n_shingles"), *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if counted else []), "component_id"]
+    classes = join_salted(classes, whole, ["root"], "node").select("node", "n", "copies", "component_id")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), *(["n_links"] if counted else []), "component_id"]
     if counted:
-        classes = classes.join(materialize(link_counts(links, roots, docs, nodes, width, percent)), "node", "left").select("node", "n", "component_id", "n_links")
-    some = rows.where("n > 0").join(classes, ["node", "n"]).select(*columns)
-    none = rows.where("n = 0").select("doc_id", "n", F.lit(0).alias("n_links"), F.col("doc_id").alias("component_id")).select(*columns)
+        counts = exact.where("other is null").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+        classes = classes.join(counts, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+    classes = materialize(classes)
+    discard(*[x for x in (nodes, found, edges, members, apart, sets, exact, links) if x is not None])
+    some = join_heavy(rows.where("n > 0"), classes, ["node", "n"], "copies").select(*columns)
+    none = rows.where("n = 0").select("doc_id", "n", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id")).select(*columns)
     return some.unionByName(none)

@@ -63,11 +63,11 @@ def brute_components(texts):
 def test_ngram_join(docs, texts, monkeypatch):
     want = brute_components(texts)
     assert len({r for _, r in want.values()}) < len(texts) - 15
-    for short, tile, named in ((4, 1024, 8), (1, 8, 1)):  # with tiny limits all steps are taken
-        monkeypatch.setattr(ngram_join, "NAMED", named)
+    for short, tile, hot, counted in ((4, 1024, 1024, True), (1, 8, 2, False)):  # with tiny limits all steps are taken
+        monkeypatch.setattr(ngram_join, "HOT", hot)
         monkeypatch.setattr(ngram_join, "SHORT_LIST", short)
         monkeypatch.setattr(ngram_join, "TILE", tile)
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(docs).collect()}
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(docs, counted=counted).collect()}
         assert got == want
 
 
@@ -81,12 +81,10 @@ def test_ngram_join_counts_all_links(spark, monkeypatch):
     want = [sum(bool(s) and s != o and 100 * len(s & o) >= 75 * len(s | o) for o in alone) for s in sets]
     assert max(want) > 100 and want[151] == want[0] and len(set(want)) > 20
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
-    for tile, grams in ((1024, 1 << 19), (16, 4000)):
-        monkeypatch.setattr(ngram_join, "TILE", tile)
-        monkeypatch.setattr(ngram_join, "TILE_GRAMS", grams)
-        monkeypatch.setattr(ngram_join, "BLOCK", 64)
-        got = {r.doc_id: r.n_links for r in ngram_join.link_components(df).collect()}
-        assert [got[i] for i in range(len(rows))] == want
+    monkeypatch.setattr(ngram_join, "TILE", 16)
+    monkeypatch.setattr(ngram_join, "TILE_GRAMS", 4000)
+    got = {r.doc_id: r.n_links for r in ngram_join.link_components(df).collect()}
+    assert [got[i] for i in range(len(rows))] == want
 
 
 def test_ngram_join_repeats_and_nothing(spark):
