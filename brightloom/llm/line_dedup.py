@@ -2,26 +2,31 @@
 
 A line is compared in normal form: its words joined by single spaces, A-Z in
 lower case. A line goes if an earlier one (by document id, then line number)
-is equal, or, where both have at least ``MIN_NEAR`` characters, within an edit
-distance of 1 (one character put in, left out or replaced).
+is equal, or within the edit bound: one character put in, left out or replaced,
+if both lines have at least ``PER_EDIT`` characters. (The bound is one edit for
+that many characters, one at most: "page 1" and "page 2" are different lines.)
 
 Equal lines are grouped by a 128-bit hash of the line; only the first of each
 group goes on. Emitting every line's deletion variants would multiply the
 corpus by the length of its lines, so a lossless sieve comes first: an
-edit touches one of four segments of a line, so two lines within the bound
-share a hash of the other three. Lines that share none have no neighbour. The
-others emit all variants with one character deleted, and themselves, as hashed
-keys; variants that are equal at equal positions come from a replacement, a
-variant that equals a whole line from an insertion. Per key only the earliest
-line counts, so groups are aggregated and never expanded into pairs; each
-remaining pair (line, earliest neighbour) is verified with the edit distance of
-the texts.
+edit touches one of two halves of a line, so two lines within the bound
+share a hash of the other one. Lines that share none have no neighbour. A key
+of the sieve may belong to any number of lines (of one template, say), so keys
+are aggregated first, and the join with those that several lines share deals
+out the lines of a key. The lines left emit all variants with one character
+deleted, and themselves, as hashed keys; variants that are equal at equal
+positions come from a replacement, a variant that equals a whole line from an
+insertion. Lines of one variant differ in one character that was put into it, so
+however large the corpus is, they are no more than its length times the
+alphabet. Of each key only the earliest line counts; each remaining pair (line,
+earliest neighbour) is verified with the edit distance of the texts.
 
 Defined cases: lines without a word are kept and never compared; null and
 empty texts stay as they are, with no lines; rows with the same id and the same
 text count as one document and each keep what it keeps; null ids come first;
 lines of any length take the same path; an empty table gives an empty result;
-other columns are passed through.
+other columns are passed through, whatever their names, but for ones with the
+names of the results, which are replaced.
 """
 
 from __future__ import annotations
@@ -35,11 +40,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_or_plain
+from .common import join_salted, materialize, packed, small_or_plain
 from .hashing import Ranges, chunks, mix64, raw_texts
 
-MIN_NEAR = 24
-SEGMENTS = 4
+PER_EDIT = 24
+SEGMENTS = 2
+KEYS = [f"key{k}" for k in range(2 * SEGMENTS)]
 
 
 def normal(line: bytes) -> bytes:
@@ -103,40 +109,18 @@ def _batches(batch: pa.RecordBatch, position: int):
 
 
 def line_rows(docs: DataFrame, id_type: str) -> DataFrame:
-    """(doc_id, th, line, h1, h2, size): every line with a word."""
+    """(doc_id, th, line, h1, h2, size, key0, ...): every line with a word, and
+    its keys of the sieve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, lines in _batches(batch, 2):
                 at = pa.array(lines.text + first)
-                h1, h2 = lines.ids()
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number), pa.array(h1), pa.array(h2), pa.array(lines.size.astype(np.int64))], names=["doc_id", "th", "line", "h1", "h2", "size"])
+                keys = lines.sieve(np.arange(len(lines.size))) if len(lines.size) else np.empty((len(KEYS), 0), np.int64)
+                values = [lines.number, *lines.ids(), lines.size.astype(np.int64), *keys]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, values)], names=["doc_id", "th", "line", "h1", "h2", "size", *KEYS])
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, th long, line long, h1 long, h2 long, size long")
-
-
-def sieve_rows(docs: DataFrame) -> DataFrame:
-    """(key, h1) of lines long enough to have neighbours; a line that occurs
-    again within a task is left out there."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
-        for batch in batches:
-            for _, lines in _batches(batch, 0):
-                h1 = lines.ids()[0]
-                new = []
-                for k in np.flatnonzero(lines.size >= MIN_NEAR).tolist():
-                    if (h := int(h1[k])) not in met:
-                        met.add(h)
-                        new.append(k)
-                if len(met) > 500_000:
-                    met.clear()
-                if new:
-                    some = np.array(new)
-                    keys = lines.sieve(some)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(h1[some], len(keys)))], names=["key", "h1"])
-
-    return docs.select("text").mapInArrow(run, "key long, h1 long")
+    return docs.mapInArrow(run, f"doc_id {id_type}, th long, line long, h1 long, h2 long, size long, {', '.join(f'{k} long' for k in KEYS)}")
 
 
 def variant_rows(docs: DataFrame, id_type: str) -> DataFrame:
@@ -167,12 +151,13 @@ def variant_rows(docs: DataFrame, id_type: str) -> DataFrame:
 def near_copies(docs: DataFrame, firsts: DataFrame, id_type: str) -> DataFrame:
     """(doc_id, th, line) of first occurrences that lie within the bound of an
     earlier one."""
-    by_key = W.partitionBy("key")
-    shared = sieve_rows(docs).select("h1", (F.min("h1").over(by_key) != F.max("h1").over(by_key)).alias("shared"))
-    involved = shared.where("shared").select("h1").distinct()
-    wanted = firsts.where(F.col("size") >= MIN_NEAR).join(involved, "h1", "left_semi")
-    wanted = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th")).agg(F.collect_list(F.struct("line", "h1", "h2")).alias("wanted"))
-    wanted, _ = small_or_plain(materialize(wanted), 200_000)
+    long_enough = firsts.where(F.col("size") >= PER_EDIT)
+    keyed = lambda *more: long_enough.select("h1", F.explode(F.array(*KEYS)).alias("key"), *more)
+    shared = keyed().groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
+    shared = materialize(shared)
+    involved = join_salted(keyed("doc_id", "th", "line", "h2"), shared, ["key"], "h1").drop("key").distinct()
+    wanted = involved.groupBy(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th")).agg(F.collect_list(F.struct("line", "h1", "h2")).alias("wanted"))
+    wanted, _ = small_or_plain(materialize(wanted))
     some = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))).select("doc_id", "th", "text", "wanted")
     rows = variant_rows(some.dropDuplicates(["doc_id", "th"]), id_type)
 
@@ -184,11 +169,11 @@ def near_copies(docs: DataFrame, firsts: DataFrame, id_type: str) -> DataFrame:
     other = F.when(F.col("pos") < 0, F.col("cut")).otherwise(F.least("full", "same"))
     found = rows.where(other < F.col("first")).groupBy("first").agg(F.min(other).alias("other"))
     found = materialize(found)
-    forms, _ = small_or_plain(materialize(rows.where("pos < 0").select("first", "form")), 200_000)
+    forms, _ = small_or_plain(materialize(rows.where("pos < 0").select("first", "form")))
     for end in ("first", "other"):
         said = forms.select(F.col("first").alias("f"), F.col("form").alias(f"form_{end}"))
         found = found.join(said, (F.col(f"{end}.doc_id").eqNullSafe(F.col("f.doc_id"))) & (F.col(f"{end}.th") == F.col("f.th")) & (F.col(f"{end}.line") == F.col("f.line"))).drop("f")
-    return found.where(F.levenshtein("form_first", "form_other") <= 1).select("first.doc_id", "first.th", "first.line")
+    return found.where(F.levenshtein("form_first", "form_other", 1) >= 0).select("first.doc_id", "first.th", "first.line")
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -196,20 +181,20 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     n_kept (lines with a word before and after) and n_near (lines that went
     for a near copy only)."""
     docs = docs.drop("n_lines", "n_kept", "n_near")
-    id_type = dict(docs.dtypes)[doc_id]
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.col(text).alias("text"))
+    names, id_type = docs.columns, dict(docs.dtypes)[doc_id]
+    docs, rest = packed(docs, doc_id, text)
+    docs = docs.withColumnsRenamed({doc_id: "doc_id", text: "text"}).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    slim = docs.select("doc_id", "th", "text")
     rows = line_rows(slim, id_type)
-    firsts = rows.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "th", "line")).alias("f"))
-    firsts = materialize(firsts.select("f.doc_id", "f.th", "f.line", "h1", "h2", "size"))
+    firsts = rows.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "th", "line")).alias("f"), *[F.first(k).alias(k) for k in KEYS])
+    firsts = materialize(firsts.select("f.doc_id", "f.th", "f.line", "h1", "h2", "size", *KEYS))
     near = near_copies(slim, firsts, id_type).withColumn("near", F.lit(True))
     marks = firsts.select("doc_id", "th", "line").alias("a").join(near.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")) & (F.col("a.line") == F.col("b.line")), "left")
-    kept = marks.groupBy(F.col("a.doc_id").alias("__k_id"), F.col("a.th").alias("__k_th")).agg(
-        F.collect_list(F.when(F.col("near").isNull(), F.col("a.line"))).alias("__k_lines"), F.count("near").alias("__k_near")
-    )
-    out = docs.withColumn("__k_hash", F.xxhash64(F.coalesce(text, F.lit(""))))
-    out = out.join(kept, out[doc_id].eqNullSafe(F.col("__k_id")) & (F.col("__k_hash") == F.col("__k_th")), "left").drop("__k_id", "__k_th", "__k_hash")
-    position, width = docs.columns.index(text), len(docs.columns)
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.LongType()) for n in ("n_lines", "n_kept", "n_near")]])
+    kept = marks.groupBy(F.col("a.doc_id").alias("k_id"), F.col("a.th").alias("k_th")).agg(F.collect_list(F.when(F.col("near").isNull(), F.col("a.line"))).alias("k_lines"), F.count("near").alias("k_near"))
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")), "left")
+    out = out.select("doc_id", "text", *(["__rest"] if rest else []), "k_lines", "k_near")
+    position, width = 1, len(out.columns) - 2
+    schema = T.StructType([*out.schema.fields[:width], *[T.StructField(n, T.LongType()) for n in ("n_lines", "n_kept", "n_near")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,4 +213,6 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
             columns += [pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1)] + [batch.column(width + 1).fill_null(0)]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
-    return out.mapInArrow(run, schema)
+    done = out.mapInArrow(run, schema)
+    back = {doc_id: F.col("doc_id").alias(doc_id), text: F.col("text").alias(text)} | {n: c for n, c in zip([n for n in names if n not in (doc_id, text)], rest, strict=True)}
+    return done.select(*[back[n] for n in names], "n_lines", "n_kept", "n_near")

@@ -17,6 +17,25 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(table(spark, sf_dir, "documents"))
 
 
+OP1_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS k, doc_id, list_transform({SQL_WORDS}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+d AS (
+  SELECT k, doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                                 WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
+n AS (SELECT s, row_number() OVER () AS node, len(s) AS size, min(doc_id) AS low FROM d WHERE len(s) > 0 GROUP BY s),
+g AS (SELECT node, size, unnest(s) AS gram FROM n),
+l AS (
+  SELECT a.node AS a, b.node AS b FROM g a JOIN g b ON a.gram = b.gram AND a.node <> b.node
+  GROUP BY a.node, b.node, a.size, b.size HAVING 100 * count(*) >= 75 * (a.size + b.size - count(*))),
+r(node, other) AS (
+  SELECT node, node FROM n UNION SELECT r.node, l.b FROM r JOIN l ON r.other = l.a),
+c AS (SELECT r.node, min(o.low) AS component_id FROM r JOIN n o ON o.node = r.other GROUP BY r.node),
+m AS (SELECT a AS node, count(*) AS n_links FROM l GROUP BY a)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(m.n_links, 0)::BIGINT AS n_links, coalesce(c.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n ON d.s = n.s LEFT JOIN c ON c.node = n.node LEFT JOIN m ON m.node = n.node"""
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
@@ -77,6 +96,28 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_kept", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+OP6_SQL = r"""
+WITH t AS (
+  SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS raw, generate_subscripts(lines, 1) AS line FROM t),
+f AS (
+  SELECT *, translate(array_to_string(regexp_extract_all(raw, '[^\x20\x09-\x0D]+'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS form FROM l),
+o AS (
+  SELECT *, form <> '' AND row_number() OVER (PARTITION BY form ORDER BY doc_id NULLS FIRST, line) = 1 AS new,
+         row_number() OVER (ORDER BY doc_id NULLS FIRST, line) AS k FROM f),
+a AS (SELECT k, form, length(form) AS n FROM o WHERE new AND length(form) >= 24),
+s AS (SELECT k, form, n, unnest([n, n - 1]) AS m FROM a),
+h AS (SELECT *, left(form, m // 2) AS half, 0 AS side FROM s UNION ALL SELECT *, right(form, m - m // 2), 1 FROM s),
+near AS (
+  SELECT DISTINCT y.k FROM h x JOIN h y ON x.m = y.m AND x.side = y.side AND x.half = y.half AND x.k < y.k
+  WHERE abs(x.n - y.n) <= 1 AND levenshtein(x.form, y.form) <= 1),
+p AS (SELECT o.*, near.k IS NOT NULL AS is_near, new AND near.k IS NULL AS stays FROM o LEFT JOIN near USING (k))
+SELECT doc_id, count(*) FILTER (form <> '') AS n_lines, count(*) FILTER (stays) AS n_kept, count(*) FILTER (is_near) AS n_near,
+       sha256(CASE WHEN count(*) FILTER (stays) > 0 OR count(*) FILTER (form <> '') = 0
+                   THEN coalesce(string_agg(raw, chr(10) ORDER BY line) FILTER (stays OR form = ''), '') ELSE '' END) AS text_sha256
+FROM p GROUP BY doc_id"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "part")
@@ -161,4 +202,4 @@ QUERIES = {
     "op5_topk": op5_topk,
     "op6_line_dedup": op6_line_dedup,
    "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
-ORACLES = {"op2_chat": OP2_SQL, "op5_topk": OP5_SQL, "op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
+ORACLES = {"op1_ngram_join": OP1_SQL, "op2_chat": OP2_SQL, "op6_line_dedup": OP6_SQL, "op5_topk": OP5_SQL, "op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
