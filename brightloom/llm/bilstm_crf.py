@@ -51,13 +51,70 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
 
 
+def _viterbi(e: np.ndarray, size: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """The likeliest tags of each row of emissions (rows, steps, tags), of
+    which the first ``size`` steps count."""
+    score, came, own = e[:, 0], [], np.arange(e.shape[2])
+    for t in range(1, e.shape[1]):
+        live = (t < size)[:, None]
+        every = score[:, :, None] + move
+        came.append(np.where(live, every.argmax(1), own))
+        score = np.where(live, every.max(1) + e[:, t], score)
+    tags = np.empty(e.shape[:2], np.int8)
+    tags[:, -1] = now = score.argmax(1)
+    for t in range(len(came) - 1, -1, -1):
+        tags[:, t] = now = np.take_along_axis(came[t], now[:, None], 1)[:, 0]
+    return tags
+
+
+def best_paths(e: np.ndarray, starts: np.ndarray, ends: np.ndarray, move: np.ndarray, cells: int = 1 << 16) -> np.ndarray:
+    """The likeliest tags (Viterbi) of each sequence ``[start, end)`` of the
+    steps ``e`` (all steps, tags); the sequences follow each other.
+
+    Where tag 0 is ahead of all others by more than two transitions can make
+    up, every likeliest path has it: changing it there changes two transitions.
+    Only what lies between such steps, they included, is searched."""
+    sure = e[:, 0] - e[:, 1:].max(1) > 2 * (move.max() - move.min())
+    tags = np.zeros(len(e), np.int8)
+    # runs of steps in doubt, and the sure steps at their sides within the sequence
+    first, last = np.zeros(len(e) + 1, bool), np.zeros(len(e) + 1, bool)
+    first[starts], last[ends] = True, True
+    doubt = np.flatnonzero(~sure)
+    if not len(doubt):
+        return tags
+    begins = doubt[np.append(True, (np.diff(doubt) > 1) | first[doubt[1:]])]
+    finish = doubt[np.append((np.diff(doubt) > 1) | first[doubt[1:]], True)] + 1
+    begins, finish = begins - ~first[begins], finish + ~last[finish]
+    size = finish - begins
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        # as many runs as fit if all are as long as the longest of them
+        most = np.arange(1, len(order) - at + 1) * size[order[at:]]
+        n = max(1, int(np.searchsorted(most, cells, "right")))
+        some = order[at : at + n]
+        step = np.arange(size[some[-1]])
+        place = np.minimum(begins[some][:, None] + step, len(e) - 1)
+        part = e[place].copy()
+        part[sure[place], 1:] = -1e9
+        found = _viterbi(part, size[some], move)
+        live = step < size[some][:, None]
+        tags[place[live]] = found[live]
+        at += n
+    return tags
+
+
 class Tagger:
-    """Tags each character of fixed-size windows of character classes."""
+    """Tags each character of fixed-size windows of character classes.
 
-    def __init__(self, classes: int, tags: int, seed: int = 11):
+    ``unlike`` are transitions that make no sense, whose weights start low."""
+
+    def __init__(self, classes: int, tags: int, seed: int = 11, unlike: tuple[tuple[int, int], ...] = ()):
         rng = np.random.default_rng(seed)
         make = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
         self.p = {"embed": make(classes, EMBED) * np.float32(np.sqrt(classes) * 0.5), "out": make(2 * HIDDEN, tags), "bias": np.zeros(tags, np.float32), "move": np.zeros((tags, tags), np.float32)}
+        for pair in unlike:
+            self.p["move"][pair] = -3
         for d in "fb":
             self.p |= {f"w{d}": make(EMBED, 4 * HIDDEN), f"u{d}": make(HIDDEN, 4 * HIDDEN), f"b{d}": np.zeros(4 * HIDDEN, np.float32)}
             self.p[f"b{d}"][HIDDEN : 2 * HIDDEN] = 1
@@ -72,18 +129,10 @@ class Tagger:
         return self._hidden(ids, False)[1] @ self.p["out"] + self.p["bias"]
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The likeliest tags of each window (Viterbi)."""
-        e, move = self.emissions(ids), self.p["move"]
-        score, came = e[:, 0], []
-        for t in range(1, e.shape[1]):
-            every = score[:, :, None] + move
-            came.append(every.argmax(1))
-            score = every.max(1) + e[:, t]
-        tags = np.empty(ids.shape, np.int8)
-        tags[:, -1] = now = score.argmax(1)
-        for t in range(len(came) - 1, -1, -1):
-            tags[:, t] = now = np.take_along_axis(came[t], now[:, None], 1)[:, 0]
-        return tags
+        """The likeliest tags of each window."""
+        n, steps = ids.shape
+        e = self.emissions(ids).reshape(n * steps, -1)
+        return best_paths(e, np.arange(n) * steps, np.arange(1, n + 1) * steps, self.p["move"]).reshape(n, steps)
 
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of a batch, and its gradients."""
@@ -114,7 +163,7 @@ class Tagger:
         np.add.at(g["embed"], ids, dxf + dxb[:, ::-1])
         return float((whole.sum() - true) / n), g
 
-    def fit(self, ids: np.ndarray, tags: np.ndarray, steps: int = 160, batch: int = 32, rate: float = 0.02, seed: int = 5) -> list[float]:
+    def fit(self, ids: np.ndarray, tags: np.ndarray, steps: int = 500, batch: int = 32, rate: float = 0.02, seed: int = 5) -> list[float]:
         """Adam on seeded batches; returns the losses."""
         rng, losses = np.random.default_rng(seed), []
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))

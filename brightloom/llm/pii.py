@@ -10,12 +10,13 @@ which spans made by rule, and look-alikes that are none, were set, besides
 the base spans found in the snippets. Every tagged span must pass the check of
 its kind and must not touch a base span.
 
-Texts are tagged whole, in windows of 48 characters every 24: a window counts
-for its central half, so each character is decided where it has the most
-context, and runs of tags are joined across windows. Every span has a digit, an
-at sign or the word ``at``, so the windows around these come first; where a run
-of tags reaches the edge of what is tagged, the next window follows, until all
-such runs are whole. The spans are those of tagging every window.
+Texts are read in windows of 48 characters every 24. The emissions of
+overlapping windows are averaged, a window weighing most in its middle, and one
+likeliest path runs over all of them, so the windows are reconciled globally.
+Every span that passes its check has a digit, an at sign or the word ``at``:
+first come all windows that hold one, in stretches of neighbouring windows, and
+a stretch whose first or last 24 characters have a tag doubles on that side
+until none has. Windows beyond hold no span and aren't read.
 
 Positions are code points, ends exclusive. Defined cases: a null text is
 empty; empty and blank texts have no spans; very long texts are tagged in
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bilstm_crf import Tagger
+from .bilstm_crf import Tagger, best_paths
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -185,7 +186,9 @@ def train(snippets: list[str], seed: int = 3, windows: int = 1500) -> Tagger:
         found = char_classes(text)[part]
         ids[k, : len(found)] = found
         tags[k, : len(found)] = tag_ids(len(text), spans)[part]
-    tagger = Tagger(CLASSES, TAGS)
+    # a further character follows a first or further one of its kind
+    unlike = tuple((a, b) for b in range(2, TAGS, 2) for a in range(TAGS) if a not in (b - 1, b))
+    tagger = Tagger(CLASSES, TAGS, unlike=unlike)
     tagger.fit(ids, tags)
     return tagger
 
@@ -199,6 +202,7 @@ def fit(docs: DataFrame, text: str = "text") -> Tagger:
 
 
 TRIGGER = re.compile(r"[0-9@]|\bat\b", re.I)
+WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
 
 
 def window_starts(text: str) -> list[int]:
@@ -214,10 +218,26 @@ def window_starts(text: str) -> list[int]:
     return list(starts)
 
 
-def tag_windows(texts: list[str], tagger: Tagger) -> list[dict[int, np.ndarray]]:
-    """Of each text the tags of windows by start: of those that hold a trigger,
-    and of all that runs of tags reach from there."""
-    margin, tags = (WINDOW - STRIDE) // 2, [{} for _ in texts]
+def stretches(size: int, windows: dict[int, np.ndarray]) -> list[tuple[int, np.ndarray]]:
+    """(start, emissions) of each run of neighbouring windows of a text."""
+    starts = sorted(windows)
+    cut = [k for k in range(1, len(starts)) if starts[k] != starts[k - 1] + STRIDE]
+    out = []
+    for low, high in zip([0, *cut], [*cut, len(starts)], strict=True):
+        first = starts[low]
+        total = np.zeros((starts[high - 1] - first + WINDOW, TAGS), np.float32)
+        weight = np.zeros((len(total), 1), np.float32)
+        for s in starts[low:high]:
+            total[s - first : s - first + WINDOW] += windows[s] * WEIGHT
+            weight[s - first : s - first + WINDOW] += WEIGHT
+        out.append((first, (total / weight)[: size - first]))
+    return out
+
+
+def tag_texts(texts: list[str], tagger: Tagger) -> list[list[tuple[int, np.ndarray]]]:
+    """Of each text the tags of its stretches, by start."""
+    windows: list[dict[int, np.ndarray]] = [{} for _ in texts]
+    tags: list[list[tuple[int, np.ndarray]]] = [[] for _ in texts]
     jobs = [(k, s) for k, t in enumerate(texts) for s in window_starts(t)]
     while jobs:
         for at in range(0, len(jobs), BATCH):
@@ -226,33 +246,39 @@ def tag_windows(texts: list[str], tagger: Tagger) -> list[dict[int, np.ndarray]]
             for i, (k, s) in enumerate(some):
                 found = char_classes(texts[k][s : s + WINDOW])
                 ids[i, : len(found)] = found
-            for (k, s), row in zip(some, tagger.decode(ids), strict=True):
-                tags[k][s] = row
-        more: dict[tuple[int, int], None] = {}
-        for k, s in jobs:
-            row, end = tags[k][s], s + margin + STRIDE
-            if row[margin + STRIDE - 1] and end < len(texts[k]) and s + STRIDE not in tags[k]:
-                more[k, s + STRIDE] = None
-            if s and row[margin] and s - STRIDE not in tags[k]:
-                more[k, s - STRIDE] = None
-        jobs = list(more)
+            for (k, s), e in zip(some, tagger.emissions(ids), strict=True):
+                windows[k][s] = e
+        changed = dict.fromkeys(k for k, _ in jobs)
+        parts = [(k, s, e) for k in changed for s, e in stretches(len(texts[k]), windows[k])]
+        ends = np.cumsum([len(e) for _, _, e in parts])
+        path = best_paths(np.concatenate([e for _, _, e in parts]), np.append(0, ends[:-1]), ends, tagger.p["move"])
+        jobs = []
+        for k in changed:
+            tags[k] = []
+        for (k, s, e), end in zip(parts, ends.tolist(), strict=True):
+            own = path[end - len(e) : end]
+            tags[k].append((s, own))
+            more = len(own) // STRIDE  # doubled, so that long runs take few rounds
+            if own[:STRIDE].any():
+                jobs += [(k, x) for x in range(s - STRIDE, max(s - more * STRIDE, 0) - 1, -STRIDE)]
+            if s + len(own) < len(texts[k]) and own[-STRIDE:].any():
+                last = s + len(own) - WINDOW
+                jobs += [(k, x) for x in range(last + STRIDE, min(last + more * STRIDE + 1, len(texts[k]) - STRIDE), STRIDE)]
+        jobs = list(dict.fromkeys(x for x in jobs if x[1] not in windows[x[0]]))
     return tags
 
 
-def tagged_spans(text: str, starts: list[int], tags: np.ndarray) -> list[tuple[int, int, int]]:
-    """Runs of tags, joined across windows, that pass their checks."""
-    margin, marks = (WINDOW - STRIDE) // 2, {}
-    for s, row in zip(starts, tags, strict=True):
-        low = 0 if s == 0 else margin
-        for j in np.flatnonzero(row[low : margin + STRIDE]).tolist():
-            marks[s + low + j] = int(row[low + j])
-    found, runs = [], []
-    for at in sorted(marks):
-        kind, first = (marks[at] - 1) // 2, marks[at] % 2
-        if runs and runs[-1][2] == at and runs[-1][0] == kind and not first:
-            runs[-1][2] = at + 1
-        else:
-            runs.append([kind, at, at + 1])
+def tagged_spans(text: str, tags: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int]]:
+    """Runs of tags that pass their checks."""
+    runs: list[list[int]] = []
+    for start, own in tags:
+        for j in np.flatnonzero(own).tolist():
+            at, kind, first = start + j, (int(own[j]) - 1) // 2, own[j] % 2
+            if runs and runs[-1][2] == at and runs[-1][0] == kind and not first:
+                runs[-1][2] = at + 1
+            else:
+                runs.append([kind, at, at + 1])
+    found = []
     for kind, s, e in runs:
         e = min(e, len(text))
         while s < e and text[s].isspace():
@@ -274,18 +300,15 @@ def find(docs: DataFrame, tagger: Tagger, text: str = "text", target: str = "spa
     schema = T.StructType([*docs.schema.fields, T.StructField(target, T.ArrayType(span))])
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
-    def tags_of(texts: list[str]) -> list[list[tuple[int, int, int]]]:
-        return [tagged_spans(t, list(x), np.array(list(x.values()))) if x else [] for t, x in zip(texts, tag_windows(texts, tagger), strict=True)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 texts = [t or "" for t in batch.column(position).to_pylist()]
                 made = []
-                for t, more in zip(texts, tags_of(texts), strict=True):
+                for t, tags in zip(texts, tag_texts(texts, tagger), strict=True):
                     base = base_spans(t)
-                    more = [x for x in more if all(x[2] <= s or x[1] >= e for _, s, e in base)]
+                    more = [x for x in tagged_spans(t, tags) if all(x[2] <= s or x[1] >= e for _, s, e in base)]
                     both = sorted([(*x, True) for x in base] + [(*x, False) for x in more])
                     made.append([{"kind": KINDS[k], "start": s, "end": e, "base": b} for k, s, e, b in both])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, arrow)], names=[f.name for f in schema])
