@@ -16,8 +16,9 @@ holds it), so no source, however large, is ever sorted in one task.
 Defined cases: null texts have size 0; a null source is a source of its own,
 last in order; sources of size 0 have target 0; an empty table gives an empty
 result; rows that repeat a doc_id are separate documents (equal rows are
-interchangeable); other columns are passed through under their names, which
-should differ from those of the result.
+interchangeable); very long texts are sizes like any others; other columns are
+passed through, whatever their names, but for ones with the names of the
+results, which are replaced.
 """
 
 from __future__ import annotations
@@ -81,8 +82,10 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: floa
     """(doc_id, source, size, ...) -> the same rows with source_size, target,
     copies (whole repetitions, long), part (words of the one partial
     repetition of its source, else 0) and taken = copies * size + part."""
-    sizes, rest = packed(sizes, "doc_id", "source", "size")
-    rows = materialize(sizes.withColumn("mix_hash", mix_hash(F.col("doc_id"), seed)))
+    sizes, rest = packed(sizes.drop("source_size", "target", "copies", "part", "taken"), "doc_id", "source", "size")
+    documents = sizes.withColumn("mix_hash", mix_hash(F.col("doc_id"), seed))
+    # the plan is made from a few numbers of each document; its other columns are read once, at the end
+    rows = materialize(documents.drop("__rest"))
     per = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     plan = targets(per, weights, max_epochs)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -111,7 +114,7 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: floa
         bits = shift
     plan = plan.join(base.select(F.col("source").alias("src"), "bin", "below"), F.col("source").eqNullSafe(F.col("src"))).drop("src", "weight")
 
-    rows = _join_on_source(rows, plan, ["source"])
+    rows = _join_on_source(documents if rest else rows, plan, ["source"])
     rows = rows.withColumn("own", F.shiftright("mix_hash", 40))
     on_point = rows.where(F.col("own") == F.col("plan_bin"))
     off = rows.where(~F.col("own").eqNullSafe(F.col("plan_bin")))

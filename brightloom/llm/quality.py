@@ -13,8 +13,10 @@ The raw counts cover every document. The trusted ones come from at most
 
 Defined cases: a null text has no words and counts as an empty one, which the
 base rules reject; without any trusted document every score is 0; repeated
-rows and ids are judged alike; an id labelled both ways isn't trusted; other
-columns are passed through.
+rows and ids are judged alike; an id labelled both ways isn't trusted; very
+long texts take the same path; an empty table gives an empty result; other
+columns are passed through, whatever their names, but for ones with the names of
+the results, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, words
+from .common import ASCII_SPACE, packed, words
 
 BUCKETS = 1 << 14
 MAX_TRUSTED = 50_000
 THRESHOLD = -0.3
 PRIOR = 8.0
+#: A power of two.
 WINDOW = 8
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 TOKEN = r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D]+)"
 
 
@@ -43,9 +47,17 @@ def repeated_words(found: Column, window: int = WINDOW) -> Column:
     """How many of the words lie in a window of ``window`` words that occurs
     twice or more in the same array, the first occurrence included."""
 
+    def doubled(value: Column, step: int) -> Column:
+        """Hashes of twice as many words from each place on; the last ones
+        lack words and are cut off below."""
+        later = lambda h: F.slice(h, step + 1, F.greatest(F.size(h) - step, F.lit(0)))
+        return let(value, lambda h: F.zip_with(h, later(h), lambda a, b: F.xxhash64(a, b)))
+
     def windows(h: Column) -> Column:
-        starts = F.when(F.size(h) > window, F.sequence(F.lit(0), F.size(h) - window))
-        return F.coalesce(F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(window)])), F.array().cast("array<bigint>"))
+        whole, step = h, 1
+        while step < window:
+            whole, step = doubled(whole, step), 2 * step
+        return F.when(F.size(h) > window, F.slice(whole, 1, F.greatest(F.size(h) - window + 1, F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
 
     def covered(own: Column) -> Column:
         by_hash = F.sort_array(F.transform(own, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -108,9 +120,14 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buc
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, llr and kept."""
     weights = fit(docs, trusted, buckets)
+    docs = docs.drop(*RESULTS)
+    names = docs.columns
+    docs, rest = packed(docs, "doc_id", "text")
     text = F.col("text")
     count = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
-    out = docs.withColumns(base_measures(text) | {"llr": score(text, weights), "q_counts": count})
-    out = out.withColumns({"n_words": F.col("q_counts.n"), "n_repeat_words": F.col("q_counts.r")}).drop("q_counts")
+    out = docs.withColumns(base_measures(text) | {"llr": score(text, weights), "counts": count})
+    out = out.withColumns({"n_words": F.col("counts.n"), "n_repeat_words": F.col("counts.r")})
     out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))
+    back = dict(zip([n for n in names if n not in ("doc_id", "text")], rest, strict=True))
+    return out.select(*[back.get(n, n) for n in names], *RESULTS)

@@ -450,30 +450,35 @@ def test_pipeline_stages(spark, tmp_path):
     lines = [prose(s, 25) for s in range(60)]
     rows = [(i, "\n".join(lines[i : i + 3]) if i < 40 else "\n".join([lines[0], prose(900 + i, 30), prose(800 + i, 30)]), "en", f"src{i % 4}", 1) for i in range(60)]
     near = prose(77, 120)
+    extra = ["q_counts", "n_words", "llr", "kept", "n_lines", "n_kept", "kept_id", "kept_n", "size", "times", "nth", "taken", "target", "copies", "__rest"]
     rows += [(70, near, "en", "src0", 1), (71, variant(near, 4, 0.01), "en", "src0", 1), (72, "too short", "en", "src1", 1), (73, None, None, None, None), (74, near, "en", "src2", 1)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(*r, *[f"{c} {r[0]}" for c in extra]) for r in [*rows, rows[3]]]  # a repeated row too
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(72)] + [(74, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    before_docs = docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, materialize(stage(spark, docs, str(tmp_path)))
         seen[name] = (before.collect(), docs.collect())
         if name != "BPE encoding":
-            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *extra]
+            assert all(r[c] == f"{c} {r.doc_id}" for r in seen[name][1] for c in extra)
     raw, kept = seen["quality rules"]
     assert {r.doc_id for r in raw} - {r.doc_id for r in kept} == {72, 73}
     before, after = seen["line dedup"]
-    want = brute_lines(sorted((r.doc_id, r.text) for r in before))
+    want = brute_lines(sorted({(r.doc_id, r.text) for r in before}))
     assert {r.doc_id: r.text for r in after} == {i: t for i, (n, k, t) in want.items() if k}
     assert all(r.n_chars == len(r.text) for r in after) and 74 not in {r.doc_id for r in after}
     before, after = seen["n-gram Jaccard join"]
-    ids = sorted(r.doc_id for r in before)
     text = {r.doc_id: r.text for r in before}
+    ids = sorted(text)
     root = brute_components([text[i] for i in ids])
     assert sorted(r.doc_id for r in after) == [i for k, i in enumerate(ids) if root[k][1] == k] and 71 not in {r.doc_id for r in after}
     before, after = seen["mixing sources"]
     times = Counter(r.doc_id for r in after)
     assert max(times.values()) <= 3 and set(times) <= {r.doc_id for r in before}
+    nothing = before_docs.limit(0)
+    assert [stage(spark, nothing, str(tmp_path)).count() for _, stage in corpus_pipeline.STAGES] == [0] * 5
     before, after = seen["BPE encoding"]
     assert len(before) == len(after)
     full = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in before}
