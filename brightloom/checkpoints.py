@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -10,9 +11,12 @@ from pyspark.sql import DataFrame
 def settle(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in ``spark.checkpoint.dir``: partition
     numbers and ranges stay what they were, also after the loss of an executor.
-    Only where no folder is set, as in tests, a temporary one is."""
+    Only where no folder is set and all threads are this machine's, as in tests,
+    a temporary one takes its place."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="brightloom-"))
     return df.checkpoint()

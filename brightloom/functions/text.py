@@ -20,10 +20,18 @@ from pyspark.sql import functions as F
 from ..errors import InvalidParameter
 
 #: Common English function words.
-STOP_WORDS = (
-    "a an and are as at be but by for from had has have he her his i if in into is it its me my no not of on or our she so "
-    "that the their them then there these they this to was we were what when which who will with you your"
-).split()
+STOP_WORDS = """
+a about above after again against all am an and any are aren't as at be because been before being
+below between both but by can't cannot could couldn't did didn't do does doesn't doing don't down during
+each few for from further had hadn't has hasn't have haven't having he he'd he'll he's her here here's hers
+herself him himself his how how's i i'd i'll i'm i've if in into is isn't it it's its itself let's me more
+most mustn't my myself no nor not of off on once only or other ought our ours ourselves out over own same
+shan't she she'd she'll she's should shouldn't so some such than that that's the their theirs them
+themselves then there there's these they they'd they'll they're they've this those through to too under
+until up very was wasn't we we'd we'll we're we've were weren't what what's when when's where where's which
+while who who's whom why why's with won't would wouldn't you you'd you'll you're you've your yours yourself
+yourselves
+""".split()
 
 
 def whitespace_tokens(text: Column) -> Column:
@@ -213,7 +221,7 @@ def sentiment_scores(text: str, lexicon: dict[str, float] = LEXICON) -> tuple[fl
                         v *= -0.74
         values.append(v)
     total = sum(values)
-    marks = min(text.count("!"), 4) * 0.292 if text.count("!") < 4 else 0.96
+    marks = min(0.293 * text.count("!"), 0.96)
     total += marks if total > 0 else -marks if total < 0 else 0
     pos, neg, neu = sum(v + 1 for v in values if v > 0), sum(-v + 1 for v in values if v < 0), sum(v == 0 for v in values)
     whole = (pos + neg + neu) or 1

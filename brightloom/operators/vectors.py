@@ -348,7 +348,7 @@ def _square_gap(a: Column, b: Column) -> Column:
 
 def inertia(df: DataFrame, vector: str, label: str) -> DataFrame:
     centers = _dispersion(df, vector, label)
-    return df.join(F.broadcast(centers.limit(100_000)), label).agg(F.sum(_square_gap(F.col(vector), F.col("center"))).alias("inertia"))
+    return df.join(centers, label).agg(F.sum(_square_gap(F.col(vector), F.col("center"))).alias("inertia"))
 
 
 def calinski_harabasz(df: DataFrame, vector: str, label: str) -> float:
@@ -364,7 +364,7 @@ def calinski_harabasz(df: DataFrame, vector: str, label: str) -> float:
 
 def davies_bouldin(df: DataFrame, vector: str, label: str) -> float:
     centers = _dispersion(df, vector, label)
-    spread = df.join(F.broadcast(centers.limit(100_000)), label).groupBy(label).agg(F.avg(F.sqrt(_square_gap(F.col(vector), F.col("center")))).alias("s"), F.first("center").alias("center")).toPandas()
+    spread = df.join(centers, label).groupBy(label).agg(F.avg(F.sqrt(_square_gap(F.col(vector), F.col("center")))).alias("s"), F.first("center").alias("center")).toPandas()
     c, s = np.stack(spread["center"]), spread["s"].to_numpy()
     d = np.sqrt(((c[:, None] - c) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)

@@ -85,9 +85,9 @@ def correlation_matrix(t: Tables):
 
 @query("""SELECT a.vec_id, round(list_dot_product(a.e, b.e), 6) AS dot, round(sqrt(list_dot_product(a.e, a.e)), 6) AS l2, round(list_sum(list_transform(a.e, lambda x: abs(x))), 6) AS l1,
  round(list_max(list_transform(a.e, lambda x: abs(x))), 6) AS linf, round(list_cosine_similarity(a.e, b.e), 6) AS cosine
- FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON b.vec_id = (a.vec_id + 1) % 500 WHERE a.vec_id < 500""")
+ FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON b.vec_id = (a.vec_id + 1) % (SELECT count(*) FROM embeddings)""")
 def vector_algebra(t: Tables):
-    a = t.embeddings.where("vec_id < 500").select("vec_id", F.col("embedding").alias("a"), ((F.col("vec_id") + 1) % 500).alias("o"))
+    a = t.embeddings.select("vec_id", F.col("embedding").alias("a"), ((F.col("vec_id") + 1) % t.embeddings.count()).alias("o"))
     rows = a.join(t.embeddings.select(F.col("vec_id").alias("o"), F.col("embedding").alias("b")), "o")
     x, y = F.col("a"), F.col("b")
     return rounded(rows.select("vec_id", st.dot(x, y).alias("dot"), st.norm(x).alias("l2"), st.norm(x, "l1").alias("l1"), st.norm(x, "inf").alias("linf"), st.cosine(x, y).alias("cosine")))
@@ -136,7 +136,7 @@ def ks_normal(t: Tables):
 
 @query()
 def shapiro_wilk(t: Tables):
-    return one_row(t, st.shapiro_wilk([r[0] for r in t.supplier.select("s_acctbal").orderBy("s_suppkey").limit(500).collect()]))
+    return one_row(t, st.shapiro_wilk([r[0] for r in t.supplier.select("s_acctbal").collect()]))
 
 
 LIVES = "SELECT (event_id % 50) AS d, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS e FROM events"
@@ -375,9 +375,10 @@ def tokens_whitespace(t: Tables):
     return t.documents.select("doc_id", tx.count_tokens(F.col("text")).alias("n"))
 
 
-@query("SELECT doc_id, array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:20], '|') AS w FROM documents")
+@query("SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]+'))::INTEGER AS n, md5(array_to_string(regexp_extract_all(text, '[A-Za-z]+'), '|')) AS w FROM documents")
 def tokens_regex(t: Tables):
-    return t.documents.select("doc_id", F.array_join(F.slice(tx.regex_tokens(F.col("text"), "[A-Za-z]+"), 1, 20), "|").alias("w"))
+    found = t.documents.select("doc_id", tx.regex_tokens(F.col("text"), "[A-Za-z]+").alias("w"))
+    return found.select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", "|")).alias("w"))
 
 
 @query("SELECT conv_id, turn, len(list_filter(string_split_regex(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''))::INTEGER AS n FROM conversations")
@@ -395,7 +396,7 @@ def normalize_text(t: Tables):
     return t.benchmark.select("item_id", tx.normalize(F.col("text")).alias("text"))
 
 
-@query("SELECT item_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '' AND lower(x) NOT IN (" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + ")), ' ') AS text FROM benchmark")
+@query("SELECT item_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '' AND lower(x) NOT IN (" + ", ".join("'" + w.replace("'", "''") + "'" for w in tx.STOP_WORDS) + ")), ' ') AS text FROM benchmark")
 def stop_words(t: Tables):
     return t.benchmark.select("item_id", F.array_join(tx.remove_stop_words(tx.whitespace_tokens(F.col("text"))), " ").alias("text"))
 
@@ -434,7 +435,7 @@ def detect_language(t: Tables):
 
 @query()
 def naive_bayes(t: Tables):
-    rows = t.documents.select("doc_id", "lang", F.slice(tx.whitespace_tokens(F.lower("text")), 1, 100).alias("w"))
+    rows = t.documents.select("doc_id", "lang", tx.whitespace_tokens(F.lower("text")).alias("w"))
     model = tx.naive_bayes(rows.where("doc_id % 2 = 0"), "lang", "w")
     return tx.naive_bayes_predict(rows.where("doc_id % 2 = 1"), "doc_id", "w", model, "lang")
 
@@ -501,14 +502,24 @@ def nearest_neighbours(t: Tables):
     return rounded(vec.neighbours(t.embeddings, "vec_id", "embedding", k=3), 5)
 
 
-@query()
+NEAR = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id)"""
+
+
+@query(f"""WITH RECURSIVE {NEAR}, n AS (SELECT a, b FROM p WHERE d <= 0.9), c AS (SELECT a FROM n GROUP BY a HAVING count(*) + 1 >= 4),
+ l AS (SELECT n.a, n.b FROM n JOIN c x ON n.a = x.a JOIN c y ON n.b = y.a), r(a, b) AS (SELECT a, a FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+ k AS (SELECT a, min(b) AS label FROM r GROUP BY a), o AS (SELECT n.a, min(k.label) AS label FROM n JOIN k ON n.b = k.a WHERE n.a NOT IN (SELECT a FROM c) GROUP BY n.a),
+ e AS (SELECT * FROM k UNION ALL SELECT * FROM o)
+ SELECT v.vec_id, coalesce(dense_rank() OVER (PARTITION BY e.a IS NULL ORDER BY e.label) * CASE WHEN e.a IS NULL THEN NULL ELSE 1 END - 1, -1)::INTEGER AS cluster FROM v LEFT JOIN e ON v.vec_id = e.a""")
 def dbscan(t: Tables):
-    return vec.dbscan(t.embeddings.where("vec_id < 500"), "vec_id", "embedding", eps=0.9, min_samples=4)
+    return vec.dbscan(t.embeddings, "vec_id", "embedding", eps=0.9, min_samples=4)
 
 
-@query()
+@query(f"""WITH {NEAR}, n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM p), k AS (SELECT a, b, d FROM n WHERE r <= 10), m AS (SELECT a, max(d) AS kd FROM k GROUP BY a),
+ y AS (SELECT k.a, 1 / greatest(avg(greatest(k.d, m.kd)), 1e-12) AS lrd FROM k JOIN m ON k.b = m.a GROUP BY k.a)
+ SELECT k.a AS vec_id, round(avg(o.lrd) / any_value(y.lrd), 5) AS lof FROM k JOIN y ON k.a = y.a JOIN y o ON k.b = o.a GROUP BY k.a""")
 def outlier_factor(t: Tables):
-    return vec.local_outlier_factor(t.embeddings.where("vec_id < 500"), "vec_id", "embedding", k=10)
+    return rounded(vec.local_outlier_factor(t.embeddings, "vec_id", "embedding", k=10), 5)
 
 
 @query()

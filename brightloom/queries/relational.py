@@ -88,10 +88,10 @@ def map_column(t: Tables):
     return frame.map_column(t.customer.select("c_custkey", "c_mktsegment"), "c_mktsegment", F.lower)
 
 
-@query(f"SELECT event_id, v, lag(v, 2) OVER (ORDER BY event_id) AS v_lag, lead(v, 1) OVER (ORDER BY event_id) AS v_lead FROM (SELECT * FROM ({GAPS}) WHERE user_id % 10 = 1)")
+@query(f"SELECT event_id, user_id, v, lag(v, 2) OVER w AS v_lag, lead(v, 1) OVER w AS v_lead FROM ({GAPS}) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def lag_lead(t: Tables):
-    rows = gaps(t).where("user_id % 10 = 1").select("event_id", "v")
-    return frame.with_lag(frame.with_lag(rows, "v", 2, "v_lag", "event_id"), "v", -1, "v_lead", "event_id")
+    rows = gaps(t).select("event_id", "user_id", "v")
+    return frame.with_lag(frame.with_lag(rows, "v", 2, "v_lag", "event_id", ["user_id"]), "v", -1, "v_lead", "event_id", ["user_id"])
 
 
 @query(f"SELECT event_id, v FROM ({GAPS}) WHERE v IS NOT NULL", "drop_nulls")
@@ -118,11 +118,15 @@ def gather(t: Tables):
 
 for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
     query(
-        f"SELECT coalesce(c.k, o.k) AS k, c.c_acctbal, o.o_totalprice FROM (SELECT c_custkey AS k, c_acctbal FROM customer WHERE c_custkey % 3 <> 0) c {_sql} (SELECT o_custkey AS k, o_totalprice FROM orders WHERE o_orderkey % 5 = 0) o ON c.k = o.k",
+        f"SELECT coalesce(c.k, o.k) AS k, c.c_acctbal, o.o_totalprice FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS k, c_acctbal FROM customer) c {_sql} (SELECT o_custkey AS k, o_totalprice FROM orders) o ON c.k = o.k",
         f"join_{_how}",
     )(
         lambda t, how=_how: relational.join(
-            t.customer.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), "c_acctbal"), t.orders.where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("k"), "o_totalprice"), "k", how
+            # a third of the customers get keys that no order has
+            t.customer.select(F.when(F.col("c_custkey") % 3 == 0, -F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("k"), "c_acctbal"),
+            t.orders.select(F.col("o_custkey").alias("k"), "o_totalprice"),
+            "k",
+            how,
         )
     )
 
