@@ -354,14 +354,18 @@ def naive_bayes_predict(df: DataFrame, key: str, tokens: str, model: DataFrame,
     return every.groupBy(key).agg(F.min(F.struct((-score).alias("minus"), F.col(label).alias("label"))).alias("m")).select(key, F.col("m.label").alias(label))
 
 
+#: Function words of languages.
+PROFILES = {
+    "de": "der die das und ist nicht ein eine zu mit von auf".split(),
+    "en": "the and of to in is that it for was with".split(),
+    "es": "el los las que una por con para del es en y".split(),
+    "fr": "le la les et des une est dans que pour pas du".split(),
+}
+
+
 def detect_language(text: Column, profiles: dict[str, Sequence[str]] | None = None) -> Column:
     """The language with most function words in the text; ties by name."""
-    profiles = profiles or {
-        "de": "der die das und ist nicht ein eine zu mit von auf".split(),
-        "en": "the and of to in is that it for was with".split(),
-        "es": "el los las que una por con para del es en y".split(),
-        "fr": "le la les et des une est dans que pour pas du".split(),
-    }
+    profiles = profiles or PROFILES
     tokens = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
     scored = [F.struct(F.size(_hits(tokens, w)).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("lang")) for k, (name, w) in enumerate(sorted(profiles.items()))]
     best = F.array_max(F.array(*scored))

@@ -428,12 +428,21 @@ def hashing_vectors(t: Tables):
     return t.benchmark.select("item_id", tx.hashing_vector(tx.whitespace_tokens(F.col("text")), 64).alias("v"), tx.local_embedding(F.col("text"), 32).alias("e"))
 
 
-@query()
+_hits = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in words)}))) AS {lang}" for lang, words in sorted(tx.PROFILES.items()))
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}]+') AS w FROM documents), n AS (SELECT doc_id, lang, {_hits} FROM d)
+ SELECT doc_id, lang, CASE WHEN greatest(de, en, es, fr) = 0 THEN NULL WHEN de >= greatest(en, es, fr) THEN 'de' WHEN en >= greatest(es, fr) THEN 'en' WHEN es >= fr THEN 'es' ELSE 'fr' END AS found FROM n""")
 def detect_language(t: Tables):
     return t.documents.select("doc_id", "lang", tx.detect_language(F.col("text")).alias("found"))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, lang, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM documents),
+ k AS (SELECT lang, ln(count(*) / (SELECT count(*)::DOUBLE FROM documents WHERE doc_id % 2 = 0)) AS prior FROM documents WHERE doc_id % 2 = 0 GROUP BY 1),
+ c AS (SELECT w, lang, count(*) AS n FROM d WHERE doc_id % 2 = 0 GROUP BY ALL), v AS (SELECT DISTINCT w FROM c), s AS (SELECT lang, sum(n) AS total FROM c GROUP BY 1),
+ g AS (SELECT v.w, s.lang, ln((coalesce(c.n, 0) + 1) / (s.total + (SELECT count(*) FROM v))::DOUBLE) AS weight FROM v CROSS JOIN s LEFT JOIN c ON c.w = v.w AND c.lang = s.lang),
+ p AS (SELECT doc_id, g.lang, sum(weight) AS score FROM d JOIN g ON g.w = d.w WHERE doc_id % 2 = 1 GROUP BY ALL)
+ SELECT o.doc_id, arg_max(k.lang, k.prior + coalesce(p.score, 0)) AS lang FROM documents o CROSS JOIN k LEFT JOIN p ON p.doc_id = o.doc_id AND p.lang = k.lang WHERE o.doc_id % 2 = 1 GROUP BY 1""")
 def naive_bayes(t: Tables):
     rows = t.documents.select("doc_id", "lang", tx.whitespace_tokens(F.lower("text")).alias("w"))
     model = tx.naive_bayes(rows.where("doc_id % 2 = 0"), "lang", "w")
