@@ -12,12 +12,16 @@ to 0..1 by a logistic curve fitted on the same labelled documents.
 
 Labels are read of at most ``MAX_TOXIC`` + ``MAX_CLEAN`` documents (the first by
 a hash of their ids) whose crc32(doc_id) mod 5 isn't 0; every document is scored,
-over its whole text. lang, source, labels and ids are no inputs of a score.
+over its whole text. lang, source, labels and ids are no inputs of a score. The
+lexicon and the exceptions have no limit of their own; that of the labelled
+documents bounds them.
 
 Defined cases: null, empty and blank texts have no matches and get the score
 of a text without any; without labels of both kinds every score is 0; repeated
-rows are scored alike; an id labelled both ways counts as toxic; other columns
-are passed through.
+rows are scored alike; very long texts are matched in one pass like any others;
+an id labelled both ways counts as toxic; an empty table gives an empty result;
+other columns are passed through, but for one with the name of the result, which
+is replaced.
 """
 
 from __future__ import annotations
@@ -36,8 +40,6 @@ from .common import materialize
 from .hashing import raw_texts
 
 MAX_TOXIC, MAX_CLEAN = 8_000, 16_000
-MAX_ENTRIES = 4096
-MAX_EXCEPTIONS = 4096
 PREFIXES = (4, 5, 6)
 
 #: Characters that imitate others.
@@ -180,10 +182,10 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) ->
         tested = materialize(_counted(some, features).where("toxic + clean >= 3"))
         least_g = 2 * log(max(tested.count(), 2))  # about one entry by chance
         found = tested.where("toxic >= 3").select("item", F.log(p / q).alias("weight"), g.alias("g")).where((F.col("weight") > 1) & (F.col("g") >= least_g))
-        entries = {r["item"]: r["weight"] for r in found.orderBy(F.desc("g"), "item").limit(MAX_ENTRIES).collect()}
+        entries = {r["item"]: r["weight"] for r in found.orderBy(F.desc("g"), "item").collect()}
         least = max(3, clean // 2000)
         known_clean = _counted(some, around(entries)).where((F.col("toxic") == 0) & (F.col("clean") >= least))
-        learned = [r["item"] for r in known_clean.orderBy(F.desc("clean"), "item").limit(MAX_EXCEPTIONS).collect()]
+        learned = [r["item"] for r in known_clean.orderBy(F.desc("clean"), "item").collect()]
         model = Model(entries, [*exceptions, *learned])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

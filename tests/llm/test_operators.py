@@ -250,6 +250,33 @@ def test_toxicity(spark):
     nothing = toxicity.fit(df, marks.limit(0))
     assert {r.score < 0.5 for r in toxicity.score(df, nothing).collect()} == {True}
     assert toxicity.score(df.limit(0), model).count() == 0
+    again = [r.score for r in toxicity.score(df.where("doc_id = 1002").union(df.where("doc_id = 1002")), model).collect()]
+    assert len(again) == 2 and again[0] == again[1] == got[1002]
+
+
+def brute_toxicity(text, entries, exceptions):
+    """At each word the longest entry, left to right; words in an exception don't count."""
+    words, total, k = toxicity.fold(text), 0.0, 0
+    while k < len(words):
+        fits = [(len(e), w, 1) for e, w in entries.items() if (f" {words[k]} " == e if e.endswith(" ") else f" {words[k]}".startswith(e))]
+        fits += [(len(e) + 3, 0.0, len(e.split())) for e in exceptions if words[k : k + len(e.split())] == e.split()]
+        if fits:
+            _, weight, step = max(fits)
+            total += weight
+            k += step
+        else:
+            k += 1
+    return total / np.log(8 + len(words)) if words else 0.0
+
+
+def test_toxicity_equals_brute_force():
+    rng = random.Random(12)
+    entries, exceptions = {" ab ": 2.0, " abba": 1.5, " abbad": 3.0, " cad ": 0.5, " dab ": 1.25}, ["no ab", "cad ab", "dab cad"]
+    model = toxicity.Model(entries, exceptions, 1.0, 0.0)
+    pool = ["ab", "abba", "abbado", "abbad", "cad", "dab", "no", "cab", "4b", "c@d", "\u0430b", "x", "abc"]
+    cases = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + ["ab " * 50_000, "", "...", "ab,cad;dab"]
+    for text in cases:
+        assert model.raw(text) == pytest.approx(brute_toxicity(text, entries, exceptions)), text
 
 
 # ---- 5 ----------------------------------------------------------------------------------
