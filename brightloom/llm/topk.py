@@ -2,16 +2,17 @@
 
 Vectors are quantised to integers, ``floor(scale * x)`` of each component as a
 double, so inner products are exact in 64-bit floats (below 2**53). Candidates
-and queries are packed into tiles of bounded numbers of rows; each candidate
-tile meets each query block through an equi-join on the block's number, one
-matrix product scores the pair, each query keeps the tile's k best by partial
-selection, and the lists of a query are merged in a tree: groups of
-tiles first, then what they left.
+and queries are packed into tiles of bounded numbers of rows, of 32-bit integers
+where these hold them. The query blocks, which are the small side, are sent to
+the tiles by an equi-join on the tile's number; one matrix product scores a
+pair, each query keeps the tile's k best by partial selection, and the lists of
+a query are merged in a tree: groups of tiles first, then what they left. Work
+and bytes sent grow with queries times tiles, which is the task itself.
 
 Ties go to the smaller id. Defined cases: vectors that are null, or hold null
 or non-finite components, take no part; vectors of different lengths aren't
 compared; rows with a query's own id are its own and no candidates; several
-query rows of one id are answered each; null ids are candidates that come
+query rows of one id are answered each, and repeated candidates each count; null ids are candidates that come
 last among ties and never queries; empty tables give an empty result; fewer
 than k candidates give all; extra columns take no part. |x| must be below
 2**53 / scale, which finite float32 embeddings in practice are.
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_salted, materialize
 
 TILE, BLOCK, FAN = 4096, 1024, 16
 NULL_ID = np.iinfo(np.int64).max
@@ -41,7 +42,8 @@ def _packed(rows: DataFrame, most: int) -> DataFrame:
         held: dict[int, tuple[list, list]] = {}
 
         def tile(dim: int, ids: list, parts: list) -> pa.RecordBatch:
-            data = np.concatenate(parts).astype("<f8")
+            data = np.concatenate(parts)
+            data = data.astype("<i4" if not data.size or np.abs(data).max() < 2**31 else "<f8")
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((dim, pa.int32()), (len(data), pa.int32()), (np.concatenate(ids).astype("<i8").tobytes(), pa.binary()), (data.tobytes(), pa.binary()))], names=["dim", "n", "ids", "data"])
 
         for whole in batches:
@@ -96,18 +98,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, v
     rows = materialize(rows)
     blocks = _packed(rows.where("q and id is not null").select("id", "v"), BLOCK).withColumn("block", F.monotonically_increasing_id())
     blocks = materialize(blocks)
-    # numbers of the blocks of each length: a few integers per thousand queries
-    known = blocks.groupBy("dim").agg(F.collect_list("block").alias("known"))
-    tiles = _packed(rows.select("id", "v"), TILE).join(known, "dim").withColumn("block", F.explode("known"))
-    tiles = tiles.withColumn("tile", F.monotonically_increasing_id()).drop("known")
-    both = tiles.join(blocks.select("block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "block")
+    tiles = materialize(_packed(rows.select("id", "v"), TILE).withColumn("tile", F.monotonically_increasing_id()))
+    sent = join_salted(blocks.select("dim", "block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), tiles.select("dim", "tile"), ["dim"], "block")
+    both = sent.drop("dim").join(tiles.drop("n"), "tile")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 block, dim, ids, data, q_ids, q_data, tile = (c[r].as_py() for c in batch.columns)
                 ids, q_ids = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
-                shape = lambda x, n: np.frombuffer(x, "<f8").reshape(n, dim)
+                shape = lambda x, n: np.frombuffer(x, "<i4" if len(x) == 4 * n * dim else "<f8").reshape(n, dim).astype(np.float64)
                 order = np.argsort(ids, kind="stable")
                 ids = ids[order]
                 scores = shape(q_data, len(q_ids)) @ shape(data, len(ids))[order].T

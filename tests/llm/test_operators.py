@@ -297,6 +297,11 @@ def test_topk_equals_brute_force(spark, monkeypatch):
         scored = sorted((-int(good[q] @ v), 10**9 if i is None else i) for i, v in good.items() if i != q)[:5]
         assert [got[q][k + 1] for k in range(5)] == [(None if i == 10**9 else i, -s) for s, i in scored]
     assert topk.search(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+    # repeated rows, and components beyond 32 bits
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [3.0e7, 0.0]), (1, [3.0e7, 0.0]), (2, [-1.0, 0.0])]
+    twice = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    want = [(1, 1, 256 * 256 * 30_000_000), (2, 1, 256 * 256 * 30_000_000), (3, 2, -256 * 256)]
+    assert sorted((r["rank"], r.vec_id, r.score) for r in twice) == sorted(2 * want)
 
 
 # ---- 6 ----------------------------------------------------------------------------------
