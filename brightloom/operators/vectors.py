@@ -1,16 +1,18 @@
 """Vector store, exact search, clustering, decomposition, outliers.
 
-Pairwise operators that are quadratic by nature take a bounded reference side
-(checked, never assumed) that goes to every task, and stream the other side
-past it in blocks of matrix products.
+Pairwise operators that are quadratic by nature cut the rows into tiles of
+bounded size and compare pairs of tiles by matrix products, so that any number
+of rows is spread over tasks and none is held by the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,9 +20,9 @@ from pyspark.sql import functions as F
 from ..checkpoints import settle
 from ..errors import EmptyInput, InvalidParameter
 from ..functions import statistics as st
-from .frame import need
+from .frame import need, with_row_id
 
-MAX_REFERENCE = 50_000
+TILE = 2048
 
 
 # ---- vector store ----------------------------------------------------------------
@@ -190,40 +192,78 @@ def randomized_svd(x: np.ndarray, rank: int, oversample: int = 10, power: int =
 # ---- pairs within reach -------------------------------------------------------------
 
 
-def _reference(df: DataFrame, *columns: str) -> pd.DataFrame:
-    ref = df.select(*columns).limit(MAX_REFERENCE + 1).toPandas()
-    if len(ref) > MAX_REFERENCE:
-        raise InvalidParameter(f"more than {MAX_REFERENCE} rows; use an approximate method or sample first")
-    return ref
+def _tiles(df: DataFrame, vector: str, *others: str) -> DataFrame:
+    """(tile, others as arrays, data): rows in tiles of at most ``TILE``,
+    numbered from 0; ``data`` is their matrix of doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, TILE):
+                batch = whole.slice(at, TILE)
+                ends = pa.array([0, batch.num_rows], pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays([c])) for c in batch.columns[1:]]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([_matrix(batch.column(0).to_pandas()).tobytes()], pa.binary())], names=[*others, "data"])
+
+    kinds = [f"`{c}` array<{df.schema[c].dataType.simpleString()}>" for c in others]
+    rows = df.where(F.col(vector).isNotNull()).select(vector, *others).mapInArrow(run, ", ".join([*kinds, "data binary"]))
+    return with_row_id(rows.withColumn("_k", F.monotonically_increasing_id()), "_k", "tile").drop("_k")
+
+
+def _tile_pairs(tiles: DataFrame, column: str) -> DataFrame:
+    """(tile, own, data, other_tile, other, other_data): each tile with every
+    tile, by an equi-join on the tile's number. All pairs are the task itself;
+    a task holds one pair at a time, whatever the number of rows."""
+    sent = tiles.select("tile", F.col(column).alias("own"), "data", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles.count() - 1))).alias("other_tile"))
+    return sent.join(tiles.select(F.col("tile").alias("other_tile"), F.col(column).alias("other"), F.col("data").alias("other_data")), "other_tile").select("tile", "own", "data", "other_tile", "other", "other_data")
+
+
+def _squares(data: bytes, n: int, other_data: bytes, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Both matrices, the squared distances by one matrix product, and a bound
+    of their rounding."""
+    y, x = np.frombuffer(data).reshape(n, -1), np.frombuffer(other_data).reshape(m, -1)
+    sy, sx = (y * y).sum(1), (x * x).sum(1)
+    return y, x, np.maximum(sy[:, None] - 2 * y @ x.T + sx, 0), 1e-12 * float(sy.max() + sx.max())
 
 
 def neighbours(df: DataFrame, key: str, vector: str, k: int | None = None, radius: float | None = None) -> DataFrame:
     """(key, other, distance): the k nearest others, or all within ``radius``
-    (itself excluded). Ties to smaller keys."""
-    ref = _reference(df, key, vector)
-    ref = ref.sort_values(key, kind="stable").reset_index(drop=True)
-    ids, x = ref[key].to_numpy(), _matrix(ref[vector])
-    sq = (x * x).sum(1)
+    (rows of its own key excluded). Ties to smaller keys, null keys last; null
+    vectors take no part. A pair of tiles leaves each row's k best, of which
+    the best k of all tiles are kept."""
     kind = df.schema[key].dataType.simpleString()
-
-    def run(frames):
-        for pdf in frames:
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                y = _matrix(part[vector])
-                d = np.sqrt(np.maximum((y * y).sum(1)[:, None] - 2 * y @ x.T + sq, 0))
-                d[part[key].to_numpy()[:, None] == ids] = np.inf
+    names = ["tile", "at", key, "other", "distance"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                own, others = batch.column(1)[r].values, batch.column(4)[r].values
+                y, x, d2, slack = _squares(batch.column(2)[r].as_py(), len(own), batch.column(5)[r].as_py(), len(others))
+                order = pc.array_sort_indices(others).to_numpy()
+                others, x, d2 = others.take(pa.array(order)), x[order], d2[:, order]
+                code = {v: i for i, v in enumerate(dict.fromkeys([*own.to_pylist(), *others.to_pylist()]))}
+                mine, theirs = (np.array([code[v] for v in c.to_pylist()]) for c in (own, others))
+                d2[mine[:, None] == theirs] = np.inf
+                if k is not None:
+                    limit = np.partition(d2, k - 1, axis=1)[:, k - 1 : k] if k < len(others) else np.full((len(own), 1), np.inf)
+                else:
+                    limit = np.full((len(own), 1), float(radius) ** 2)
+                row, col = np.nonzero((d2 <= limit + slack) & np.isfinite(d2))
+                d = np.sqrt(((y[row] - x[col]) ** 2).sum(1))
                 if k is not None:
-                    near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    row = np.repeat(np.arange(len(part)), near.shape[1])
-                    col = near.ravel()
-                    ok = np.isfinite(d[row, col])
-                    row, col = row[ok], col[ok]
+                    by = np.lexsort((col, d, row))
+                    row, col, d = row[by], col[by], d[by]
+                    ok = np.arange(len(row)) - np.searchsorted(row, row) < k
                 else:
-                    row, col = np.nonzero(d <= radius)
-                yield pd.DataFrame({key: part[key].to_numpy()[row], "other": ids[col], "distance": d[row, col]})
+                    ok = d <= radius
+                row, col, d = row[ok], col[ok], d[ok]
+                tile = np.full(len(row), batch.column(0)[r].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(row, pa.int32()), own.take(pa.array(row)), others.take(pa.array(col)), pa.array(d)], names=names)
 
-    return df.select(key, vector).mapInPandas(run, f"`{key}` {kind}, other {kind}, distance double")
+    pairs = _tile_pairs(_tiles(df, vector, key), key).mapInArrow(run, f"tile long, at int, `{key}` {kind}, other {kind}, distance double")
+    if k is not None:
+        best = W.partitionBy("tile", "at").orderBy("distance", F.asc_nulls_last("other"))
+        pairs = pairs.withColumn("_nth", F.row_number().over(best)).where(F.col("_nth") <= k)
+    return pairs.select(key, "other", "distance")
 
 
 def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
@@ -311,28 +351,39 @@ def outlier_labels(df: DataFrame, score: str, contamination: float = 0.1, name:
 
 
 def silhouette(df: DataFrame, key: str, vector: str, label: str) -> float:
-    """Mean silhouette by Euclidean distance; singleton clusters don't count."""
-    ref = _reference(df, vector, label)
-    x, lab = _matrix(ref[vector]), ref[label].to_numpy()
-    names, code = np.unique(lab, return_inverse=True)
-    size, sq = np.bincount(code), (x * x).sum(1)
-
-    def run(frames):
-        for pdf in frames:
-            for at in range(0, len(pdf), 512):
-                y, own = _matrix(pdf[vector].iloc[at : at + 512]), np.searchsorted(names, pdf[label].iloc[at : at + 512].to_numpy())
-                d = np.sqrt(np.maximum((y * y).sum(1)[:, None] - 2 * y @ x.T + sq, 0))
-                sums = np.stack([d[:, code == c].sum(1) for c in range(len(names))], 1)
-                i = np.arange(len(y))
-                a = sums[i, own] / np.maximum(size[own] - 1, 1)
-                means = sums / size
-                means[i, own] = np.inf
-                b = means.min(1)
-                s = np.where(np.maximum(a, b) > 0, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-                ok = size[own] > 1
-                yield pd.DataFrame({"s": s[ok]})
-
-    return df.select(vector, label).mapInPandas(run, "s double").agg(F.avg("s")).first()[0]
+    """Mean silhouette by Euclidean distance; singleton clusters don't count,
+    rows without a label or a vector take no part. Rows are dealt by label, so
+    a tile holds few of them and a pair of tiles leaves few sums for each row."""
+    rows = df.where(F.col(label).isNotNull() & F.col(vector).isNotNull())
+    kind = df.schema[label].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                own, others = batch.column(1)[r].values, batch.column(4)[r].values
+                tile, other_tile = batch.column(0)[r].as_py(), batch.column(3)[r].as_py()
+                d = np.sqrt(_squares(batch.column(2)[r].as_py(), len(own), batch.column(5)[r].as_py(), len(others))[2])
+                if tile == other_tile:
+                    np.fill_diagonal(d, 0.0)
+                said = others.dictionary_encode()
+                code = said.indices.to_numpy()
+                for c in range(len(said.dictionary)):
+                    n = len(own)
+                    named = said.dictionary.take(pa.array(np.full(n, c)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, tile, np.int64)), pa.array(np.arange(n), pa.int32()), own, named, pa.array(d[:, code == c].sum(1))], names=["tile", "at", "own", "other", "s"])
+
+    dealt = rows.repartitionByRange(label, key).sortWithinPartitions(label, key)
+    sums = _tile_pairs(_tiles(dealt, vector, label), label).mapInArrow(run, f"tile long, at int, own {kind}, other {kind}, s double")
+    sizes = rows.groupBy(F.col(label).alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    sums = sums.groupBy("tile", "at", "own", "other").agg(F.sum("s").alias("s")).join(sizes, "other")
+    same = F.col("own") == F.col("other")
+    each = sums.groupBy("tile", "at").agg(
+        F.max(F.when(same, F.col("n"))).alias("n"),
+        F.max(F.when(same & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"),
+        F.coalesce(F.min(F.when(~same, F.col("s") / F.col("n"))), F.lit(float("inf"))).alias("b"),
+    )
+    most = F.greatest("a", "b")
+    return each.where("n > 1").agg(F.avg(F.when(most > 0, (F.col("b") - F.col("a")) / most).otherwise(0.0))).first()[0]
 
 
 def _dispersion(df: DataFrame, vector: str, label: str) -> DataFrame:

@@ -187,3 +187,23 @@ def test_models(spark, tmp_path):
     importances = ml.permutation_importance(rows, ["f0", "f3"], "target", m.transform)
     assert importances["f3"] > importances["f0"] > 0
     assert ml.explain_text(lambda t: float("good" in t), "a good day")[0] == ("good", 1.0)
+
+
+@pytest.mark.parametrize("tile", [2048, 7])
+def test_pairs_of_tiles_against_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(vec, "TILE", tile)
+    x = np.random.default_rng(0).integers(0, 4, (60, 3)).astype(float)
+    df = spark.createDataFrame([(i, r.tolist(), i % 3) for i, r in enumerate(x)] + [(99, None, 0)], "id long, v array<double>, label int")
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    found = {}
+    for i, j, gap in vec.neighbours(df, "id", "v", k=4).collect():
+        found.setdefault(i, []).append((gap, j))
+    assert {i: sorted(v) for i, v in found.items()} == {i: sorted((d[i, j], j) for j in range(60) if j != i)[:4] for i in range(60)}
+    assert {(r[0], r[1]) for r in vec.neighbours(df, "id", "v", radius=1.0).collect()} == {(i, j) for i in range(60) for j in range(60) if i != j and d[i, j] <= 1}
+    label, scores = np.arange(60) % 3, []
+    for i in range(60):
+        means = [d[i, label == c].sum() / ((label == c).sum() - (c == label[i])) for c in range(3)]
+        a, b = means[label[i]], min(m for c, m in enumerate(means) if c != label[i])
+        scores.append((b - a) / max(a, b))
+    assert vec.silhouette(df, "id", "v", "label") == pytest.approx(np.mean(scores))
+    assert vec.neighbours(df.limit(0), "id", "v", k=4).count() == 0
