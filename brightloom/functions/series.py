@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
+from ..operators.frame import over_rows
 
 
 def check(y: Sequence[float], least: int = 1) -> np.ndarray:
@@ -68,10 +69,9 @@ def acf(y: Sequence[float], lags: int) -> np.ndarray:
 
 def acf_frame(df: DataFrame, value: str, order_by: str, lags: int) -> DataFrame:
     """(lag, acf) of one series: one pass with lagged columns."""
-    over = W.partitionBy().orderBy(order_by)
     mean = df.agg(F.avg(value)).first()[0]
     rows = df.select(order_by, (F.col(value) - F.lit(mean)).alias("d"))
-    rows = rows.withColumns({f"l{k}": F.lag("d", k).over(over) for k in range(1, lags + 1)}).withColumn("l0", F.col("d"))
+    rows = over_rows(rows, order_by, (), lambda over, _: {f"l{k}": F.lag("d", k).over(over) for k in range(1, lags + 1)}, lags).withColumn("l0", F.col("d"))
     sums = rows.agg(*[F.sum(F.col("d") * F.col(f"l{k}")).alias(f"s{k}") for k in range(lags + 1)])
     return sums.select(F.posexplode(F.array(*[F.col(f"s{k}") / F.col("s0") for k in range(lags + 1)])).alias("lag", "acf"))
 

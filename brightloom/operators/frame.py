@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +19,7 @@ from ..checkpoints import settle
 from ..errors import CastFailed, ColumnNotFound, DuplicateColumn, InvalidParameter, PartialCastFailure
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+CHUNK = 65_536
 
 
 def need(df: DataFrame, *names: str) -> None:
@@ -107,8 +109,34 @@ def tail(df: DataFrame, n: int, order_by: str | Sequence[str]) -> DataFrame:
 def with_lag(df: DataFrame, column: str, by: int, name: str, order_by: str | Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
     """by > 0 looks back, by < 0 ahead, 0 copies."""
     need(df, column)
-    window = W.partitionBy(*partition_by).orderBy(*ordered(order_by))
-    return df.withColumn(name, F.lag(column, by).over(window) if by > 0 else F.lead(column, -by).over(window) if by else F.col(column))
+    if not by:
+        return df.withColumn(name, F.col(column))
+    value = F.lag(column, by) if by > 0 else F.lead(column, -by)
+    return over_rows(df, order_by, partition_by, lambda over, _: {name: value.over(over)}, max(by, 0), max(-by, 0))
+
+
+def over_rows(
+    df: DataFrame,
+    order_by: str | Sequence[str],
+    partition_by: Sequence[str],
+    made: Callable[[WindowSpec, Column], dict[str, Column]],
+    before: int,
+    after: int = 0,
+) -> DataFrame:
+    """``df`` with the columns that ``made`` gives for a window and the row's
+    number from 1; they may look at ``before`` rows back and ``after`` ahead.
+    Without ``partition_by`` the one series is cut into chunks of numbered rows,
+    and the rows at a chunk's ends are sent to the next one too, so that no
+    task sorts the whole series."""
+    if partition_by:
+        over = W.partitionBy(*partition_by).orderBy(*ordered(order_by))
+        return df.withColumns(made(over, F.row_number().over(over)))
+    size = max(CHUNK, before, after)
+    at, row = F.floor(F.col("__row") / size), F.col("__row") % size
+    chunks = F.array_compact(F.array(at, F.when(row >= size - before, at + 1), F.when((row < after) & (at > 0), at - 1)))
+    rows = with_row_id(df, order_by, "__row").withColumn("__own", at).withColumn("__chunk", F.explode(chunks))
+    rows = rows.withColumns(made(W.partitionBy("__chunk").orderBy("__row"), F.col("__row") + 1))
+    return rows.where("__own = __chunk").drop("__row", "__own", "__chunk")
 
 
 def with_row_id(df: DataFrame, order_by: str | Sequence[str], name: str = "row_id", partitions: int | None = None) -> DataFrame:
@@ -129,9 +157,9 @@ def with_row_id(df: DataFrame, order_by: str | Sequence[str], name: str = "row_i
 
 
 def row_at(df: DataFrame, index: int, order_by: str | Sequence[str]) -> dict | None:
-    """The row at a position from 0, as a dict (top-n, so no full sort)."""
-    rows = df.orderBy(*ordered(order_by)).limit(index + 1).tail(index + 1)
-    return rows[index].asDict() if len(rows) > index else None
+    """The row at a position from 0, as a dict; only that row leaves the executors."""
+    row = with_row_id(df, order_by, "__row").where(F.col("__row") == index).drop("__row").first()
+    return row.asDict() if row else None
 
 
 def gather(df: DataFrame, positions: Sequence[int], order_by: str | Sequence[str]) -> DataFrame:

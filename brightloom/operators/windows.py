@@ -10,11 +10,8 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
-from .frame import need, ordered
-
-
-def _window(order_by: str | Sequence[str], partition_by: Sequence[str]) -> WindowSpec:
-    return W.partitionBy(*partition_by).orderBy(*ordered(order_by))
+from ..functions.statistics import prefix_sums, ranked
+from .frame import need, ordered, over_rows, with_row_id
 
 
 def sample_std(value: Column, over: WindowSpec) -> Column:
@@ -27,38 +24,50 @@ def rolling_mean(df: DataFrame, column: str, window: int, order_by: str | Sequen
     need(df, column)
     if window < 1:
         raise InvalidParameter("window must be positive")
-    over = _window(order_by, partition_by).rowsBetween(1 - window, 0)
-    return df.withColumn(f"{column}_rolling_mean_{window}", F.avg(column).over(over))
+    return over_rows(df, order_by, partition_by, lambda over, _: {f"{column}_rolling_mean_{window}": F.avg(column).over(over.rowsBetween(1 - window, 0))}, window - 1)
 
 
 def rolling_std(df: DataFrame, column: str, window: int, order_by: str | Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
     need(df, column)
     if window < 1:
         raise InvalidParameter("window must be positive")
-    over = _window(order_by, partition_by).rowsBetween(1 - window, 0)
-    return df.withColumn(f"{column}_rolling_std_{window}", sample_std(F.col(column), over))
+    return over_rows(df, order_by, partition_by, lambda over, _: {f"{column}_rolling_std_{window}": sample_std(F.col(column), over.rowsBetween(1 - window, 0))}, window - 1)
 
 
 def expanding(df: DataFrame, column: str, order_by: str | Sequence[str], partition_by: Sequence[str] = (), min_periods: int = 1) -> DataFrame:
     """Cumulative mean and standard deviation; NaN before ``min_periods``."""
     need(df, column)
-    over = _window(order_by, partition_by).rowsBetween(W.unboundedPreceding, 0)
+    if not partition_by:
+        return _expanding_series(df, column, order_by, min_periods)
+    over = W.partitionBy(*partition_by).orderBy(*ordered(order_by)).rowsBetween(W.unboundedPreceding, 0)
     enough = F.count(column).over(over) >= min_periods
     made = {"mean": F.avg(column).over(over), "std": sample_std(F.col(column), over)}
     return df.withColumns({f"{column}_expanding_{k}": F.when(enough, v).otherwise(F.lit(float("nan"))) for k, v in made.items()})
 
 
+def _expanding_series(df: DataFrame, column: str, order_by: str | Sequence[str], min_periods: int) -> DataFrame:
+    """Of one series: cumulative sums of the values less their mean, which
+    keeps the squares small, from ranges of rows and the ranges' totals."""
+    mean = df.agg(F.avg(column)).first()[0] or 0.0
+    gap = F.coalesce(F.col(column) - F.lit(float(mean)), F.lit(0.0))
+    rows = prefix_sums(with_row_id(df, order_by, "__row"), "__row", {"__n": F.col(column).isNotNull().cast("long"), "__s": gap, "__q": gap * gap})
+    n, s, q = F.col("__n"), F.col("__s"), F.col("__q")
+    made = {
+        "mean": F.when(n > 0, s / n + F.lit(float(mean))),
+        "std": F.when(n == 1, F.lit(0.0)).when(n > 1, F.sqrt(F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1))),
+    }
+    return rows.withColumns({f"{column}_expanding_{k}": F.when(n >= min_periods, v).otherwise(F.lit(float("nan"))) for k, v in made.items()}).drop("__row", "__n", "__s", "__q")
+
+
 def full_moving_average(df: DataFrame, column: str, period: int, order_by: str | Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
     """Moving average of full windows only: rows before the first one go."""
-    over = _window(order_by, partition_by)
-    made = df.withColumn("moving_average", F.avg(column).over(over.rowsBetween(1 - period, 0))).withColumn("_n", F.row_number().over(over))
+    made = over_rows(df, order_by, partition_by, lambda over, n: {"moving_average": F.avg(column).over(over.rowsBetween(1 - period, 0)), "_n": n}, period - 1)
     return made.where(F.col("_n") >= period).drop("_n")
 
 
 def lag_features(df: DataFrame, column: str, lags: Sequence[int], order_by: str | Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
     """``lag_k`` columns; rows without all of them go."""
-    over = _window(order_by, partition_by)
-    made = df.withColumns({f"lag_{k}": F.lag(column, k).over(over) for k in lags} | {"_n": F.row_number().over(over)})
+    made = over_rows(df, order_by, partition_by, lambda over, n: {f"lag_{k}": F.lag(column, k).over(over) for k in lags} | {"_n": n}, max(lags))
     return made.where(F.col("_n") > max(lags)).drop("_n")
 
 
@@ -83,7 +92,13 @@ def ewma(df: DataFrame, column: str, alpha: float, order_by: str | Sequence[str]
 
 
 def average_rank(df: DataFrame, column: str, name: str = "rank", partition_by: Sequence[str] = ()) -> DataFrame:
-    """1-based rank, ties sharing their mean."""
+    """1-based rank, ties sharing their mean; nulls come first."""
+    if not partition_by:
+        nulls = df.where(F.col(column).isNull()).count()
+        ranks = ranked(df, column, "__rank").withColumnRenamed(column, "__value")
+        joined = df.join(ranks, F.col(column) == F.col("__value"), "left").drop("__value")
+        rank = F.when(F.col(column).isNull(), F.lit((nulls + 1) / 2)).otherwise(F.col("__rank") + nulls)
+        return joined.withColumn(name, rank).drop("__rank")
     over = W.partitionBy(*partition_by).orderBy(F.col(column))
     peers = F.count(F.lit(1)).over(W.partitionBy(*partition_by, column))
     return df.withColumn(name, F.rank().over(over) + (peers - 1) / 2)

@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,33 @@ def test_commands(spark):
 def test_lazy_chain(spark):
     df = spark.createDataFrame([("Alice", 75.0, 25), ("Bob", 92.0, 30), ("Charlie", 88.0, 35)], "name string, score double, age int")
     assert [r.name for r in lazy.lazy(df).filter(F.col("score") > 80).filter("age < 32").select("name").collect()] == ["Bob"]
+
+
+@pytest.mark.parametrize("chunk", [65_536, 5])
+def test_one_series_in_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(frame, "CHUNK", chunk)
+    x = pd.Series([float((7 * i) % 11) if i % 6 else None for i in range(40)])
+    df = spark.createDataFrame([(i, None if pd.isna(v) else v) for i, v in enumerate(x)], "t long, x double").repartition(3)
+
+    def got(made, name):
+        return [r[0] for r in made.orderBy("t").select(f"`{name}`").collect()]
+
+    def same(values, series):
+        assert [None if v is None else pytest.approx(v) for v in values] == [None if pd.isna(v) else v for v in series]
+
+    same(got(windows.rolling_mean(df, "x", 4, "t"), "x_rolling_mean_4"), x.rolling(4, min_periods=1).mean())
+    same(got(windows.rolling_mean(df, "x", 9, "t"), "x_rolling_mean_9"), x.rolling(9, min_periods=1).mean())
+    std = x.rolling(4, min_periods=1).std().mask(x.rolling(4, min_periods=1).count() == 1, 0.0)
+    same(got(windows.rolling_std(df, "x", 4, "t"), "x_rolling_std_4"), std)
+    same(got(frame.with_lag(df, "x", 3, "y", "t"), "y"), x.shift(3))
+    same(got(frame.with_lag(df, "x", -7, "y", "t"), "y"), x.shift(-7))
+    same(got(windows.lag_features(df, "x", [1, 3], "t"), "lag_3"), x.shift(3)[3:])
+    same(got(windows.full_moving_average(df, "x", 3, "t"), "moving_average"), x.rolling(3, min_periods=1).mean()[2:])
+    same(got(windows.expanding(df, "x", "t", min_periods=0), "x_expanding_mean"), x.expanding(1).mean())
+    std = x.expanding(1).std().mask(x.expanding(1).count() == 1, 0.0)
+    same(got(windows.expanding(df, "x", "t", min_periods=0), "x_expanding_std"), std)
+    nulls = x.isna().sum()
+    same(got(windows.average_rank(df, "x"), "rank"), (x.rank() + nulls).fillna((nulls + 1) / 2))
+    assert frame.row_at(df, 7, "t") == {"t": 7, "x": x[7]} and frame.row_at(df, 40, "t") is None
+    for made in (frame.with_lag(df, "x", 1, "y", "t"), windows.rolling_mean(df, "x", 2, "t"), windows.average_rank(df, "x")):
+        assert "SinglePartition" not in made._jdf.queryExecution().executedPlan().toString()
