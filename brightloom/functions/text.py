@@ -257,13 +257,16 @@ def count_vectors(df: DataFrame, key: str, tokens: Column, max_features: int | N
     return counts.select(key, "token", "tf")
 
 
-def tfidf(df: DataFrame, key: str, tokens: Column, min_df: int = 1) -> DataFrame:
+def tfidf(df: DataFrame, key: str, tokens: Column, min_df: int = 1, max_features: int | None = None) -> DataFrame:
     """(key, token, tfidf): tf is the share of the document's tokens, idf is
-    ln((1 + N) / (1 + df)) + 1."""
+    ln((1 + N) / (1 + df)) + 1. ``max_features`` keeps the tokens of most
+    documents, ties by token."""
     rows = df.select(key, tokens.alias("_tokens"))
     n = rows.count()
     counts = rows.select(key, F.size("_tokens").alias("_len"), F.explode("_tokens").alias("token")).groupBy(key, "_len", "token").agg(F.count(F.lit(1)).alias("_n"))
     seen = counts.groupBy("token").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") >= min_df)
+    if max_features is not None:
+        seen = seen.orderBy(F.desc("_df"), "token").limit(max_features)
     idf = F.log((1.0 + n) / (1.0 + F.col("_df"))) + 1
     return counts.join(seen, "token").select(key, "token", (F.col("_n") / F.col("_len") * idf).alias("tfidf"))
 

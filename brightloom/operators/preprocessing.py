@@ -4,7 +4,7 @@ frozen object; its ``transform`` is a set of column expressions."""
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations, combinations_with_replacement
 
@@ -358,6 +358,18 @@ def eliminate_features(importances: Mapping[str, float], keep: int, step: int =
     return list(left)
 
 
+def recursive_elimination(columns: Sequence[str], keep: int, fit: Callable[[list[str]], Mapping[str, float]], step: int = 1) -> list[str]:
+    """The columns left after dropping the ``step`` least important ones again
+    and again; ``fit`` gives importances of the columns that are left, from a
+    model fitted on them. Ties drop the smaller name first."""
+    if keep < 1 or step < 1:
+        raise InvalidParameter("keep and step must be positive")
+    left = list(columns)
+    while len(left) > keep:
+        left = eliminate_features(dict(zip(left, map(fit(left).__getitem__, left), strict=True)), max(keep, len(left) - step), step)
+    return left
+
+
 def undersample(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
     """Every class down to the size of the smallest, by a seeded hash of the
     key: numbers within classes come from range-dealt positions, so a class of

@@ -417,6 +417,12 @@ def tfidf(t: Tables):
     return rounded(tx.tfidf(t.documents, "doc_id", tx.whitespace_tokens(F.col("text")), min_df=5), 8)
 
 
+@query("""WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS token FROM documents), c AS (SELECT doc_id, token, count(*) AS n FROM w WHERE token <> '' GROUP BY ALL), l AS (SELECT doc_id, sum(n) AS len FROM c GROUP BY 1),
+ d AS (SELECT token, count(*) AS df FROM c GROUP BY 1 ORDER BY df DESC, token LIMIT 50) SELECT doc_id, token, round(n / len * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1), 8) AS tfidf FROM c JOIN l USING (doc_id) JOIN d USING (token)""")
+def tfidf_max_features(t: Tables):
+    return rounded(tx.tfidf(t.documents, "doc_id", tx.whitespace_tokens(F.col("text")), max_features=50), 8)
+
+
 @query()
 def stem_sentiment(t: Tables):
     rows = t.documents.where("lang = 'en'").select("doc_id", tx.stem_text(F.col("text")).alias("stems"), tx.sentiment(F.col("text")).alias("s"))
@@ -636,3 +642,10 @@ def kernel_shap(t: Tables):
     rows = gen.make_regression(t.spark, 20)
     weights = np.arange(1, 5.0)
     return ml.shap_frame(rows, ["f0", "f1", "f2", "f3"], lambda x: x @ weights, np.zeros((4, 4))).select("id", "shap")
+
+
+@query()
+def tree_shap(t: Tables):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice")
+    fitted = ml.estimator("decision_tree_regressor", ["l_quantity", "l_discount"], "l_extendedprice", maxDepth=3).fit(rows)
+    return ml.tree_shap_frame(rows, ["l_quantity", "l_discount"], fitted.stages[-1], np.array([[q, d] for q in (5, 15, 25, 35, 45) for d in (0.0, 0.05, 0.1)])).drop("l_extendedprice")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
 from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
@@ -9,8 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import InvalidParameter
+
 #: Texts that mean null in a CSV file.
 NULL_TOKENS = ("", "NA", "na", "N/A", "n/a", "null", "NULL", "NaN", "nan", "None")
+#: The longest header of a safetensors file, by its format.
+HEADER_BYTES = 100_000_000
 #: Kinds that inference tries, in this order; text is the last resort.
 KINDS = ("boolean", "bigint", "double", "date")
 
@@ -63,11 +70,13 @@ def read_csv(
     max_rows: int | None = None,
     strict: bool = False,
     booleans_from_digits: bool = True,
+    quoted_newlines: bool = True,
 ) -> DataFrame:
     """RFC 4180 files; every column is read as text, null tokens become null,
     and types come from the whole column or from ``kinds``. Short rows are
-    filled with nulls unless ``strict``."""
-    reader = spark.read.option("sep", delimiter).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "FAILFAST" if strict else "PERMISSIVE")
+    filled with nulls unless ``strict``. A file that may hold line breaks
+    within quotes is one task; without ``quoted_newlines`` large files split."""
+    reader = spark.read.option("sep", delimiter).option("multiLine", quoted_newlines).option("quote", '"').option("escape", '"').option("mode", "FAILFAST" if strict else "PERMISSIVE")
     first = reader.option("header", False).csv(path)
     n = len(first.columns)
     names = [f"col{i}" for i in range(n)]
@@ -76,9 +85,39 @@ def read_csv(
         names = header_names(list(head[0])) if head else names
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
     rows = reader.option("header", header).option("enforceSchema", True).schema(schema).csv(path)
-    rows = rows.select(*[F.when(~F.trim(F.col(f"`{c}`")).isin(*null_values), F.col(f"`{c}`")).alias(c) for c in names])
     if max_rows is not None:
         rows = rows.limit(max_rows)
+    return _typed(rows, null_values, infer, kinds, booleans_from_digits)
+
+
+def parse_csv(
+    spark: SparkSession,
+    text: str,
+    delimiter: str = ",",
+    header: bool = True,
+    null_values: Sequence[str] = NULL_TOKENS,
+    infer: bool = True,
+    kinds: Mapping[str, str] | None = None,
+    strict: bool = False,
+    booleans_from_digits: bool = True,
+) -> DataFrame:
+    """As ``read_csv``, of a string that the driver holds. Blank lines are
+    passed over; ``strict`` raises for rows of another length."""
+    rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter) if r]
+    width = len(rows[0]) if rows else 0
+    if not width:
+        return spark.createDataFrame([], T.StructType([]))
+    names = header_names(rows.pop(0)) if header else [f"col{i}" for i in range(width)]
+    if strict and any(len(r) != width for r in rows):
+        raise InvalidParameter(f"a row has not {width} fields")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    made = spark.createDataFrame([tuple((r + [None] * width)[:width]) for r in rows], schema)
+    return _typed(made, null_values, infer, kinds, booleans_from_digits)
+
+
+def _typed(rows: DataFrame, null_values: Sequence[str], infer: bool, kinds: Mapping[str, str] | None, booleans_from_digits: bool) -> DataFrame:
+    names = rows.columns
+    rows = rows.select(*[F.when(~F.trim(F.col(f"`{c}`")).isin(*null_values), F.col(f"`{c}`")).alias(c) for c in names])
     kinds = dict(kinds or {})
     if infer:
         rest = [c for c in names if c not in kinds]
@@ -138,6 +177,29 @@ def feather_bytes(df: DataFrame) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def tensor_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(path, name, dtype, shape, start, end) of the tensors in safetensors
+    files: a little-endian 64-bit length, then that much JSON. Executors read
+    the headers only, so the paths must be reachable from there; offsets are
+    from the end of the header."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+
+    def load(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with open(path, "rb") as f:
+                    size = int.from_bytes(f.read(8), "little")
+                    if not 0 < size <= HEADER_BYTES:
+                        raise ValueError(f"{path}: a header of {size} bytes")
+                    found = json.loads(f.read(size))
+                rows = [{"path": path, "name": k, "dtype": v["dtype"], "shape": v["shape"], "start": v["data_offsets"][0], "end": v["data_offsets"][1]} for k, v in found.items() if k != "__metadata__"]
+                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    kinds = pa.schema([("path", pa.string()), ("name", pa.string()), ("dtype", pa.string()), ("shape", pa.list_(pa.int64())), ("start", pa.int64()), ("end", pa.int64())])
+    at = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    return at.mapInArrow(load, "path string, name string, dtype string, shape array<long>, start long, end long")
+
+
 def read_url(spark: SparkSession, url: str) -> DataFrame:
     """CSV or JSON over HTTP(S), by extension; every executor gets the file."""
     from pyspark import SparkFiles

@@ -1,10 +1,15 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from brightloom import charts
 from brightloom.__main__ import main
-from brightloom.functions import embeddings, wordnet
+from brightloom.errors import InvalidParameter
+from brightloom.functions import embeddings, text, wordnet
+from brightloom.operators import models, preprocessing
+from brightloom.sources import files, generators
 
 
 def test_sense_graph():
@@ -40,3 +45,73 @@ def test_charts_and_cli(spark, tmp_path, capsys):
     main(["convert", str(tmp_path / "a.csv"), str(tmp_path / "a.arrow")])
     main(["run", str(tmp_path / "a.arrow"), "filter k > 2 | select v"])
     assert "y" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize(("kind", "params"), [("decision_tree_regressor", {"maxDepth": 3}), ("random_forest_regressor", {"numTrees": 4, "maxDepth": 3, "seed": 1}), ("gbt_regressor", {"maxIter": 3, "maxDepth": 3, "seed": 1})])
+def test_tree_shap(spark, kind, params):
+    names = ["f0", "f1", "f2", "f3"]
+    rows = generators.make_regression(spark, 60).select(*names, "target")
+    model = models.estimator(kind, names, "target", **params).fit(rows).stages[-1]
+    data = np.array(rows.select(*names).collect())
+    trees = models.fitted_trees(model)
+
+    def predict(x):
+        inside = lambda box, r: all(low < r[j] <= high for j, (low, high) in box.items())
+        return np.array([sum(w * v for w, leaves in trees for box, v in leaves if inside(box, r)) for r in x])
+
+    # from the row's own columns, nulls and missing values included
+    from pyspark.ml.linalg import Vectors
+
+    assert predict(data[:5]) == pytest.approx([model.predict(Vectors.dense(r)) for r in data[:5]])
+    found = np.array([r[0] for r in models.tree_shap_frame(rows.limit(5), names, model, data[10:20]).select("shap").collect()])
+    some = np.array(rows.limit(5).select(*names).collect())
+    assert found == pytest.approx(np.array([models.kernel_shap(predict, r, data[10:20]) for r in some]), abs=1e-6)  # all coalitions: exact
+    empty = models.tree_shap_frame(rows.limit(0), names, model, data[:3])
+    assert empty.count() == 0 and np.isfinite(models.tree_shap_frame(spark.createDataFrame([(None, 0.1, 0.2, 0.3)], "f0 double, f1 double, f2 double, f3 double"), names, model, data[:3]).first()["shap"]).all()
+
+
+def test_recursive_elimination(spark):
+    # b repeats a, so it matters only once a is gone: importances given once can't say that
+    after = {("a", "b", "c"): {"a": 3.0, "b": 0.0, "c": 1.0}, ("a", "c"): {"a": 0.5, "c": 1.0}}
+    assert preprocessing.recursive_elimination(["a", "b", "c"], 1, lambda left: after[tuple(left)]) == ["c"]
+    rows = generators.make_regression(spark, 50)
+
+    def fit(left):
+        m = models.linear_regression(rows, left, "target")
+        return {c: abs(w) for c, w in zip(m.columns, m.weights, strict=True)}
+
+    assert len(preprocessing.recursive_elimination(["f0", "f1", "f2", "f3"], 2, fit)) == 2
+    with pytest.raises(InvalidParameter):
+        preprocessing.recursive_elimination(["a"], 0, fit)
+
+
+def test_parse_csv(spark):
+    df = files.parse_csv(spark, 'k,said,k\n1,"a ""b"",\nc",NA\n2,x\n\n')
+    assert dict(df.dtypes) == {"k": "bigint", "said": "string", "k_1": "string"}
+    assert [tuple(r) for r in df.collect()] == [(1, 'a "b",\nc', None), (2, "x", None)]
+    assert files.parse_csv(spark, "").count() == 0 and files.parse_csv(spark, "a;b", delimiter=";").columns == ["a", "b"]
+    with pytest.raises(InvalidParameter):
+        files.parse_csv(spark, "a,b\n1\n", strict=True)
+
+
+def test_csv_splits(spark, tmp_path):
+    (tmp_path / "big.csv").write_text("k,v\n" + "".join(f"{i},{i % 7}\n" for i in range(40_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df = files.read_csv(spark, str(tmp_path / "big.csv"), quoted_newlines=False, kinds={"k": "bigint", "v": "bigint"}, infer=False)
+        assert df.rdd.getNumPartitions() > 1 and df.count() == 40_000 and df.agg({"k": "sum"}).first()[0] == 40_000 * 39_999 // 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_tensor_headers(spark, tmp_path):
+    head = json.dumps({"__metadata__": {"format": "x"}, "w": {"dtype": "F32", "shape": [2, 3], "data_offsets": [0, 24]}}).encode()
+    (tmp_path / "m.safetensors").write_bytes(len(head).to_bytes(8, "little") + head + bytes(24))
+    assert [tuple(r)[1:] for r in files.tensor_headers(spark, str(tmp_path / "m.safetensors")).collect()] == [("w", "F32", [2, 3], 0, 24)]
+    assert files.tensor_headers(spark, []).count() == 0
+
+
+def test_tfidf_features(spark):
+    df = spark.createDataFrame([(1, "b a a"), (2, "b c"), (3, "c d")], "id int, t string")
+    kept = text.tfidf(df, "id", text.whitespace_tokens(df.t), max_features=2).select("token").distinct()
+    assert sorted(r[0] for r in kept.collect()) == ["b", "c"]
