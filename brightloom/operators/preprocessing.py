@@ -4,18 +4,21 @@ frozen object; its ``transform`` is a set of column expressions."""
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..checkpoints import settle
 from ..errors import InvalidParameter, NotFitted
 from .frame import need, with_row_id
+from .vectors import tile_pairs, tiles
 
 EPS = 1e-12
 
@@ -192,38 +195,47 @@ def missing_indicator(df: DataFrame, columns: Sequence[str], only_missing: bool
     return df.withColumns({f"{c}_missing": missing(c).cast("int") for c in columns})
 
 
-def knn_impute(df: DataFrame, columns: Sequence[str], train: DataFrame, k: int = 5, weights: str = "uniform", max_train: int = 20_000) -> DataFrame:
+def knn_impute(df: DataFrame, columns: Sequence[str], train: DataFrame, k: int = 5, weights: str = "uniform") -> DataFrame:
     """Missing values from the k nearest of ``train``'s rows (by the distance
     over coordinates both have, scaled up for missing ones) that have the
-    value. The reference rows, at most ``max_train`` (checked), go to every
-    task; the rows to fill are streamed past them in blocks."""
+    value; ties go to smaller values, and a value that no such row has is 0.
+    Tiles of rows to fill meet tiles of training rows, each pair of tiles leaves
+    the k best of each missing value, and the best k of all tiles are used."""
     names = list(columns)
     need(df, *names)
-    ref = train.select(*[F.col(c).cast("double") for c in names]).limit(max_train + 1).toPandas().to_numpy(float)
-    if len(ref) > max_train:
-        raise InvalidParameter(f"more than {max_train} training rows; sample them first")
-
-    def run(frames):
-        for pdf in frames:
-            x = pdf[names].to_numpy(float, na_value=np.nan)
-            out = x.copy()
-            for i in np.flatnonzero(np.isnan(x).any(1)):
-                both = ~np.isnan(x[i]) & ~np.isnan(ref)
+    vector = lambda: F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in names]).alias("_v")
+    rows = settle(df.withColumn("_i", F.monotonically_increasing_id()))
+    lacking = rows.select(vector(), "_i").where(F.exists("_v", F.isnan))
+    fill = tiles(lacking, "_v", "_i", gaps=True)
+    ref = tiles(train.select(vector(), F.lit(0).cast("long").alias("_i")), "_v", "_i", gaps=True)
+    found = tile_pairs(fill, ref, "_i").mapInArrow(lambda batches: _nearest_values(batches, len(names), k), "_i long, j int, d double, v double")
+    best = W.partitionBy("_i", "j").orderBy("d", "v")
+    found = found.withColumn("_nth", F.row_number().over(best)).where(F.col("_nth") <= k)
+    w = F.lit(1.0) if weights == "uniform" else 1 / (F.col("d") + 1e-5)
+    means = found.groupBy("_i", "j").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("m"))
+    filled = means.groupBy(F.col("_i").alias("_f")).agg(F.map_from_entries(F.collect_list(F.struct("j", "m"))).alias("_m"))
+    out = rows.join(filled, F.col("_i") == F.col("_f"), "left")
+    made = {c: F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.coalesce(F.try_element_at("_m", F.lit(j)), F.lit(0.0))).otherwise(F.col(c).cast("double")) for j, c in enumerate(names)}
+    return out.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in df.columns])
+
+
+def _nearest_values(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in range(batch.num_rows):
+            own = batch.column(1)[r].values.to_numpy()
+            x, ref = (np.frombuffer(batch.column(c)[r].as_py()).reshape(-1, width) for c in (2, 5))
+            known, found = ~np.isnan(ref), []
+            for i, row in zip(own, x, strict=True):
+                both = known & ~np.isnan(row)
                 n = both.sum(1)
-                d2 = (np.where(both, np.nan_to_num(ref) - np.nan_to_num(x[i]), 0) ** 2).sum(1)
-                d = np.where(n > 0, np.sqrt(d2 * (len(names) - 1) / np.maximum(n, 1)), np.inf)
-                for j in np.flatnonzero(np.isnan(x[i])):
-                    ok = np.flatnonzero(~np.isnan(ref[:, j]) & np.isfinite(d))
-                    near = ok[np.argsort(d[ok], kind="stable")[:k]]
-                    if len(near):
-                        w = np.ones(len(near)) if weights == "uniform" else 1 / (d[near] + 1e-5)
-                        out[i, j] = (w * ref[near, j]).sum() / w.sum()
-                    else:
-                        out[i, j] = 0.0
-            yield pdf.assign(**{c: out[:, j] for j, c in enumerate(names)})
-
-    schema = ", ".join(f"`{f.name}` {'double' if f.name in names else f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, schema)
+                d2 = (np.where(both, ref - row, 0) ** 2).sum(1)
+                d = np.where(n > 0, np.sqrt(d2 * (width - 1) / np.maximum(n, 1)), np.inf)
+                for j in np.flatnonzero(np.isnan(row)):
+                    ok = np.flatnonzero(known[:, j] & np.isfinite(d))
+                    near = ok[np.lexsort((ref[ok, j], d[ok]))[:k]]
+                    found += [(int(i), int(j), float(d[m]), float(ref[m, j])) for m in near]
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int32(), pa.float64(), pa.float64()), strict=True)], names=["_i", "j", "d", "v"])
 
 
 # ---- features ----------------------------------------------------------------------

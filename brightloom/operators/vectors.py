@@ -192,9 +192,10 @@ def randomized_svd(x: np.ndarray, rank: int, oversample: int = 10, power: int =
 # ---- pairs within reach -------------------------------------------------------------
 
 
-def _tiles(df: DataFrame, vector: str, *others: str) -> DataFrame:
+def tiles(df: DataFrame, vector: str, *others: str, gaps: bool = False) -> DataFrame:
     """(tile, others as arrays, data): rows in tiles of at most ``TILE``,
-    numbered from 0; ``data`` is their matrix of doubles."""
+    numbered from 0; ``data`` is their matrix of doubles, NaN as 0 unless ``gaps`` are wanted."""
+    matrix = (lambda column: np.stack([np.asarray(x, float) for x in column])) if gaps else _matrix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -202,19 +203,27 @@ def _tiles(df: DataFrame, vector: str, *others: str) -> DataFrame:
                 batch = whole.slice(at, TILE)
                 ends = pa.array([0, batch.num_rows], pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays([c])) for c in batch.columns[1:]]
-                yield pa.RecordBatch.from_arrays([*lists, pa.array([_matrix(batch.column(0).to_pandas()).tobytes()], pa.binary())], names=[*others, "data"])
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([matrix(batch.column(0).to_pandas()).tobytes()], pa.binary())], names=[*others, "data"])
 
     kinds = [f"`{c}` array<{df.schema[c].dataType.simpleString()}>" for c in others]
     rows = df.where(F.col(vector).isNotNull()).select(vector, *others).mapInArrow(run, ", ".join([*kinds, "data binary"]))
     return with_row_id(rows.withColumn("_k", F.monotonically_increasing_id()), "_k", "tile").drop("_k")
 
 
-def _tile_pairs(tiles: DataFrame, column: str) -> DataFrame:
-    """(tile, own, data, other_tile, other, other_data): each tile with every
-    tile, by an equi-join on the tile's number. All pairs are the task itself;
-    a task holds one pair at a time, whatever the number of rows."""
-    sent = tiles.select("tile", F.col(column).alias("own"), "data", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles.count() - 1))).alias("other_tile"))
-    return sent.join(tiles.select(F.col("tile").alias("other_tile"), F.col(column).alias("other"), F.col("data").alias("other_data")), "other_tile").select("tile", "own", "data", "other_tile", "other", "other_data")
+def tile_pairs(some: DataFrame, others: DataFrame, column: str) -> DataFrame:
+    """(tile, own, data, other_tile, other, other_data): each tile of one frame
+    with every tile of the other, by an equi-join on the tile's number. All
+    pairs are the task itself; a task holds one pair at a time, whatever the
+    number of rows."""
+    n = others.count()
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(n - 1)) if n else F.array().cast("array<long>")
+    sent = some.select("tile", F.col(column).alias("own"), "data", F.explode(numbers).alias("other_tile"))
+    return sent.join(others.select(F.col("tile").alias("other_tile"), F.col(column).alias("other"), F.col("data").alias("other_data")), "other_tile").select("tile", "own", "data", "other_tile", "other", "other_data")
+
+
+def _self_pairs(df: DataFrame, vector: str, column: str) -> DataFrame:
+    made = tiles(df, vector, column)
+    return tile_pairs(made, made, column)
 
 
 def _squares(data: bytes, n: int, other_data: bytes, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -259,7 +268,7 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int | None = None, radiu
                 tile = np.full(len(row), batch.column(0)[r].as_py(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(row, pa.int32()), own.take(pa.array(row)), others.take(pa.array(col)), pa.array(d)], names=names)
 
-    pairs = _tile_pairs(_tiles(df, vector, key), key).mapInArrow(run, f"tile long, at int, `{key}` {kind}, other {kind}, distance double")
+    pairs = _self_pairs(df, vector, key).mapInArrow(run, f"tile long, at int, `{key}` {kind}, other {kind}, distance double")
     if k is not None:
         best = W.partitionBy("tile", "at").orderBy("distance", F.asc_nulls_last("other"))
         pairs = pairs.withColumn("_nth", F.row_number().over(best)).where(F.col("_nth") <= k)
@@ -373,7 +382,7 @@ def silhouette(df: DataFrame, key: str, vector: str, label: str) -> float:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, tile, np.int64)), pa.array(np.arange(n), pa.int32()), own, named, pa.array(d[:, code == c].sum(1))], names=["tile", "at", "own", "other", "s"])
 
     dealt = rows.repartitionByRange(label, key).sortWithinPartitions(label, key)
-    sums = _tile_pairs(_tiles(dealt, vector, label), label).mapInArrow(run, f"tile long, at int, own {kind}, other {kind}, s double")
+    sums = _self_pairs(dealt, vector, label).mapInArrow(run, f"tile long, at int, own {kind}, other {kind}, s double")
     sizes = rows.groupBy(F.col(label).alias("other")).agg(F.count(F.lit(1)).alias("n"))
     sums = sums.groupBy("tile", "at", "own", "other").agg(F.sum("s").alias("s")).join(sizes, "other")
     same = F.col("own") == F.col("other")

@@ -222,10 +222,12 @@ def missing_indicator(t: Tables):
     return pp.missing_indicator(gaps(t), ["v"], only_missing=True)
 
 
-@query()
+@query("""WITH r AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal END AS a, s_nationkey::DOUBLE AS b FROM supplier),
+ p AS (SELECT x.s_suppkey, y.a, row_number() OVER (PARTITION BY x.s_suppkey ORDER BY abs(x.b - y.b), y.a) AS n FROM r x, r y WHERE x.a IS NULL AND y.a IS NOT NULL), m AS (SELECT s_suppkey, avg(a) AS m FROM p WHERE n <= 3 GROUP BY 1)
+ SELECT s_suppkey, round(coalesce(a, m, 0), 6) AS a, b FROM r LEFT JOIN m USING (s_suppkey)""")
 def knn_impute(t: Tables):
     rows = t.supplier.select("s_suppkey", F.when(F.col("s_suppkey") % 5 != 0, F.col("s_acctbal")).alias("a"), F.col("s_nationkey").cast("double").alias("b"))
-    return pp.knn_impute(rows, ["a", "b"], rows, k=3)
+    return pp.knn_impute(rows, ["a", "b"], rows, k=3).withColumn("a", F.round("a", 6))
 
 
 @query("SELECT p_partkey, 1.0::DOUBLE AS poly_bias, p_size::DOUBLE AS poly_p_size, round(p_retailprice, 4) AS poly_p_retailprice, (p_size * p_size)::DOUBLE AS \"poly_p_size*p_size\", round(p_size * p_retailprice, 4) AS \"poly_p_size*p_retailprice\", round(p_retailprice * p_retailprice, 4) AS \"poly_p_retailprice*p_retailprice\" FROM part")

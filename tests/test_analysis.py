@@ -80,7 +80,25 @@ def test_missing_values(spark):
     df = spark.createDataFrame([(1.0, 1.0), (None, 2.0), (3.0, 3.0), (3.0, None)], "a double, b double")
     assert [pp.imputer(df, ["a"], s).values["a"] for s in ("mean", "median", "mostFrequent", "constant")] == pytest.approx([7 / 3, 3, 3, 0])
     filled = pp.knn_impute(df, ["a", "b"], df, k=1).where("b = 2").first()
-    assert filled.a in (1.0, 3.0)
+    assert filled.a == 1.0  # both are as near: the smaller value
+    # several tiles, against one row at a time
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(5000, 3)).round(1)
+    x[rng.random(x.shape) < 0.02] = np.nan
+    x[0] = np.nan
+    big = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(x)], "i int, a double, b double, c double")
+    for weights in ("uniform", "distance"):
+        got = {r.i: (r.a, r.b, r.c) for r in pp.knn_impute(big, ["a", "b", "c"], big, k=4, weights=weights).collect()}
+        assert len(got) == 5000
+        for i in np.flatnonzero(np.isnan(x).any(1)):
+            n = (~np.isnan(x) & ~np.isnan(x[i])).sum(1)
+            d = np.where(n > 0, np.sqrt(np.nansum((x - x[i]) ** 2, 1) * 2 / np.maximum(n, 1)), np.inf)
+            for j in np.flatnonzero(np.isnan(x[i])):
+                near = sorted((d[m], x[m, j]) for m in np.flatnonzero(~np.isnan(x[:, j]) & np.isfinite(d)))[:4]
+                w = [1.0 if weights == "uniform" else 1 / (e + 1e-5) for e, _ in near]
+                assert got[i][j] == pytest.approx(sum(a * v for a, (_, v) in zip(w, near, strict=True)) / sum(w) if near else 0.0)
+    assert pp.knn_impute(big.limit(0), ["a", "b"], big, k=2).count() == 0
+    assert pp.knn_impute(big.where("i = 0"), ["a", "b"], big.limit(0), k=2).first().a == 0.0
     bins = pp.kbins(df, ["b"], 2).transform(df).orderBy("b").select("b_bin").collect()
     assert [r[0] for r in bins] == [None, 0, 1, 1]
     lam = pp.power_transformer(spark.range(1, 200).select(F.exp(F.col("id") / 40).alias("x")), ["x"], "box-cox").params["x"][0]
