@@ -35,8 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .hashing import give_back, raw_texts, slices
+
 MEMO_SIZE = 300_000
-BATCH_ROWS = 512
 
 #: ASCII without control characters, U+00C0 to U+047F and U+4000 to U+8FFF:
 #: every Unicode table agrees on what is a letter, a number or white space there.
@@ -158,38 +159,52 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, work) -> DataFrame:
-    df = df.drop(*([target] if target != source else []))
-    schema = T.StructType([*df.schema.fields, T.StructField(target, kind)])
+def _mapped(df: DataFrame, source: str, made: dict[str, T.DataType], work) -> DataFrame:
+    """``df`` with the columns ``made``, which ``work`` makes of the column
+    ``source``; one Python worker a task, which gives back at a task's end what
+    its batches took."""
+    df = df.drop(*[c for c in made if c != source])
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, kind) for c, kind in made.items()]])
     position = df.columns.index(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_ROWS):
-                batch = whole.slice(at, BATCH_ROWS)
-                made = work(batch.column(position))
-                yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[f.name for f in schema])
+            for batch in slices(whole):
+                yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch.column(position))], names=[f.name for f in schema])
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def _ids(column: pa.Array, path: str) -> list[bytes]:
+    return codec(path).encode(raw_texts(column))
+
+
+def _texts(ids: list[bytes | None], path: str) -> pa.Array:
+    return pa.array([codec(path).decode(r or b"") for r in ids], pa.string())
+
+
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
     """``df`` with a binary column ``ids``: the token ids of ``text``, each as a
     little-endian unsigned 32-bit integer."""
     path = path or default_path()
-
-    def work(column: pa.Array) -> pa.Array:
-        raw = column.cast(pa.binary()).to_pylist()
-        return pa.array(codec(path).encode([r or b"" for r in raw]), pa.binary())
-
-    return _mapped(df, text, ids, T.BinaryType(), work)
+    return _mapped(df, text, {ids: T.BinaryType()}, lambda column: [pa.array(_ids(column, path), pa.binary())])
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str | None = None) -> DataFrame:
     """``df`` with a string column ``text``: the text that ``ids`` stand for."""
     path = path or default_path()
+    return _mapped(df, ids, {text: T.StringType()}, lambda column: [_texts(column.to_pylist(), path)])
+
+
+def encode_decode(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", path: str | None = None) -> DataFrame:
+    """``decode(encode(df))`` in one pass: a task of both has a Python worker
+    for each, with a vocabulary of its own each, and workers stay for a minute
+    after their last task, beside those of what runs next."""
+    path = path or default_path()
 
-    def work(column: pa.Array) -> pa.Array:
-        return pa.array([codec(path).decode(r or b"") for r in column.to_pylist()], pa.string())
+    def work(column: pa.Array) -> list[pa.Array]:
+        made = _ids(column, path)
+        return [pa.array(made, pa.binary()), _texts(made, path)]
 
-    return _mapped(df, ids, text, T.StringType(), work)
+    return _mapped(df, text, {ids: T.BinaryType(), decoded: T.StringType()}, work)

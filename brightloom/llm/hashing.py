@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,8 @@ import pyarrow as pa
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _BYTE_SEED = 20_240_611
 _CHUNK = 1 << 18
+#: Python functions take so many rows of an Arrow batch at once.
+SLICE_ROWS = 512
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -45,6 +49,21 @@ class _Powers:
 _powers = _Powers()
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, which may hold all texts of a task: what is made of
+    them takes memory for one part at a time."""
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        yield batch.slice(at, SLICE_ROWS)
+
+
+def give_back() -> None:
+    """Return what this process's allocators keep but don't use: Python workers
+    outlive their tasks, and later tasks run beside them or in them."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; empty for null."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import join_salted, materialize, packed, small_or_plain
-from .hashing import Ranges, chunks, mix64, raw_texts
+from .hashing import Ranges, chunks, give_back, mix64, raw_texts, slices
 
 PER_EDIT = 24
 SEGMENTS = 2
@@ -113,12 +113,13 @@ def line_rows(docs: DataFrame, id_type: str) -> DataFrame:
     its keys of the sieve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for first, lines in _batches(batch, 2):
                 at = pa.array(lines.text + first)
                 keys = lines.sieve(np.arange(len(lines.size))) if len(lines.size) else np.empty((len(KEYS), 0), np.int64)
                 values = [lines.number, *lines.ids(), lines.size.astype(np.int64), *keys]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, values)], names=["doc_id", "th", "line", "h1", "h2", "size", *KEYS])
+        give_back()
 
     return docs.mapInArrow(run, f"doc_id {id_type}, th long, line long, h1 long, h2 long, size long, {', '.join(f'{k} long' for k in KEYS)}")
 
@@ -144,6 +145,7 @@ def variant_rows(docs: DataFrame, id_type: str) -> DataFrame:
                         form = pa.array([None] * (n - 1) + [lines.forms[k].decode("utf-8", "replace")], pa.string())
                         at = pa.array(np.zeros(n, np.int64))
                         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(check), pa.array(pos.astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.full(n, own[0])), form], names=names)
+        give_back()
 
     return docs.mapInArrow(run, f"key long, check long, pos int, doc_id {id_type}, th long, line long, form string")
 
@@ -197,7 +199,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     schema = T.StructType([*out.schema.fields[:width], *[T.StructField(n, T.LongType()) for n in ("n_lines", "n_kept", "n_near")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts, counts = [], []
             for raw, lines in zip(batch.column(position).cast(pa.binary()).to_pylist(), batch.column(width).to_pylist(), strict=True):
                 stay, parts, n = set(lines or ()), [], 0
@@ -212,6 +214,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
             columns[position] = pa.array(texts, pa.binary()).cast(pa.string())
             columns += [pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1)] + [batch.column(width + 1).fill_null(0)]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
+        give_back()
 
     done = out.mapInArrow(run, schema)
     back = {doc_id: F.col("doc_id").alias(doc_id), text: F.col("text").alias(text)} | {n: c for n, c in zip([n for n in names if n not in (doc_id, text)], rest, strict=True)}

@@ -67,7 +67,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit integers) of each document."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")).drop("text"))
+    coded = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text")).drop("text")
     return coded.select(
         "doc_id",
         "lang",

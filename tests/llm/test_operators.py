@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -475,6 +476,38 @@ def test_codec_columns(spark, docs, texts):
 # ---- the pipeline -------------------------------------------------------------------------
 
 
+def test_codec_in_one_pass(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    both = lambda df: sorted((r["doc_id"], r["text"], bytes(r["ids"]), r["decoded"]) for r in df.collect())
+    key = lambda rows: [(i, t or "", x, d) for i, t, x, d in rows]
+    clashing = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(1).alias("ids"), F.lit(2).alias("decoded"))
+    assert key(both(bpe.encode_decode(clashing))) == key(both(bpe.decode(bpe.encode(clashing))))
+    assert bytes(bpe.encode_decode(docs.where("text is null")).first()["ids"]) == b""
+    stage = corpus_pipeline.encode(spark, docs.withColumn("lang", F.lit("x")).withColumn("source", F.lit("y")), str(tmp_path))
+    assert stage._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # one worker a task
+
+
+class Mapped:
+    """In place of a DataFrame: keeps the function that is to map its batches."""
+
+    def mapInArrow(self, function, schema):
+        self.function = function
+
+
+def test_lines_of_a_large_batch_are_taken_in_parts(monkeypatch):
+    texts = [f"line {k} {plain(k, 8)}\n{plain(k % 7, 9)}" for k in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(range(3000)), pa.array(texts)], names=["doc_id", "th", "text"])
+    sizes, docs = [], Mapped()
+    raw_texts = line_dedup.raw_texts
+    monkeypatch.setattr(line_dedup, "raw_texts", lambda column: sizes.append(len(column)) or raw_texts(column))
+    line_dedup.line_rows(docs, "long")
+    rows = pa.Table.from_batches(docs.function(iter([batch]))).to_pydict()
+    assert sum(sizes) == 3000 and max(sizes) <= 512
+    assert list(zip(rows["doc_id"], rows["line"], strict=True)) == [(k, i) for k in range(3000) for i in (0, 1)]
+    assert len({(h, g) for h, g in zip(rows["h1"], rows["h2"], strict=True)}) == 3007
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
     from brightloom.llm.common import materialize
