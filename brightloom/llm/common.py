@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ SALTS = 8
 HEAVY = 4096
 
 _own: dict[str, str] = {}
+#: What is written inside of each open ``scratch``.
+_scratch: list[list[DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +64,23 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._written = path
+    for written in _scratch:
+        written.append(made)
     return made
 
 
+@contextmanager
+def scratch(kept: list[DataFrame]) -> Iterator[None]:
+    """What ``materialize`` writes inside is deleted at the end, but for what is
+    in ``kept`` by then: for work that has been written itself."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        stay = {getattr(df, "_written", None) for df in kept}
+        discard(*[df for df in _scratch.pop() if df._written not in stay])
+
+
 def discard(*written: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing reads it any more."""
     for df in written:
@@ -125,4 +143,7 @@ def words(text) -> object:
 
 
 def n_words(text) -> object:
-    return F.size(words(text)).cast("long")
+    """How many words a text has; each is replaced by one character, so that no
+    array of them is built."""
+    flat = F.trim(F.translate(F.coalesce(text, F.lit("")), ASCII_SPACE, " " * len(ASCII_SPACE)))
+    return F.when(flat == "", 0).otherwise(F.length(F.regexp_replace(flat, "[^ ]++ *+", "x"))).cast("long")

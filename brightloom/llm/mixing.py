@@ -11,7 +11,10 @@ samples the fractional repetition: within a source, documents come in the order
 of a seeded hash, and those before the point at which the fraction is used up
 are taken once more, the one on that point in part. The point is found
 by two histograms of 1,024 bins (the second within the bin of the first that
-holds it), so no source, however large, is ever sorted in one task.
+holds it) and the classes of equal (hash, id, size) in the last bin, so no source
+is ever sorted in one task, nor rows that repeat an id or have none. How often a
+document is taken then follows from its hash: documents are read once more, and
+joined with one row for each source.
 
 Defined cases: null texts have size 0; a null source is a source of its own,
 last in order; sources of size 0 have target 0; an empty table gives an empty
@@ -78,6 +81,19 @@ def mix_hash(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(said), 1, 15), 16, 10).cast("long")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``nth``, their number from 0 within their source: numbers
+    within each task, and totals of the tasks before, so that no task takes all."""
+    rows = materialize(rows.withColumn("task", F.spark_partition_id()).withColumn("own", F.monotonically_increasing_id()))
+    per = rows.groupBy("source", "task").agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy("source").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
+    per = per.select(F.col("source").alias("src"), F.col("task").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    per, _ = small_or_plain(materialize(per))
+    joined = rows.join(per, F.col("source").eqNullSafe(F.col("src")) & (F.col("task") == F.col("of")))
+    nth = F.col("before") + F.row_number().over(W.partitionBy("source", "task").orderBy("own")) - 1
+    return joined.withColumn("nth", nth).drop("src", "of", "before", "task", "own")
+
+
 def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = 7) -> DataFrame:
     """(doc_id, source, size, ...) -> the same rows with source_size, target,
     copies (whole repetitions, long), part (words of the one partial
@@ -112,17 +128,30 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: floa
         base = base.select("source", "want", F.coalesce("bin", F.lit(1 << (60 - shift))).alias("bin"), F.coalesce("below", F.lit(0)).cast("long").alias("below"))
         base = materialize(base)
         bits = shift
-    plan = plan.join(base.select(F.col("source").alias("src"), "bin", "below"), F.col("source").eqNullSafe(F.col("src"))).drop("src", "weight")
-
-    rows = _join_on_source(documents if rest else rows, plan, ["source"])
-    rows = rows.withColumn("own", F.shiftright("mix_hash", 40))
-    on_point = rows.where(F.col("own") == F.col("plan_bin"))
-    off = rows.where(~F.col("own").eqNullSafe(F.col("plan_bin")))
-    off = off.withColumn("part", F.when(F.col("own") < F.col("plan_bin"), F.col("size")).otherwise(F.lit(0)).cast("long"))
-    order = W.partitionBy("source").orderBy("mix_hash", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    spent = F.col("plan_below") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    on_point = on_point.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("plan_want") - spent)).cast("long"))
-    done = off.unionByName(on_point)
+    # rows of that bin in classes of equal (hash, id, size): in one of them the want is used up
+    near = _join_on_source(rows, base, ["source"]).where(F.shiftright("mix_hash", bits) == F.col("plan_bin"))
+    classes = near.groupBy("source", "mix_hash", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"), F.first("plan_want").alias("want"), F.first("plan_below").alias("below"))
+    upto = F.col("below") + F.sum(F.col("size") * F.col("n")).over(W.partitionBy("source").orderBy("mix_hash", "doc_id", "size"))
+    on_point = classes.withColumn("upto", upto).where("upto > want").withColumn("left", F.col("want") - F.col("upto") + F.col("size") * F.col("n"))
+    on_point = on_point.groupBy(F.col("source").alias("src")).agg(F.min(F.struct("mix_hash", "doc_id", "size", "n", "left")).alias("at"))
+    plan = plan.join(on_point, F.col("source").eqNullSafe(F.col("src")), "left").select("source", "source_size", "target", "whole", "at")
+    plan = materialize(plan)
+
+    shown = _join_on_source(documents, plan, ["source"])
+    at = F.col("plan_at")
+    first_id = (F.col("doc_id").isNull() & at["doc_id"].isNotNull()) | F.coalesce(F.col("doc_id") < at["doc_id"], F.lit(False))
+    place = F.when(at.isNull() | (F.col("mix_hash") < at["mix_hash"]), -1).when(F.col("mix_hash") > at["mix_hash"], 1)
+    place = place.when(~F.col("doc_id").eqNullSafe(at["doc_id"]), F.when(first_id, -1).otherwise(1))
+    shown = shown.withColumn("place", place.when(F.col("size") < at["size"], -1).when(F.col("size") > at["size"], 1).otherwise(0))
+    part = F.when(F.col("place") < 0, F.col("size")).when(F.col("place") > 0, F.lit(0)).otherwise(at["left"])
+    several = (F.col("place") == 0) & (at["n"] > 1)
+    if plan.where("at.n > 1").isEmpty():
+        done = shown.withColumn("part", part.cast("long"))
+    else:
+        done = shown.where(~F.coalesce(several, F.lit(False))).withColumn("part", part.cast("long"))
+        nth = _numbered(shown.where(several))
+        spent = F.greatest(F.lit(0), F.least(F.col("size"), at["left"] - F.col("nth") * F.col("size")))
+        done = done.unionByName(nth.withColumn("part", spent.cast("long")).drop("nth"))
     full = (F.col("part") == F.col("size")) & (F.col("size") > 0)
     done = done.withColumn("copies", F.col("plan_whole") + full.cast("long")).withColumn("part", F.when(full, F.lit(0)).otherwise(F.col("part")).cast("long"))
     done = done.withColumn("taken", F.col("copies") * F.col("size") + F.col("part"))

@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, join_heavy, join_salted, materialize, small_or_plain
 from .graph import components
-from .hashing import digest64, raw_texts, shingle_sets
+from .hashing import digest64, give_back, raw_texts, shingle_sets
 
 WIDTH = 5
 PERCENT = 75
@@ -68,6 +68,17 @@ TILE = 1024
 TILE_GRAMS = 1 << 19
 
 
+def _in_arrow(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers return their memory when a task is done:
+    they outlive it, and the next stages run beside them."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return rows.mapInArrow(task, schema)
+
+
 def _table(schema: dict[str, pa.DataType], **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in schema.items()], names=list(schema))
 
@@ -153,7 +164,7 @@ def node_rows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         if parts:
             yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), id_type), *rest.columns], names=["doc_id", *schema])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, bits binary, chunk int, seen binary")
+    return _in_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n long, node long, bits binary, chunk int, seen binary")
 
 
 def gram_counts(first: DataFrame) -> np.ndarray:
@@ -168,7 +179,7 @@ def gram_counts(first: DataFrame) -> np.ndarray:
 
     counts = np.zeros((CHUNKS, (1 << COUNTER_BITS) // CHUNKS), np.int64)
     parts = first.where("chunk is not null").select("chunk", "seen").repartition("chunk")
-    for row in parts.mapInArrow(run, "chunk int, seen binary").collect():  # of fixed size
+    for row in _in_arrow(parts, run, "chunk int, seen binary").collect():  # of fixed size
         counts[row["chunk"]] = np.frombuffer(row["seen"], "<i8")
     return counts.ravel()
 
@@ -204,7 +215,7 @@ def postings(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> D
             if grams:
                 yield _table(schema, gram=np.concatenate(grams).view(np.int64), salt=np.concatenate(salts), n=np.concatenate(sizes), node=np.concatenate(nodes))
 
-    return docs.select("text").mapInArrow(run, "gram long, salt int, n long, node long")
+    return _in_arrow(docs.select("text"), run, "gram long, salt int, n long, node long")
 
 
 def list_pairs(post: DataFrame, percent: int) -> DataFrame:
@@ -243,7 +254,7 @@ def list_pairs(post: DataFrame, percent: int) -> DataFrame:
                 yield _table(schema, gram=gram[at], a=node[at], na=n[at], b=none, nb=none)
 
     dealt = post.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "n", "node")
-    return dealt.mapInArrow(run, "gram long, a long, na long, b long, nb long")
+    return _in_arrow(dealt, run, "gram long, a long, na long, b long, nb long")
 
 
 def may_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -261,7 +272,7 @@ def may_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     for end in ("a", "b"):
         some = nodes.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"bits_{end}"))
         pairs = pairs.join(some, [end, f"n{end}"])
-    return pairs.select("a", "na", "b", "nb", "bits_a", "bits_b").mapInArrow(run, "a long, na long, b long, nb long")
+    return _in_arrow(pairs.select("a", "na", "b", "nb", "bits_a", "bits_b"), run, "a long, na long, b long, nb long")
 
 
 def gram_sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -278,7 +289,7 @@ def gram_sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, width: int)
             yield _table(schema, node=[digest64(s) for s in sets], n=[len(s) for s in sets], bits=[signature(s) for s in sets], grams=[s.tobytes() for s in sets])
 
     # written once: read more than once, and one Python function a stage
-    return materialize(some.select("text").mapInArrow(arrays, "node long, n long, bits binary, grams binary"))
+    return materialize(_in_arrow(some.select("text"), arrays, "node long, n long, bits binary, grams binary"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -299,7 +310,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, pe
 
     for end in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("grams").alias(f"grams_{end}")), [end, f"n{end}"])
-    return pairs.select("a", "na", "b", "nb", "grams_a", "grams_b").mapInArrow(run, "a long, b long").distinct()
+    return _in_arrow(pairs.select("a", "na", "b", "nb", "grams_a", "grams_b"), run, "a long, b long").distinct()
 
 
 def tiled(rows: DataFrame, group: str, percent: int) -> DataFrame:
@@ -406,7 +417,7 @@ def list_links(left: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 yield _table({"a": pa.int64(), "b": pa.int64()}, a=a, b=b)
 
     rows = tiled(left, "gram", percent).join(nodes.select("node", "n", "bits"), ["node", "n"])
-    return _dealt(rows, "gram").mapInArrow(run, "a long, b long").distinct()
+    return _in_arrow(_dealt(rows, "gram"), run, "a long, b long").distinct()
 
 
 class Overlaps:
@@ -452,7 +463,7 @@ def cluster_links(rows: DataFrame, percent: int, counted: bool) -> DataFrame:
             if counted and (at := np.flatnonzero(seen)).size:
                 yield _table(schema, node=sets.node[at], other=[None] * len(at), n_links=seen[at])
 
-    return _dealt(rows.withColumn("own", F.struct("grams", "known")), "root", "own").mapInArrow(run, "node long, other long, n_links long")
+    return _in_arrow(_dealt(rows.withColumn("own", F.struct("grams", "known")), "root", "own"), run, "node long, other long, n_links long")
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, counted: bool = True) -> DataFrame:

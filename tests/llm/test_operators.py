@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brightloom.llm import bilstm_crf, bpe, chat, line_dedup, mixing, ngram_join, pii, quality, topk, toxicity, url_filter
+from brightloom.llm.common import n_words
 from brightloom.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -391,6 +392,26 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_repeated_and_null_ids(spark):
+    rows = [(None, "a", 5)] * 300 + [(None, "a", 7)] * 40 + [(3, "b", 4)] * 200 + [(i, "c", i % 9) for i in range(50)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, source string, size long, place long").repartition(5)
+    got = mixing.mix(df).collect()
+    want = brute_targets({"a": 1780, "b": 800, "c": sum(i % 9 for i in range(50))}, (5, 2, 1))
+    taken = Counter()
+    for r in got:
+        assert 0 <= r.taken <= 3 * r.size and r.taken == r.copies * r.size + r.part
+        taken[r.source] += r.taken
+    assert sorted(r.place for r in got) == list(range(len(rows))) and all(abs(taken[s] - want[s]) <= 1 for s in want)
+    assert all(sum(0 < r.part < r.size for r in got if r.source == s) <= 1 for s in want)
+
+
+def test_word_counts(spark):
+    texts = ["", None, " ", "a", " a\n\nb\x0bc ", "\u00a0x\u2003y z", "x" * 3000 + " " * 3000 + "y", "\x1c\x85 q\r\n"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string")
+    got = {r.k: r.n for r in df.select("k", n_words(F.col("text")).alias("n")).collect()}
+    assert got == {k: len(WORD.findall(t or "")) for k, t in enumerate(texts)}
+
+
 # ---- 8 ----------------------------------------------------------------------------------
 
 
