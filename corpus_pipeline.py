@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.llm import bpe, line_dedup, mixing, ngram_join, quality
-from brightloom.llm.common import materialize, n_words, packed, small_or_plain, table
+from brightloom.llm.common import discard, materialize, n_words, packed, scratch, small_or_plain, table
 
 
 def apart(docs: DataFrame, *needed: str) -> tuple[DataFrame, list]:
@@ -60,9 +60,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     part is taken if that is half of it or more."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
     mixed = mixing.mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), whole))
-    times = F.col("copies") + ((F.col("part") > 0) & (2 * F.col("part") >= F.col("size"))).cast("long")
-    mixed = mixed.withColumn("times", times).where("times > 0")
-    return mixed.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("document.*")
+    times = F.col("copies") + ((F.col("part") > 0) & (2 * F.col("part") >= F.col("size"))).cast("int")
+    return mixed.select("document", F.explode(F.array_repeat(F.lit(True), times.cast("int")))).select("document.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -95,5 +94,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, after = docs, []
+        with scratch(after):  # a stage's own tables go once its documents are written
+            docs = materialize(stage(spark, before, sf_dir))
+            after.append(docs)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
