@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, mixing, ngram_join, pii, quality, topk, toxicity, url_filter
+from . import bpe, chat, decontaminate, line_dedup, mixing, ngram_join, pii, quality, runs, topk, toxicity, url_filter, whitening
 from .common import n_words, table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -194,6 +197,70 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def planted_runs(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The order in which a text of ``n`` words is read: for a tenth of the ids,
+    from some word on, over and over from there."""
+    h = crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    order = np.arange(n)
+    order[a:] = a + (order[a:] - a) % (1 + (n - a) // (3 + g % 8))
+    return order
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.collapse(table(spark, sf_dir, "documents").select("doc_id", "text"), reading=planted_runs)
+    best = F.col("best")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        runs.digest(F.col("runs")).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+SQL_TOKENS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP12_SQL = f"""
+WITH i AS (SELECT item_id::VARCHAR AS item_id, {SQL_TOKENS} AS w FROM benchmark),
+t AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS k FROM i WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS row, doc_id, {SQL_TOKENS} AS w FROM documents),
+g AS (
+  SELECT row, m, k, array_to_string(w[k:k + m - 1], ' ') AS s
+  FROM (SELECT row, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d, (SELECT DISTINCT m FROM t))),
+h AS (SELECT g.row, g.k, g.m, t.item_id FROM g JOIN t ON g.m = t.m AND g.s = t.s),
+n AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(k, k + m)) AS p FROM h) GROUP BY row),
+o AS (SELECT row, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM h GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (row) LEFT JOIN o USING (row)"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_chat": op2_chat,
@@ -201,5 +268,20 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_topk": op5_topk,
     "op6_line_dedup": op6_line_dedup,
-   "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_quality": op9_quality, "op10_bpe": op10_bpe}
-ORACLES = {"op1_ngram_join": OP1_SQL, "op2_chat": OP2_SQL, "op6_line_dedup": OP6_SQL, "op5_topk": OP5_SQL, "op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
+    "op7_mixing": op7_mixing,
+    "op8_url_filter": op8_url_filter,
+    "op9_quality": op9_quality,
+    "op10_bpe": op10_bpe,
+    "op11_runs": op11_runs,
+    "op12_decontamination": op12_decontamination,
+    "op13_whitening": op13_whitening,
+}
+ORACLES = {
+    "op1_ngram_join": OP1_SQL,
+    "op2_chat": OP2_SQL,
+    "op5_topk": OP5_SQL,
+    "op6_line_dedup": OP6_SQL,
+    "op7_mixing": OP7_SQL,
+    "op8_url_filter": OP8_SQL,
+    "op12_decontamination": OP12_SQL,
+}
