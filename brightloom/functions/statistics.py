@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import settle
 from ..errors import EmptyInput, InvalidParameter
 from ..operators.frame import need, numeric_columns
-from . import special
+from . import quantiles, special
 
 # ---- aggregate expressions -----------------------------------------------------
 
@@ -40,11 +40,6 @@ def kurtosis(x: Column) -> Column:
     return F.when(n >= 4, F.when(F.var_samp(x) == 0, 0.0).otherwise((F.kurtosis(x) + 3) * F.pow((n - 1) / n, F.lit(2.0)) - 3))
 
 
-def percentile(x: Column, q: float) -> Column:
-    """Exact, with linear interpolation."""
-    return F.percentile(x, F.lit(float(q)))
-
-
 def dot(a: Column, b: Column) -> Column:
     product = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(product, F.lit(0.0), lambda s, v: s + v)
@@ -97,23 +92,25 @@ def describe_column(df: DataFrame, column: str) -> DataFrame:
     range, skewness and kurtosis."""
     need(df, column)
     x = F.col(column).cast("double")
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    quarters = quantiles.of_columns(df, {column: x}, QUARTERS)[column]
     made = df.agg(
         F.count(x).alias("count"), F.count_if(F.col(column).isNull()).alias("null_count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.var_samp(x).alias("variance"),
-        F.min(x).alias("min"), q.alias("q"), F.max(x).alias("max"), (F.max(x) - F.min(x)).alias("range"), skewness(x).alias("skewness"), kurtosis(x).alias("kurtosis"),
+        F.min(x).alias("min"), *[F.lit(v).cast("double").alias(n) for v, n in zip(quarters, ("q25", "median", "q75"), strict=True)], F.max(x).alias("max"), (F.max(x) - F.min(x)).alias("range"), skewness(x).alias("skewness"), kurtosis(x).alias("kurtosis"),
     )
-    return made.select("count", "null_count", "mean", "std", "variance", "min", *[F.col("q")[k].alias(n) for k, n in enumerate(("q25", "median", "q75"))], "max", "range", "skewness", "kurtosis")
+    return made
 
 
+QUARTERS = (0.25, 0.5, 0.75)
 STATISTICS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
 def describe(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     """Rows count, mean, std, min, 25%, 50%, 75%, max; a column for each
-    numeric column; one aggregation over the data."""
+    numeric column; one aggregation over the data besides the quartiles'."""
     names = list(columns) or numeric_columns(df)
     need(df, *names)
-    one = lambda c: F.array(F.count(c).cast("double"), F.avg(c), F.stddev_samp(c), F.min(c).cast("double"), *[F.percentile(F.col(c).cast("double"), F.lit(q)) for q in (0.25, 0.5, 0.75)], F.max(c).cast("double"))
+    quarters = quantiles.of_columns(df, {c: F.col(c) for c in names}, QUARTERS)
+    one = lambda c: F.array(F.count(c).cast("double"), F.avg(c), F.stddev_samp(c), F.min(c).cast("double"), *[F.lit(q).cast("double") for q in quarters[c]], F.max(c).cast("double"))
     wide = df.agg(*[one(c).alias(c) for c in names])
     return wide.select(F.explode(F.arrays_zip(F.array(*[F.lit(s) for s in STATISTICS]).alias("statistic"), *names)).alias("r")).select("r.statistic", *[f"r.{c}" for c in names])
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import settle
 from ..errors import InvalidParameter, NotFitted
+from ..functions.quantiles import of_columns
 from .frame import need, with_row_id
 from .vectors import tile_pairs, tiles
 
@@ -68,10 +69,9 @@ def min_max_scaler(df: DataFrame, columns: Sequence[str], low: float = 0.0, high
 def robust_scaler(df: DataFrame, columns: Sequence[str], quantiles: tuple[float, float] = (25.0, 75.0), centering: bool = True, scaling: bool = True) -> AffineModel:
     """Exact percentiles; a column whose range of quantiles is 0 isn't scaled."""
     need(df, *columns)
-    at = F.array(*[F.lit(q / 100) for q in (quantiles[0], 50.0, quantiles[1])])
-    row = _first(df, [F.percentile(F.col(c).cast("double"), at) for c in columns])
+    found = of_columns(df, {c: F.col(c) for c in columns}, [q / 100 for q in (quantiles[0], 50.0, quantiles[1])])
     size = lambda q: q[2] - q[0] if scaling and q[2] - q[0] > EPS else 1.0
-    return AffineModel({c: (q[1] if centering else 0.0, size(q), 1.0, 0.0) for c, q in zip(columns, row, strict=True)})
+    return AffineModel({c: (q[1] if centering else 0.0, size(q), 1.0, 0.0) for c, q in found.items()})
 
 
 def normalize_rows(df: DataFrame, columns: Sequence[str], norm: str = "l2") -> DataFrame:
@@ -179,10 +179,12 @@ def imputer(df: DataFrame, columns: Sequence[str], strategy: str = "mean", const
         top = long.groupBy("x.c", "x.v").agg(F.count(F.lit(1)).alias("n")).groupBy("c").agg(F.max(F.struct("n", (-F.col("v")).alias("minus"))).alias("m"))
         found = {r["c"]: -r["m"]["minus"] for r in top.collect()}
         return FillModel({c: found.get(c, constant) for c in columns})
-    make = {"mean": F.avg, "median": F.median}.get(strategy)
-    if make is None:
+    if strategy == "median":
+        row = [q[0] for q in of_columns(df, {c: value(c) for c in columns}, [0.5]).values()]
+    elif strategy == "mean":
+        row = _first(df, [F.avg(value(c)) for c in columns])
+    else:
         raise InvalidParameter(strategy)
-    row = _first(df, [make(value(c)) for c in columns])
     return FillModel({c: constant if v is None else v for c, v in zip(columns, row, strict=True)})
 
 
@@ -332,8 +334,7 @@ def kbins(df: DataFrame, columns: Sequence[str], bins: int = 5, strategy: str =
         return BinModel({c: tuple(row[2 * k] + (row[2 * k + 1] - row[2 * k]) * s for s in steps) for k, c in enumerate(columns)}, one_hot)
     if strategy != "quantile":
         raise InvalidParameter(strategy)
-    row = _first(df, [F.percentile(F.col(c).cast("double"), F.array(*[F.lit(s) for s in steps])) for c in columns])
-    return BinModel({c: tuple(v) for c, v in zip(columns, row, strict=True)}, one_hot)
+    return BinModel({c: tuple(v) for c, v in of_columns(df, {c: F.col(c) for c in columns}, steps).items()}, one_hot)
 
 
 # ---- selection and resampling ----------------------------------------------------------

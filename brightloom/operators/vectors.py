@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import settle
 from ..errors import EmptyInput, InvalidParameter
+from ..functions.quantiles import of_columns
 from ..functions import statistics as st
 from .frame import need, with_row_id
 
@@ -352,7 +353,7 @@ def isolation_forest(df: DataFrame, vector: str, trees: int = 100, sample: int =
 
 def outlier_labels(df: DataFrame, score: str, contamination: float = 0.1, name: str = "label") -> DataFrame:
     """-1 for scores at or above the (1 - contamination) quantile, else 1."""
-    cut = df.agg(F.percentile(score, F.lit(1 - contamination))).first()[0]
+    cut = of_columns(df, {score: F.col(score)}, [1 - contamination])[score][0]
     return df.withColumn(name, F.when(F.col(score) >= F.lit(cut), -1).otherwise(1))
 
 

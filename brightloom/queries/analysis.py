@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import quantiles
 from ..functions import series as se
 from ..functions import statistics as st
 from ..functions import text as tx
@@ -52,8 +53,8 @@ def describe_frame(t: Tables):
 
 @query("SELECT p_brand, round(quantile_cont(p_retailprice, 0.1), 6) AS p10, round(median(p_retailprice), 6) AS p50, round(quantile_cont(p_retailprice, 0.9), 6) AS p90 FROM part GROUP BY 1")
 def percentiles(t: Tables):
-    x = F.col("p_retailprice")
-    return rounded(t.part.groupBy("p_brand").agg(st.percentile(x, 0.1).alias("p10"), F.median(x).alias("p50"), st.percentile(x, 0.9).alias("p90")))
+    found = quantiles.grouped(t.part, ["p_brand"], "p_retailprice", [0.1, 0.5, 0.9])
+    return rounded(found.select("p_brand", *[F.col("values")[k].alias(n) for k, n in enumerate(("p10", "p50", "p90"))]))
 
 
 @query("WITH c AS (SELECT l_quantity, count(*) AS count FROM lineitem GROUP BY 1) SELECT * FROM c WHERE count = (SELECT max(count) FROM c)")
