@@ -20,3 +20,10 @@ def settle(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="brightloom-"))
     return df.checkpoint()
+
+
+def held(df: DataFrame, few: int) -> DataFrame:
+    """``df`` computed once: kept by the driver if it is ``few`` rows at most (so
+    rows must be of bounded size), else settled."""
+    some = df.limit(few + 1).collect()
+    return df.sparkSession.createDataFrame(some, df.schema) if len(some) <= few else settle(df)

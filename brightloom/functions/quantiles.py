@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import settle
+from ..checkpoints import held
 from ..errors import InvalidParameter
 
 #: Values of a group, or of an interval, that one buffer may hold.
@@ -41,9 +41,7 @@ FEW = 1000
 
 
 def _held(df: DataFrame) -> DataFrame:
-    """Computed once: by the driver if it is a few rows, else in the shared folder."""
-    some = df.limit(FEW + 1).collect()
-    return df.sparkSession.createDataFrame(some, df.schema) if len(some) <= FEW else settle(df)
+    return held(df, FEW)
 
 
 def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:

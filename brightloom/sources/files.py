@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidParameter
+from . import quoted
 
 #: Texts that mean null in a CSV file.
 NULL_TOKENS = ("", "NA", "na", "N/A", "n/a", "null", "NULL", "NaN", "nan", "None")
@@ -74,8 +75,10 @@ def read_csv(
 ) -> DataFrame:
     """RFC 4180 files; every column is read as text, null tokens become null,
     and types come from the whole column or from ``kinds``. Short rows are
-    filled with nulls unless ``strict``. A file that may hold line breaks
-    within quotes is one task; without ``quoted_newlines`` large files split."""
+    filled with nulls unless ``strict``. Large files are split over many tasks,
+    also where records have line breaks within quotes, which takes a pass that
+    looks for them, left out without ``quoted_newlines``. (A delimiter of more
+    than one character is left to Spark, and a file to one task then.)"""
     reader = spark.read.option("sep", delimiter).option("multiLine", quoted_newlines).option("quote", '"').option("escape", '"').option("mode", "FAILFAST" if strict else "PERMISSIVE")
     first = reader.option("header", False).csv(path)
     n = len(first.columns)
@@ -84,7 +87,12 @@ def read_csv(
         head = first.limit(1).collect()
         names = header_names(list(head[0])) if head else names
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-    rows = reader.option("header", header).option("enforceSchema", True).schema(schema).csv(path)
+    rows = quoted.read(spark, path, n, delimiter, header, strict) if quoted_newlines and n and len(delimiter) == 1 else None
+    if rows is None:
+        reader = reader.option("multiLine", quoted_newlines and len(delimiter) > 1)
+        rows = reader.option("header", header).option("enforceSchema", True).schema(schema).csv(path)
+    else:
+        rows = rows.toDF(*names)
     if max_rows is not None:
         rows = rows.limit(max_rows)
     return _typed(rows, null_values, infer, kinds, booleans_from_digits)
