@@ -49,11 +49,28 @@ def json_array(t: Tables):
     return files.read_json(t.spark, path).select("n_nationkey", "n_name", "at")
 
 
+@query("SELECT doc_id, source, text || chr(13) || chr(10) || '\"' || lang || '\", ' || doc_id AS said FROM documents")
+def csv_quoted_breaks(t: Tables):
+    """Whole texts with their line breaks, quotes and delimiters."""
+    path = place(t)
+    said = F.concat("text", F.lit('\r\n"'), "lang", F.lit('", '), F.col("doc_id").cast("string"))
+    files.write_csv(t.documents.select("doc_id", "source", said.alias("said")), path, single=True)
+    return files.read_csv(t.spark, path, null_values=("",), infer=False, kinds={"doc_id": "bigint"})
+
+
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def feather_round_trip(t: Tables):
-    path = os.path.join(tempfile.mkdtemp(prefix="brightloom-"), "s.feather")
+    path = place(t)
     files.write_feather(t.supplier.select("s_suppkey", "s_name", "s_acctbal"), path)
-    return files.from_arrow(t.spark, files.to_arrow(files.read_feather(t.spark, path)))
+    return files.read_feather(t.spark, path)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem")
+def feather_columns(t: Tables):
+    """Three columns of a table in many batches."""
+    path = place(t)
+    files.write_feather(t.lineitem.repartition(4, "l_orderkey"), path, compression="zstd")
+    return files.read_feather(t.spark, path, ["l_orderkey", "l_linenumber", "l_shipdate"], split_bytes=1 << 18)
 
 
 @query("SELECT n.n_name, count(*) AS n, round(sum(s_acctbal), 2) AS total FROM supplier JOIN nation n ON s_nationkey = n_nationkey GROUP BY 1")

@@ -13,12 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidParameter
-from . import quoted
+from . import arrow_files, quoted
 
 #: Texts that mean null in a CSV file.
 NULL_TOKENS = ("", "NA", "na", "N/A", "n/a", "null", "NULL", "NaN", "nan", "None")
-#: The longest header of a safetensors file, by its format.
-HEADER_BYTES = 100_000_000
 #: Kinds that inference tries, in this order; text is the last resort.
 KINDS = ("boolean", "bigint", "double", "date")
 
@@ -135,7 +133,7 @@ def _typed(rows: DataFrame, null_values: Sequence[str], infer: bool, kinds: Mapp
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     """Nulls as empty fields; one file on request only, as one task writes it."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
+    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("emptyValue", "").option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -154,27 +152,22 @@ def to_arrow(df: DataFrame) -> pa.Table:
     return df.toArrow()
 
 
-def read_feather(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Arrow IPC files, read by the executors: each task maps its own files, so
-    the paths must be reachable from there."""
-    import pyarrow.feather as feather
-
+def read_feather(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] = (), split_bytes: int = arrow_files.SPLIT_BYTES) -> DataFrame:
+    """Arrow IPC files or folders of them: record batches are dealt out over
+    tasks, and only ``columns`` (all, if none is named) are read."""
+    arrow_files.register(spark)
     paths = [paths] if isinstance(paths, str) else list(paths)
-    empty = feather.read_table(paths[0]).slice(0, 0)
-    schema = spark.createDataFrame(empty).schema
-
-    def load(batches):
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                yield from feather.read_table(path).to_batches()
-
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths)).mapInArrow(load, schema)
+    reader = spark.read.format(arrow_files.ARROW).option("paths", json.dumps(paths)).option("split_bytes", split_bytes)
+    if columns:
+        whole = reader.load().schema
+        reader = reader.schema(T.StructType([whole[c] for c in columns]))
+    return reader.load()
 
 
-def write_feather(df: DataFrame, path: str) -> None:
-    import pyarrow.feather as feather
-
-    feather.write_feather(df.toArrow(), path)
+def write_feather(df: DataFrame, path: str, mode: str = "overwrite", compression: str = "lz4") -> None:
+    """A folder of Arrow IPC files, one of each task."""
+    arrow_files.register(df.sparkSession)
+    df.write.format(arrow_files.ARROW).mode(mode).option("compression", compression).save(path)
 
 
 def feather_bytes(df: DataFrame) -> bytes:
@@ -185,27 +178,13 @@ def feather_bytes(df: DataFrame) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def tensor_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(path, name, dtype, shape, start, end) of the tensors in safetensors
-    files: a little-endian 64-bit length, then that much JSON. Executors read
-    the headers only, so the paths must be reachable from there; offsets are
-    from the end of the header."""
+def tensor_headers(spark: SparkSession, paths: str | Sequence[str], part: str = "tensors") -> DataFrame:
+    """(path, name, dtype, shape, start, end) of the tensors in
+    safetensors and GGUF files, or ``part="metadata"``: (path, format, key,
+    value). Only headers are read; offsets are from the start of the data."""
+    arrow_files.register(spark)
     paths = [paths] if isinstance(paths, str) else list(paths)
-
-    def load(batches):
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                with open(path, "rb") as f:
-                    size = int.from_bytes(f.read(8), "little")
-                    if not 0 < size <= HEADER_BYTES:
-                        raise ValueError(f"{path}: a header of {size} bytes")
-                    found = json.loads(f.read(size))
-                rows = [{"path": path, "name": k, "dtype": v["dtype"], "shape": v["shape"], "start": v["data_offsets"][0], "end": v["data_offsets"][1]} for k, v in found.items() if k != "__metadata__"]
-                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
-
-    kinds = pa.schema([("path", pa.string()), ("name", pa.string()), ("dtype", pa.string()), ("shape", pa.list_(pa.int64())), ("start", pa.int64()), ("end", pa.int64())])
-    at = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
-    return at.mapInArrow(load, "path string, name string, dtype string, shape array<long>, start long, end long")
+    return spark.read.format(arrow_files.TENSORS).option("paths", json.dumps(paths)).option("part", part).load()
 
 
 def read_url(spark: SparkSession, url: str) -> DataFrame:
