@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import settle
 from ..errors import EmptyInput, InvalidParameter
-from ..functions.quantiles import of_columns
 from ..functions import statistics as st
+from ..functions.quantiles import of_columns
 from .frame import need, with_row_id
 
 TILE = 2048
+#: Pivots of an index, the rows they are chosen from, and bytes of its summaries.
+PIVOTS, PIVOT_SAMPLE, SUMMARY_BYTES = 256, 4096, 64 << 20
 
 
 # ---- vector store ----------------------------------------------------------------
@@ -235,76 +237,319 @@ def _squares(data: bytes, n: int, other_data: bytes, m: int) -> tuple[np.ndarray
     return y, x, np.maximum(sy[:, None] - 2 * y @ x.T + sx, 0), 1e-12 * float(sy.max() + sx.max())
 
 
+class PivotIndex:
+    """Vectors in tiles of near ones, with what rules pairs of tiles out.
+
+    Pivots are spread over a bounded sample, each farthest from those before. A
+    row goes to its nearest pivot's cell, rows of a cell are in the order of their
+    distance from it, and are cut into tiles, so a hot cell is many tiles. A tile
+    knows its rows' least and greatest distance from every pivot: by the
+    triangle inequality rows of two tiles are at least as far apart as their
+    ranges are, for any pivot. The summaries of all tiles are broadcast; pivots are
+    as few as keep them under ``SUMMARY_BYTES``."""
+
+    def __init__(self, df: DataFrame, key: str, vector: str):
+        self.kind, self.size = df.schema[key].dataType.simpleString(), TILE
+        size = self.size
+        rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"))
+        n = rows.count()
+        self.one = n <= size
+        pivots = np.zeros((0, 0))
+        if self.one:
+            rows = rows.coalesce(1)
+        else:
+            some = rows.select("v").orderBy(F.xxhash64("v")).limit(PIVOT_SAMPLE).collect()
+            pivots = spread(_matrix(pd.Series([r[0] for r in some])), max(2, min(PIVOTS, 2 * n // size, SUMMARY_BYTES * size // (64 * n))))
+            cells = rows.mapInArrow(lambda batches: _in_cells(batches, pivots, size), f"k {self.kind}, v array<double>, cell int, far double")
+            rows = cells.repartitionByRange("cell", "far").sortWithinPartitions("cell", "far")
+        tiles = rows.mapInArrow(lambda batches: _cut(batches, pivots, size), f"keys array<{self.kind}>, data binary, low binary, high binary, norm double")
+        self.tiles = tiles.withColumn("tile", F.lit(0).cast("long") if self.one else F.monotonically_increasing_id())
+        if not self.one:
+            self.tiles = settle(self.tiles)
+            found = self.tiles.select("tile", "low", "high", "norm").orderBy("tile").collect()
+            few = max(1, SUMMARY_BYTES // (16 * len(found)))
+            low, high = (np.stack([np.frombuffer(r[c])[:few] for r in found]) for c in ("low", "high"))
+            self.numbers = [r["tile"] for r in found]
+            self.slack = 1e-7 * max(r["norm"] for r in found)  # of distances by matrix products
+            self.summary = df.sparkSession.sparkContext.broadcast((np.array(self.numbers), low, high))
+
+    def partners(self, reach: DataFrame | float, itself: bool) -> DataFrame:
+        """(tile, other_tile) of the pairs of which some rows may be within
+        ``reach``: one number, or (tile, reach) with one for each tile."""
+        summary, slack = self.summary, self.slack
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            numbers, low, high = summary.value
+            for batch in batches:
+                for tile, far in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    at = int(np.searchsorted(numbers, tile))
+                    gap = np.maximum(low - high[at], low[at] - high).max(1)
+                    near = (gap <= far + slack) & (itself | (numbers != tile))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(near.sum()), tile)), pa.array(numbers[near])], names=["tile", "other_tile"])
+
+        if not isinstance(reach, DataFrame):
+            reach = self.tiles.select("tile", F.lit(float(reach)).alias("reach"))
+        return reach.select("tile", "reach").mapInArrow(run, "tile long, other_tile long")
+
+    def pairs(self, partners: DataFrame | None, *more: str) -> DataFrame:
+        """(tile, keys, data, *more, other_tile, other_keys, other_data,
+        *other_more) of partners; of the one tile with itself, if there is one."""
+        mine, names = self.tiles.select("tile", "keys", "data", *more), ["tile", "keys", "data", *more]
+        theirs = [F.col(c).alias(f"other_{c}") for c in names]
+        if self.one:
+            return mine.select(*names, *theirs)
+        dealt = partners.repartition("tile", "other_tile")
+        return mine.join(dealt, "tile").join(self.tiles.select(*theirs), "other_tile").select(*names, *[f"other_{c}" for c in names])
+
+    def with_column(self, name: str, values: DataFrame) -> None:
+        """Adds a column of arrays to the tiles, from rows (tile, at, value); what
+        a tile's row has none of is null."""
+        lists = values.groupBy("tile").agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("m"))
+        joined = self.tiles.drop(name).join(lists, "tile", "left")
+        at = F.sequence(F.lit(0), F.size("keys") - 1)
+        self.tiles = settle(joined.withColumn(name, F.transform(at, lambda i: F.try_element_at("m", i))).drop("m"))
+
+
+def spread(sample: np.ndarray, n: int) -> np.ndarray:
+    """At most ``n`` rows of the sample, each the farthest from those before, in
+    the order of a chain from each to the nearest left: near cells have near
+    numbers, and small ones share a tile."""
+    chosen, far = [0], ((sample - sample[0]) ** 2).sum(1)
+    while len(chosen) < n and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((sample - sample[chosen[-1]]) ** 2).sum(1))
+    left, chain = sample[chosen], []
+    at = left[0]
+    while len(left):
+        k = int(((left - at) ** 2).sum(1).argmin())
+        at = left[k]
+        chain.append(at)
+        left = np.delete(left, k, 0)
+    return np.stack(chain)
+
+
+def _from_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(1), 0))
+
+
+def _in_cells(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, size):
+            batch = whole.slice(at, size)
+            x = _matrix(batch.column(1).to_pandas())
+            d = _from_pivots(x, pivots)
+            cell = d.argmin(1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(cell, pa.int32()), pa.array(d[np.arange(len(x)), cell])], names=["k", "v", "cell", "far"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Tiles of at most ``most`` rows, cut where a cell ends if they aren't small."""
+
+    def tile(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        x = _matrix(rows.column("v").to_pandas())
+        keys = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), rows.column("k").combine_chunks())
+        d = _from_pivots(x, pivots) if len(pivots) else np.zeros((len(x), 0))
+        made = [keys, pa.array([x.tobytes()], pa.binary()), *[pa.array([v.tobytes()], pa.binary()) for v in (d.min(0), d.max(0))], pa.array([float(np.sqrt((x * x).sum(1).max()))])]
+        return pa.RecordBatch.from_arrays(made, names=["keys", "data", "low", "high", "norm"])
+
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for batch in batches:
+        cells = batch.column(2).to_numpy() if batch.num_columns > 2 else np.zeros(batch.num_rows, np.int32)
+        edges = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+        for s, e in zip(edges, edges[1:], strict=False):
+            if held and size >= most // 4 and cells[s] != last:
+                yield tile(held)
+                held, size = [], 0
+            last = cells[s]
+            while s < e:
+                part = batch.slice(s, min(e - s, most - size))
+                held.append(part)
+                size, s = size + part.num_rows, s + part.num_rows
+                if size == most:
+                    yield tile(held)
+                    held, size = [], 0
+    if held:
+        yield tile(held)
+
+
+class _Pair:
+    """The rows of two tiles with their squared distances; rows of one key are
+    infinitely far apart."""
+
+    def __init__(self, batch: pa.RecordBatch, r: int, keys: int, data: int, other_keys: int, other_data: int):
+        self.own, others = batch.column(keys)[r].values, batch.column(other_keys)[r].values
+        y, x, d2, self.slack = _squares(batch.column(data)[r].as_py(), len(self.own), batch.column(other_data)[r].as_py(), len(others))
+        self.order = pc.array_sort_indices(others).to_numpy()  # ties go to smaller keys
+        self.others, self.y, self.x, self.d2 = others.take(pa.array(self.order)), y, x[self.order], d2[:, self.order]
+        code = {v: i for i, v in enumerate(dict.fromkeys([*self.own.to_pylist(), *self.others.to_pylist()]))}
+        mine, theirs = (np.array([code[v] for v in c.to_pylist()]) for c in (self.own, self.others))
+        self.d2[mine[:, None] == theirs] = np.inf
+
+    def within(self, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, columns and exact distances of pairs up to the squared limits, or
+        a little above."""
+        row, col = np.nonzero((self.d2 <= limit[:, None] + self.slack) & np.isfinite(self.d2))
+        return row, col, np.sqrt(((self.y[row] - self.x[col]) ** 2).sum(1))
+
+
 def neighbours(df: DataFrame, key: str, vector: str, k: int | None = None, radius: float | None = None) -> DataFrame:
     """(key, other, distance): the k nearest others, or all within ``radius``
     (rows of its own key excluded). Ties to smaller keys, null keys last; null
-    vectors take no part. A pair of tiles leaves each row's k best, of which
-    the best k of all tiles are kept."""
-    kind = df.schema[key].dataType.simpleString()
-    names = ["tile", "at", key, "other", "distance"]
+    vectors take no part. For the k nearest, each tile first finds them within
+    itself, which bounds how far they are; only tiles that may be as near are
+    compared with it, and leave each row's k best."""
+    index = PivotIndex(df, key, vector)
+    kind = index.kind
+
+    def found(pair: _Pair, tile: int, kth: np.ndarray | None) -> pa.RecordBatch:
+        n, m = len(pair.own), len(pair.others)
+        if k is not None:
+            limit = np.partition(pair.d2, k - 1, axis=1)[:, k - 1] if k < m else np.full(n, np.inf)
+            limit = limit if kth is None else np.minimum(limit, kth**2 * (1 + 1e-12))
+        else:
+            limit = np.full(n, float(radius) ** 2)
+        row, col, d = pair.within(limit)
+        if k is not None:
+            by = np.lexsort((col, d, row))
+            row, col, d = row[by], col[by], d[by]
+            ok = np.arange(len(row)) - np.searchsorted(row, row) < k
+        else:
+            ok = d <= radius
+        row, col, d = row[ok], col[ok], d[ok]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), tile, np.int64)), pa.array(row, pa.int32()), pair.own.take(pa.array(row)), pair.others.take(pa.array(col)), pa.array(d)], names=["tile", "at", key, "other", "distance"])
+
+    schema = f"tile long, at int, `{key}` {kind}, other {kind}, distance double"
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                yield found(_Pair(batch, r, 1, 2, 1, 2), batch.column(0)[r].as_py(), None)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                own, others = batch.column(1)[r].values, batch.column(4)[r].values
-                y, x, d2, slack = _squares(batch.column(2)[r].as_py(), len(own), batch.column(5)[r].as_py(), len(others))
-                order = pc.array_sort_indices(others).to_numpy()
-                others, x, d2 = others.take(pa.array(order)), x[order], d2[:, order]
-                code = {v: i for i, v in enumerate(dict.fromkeys([*own.to_pylist(), *others.to_pylist()]))}
-                mine, theirs = (np.array([code[v] for v in c.to_pylist()]) for c in (own, others))
-                d2[mine[:, None] == theirs] = np.inf
-                if k is not None:
-                    limit = np.partition(d2, k - 1, axis=1)[:, k - 1 : k] if k < len(others) else np.full((len(own), 1), np.inf)
-                else:
-                    limit = np.full((len(own), 1), float(radius) ** 2)
-                row, col = np.nonzero((d2 <= limit + slack) & np.isfinite(d2))
-                d = np.sqrt(((y[row] - x[col]) ** 2).sum(1))
-                if k is not None:
-                    by = np.lexsort((col, d, row))
-                    row, col, d = row[by], col[by], d[by]
-                    ok = np.arange(len(row)) - np.searchsorted(row, row) < k
-                else:
-                    ok = d <= radius
-                row, col, d = row[ok], col[ok], d[ok]
-                tile = np.full(len(row), batch.column(0)[r].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(row, pa.int32()), own.take(pa.array(row)), others.take(pa.array(col)), pa.array(d)], names=names)
-
-    pairs = _self_pairs(df, vector, key).mapInArrow(run, f"tile long, at int, `{key}` {kind}, other {kind}, distance double")
-    if k is not None:
-        best = W.partitionBy("tile", "at").orderBy("distance", F.asc_nulls_last("other"))
-        pairs = pairs.withColumn("_nth", F.row_number().over(best)).where(F.col("_nth") <= k)
-    return pairs.select(key, "other", "distance")
+                kth = np.array([np.inf if v is None else v for v in batch.column(6)[r].as_py()]) if k is not None else None
+                yield found(_Pair(batch, r, 1, 2, 4, 5), batch.column(0)[r].as_py(), kth)
+
+    tiles = index.tiles.select("tile", "keys", "data")
+    if k is None:
+        if index.one:
+            return tiles.mapInArrow(inside, schema).select(key, "other", "distance")
+        pairs = index.pairs(index.partners(radius, True))
+        return pairs.mapInArrow(across, schema).select(key, "other", "distance")
+    best = lambda rows: rows.withColumn("_nth", F.row_number().over(W.partitionBy("tile", "at").orderBy("distance", F.asc_nulls_last("other")))).where(F.col("_nth") <= k)
+    own = tiles.mapInArrow(inside, schema)
+    if index.one:
+        return best(own).select(key, "other", "distance")
+    own = settle(own)
+    index.with_column("kth", own.groupBy("tile", "at").agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("value")))
+    far = F.aggregate("kth", F.lit(0.0), lambda s, d: F.greatest(s, F.coalesce(d, F.lit(float("inf")))))
+    partners = index.partners(index.tiles.select("tile", far.alias("reach")), False)
+    pairs = index.pairs(partners, "kth").select("tile", "keys", "data", "other_tile", "other_keys", "other_data", "kth")
+    return best(own.unionByName(pairs.mapInArrow(across, schema))).select(key, "other", "distance")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root): the smallest node that each node of ``links`` (a, b) is
+    linked with, by smallest labels of neighbours and pointer jumping."""
+    links = settle(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    labels = links.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
+    while True:
+        low = links.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("low"))
+        new = labels.join(low, F.col("node") == F.col("a"), "left").select("node", "root", F.least("root", "low").alias("new"))
+        up = new.select(F.col("node").alias("p"), F.col("new").alias("up"))
+        new = settle(new.join(up, F.col("new") == F.col("p"), "left").select("node", "root", F.least("new", F.coalesce("up", "new")).alias("new")))
+        if new.where("new <> root").isEmpty():
+            return new.select("node", "root")
+        labels = new.select("node", F.col("new").alias("root"))
 
 
 def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """(key, cluster): clusters from 0 in the order of their smallest core key,
-    noise -1; a border point joins the smallest cluster it touches."""
-    pairs = neighbours(df, key, vector, radius=eps).select(F.col(key).alias("a"), F.col("other").alias("b")).persist()
-    core = pairs.groupBy("a").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") >= min_samples).select("a")
-    if min_samples <= 1:
-        core = df.select(F.col(key).alias("a"))
-    links = pairs.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi")
-    labels = core.withColumn("label", F.col("a"))
-    while True:  # smallest label of the neighbours, with pointer jumping
-        low = links.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("low"))
-        new = labels.join(low, "a", "left").select("a", "label", F.least("label", "low").alias("new"))
-        up = new.select(F.col("a").alias("p"), F.col("new").alias("up"))
-        new = new.join(up, F.col("new") == F.col("p"), "left").select("a", "label", F.least("new", F.coalesce("up", "new")).alias("new"))
-        new = settle(new)
-        changed = not new.where("new <> label").isEmpty()
-        labels = new.select("a", F.col("new").alias("label"))
-        if not changed:
-            break
-    border = pairs.join(core, "a", "left_anti").join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("label"))
-    every = labels.unionByName(border)
-    numbers = every.select("label").distinct().withColumn("cluster", (F.row_number().over(W.orderBy("label")) - 1).cast("int"))
-    out = df.select(F.col(key).alias("a")).join(every, "a", "left").join(numbers, "label", "left")
-    return out.select(F.col("a").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    noise -1; a border point joins the smallest cluster it touches.
+
+    Pairs of tiles leave a count for each row, which tells the cores; then
+    links that join up what core rows of the two join up, fewer than rows; and
+    last the smallest cluster that each border row touches there. Pairs of
+    rows within reach are never listed."""
+    index = PivotIndex(df, key, vector)
+    size = index.size  # rows are known by tile and place
+    if index.one:
+        index.tiles = settle(index.tiles)
+    near = None if index.one else settle(index.partners(eps, True))
+
+    def over(work, schema: str, *more: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                half = batch.num_columns // 2
+                for r in range(batch.num_rows):
+                    pair = _Pair(batch, r, 1, 2, half + 1, half + 2)
+                    row, col, d = pair.within(np.full(len(pair.own), float(eps) ** 2))
+                    row, col = row[d <= eps], pair.order[col[d <= eps]]
+                    mine, theirs = ([np.array([np.nan if v is None else float(v) for v in batch.column(3 + side + i)[r].as_py()]) for i in range(len(more))] for side in (0, half))
+                    yield from work(batch.column(0)[r].as_py(), batch.column(half)[r].as_py(), row, col, mine, theirs)
+
+        return index.pairs(near, *more).mapInArrow(run, schema)
+
+    def counts(tile, other, row, col, mine, theirs):
+        at, n = np.unique(row, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tile)), pa.array(at, pa.int32()), pa.array(n)], names=["tile", "at", "n"])
+
+    counted = over(counts, "tile long, at int, n long").groupBy("tile", "at").agg(F.sum("n").alias("n"))
+    every = index.tiles.select("tile", F.posexplode("keys").alias("at", "k"))
+    cores = every.join(counted, ["tile", "at"], "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("tile", "at", "k")
+    cores = settle(cores)
+    index.with_column("core", cores.select("tile", "at", F.lit(True).alias("value")))
+
+    def links(tile, other, row, col, mine, theirs):
+        ok = (mine[0][row] == 1) & (theirs[0][col] == 1)
+        row, col = row[ok], col[ok]
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        took = []
+        for a, b in zip((tile * size + row).tolist(), (other * size + col).tolist(), strict=True):
+            x, y = top(a), top(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                took.append((a, b))
+        ends = list(zip(*took, strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], names=["a", "b"])
+
+    roots = components(over(links, "a long, b long", "core"))
+    cores = cores.withColumn("node", F.col("tile") * size + F.col("at")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    cores = settle(cores)
+    named = cores.groupBy("root").agg(F.min("k").alias("label"))
+    named = with_row_id(named, ["label", "root"], "cluster").select("root", F.col("cluster").cast("int").alias("cluster"))
+    cores = settle(cores.join(named, "root").select("tile", "at", "cluster"))
+    index.with_column("cluster", cores.select("tile", "at", F.col("cluster").alias("value")))
+
+    def borders(tile, other, row, col, mine, theirs):
+        label = theirs[0][col]
+        ok = np.isnan(mine[0][row]) & ~np.isnan(label)
+        row, label = row[ok], label[ok]
+        by = np.lexsort((label, row))
+        at, first = np.unique(row[by], return_index=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tile)), pa.array(at, pa.int32()), pa.array(label[by][first], pa.float64())], names=["tile", "at", "cluster"])
+
+    touched = over(borders, "tile long, at int, cluster double", "cluster").groupBy("tile", "at").agg(F.min("cluster").cast("int").alias("cluster"))
+    known = cores.unionByName(touched)
+    out = every.join(known, ["tile", "at"], "left").select(F.col("k").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    none = df.where(F.col(vector).isNull()).select(F.col(key), F.lit(-1).alias("cluster"))
+    return out.unionByName(none)
 
 
 def local_outlier_factor(df: DataFrame, key: str, vector: str, k: int = 20) -> DataFrame:
     """(key, lof) over exactly k neighbours."""
-    near = neighbours(df, key, vector, k=k).persist()
+    near = settle(neighbours(df, key, vector, k=k))
     reach = near.groupBy(key).agg(F.max("distance").alias("kd"))
     pairs = near.join(reach.select(F.col(key).alias("other"), F.col("kd").alias("other_kd")), "other")
     density = pairs.groupBy(key).agg((1 / F.greatest(F.avg(F.greatest("distance", "other_kd")), F.lit(1e-12))).alias("lrd"))
