@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..operators import evaluation as ev
 from ..operators import models as ml
 from ..operators import preprocessing as pp
+from ..operators import trees
 from ..operators import vectors as vec
 from ..sources import generators as gen
 from ..streaming import streams
@@ -599,38 +600,65 @@ def ols(t: Tables):
     return one_row(t, {"slope": round(m.weights[0], 6), "intercept": round(m.bias, 4)})
 
 
+def labelled(t: Tables) -> DataFrame:
+    """Line items, with a label and a value that other columns tell."""
+    label = (F.col("l_quantity") + 200 * F.col("l_discount") > 35).cast("int")
+    return t.lineitem.withColumns({"label": label, "value": F.col("l_quantity") * (1 - 5 * F.col("l_discount"))})
+
+
 @query()
 def logistic(t: Tables):
-    rows = gen.make_classification(t.spark, 1000)
-    m = ml.logistic_regression(rows, ["f0", "f1", "f2", "f3"], "label")
-    return ev.classification_metrics(m.transform(rows), "label", "prediction")
+    m = ml.logistic_regression(labelled(t), ["l_quantity", "l_discount"], "label")
+    return ev.classification_metrics(m.transform(labelled(t)), "label", "prediction")
 
 
 @query()
 def linear_svc(t: Tables):
-    rows = gen.make_classification(t.spark, 1000)
-    m = ml.linear_svc(rows, ["f0", "f1", "f2", "f3"], "label", rounds=10)
-    return ev.classification_metrics(m.transform(rows), "label", "prediction")
+    m = ml.linear_svc(labelled(t), ["l_quantity", "l_discount"], "label", rounds=10)
+    return ev.classification_metrics(m.transform(labelled(t)), "label", "prediction")
+
+
+SPLITS = """x AS (SELECT unnest([0, 1]) AS feature, unnest([l_discount, l_quantity]) AS v, l_extendedprice AS y FROM lineitem),
+ g AS (SELECT feature, v, count(*)::DOUBLE AS n, sum(y) AS s FROM x GROUP BY ALL),
+ p AS (SELECT feature, v, lead(v) OVER w AS following, sum(n) OVER w AS m, sum(s) OVER w AS l, sum(n) OVER f AS n, sum(s) OVER f AS s FROM g WINDOW w AS (PARTITION BY feature ORDER BY v), f AS (PARTITION BY feature)),
+ c AS (SELECT *, (l * l / m + (s - l) * (s - l) / (n - m) - s * s / n) / n AS gain FROM p WHERE following IS NOT NULL)"""
+
+
+@query(f"WITH {SPLITS} SELECT feature::INTEGER AS feature, round(v + (following - v) / 2, 6) AS threshold, round(gain / 1e6, 4) AS gain, round(l / m, 3) AS below, round((s - l) / (n - m), 3) AS above FROM c ORDER BY c.gain DESC, feature, v LIMIT 1")
+def tree_split(t: Tables):
+    """The best of all cuts of a table."""
+    tree = trees.decision_tree(t.lineitem, ["l_discount", "l_quantity"], "l_extendedprice", "mse", max_depth=1)
+    top, low, high = tree.nodes
+    return one_row(t, {"feature": top.feature, "threshold": round(top.threshold, 6), "gain": round(top.gain / 1e6, 4), "below": round(tree.value(low), 3), "above": round(tree.value(high), 3)}).withColumn("feature", F.col("feature").cast("int"))
+
+
+@query()
+def exact_tree(t: Tables):
+    columns = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+    rows = labelled(t)
+    tree = trees.decision_tree(rows, columns, "label", "entropy", max_depth=4)
+    return tree.transform(rows).select("l_orderkey", "l_linenumber", "label", "prediction")
 
 
 @query()
 def random_forest(t: Tables):
-    rows = gen.make_moons(t.spark, 1000)
-    fitted = ml.estimator("random_forest_classifier", ["x", "y"], "label", numTrees=10, seed=1).fit(rows)
-    return ev.classification_metrics(fitted.transform(rows), "label", "prediction")
+    rows = labelled(t)
+    forest = trees.random_forest(rows, ["l_quantity", "l_discount", "l_tax"], "label", trees=5, max_depth=3, features=2)
+    return ev.classification_metrics(forest.transform(rows), "label", "prediction")
 
 
 @query()
 def boosted_trees(t: Tables):
-    rows = gen.make_regression(t.spark, 1000)
-    fitted = ml.estimator("gbt_regressor", ["f0", "f1", "f2", "f3"], "target", maxIter=10, seed=1).fit(rows)
-    return ev.regression_metrics(fitted.transform(rows), "target", "prediction", 4)
+    rows = labelled(t).select("l_quantity", "l_discount", "l_tax", "value")
+    fitted = ml.estimator("gbt_regressor", ["l_quantity", "l_discount", "l_tax"], "value", maxIter=5, seed=1).fit(rows)
+    return ev.regression_metrics(fitted.transform(rows), "value", "prediction", 3)
 
 
 @query()
 def one_vs_rest(t: Tables):
-    rows = gen.make_clusters(t.spark, 600)
-    return ev.classification_report(ml.predict_one_vs_rest(rows, ml.one_vs_rest(rows, ["f0", "f1"], "label")), "label", "prediction")
+    columns = [f"e{k}" for k in range(8)]
+    rows = t.embeddings.select("label", *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(columns)])
+    return ev.classification_report(ml.predict_one_vs_rest(rows, ml.one_vs_rest(rows, columns, "label")), "label", "prediction")
 
 
 @query()
@@ -640,11 +668,13 @@ def partial_dependence(t: Tables):
     return rounded(ml.partial_dependence(rows, "l_quantity", m.transform), 2)
 
 
-@query()
+@query("SELECT s_suppkey, unnest([0, 1, 2])::INTEGER AS feature, round(unnest([s_acctbal, 2.0::DOUBLE * s_nationkey, 3.0::DOUBLE * length(s_name)]), 5) AS shap FROM supplier")
 def kernel_shap(t: Tables):
-    rows = gen.make_regression(t.spark, 20)
-    weights = np.arange(1, 5.0)
-    return ml.shap_frame(rows, ["f0", "f1", "f2", "f3"], lambda x: x @ weights, np.zeros((4, 4))).select("id", "shap")
+    """Of a linear model: weights times values."""
+    rows = t.supplier.select("s_suppkey", "s_acctbal", "s_nationkey", F.length("s_name").alias("n"))
+    weights = np.arange(1, 4.0)
+    found = ml.shap_frame(rows, ["s_acctbal", "s_nationkey", "n"], lambda x: x @ weights, np.zeros((4, 3)))
+    return rounded(found.select("s_suppkey", F.posexplode("shap").alias("feature", "shap")), 5)
 
 
 @query()
