@@ -6,7 +6,7 @@ and queries are packed into tiles of bounded numbers of rows, of 32-bit integers
 where these hold them. The query blocks, which are the small side, are sent to
 the tiles by an equi-join on the tile's number; one matrix product scores a
 pair, each query keeps the tile's k best by partial selection, and the lists of
-a query are merged in a tree: groups of tiles first, then what they left. Work
+a query are merged in a tree of as many levels as the number of tiles asks for. Work
 and bytes sent grow with queries times tiles, which is the task itself.
 
 Ties go to the smaller id. Defined cases: vectors that are null, or hold null
@@ -28,9 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import join_salted, materialize
+from .common import materialize, small_or_plain
 
 TILE, BLOCK, FAN = 4096, 1024, 16
+#: Tiles that share a copy of a query block on its way, about.
+GROUP = 256
 NULL_ID = np.iinfo(np.int64).max
 
 
@@ -99,7 +101,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, v
     blocks = _packed(rows.where("q and id is not null").select("id", "v"), BLOCK).withColumn("block", F.monotonically_increasing_id())
     blocks = materialize(blocks)
     tiles = materialize(_packed(rows.select("id", "v"), TILE).withColumn("tile", F.monotonically_increasing_id()))
-    sent = join_salted(blocks.select("dim", "block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), tiles.select("dim", "tile"), ["dim"], "block")
+    # a block goes to groups of tiles, and from there to the tiles
+    n_tiles = tiles.count()
+    groups = max(1, -(-n_tiles // GROUP))
+    sent = blocks.select("dim", "block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    some, _ = small_or_plain(tiles.select("dim", "tile", F.pmod(F.xxhash64("tile"), F.lit(groups)).cast("int").alias("group")))
+    sent = sent.join(some, ["dim", "group"]).drop("group")
     both = sent.drop("dim").join(tiles.drop("n"), "tile")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,9 +124,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, v
                 at = best(scores, ids, k)
                 found = np.take_along_axis(scores, at, 1)
                 row, col = np.nonzero(found > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(row), block), row, q_ids[row], ids[at[row, col]], found[row, col].astype(np.int64), np.full(len(row), tile % FAN))], names=["block", "row", "query_id", "cand", "score", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(row), block), row, q_ids[row], ids[at[row, col]], found[row, col].astype(np.int64), np.full(len(row), tile))], names=["block", "row", "query_id", "cand", "score", "part"])
 
     scored = both.select("block", "dim", "ids", "data", "q_ids", "q_data", "tile").mapInArrow(run, "block long, row long, query_id long, cand long, score long, part long")
-    some = _merge(scored, ["block", "row", "part"], k).drop("rank")
-    done = _merge(some, ["block", "row"], k)
+    # about FAN lists meet at a time, level by level
+    while n_tiles > FAN:
+        n_tiles = -(-n_tiles // FAN)
+        scored = _merge(scored.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(n_tiles))), ["block", "row", "part"], k).drop("rank")
+    done = _merge(scored, ["block", "row"], k)
     return done.select("query_id", "rank", F.when(F.col("cand") != int(NULL_ID), F.col("cand")).alias("vec_id"), "score")
