@@ -37,7 +37,12 @@ from pyspark.sql import types as T
 
 from .hashing import give_back, raw_texts, slices
 
-MEMO_SIZE = 300_000
+#: Fragments and ids that a worker remembers, in bytes; longer fragments aren't.
+MEMO_BYTES, MEMO_LONGEST = 64 << 20, 256
+#: What an entry takes besides its bytes, about.
+MEMO_ENTRY = 160
+#: Fragments that are cut off a text at once.
+AT_ONCE = 1 << 16
 
 #: ASCII without control characters, U+00C0 to U+047F and U+4000 to U+8FFF:
 #: every Unicode table agrees on what is a letter, a number or white space there.
@@ -93,6 +98,7 @@ class Codec:
             inside[codes[:-1], codes[1:]] = True
         self.forced = ~inside
         self.memo: dict[bytes, bytes] = {}
+        self.held = 0
 
         code = np.arange(256)
         self.space = (code == 32) | ((code >= 9) & (code <= 13))
@@ -116,9 +122,12 @@ class Codec:
         ok |= self.letter[left] & self.letter[right] & ((before != 0x27) | (at == 0))
         return at[ok] + 1
 
-    def fragments(self, raw: bytes) -> list[bytes]:
-        at = self.cuts(raw).tolist()
-        return [raw[s:e] for s, e in zip([0, *at], [*at, len(raw)], strict=True)]
+    def fragments(self, raw: bytes) -> Iterator[list[bytes]]:
+        """Some fragments of a text at a time."""
+        at = np.concatenate([[0], self.cuts(raw), [len(raw)]])
+        for k in range(0, len(at) - 1, AT_ONCE):
+            some = at[k : k + AT_ONCE + 1].tolist()
+            yield [raw[s:e] for s, e in zip(some, some[1:], strict=False)]
 
     def encode_fragment(self, raw: bytes) -> bytes:
         text = raw.decode()
@@ -128,22 +137,27 @@ class Codec:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
-        for raw in texts:
-            parts = self.fragments(raw) if raw else []
-            memo = self.memo
-            try:
-                out.append(b"".join([memo[f] for f in parts]))
-                continue
-            except KeyError:
-                pass
-            if len(memo) > MEMO_SIZE:
-                memo.clear()
-            for f in parts:
-                if f not in memo:
-                    memo[f] = self.encode_fragment(f)
-            out.append(b"".join([memo[f] for f in parts]))
-        return out
+        return [b"".join(map(self._ids, self.fragments(raw))) if raw else b"" for raw in texts]
+
+    def _ids(self, parts: list[bytes]) -> bytes:
+        memo = self.memo
+        try:
+            return b"".join([memo[f] for f in parts])
+        except KeyError:
+            pass
+        made = []
+        for f in parts:
+            ids = memo.get(f)
+            if ids is None:
+                ids = self.encode_fragment(f)
+                if len(f) <= MEMO_LONGEST:
+                    if self.held > MEMO_BYTES:
+                        memo.clear()
+                        self.held = 0
+                    memo[f] = ids
+                    self.held += len(f) + len(ids) + MEMO_ENTRY
+            made.append(ids)
+        return b"".join(made)
 
     def decode(self, ids: bytes) -> str:
         get = self.token_bytes.__getitem__
