@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bilstm_crf import Tagger, best_paths
+from .common import first_by_hash
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -198,7 +199,7 @@ def fit(docs: DataFrame, text: str = "text") -> Tagger:
     of their texts; each snippet starts at a hashed offset."""
     some = docs.select(F.coalesce(text, F.lit("")).alias("t")).where(F.length("t") > 0)
     some = some.select(F.xxhash64("t").alias("h"), F.substring("t", F.pmod(F.xxhash64("t"), F.greatest(F.length("t") - SNIPPET, F.lit(1))).cast("int") + 1, F.lit(SNIPPET)).alias("s"))
-    return train([r["s"] for r in some.orderBy("h", "s").limit(SNIPPETS).collect()])
+    return train([r["s"] for r in first_by_hash(some, SNIPPETS, "h", "s").collect()])
 
 
 TRIGGER = re.compile(r"[0-9@]|\bat\b", re.I)

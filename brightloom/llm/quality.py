@@ -26,7 +26,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, packed, words
+from .common import first_by_hash, ASCII_SPACE, packed, words
 
 BUCKETS = 1 << 14
 MAX_TRUSTED = 50_000
@@ -91,7 +91,7 @@ def ngram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
 def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
     """At most ``max_trusted`` ids of documents of quality 1."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where((F.col("quality") == 1) & F.col("doc_id").isNotNull())
-    return good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
+    return first_by_hash(good.select("doc_id", F.xxhash64("doc_id").alias("h")), max_trusted, "h", "doc_id").select("doc_id")
 
 
 def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> list[float]:

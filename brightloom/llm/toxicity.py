@@ -14,7 +14,8 @@ Labels are read of at most ``MAX_TOXIC`` + ``MAX_CLEAN`` documents (the first by
 a hash of their ids) whose crc32(doc_id) mod 5 isn't 0; every document is scored,
 over its whole text. lang, source, labels and ids are no inputs of a score. The
 lexicon and the exceptions have no limit of their own; that of the labelled
-documents bounds them.
+documents bounds them. The curve takes each labelled id once, with the mean of
+its rows.
 
 Defined cases: null, empty and blank texts have no matches and get the score
 of a text without any; without labels of both kinds every score is 0; repeated
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import first_by_hash, materialize
 from .hashing import raw_texts
 
 MAX_TOXIC, MAX_CLEAN = 8_000, 16_000
@@ -84,7 +85,8 @@ def training_ids(labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int =
     """(train_id, toxic) of a bounded number of labelled rows."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    some = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, max_toxic), (0, max_clean))]
+    known = known.withColumn("h", F.xxhash64("doc_id"))
+    some = [first_by_hash(known.where(F.col("toxic") == k), n, "h", "doc_id") for k, n in ((1, max_toxic), (0, max_clean))]
     return some[0].union(some[1]).select(F.col("doc_id").alias("train_id"), F.col("toxic").cast("int").alias("toxic"))
 
 
@@ -170,7 +172,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) -> Model:
     """A model of the labelled ones among ``docs`` (doc_id, text)."""
     known = F.broadcast(training_ids(labels).limit(MAX_TOXIC + MAX_CLEAN))
-    some = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("train_id")).select("text", "toxic").persist()
+    some = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("train_id")).select("train_id", "text", "toxic").persist()
     try:
         size = {r["toxic"]: r["n"] for r in some.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         clean, toxic = size.get(0, 0), size.get(1, 0)
@@ -190,13 +192,13 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) ->
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                made = [model.raw(t.decode("utf-8", "replace")) for t in raw_texts(batch.column(0))]
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.float64()), batch.column(1)], names=["raw", "toxic"])
+                made = [model.raw(t.decode("utf-8", "replace")) for t in raw_texts(batch.column(1))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.float64()), batch.column(2)], names=["train_id", "raw", "toxic"])
 
-        scored = some.mapInArrow(run, "raw double, toxic int").groupBy("raw", "toxic").agg(F.count(F.lit(1)).alias("n")).limit(4 * (MAX_TOXIC + MAX_CLEAN)).orderBy("raw", "toxic").collect()
-        x = np.repeat([r["raw"] for r in scored], [r["n"] for r in scored])
-        y = np.repeat([float(r["toxic"]) for r in scored], [r["n"] for r in scored])
-        model.slope, model.offset = fit_curve(x, y)
+        kind = dict(some.dtypes)["train_id"]
+        scored = some.mapInArrow(run, f"train_id {kind}, raw double, toxic int").groupBy("train_id").agg(F.avg("raw").alias("raw"), F.max("toxic").alias("toxic"))
+        rows = scored.select("raw", "toxic").orderBy("raw", "toxic").collect()  # a row for each training id
+        model.slope, model.offset = fit_curve(np.array([r["raw"] for r in rows]), np.array([float(r["toxic"]) for r in rows]))
         return model
     finally:
         some.unpersist()

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brightloom.llm import bilstm_crf, bpe, chat, line_dedup, mixing, ngram_join, pii, quality, topk, toxicity, url_filter
-from brightloom.llm.common import n_words
+from brightloom.llm.common import first_by_hash, n_words
 from brightloom.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -155,6 +155,35 @@ def test_base_spans_equal_plain_patterns():
     assert all(pii.base_spans(t) == brute_spans(t) for t in cases)
 
 
+def test_windows_without_triggers_hold_no_spans(monkeypatch):
+    rng = random.Random(8)
+    made = ["write to jo at mail dot com now", "4 0 0 5 5 5 4 4 4 4 4 4 1 1 1 4", "ip 10 . 20 . 30 . 40", "call +49 (30) 123-4567", "x@y", "at noon"]
+    texts = [" ".join(plain(1000 + 9 * k + i, rng.randint(0, 60)) + " " + (rng.choice(made) if rng.random() < 0.5 else "") for i in range(rng.randint(0, 4))) for k in range(120)]
+    tagger = pii.train([plain(s, 30) for s in range(40)])
+    some = [pii.tagged_spans(t, x) for t, x in zip(texts, pii.tag_texts(texts, tagger), strict=True)]
+    monkeypatch.setattr(pii, "window_starts", lambda t: list(range(0, max(len(t), 1), pii.STRIDE)))
+    every = [pii.tagged_spans(t, x) for t, x in zip(texts, pii.tag_texts(texts, tagger), strict=True)]
+    assert some == every and sum(map(len, some)) > 10
+
+
+def test_first_by_hash(spark):
+    df = spark.range(30_000).select("id", F.xxhash64("id").alias("h")).repartition(3)
+    want = [r.id for r in df.orderBy("h").limit(50).collect()]
+    assert [r.id for r in first_by_hash(df, 50, "h").orderBy("h").collect()] == want
+    same = df.withColumn("h", F.lit(2**62))  # all above any bound
+    assert [r.id for r in first_by_hash(same, 50, "h", "id").collect()] == list(range(50))
+    assert first_by_hash(df.limit(0), 5, "h").count() == 0
+
+
+def test_toxicity_of_repeated_ids(spark):
+    rows = [(i, ("vilexa grumpish " if i % 2 else "kind ") + prose(i, 20, 300)) for i in range(300)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    once, twice = (toxicity.fit(x, marks) for x in (df.dropDuplicates(["doc_id"]), df))
+    assert set(once.entries) <= set(twice.entries) and " vilexa " in once.entries
+    assert all((twice.score(t) >= 0.5) == bool(i % 2) for i, t in rows[:300])
+
+
 def test_tagger_learns_and_finds(spark):
     tagger = pii.train([plain(s, 30) for s in range(40)])
     card = next(f"411111111111{x}" for x in range(1000, 10_000) if pii.luhn(f"411111111111{x}"))
