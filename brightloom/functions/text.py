@@ -9,15 +9,22 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..errors import InvalidParameter
+from ..checkpoints import settle
+from ..errors import EmptyInput, InvalidParameter
+from ..operators.joins import join_counted
+
+#: Rows whose tokens are counted together.
+ROWS = 1024
 
 #: Common English function words.
 STOP_WORDS = """
@@ -239,36 +246,77 @@ def sentiment(text: Column) -> Column:
 # ---- vectorisers --------------------------------------------------------------------
 
 
+def counted(df: DataFrame, tokens: Column, *keys: str) -> DataFrame:
+    """(keys, len, token, n): the different tokens of each row with their numbers
+    and the row's number of tokens, counted where the row is, without a shuffle."""
+    rows = df.select(*[F.col(f"`{k}`") for k in keys], tokens.alias("_tokens")).where(F.size("_tokens") > 0)
+    names = [*keys, "len", "token", "n"]
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("len", T.LongType()), T.StructField("token", T.StringType()), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                lists = batch.column(len(keys))
+                coded = lists.flatten().dictionary_encode()
+                size = lists.value_lengths().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(size)), size)
+                code = coded.indices.fill_null(len(coded.dictionary)).to_numpy()
+                both, n = np.unique(row * (len(coded.dictionary) + 1) + code, return_counts=True)
+                row, code = np.divmod(both, len(coded.dictionary) + 1)
+                taken = pa.array(row)
+                columns = [batch.column(k).take(taken) for k in range(len(keys))]
+                known = pa.array(code, mask=code == len(coded.dictionary))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(size[row].astype(np.int64)), coded.dictionary.take(known), pa.array(n.astype(np.int64))], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _is_unique(df: DataFrame, key: str) -> bool:
+    """Whether no key occurs twice: rows can be counted on their own then."""
+    return df.groupBy(F.col(f"`{key}`")).count().where("count > 1").limit(1).count() == 0
+
+
+def _by_key(df: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """(key, len, token, n) with a row for each key and token."""
+    rows = counted(df, tokens, key)
+    if _is_unique(df, key):
+        return rows
+    return rows.groupBy(key, "len", "token").agg(F.sum("n").alias("n"))
+
+
 def vocabulary(df: DataFrame, tokens: str, max_features: int | None = None, min_df: int = 1) -> DataFrame:
     """(token, count, df), the most frequent first and ties by token."""
-    long = df.select(F.monotonically_increasing_id().alias("_d"), F.explode(tokens).alias("token"))
-    counts = long.groupBy("token", "_d").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("df"))
+    counts = counted(df, F.col(tokens)).groupBy("token").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("df"))
     counts = counts.where(F.col("df") >= min_df)
     return counts.orderBy(F.desc("count"), "token").limit(max_features) if max_features else counts
 
 
 def count_vectors(df: DataFrame, key: str, tokens: Column, max_features: int | None = None) -> DataFrame:
     """(key, token, tf) of the vocabulary's tokens, in sparse long form."""
-    rows = df.select(key, tokens.alias("_tokens"))
-    counts = rows.select(key, F.explode("_tokens").alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
+    counts = counted(df, tokens, key)
+    if not _is_unique(df, key):
+        counts = counts.groupBy(key, "token").agg(F.sum("n").alias("n"))
     if max_features:
-        top = vocabulary(rows, "_tokens", max_features).select("token")
-        counts = counts.join(F.broadcast(top.limit(max_features)), "token", "left_semi")
-    return counts.select(key, "token", "tf")
+        top = vocabulary(df.select(tokens.alias("_tokens")), "_tokens", max_features)
+        counts = join_counted(counts, top.select("token", "df"), ["token"], "df")
+    return counts.select(key, "token", F.col("n").alias("tf"))
 
 
 def tfidf(df: DataFrame, key: str, tokens: Column, min_df: int = 1, max_features: int | None = None) -> DataFrame:
     """(key, token, tfidf): tf is the share of the document's tokens, idf is
     ln((1 + N) / (1 + df)) + 1. ``max_features`` keeps the tokens of most
-    documents, ties by token."""
-    rows = df.select(key, tokens.alias("_tokens"))
-    n = rows.count()
-    counts = rows.select(key, F.size("_tokens").alias("_len"), F.explode("_tokens").alias("token")).groupBy(key, "_len", "token").agg(F.count(F.lit(1)).alias("_n"))
+    documents, ties by token. Rows of one key and one number of tokens are one
+    document. Only the tokens' frequencies move, and what has a token of a large
+    vocabulary that isn't common."""
+    n = df.count()
+    counts = _by_key(df, key, tokens)
     seen = counts.groupBy("token").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") >= min_df)
     if max_features is not None:
         seen = seen.orderBy(F.desc("_df"), "token").limit(max_features)
+    seen = settle(seen)
     idf = F.log((1.0 + n) / (1.0 + F.col("_df"))) + 1
-    return counts.join(seen, "token").select(key, "token", (F.col("_n") / F.col("_len") * idf).alias("tfidf"))
+    return join_counted(counts, seen, ["token"], "_df").select(key, "token", (F.col("n") / F.col("len") * idf).alias("tfidf"))
 
 
 def fnv1a(text: str) -> int:
@@ -323,38 +371,66 @@ def local_embedding(text: Column, size: int = 256) -> Column:
 # ---- naive Bayes ---------------------------------------------------------------------
 
 
-def naive_bayes(train: DataFrame, label: str, tokens: str, alpha: float = 1.0, complement: bool = False) -> DataFrame:
-    """(token, label, weight) and, with a null token, (label, log prior). The
-    complement variant has L1-normalised weights of the other classes."""
-    long = train.select(label, F.explode(tokens).alias("token"))
-    counts = long.groupBy("token", label).agg(F.count(F.lit(1)).alias("n"))
-    classes = train.groupBy(label).agg(F.count(F.lit(1)).alias("docs"))
-    total = classes.agg(F.sum("docs").alias("all_docs"))
-    words = counts.select("token").distinct()
-    size = words.count()
-    grid = words.join(F.broadcast(classes.select(label)))  # vocabulary x classes: the model itself
-    grid = grid.join(counts, ["token", label], "left").fillna(0, ["n"])
-    if complement:
-        by_token = W.partitionBy("token")
-        grid = grid.withColumn("n", F.sum("n").over(by_token) - F.col("n"))
-    sums = grid.groupBy(label).agg(F.sum("n").alias("total"))
-    weight = F.log((F.col("n") + alpha) / (F.col("total") + alpha * size))
-    grid = grid.join(F.broadcast(sums), label).select("token", label, weight.alias("weight"))
+@dataclass
+class NaiveBayes:
+    """A class's weight of a token is ``base`` of the token plus ``rest`` of the
+    class, plus a correction where the class has seen it, over ``norm`` of the
+    class; so what is stored is a row for each token, with the corrections of the
+    classes that have it, and one for each class."""
+
+    tokens: DataFrame  # (token, base, df, seen array<struct<label, w>>)
+    classes: DataFrame  # (label, prior, rest, norm)
+
+
+def naive_bayes(train: DataFrame, label: str, tokens: str, alpha: float = 1.0, complement: bool = False) -> NaiveBayes:
+    """Multinomial weights ln((n + alpha) / (total + alpha * V)); the complement
+    variant has L1-normalised weights of the other classes."""
+    if alpha <= 0:
+        raise InvalidParameter("alpha must be above 0")
+    docs = train.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("docs"))
+    counts = counted(train.select(F.col(label).alias("label"), tokens), F.col(tokens), "label")
+    pairs = settle(counts.groupBy("token", "label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df")))
+    by_token = pairs.groupBy("token").agg(F.sum("n").alias("all"), F.sum("df").alias("df"), F.collect_list(F.struct("label", "n")).alias("in"))  # a pair for each class at most
     if complement:
-        norms = grid.groupBy(label).agg(F.sum(F.abs("weight")).alias("l1"))
-        grid = grid.join(F.broadcast(norms), label).select("token", label, (F.col("weight") / F.col("l1")).alias("weight"))
-    prior = classes.join(F.broadcast(total)).select(F.lit(None).cast("string").alias("token"), label, F.log(F.col("docs") / F.col("all_docs")).alias("weight"))
-    return grid.unionByName(prior)
-
-
-def naive_bayes_predict(df: DataFrame, key: str, tokens: str, model: DataFrame, label: str, complement: bool = False) -> DataFrame:
-    """(key, label): the best class; ties go to the smallest label."""
-    prior = model.where("token is null").select(label, F.col("weight").alias("prior"))
-    counts = df.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
-    scores = counts.join(model.where("token is not null"), "token").groupBy(key, label).agg(F.sum(F.col("n") * F.col("weight")).alias("s"))
-    every = df.select(key).distinct().join(F.broadcast(prior)).join(scores, [key, label], "left").fillna(0.0, ["s"])
-    score = -F.col("s") if complement else F.col("s") + F.col("prior")
-    return every.groupBy(key).agg(F.min(F.struct((-score).alias("minus"), F.col(label).alias("label"))).alias("m")).select(key, F.col("m.label").alias(label))
+        base = F.log(F.col("all") + alpha)
+        correction = lambda n: F.log((F.col("all") - n + alpha) / (F.col("all") + alpha))
+    else:
+        base = F.lit(0.0)
+        correction = lambda n: F.log((n + alpha) / F.lit(float(alpha)))
+    seen = F.transform("in", lambda p: F.struct(p["label"].alias("label"), correction(p["n"]).alias("w")))
+    words = by_token.select("token", base.alias("base"), "df", seen.alias("seen"))
+    size, whole, bases = by_token.agg(F.count(F.lit(1)), F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum(base), F.lit(0.0))).first()
+    sums = pairs.join(by_token.select("token", "all"), "token").groupBy("label").agg(F.sum("n").alias("total"), F.sum(correction(F.col("n"))).alias("corrections"))
+    joined = docs.join(sums, docs["label"].eqNullSafe(sums["label"]), "left").select(docs["label"], "docs", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("corrections", F.lit(0.0)).alias("corrections"))
+    every = joined.agg(F.sum("docs")).first()[0] or 0
+    others = F.lit(whole) - F.col("total") if complement else F.col("total")
+    rest = (F.lit(0.0) if complement else F.log(F.lit(float(alpha)))) - F.log(others + F.lit(float(alpha * size)))
+    norm = -(F.lit(float(size)) * rest + F.lit(float(bases)) + F.col("corrections")) if complement else F.lit(1.0)
+    classes = joined.select("label", F.log(F.col("docs") / F.lit(every)).alias("prior"), rest.alias("rest"), norm.alias("norm"))
+    return NaiveBayes(settle(words), settle(classes))
+
+
+def naive_bayes_predict(df: DataFrame, key: str, tokens: str, model: NaiveBayes, label: str, complement: bool = False) -> DataFrame:
+    """(key, label): the best class; ties go to the smallest label. Tokens that
+    training hasn't seen don't count."""
+    classes = model.classes.collect()  # a row for each class
+    if not classes:
+        raise EmptyInput(label)
+    counts = counted(df, F.col(tokens), key)
+    found = join_counted(counts, model.tokens, ["token"], "df")
+    known = found.groupBy(key).agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.col("base")).alias("bases"))
+    parts = found.select(key, "n", F.explode("seen").alias("s")).groupBy(key, F.col("s.label").alias("l")).agg(F.sum(F.col("n") * F.col("s.w")).alias("w"))
+    parts = parts.groupBy(key).agg(F.collect_list(F.struct("l", "w")).alias("parts"))
+    same = lambda a, b: F.col(f"_key.{key}").eqNullSafe(b[key])
+    every = df.select(F.struct(key).alias("_key")).distinct()
+    every = every.join(known, same(every, known), "left").drop(key).join(parts, same(every, parts), "left").drop(key)
+    part_of = lambda name: F.get(F.filter("parts", lambda p: p["l"].eqNullSafe(F.lit(name))), F.lit(0))["w"]
+    scored = []
+    for c in classes:
+        own = part_of(c["label"])
+        s = (F.coalesce("bases", F.lit(0.0)) + F.coalesce("known", F.lit(0)) * F.lit(c["rest"]) + F.coalesce(own, F.lit(0.0))) / F.lit(c["norm"])
+        scored.append(F.struct((s if complement else -(s + F.lit(c["prior"]))).alias("minus"), F.lit(c["label"]).alias("label")))
+    return every.select(f"_key.{key}", F.array_min(F.array(*scored))["label"].alias(label))
 
 
 #: Function words of languages.

@@ -1,4 +1,6 @@
 import json
+import math
+import random
 
 import numpy as np
 import pytest
@@ -8,7 +10,7 @@ from brightloom import charts
 from brightloom.__main__ import main
 from brightloom.errors import InvalidParameter
 from brightloom.functions import embeddings, text, wordnet
-from brightloom.operators import models, preprocessing
+from brightloom.operators import joins, models, preprocessing
 from brightloom.sources import files, generators
 
 
@@ -115,3 +117,53 @@ def test_tfidf_features(spark):
     df = spark.createDataFrame([(1, "b a a"), (2, "b c"), (3, "c d")], "id int, t string")
     kept = text.tfidf(df, "id", text.whitespace_tokens(df.t), max_features=2).select("token").distinct()
     assert sorted(r[0] for r in kept.collect()) == ["b", "c"]
+
+
+def test_tokens_counted_where_they_are(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(text, "ROWS", 3)
+    rng = random.Random(4)
+    rows = [(i % 40, " ".join(rng.choice(["the", "the", "a", "é", f"w{rng.randint(0, 30)}"]) for _ in range(rng.randint(0, 20)))) for i in range(60)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(4)
+    want = Counter((i, w) for i, t in rows for w in (t or "").split())
+    for frame in (df, df.dropDuplicates(["id"])):
+        own = want if frame is df else Counter((r.id, w) for r in frame.collect() for w in (r.t or "").split())
+        got = {(r.id, r.token): r.tf for r in text.count_vectors(frame, "id", text.whitespace_tokens(F.col("t"))).collect()}
+        assert got == own
+    words = {r.token: (r["count"], r.df) for r in text.vocabulary(df.select(text.whitespace_tokens(F.col("t")).alias("w")), "w").collect()}
+    assert words["the"] == (sum(n for (_, w), n in want.items() if w == "the"), sum("the" in (t or "").split() for _, t in rows))
+
+
+def test_joins_of_hot_keys(spark, monkeypatch):
+    rows = [("hot" if i % 3 else f"k{i % 400}", i) for i in range(3000)] + [(None, -1)]
+    left = spark.createDataFrame(rows, "k string, i long").repartition(4)
+    right = left.where("k is not null").groupBy("k").count().withColumn("x", F.length("k"))
+    want = sorted((k, i, len(k)) for k, i in rows if k)
+    for most in (100_000, 30, 0):
+        monkeypatch.setattr(joins, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(joins.small, "__defaults__", (most, 1 << 20))
+        assert sorted(map(tuple, joins.join_counted(left, right, ["k"], "count").select("k", "i", "x").collect())) == want
+        assert sorted(map(tuple, joins.join_hot(left, right, "k").select("k", "i", "x").collect())) == want
+
+
+@pytest.mark.parametrize("complement", [False, True])
+def test_sparse_naive_bayes_equals_the_full_grid(spark, complement):
+    rng = random.Random(6)
+    rows = [(rng.choice("xyz"), [rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))]) for _ in range(60)]
+    asked = [(i, [rng.choice("abcdefghij") for _ in range(rng.randint(0, 9))]) for i in range(40)] + [(None, ["a"])]
+    model = text.naive_bayes(spark.createDataFrame(rows, "y string, w array<string>"), "y", "w", 0.5, complement)
+    got = {r.k: r.y for r in text.naive_bayes_predict(spark.createDataFrame(asked, "k long, w array<string>"), "k", "w", model, "y", complement).collect()}
+    n = {(t, c): sum(w.count(t) for y, w in rows if (y != c) == complement) for t in "abcdefgh" for c in "xyz"}
+    total = {c: sum(n[t, c] for t in "abcdefgh") for c in "xyz"}
+    weight = {(t, c): math.log((n[t, c] + 0.5) / (total[c] + 0.5 * 8)) for t, c in n}
+    if complement:
+        weight = {(t, c): v / sum(abs(weight[s, c]) for s in "abcdefgh") for (t, c), v in weight.items()}
+    prior = {c: math.log(sum(y == c for y, _ in rows) / 60) for c in "xyz"}
+    for k, w in asked:
+        s = {c: sum(weight.get((t, c), 0) for t in w) for c in "xyz"}
+        best = {c: -s[c] if complement else s[c] + prior[c] for c in "xyz"}
+        top = max(best.values())
+        assert got[k] in {c for c in best if best[c] >= top - 1e-9}
+    pairs = sum(len(r.seen) for r in model.tokens.collect())
+    assert pairs == len({(t, y) for y, w in rows for t in w}) and model.classes.count() == 3
