@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
+from .calibration import isotonic_blocks
 from .frame import need
 
 
@@ -205,16 +206,10 @@ def platt(df: DataFrame, score: str, target: str) -> LinearModel:
 
 
 def isotonic(df: DataFrame, score: str, target: str) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators over distinct scores with their weights."""
-    rows = df.groupBy(score).agg(F.avg(F.col(target).cast("double")), F.count(F.lit(1)).cast("double")).orderBy(score).collect()
-    blocks: list[list[float]] = []  # mean, weight, highest score
-    for x, y, n in rows:
-        blocks.append([y, n, x])
-        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            b = blocks.pop()
-            a = blocks[-1]
-            a[0], a[1], a[2] = (a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], b[2]
-    return np.array([b[2] for b in blocks]), np.array([b[0] for b in blocks])
+    """The curve of ``calibration.isotonic_blocks`` for a caller who can hold it:
+    greatest score and mean of each block."""
+    rows = isotonic_blocks(df, score, target).select("upto", "mean").orderBy("upto").collect()
+    return np.array([r["upto"] for r in rows]), np.array([r["mean"] for r in rows])
 
 
 def calibrate(df: DataFrame, score: str, curve: tuple[np.ndarray, np.ndarray], name: str = "calibrated") -> DataFrame:

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import embeddings as emb
 from ..functions import series as se
+from ..operators import calibration as cal
 from ..operators import evaluation as ev
-from ..operators import models as ml
 from ..operators import preprocessing as pp
+from ..operators import windows
 from ..plans import lazy
 from ..sources import databases, files
 from .analysis import DAILY, daily, rounded
@@ -94,8 +95,13 @@ def time_series_split(t: Tables):
 @query("""WITH g AS (SELECT l_quantity AS x, avg(l_discount) AS m, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT a.x AS lo, b.x AS hi, sum(c.m * c.n) / sum(c.n) AS m FROM g a JOIN g b ON a.x <= b.x JOIN g c ON c.x BETWEEN a.x AND b.x GROUP BY ALL),
  l AS (SELECT g.x, b.lo, min(b.m) AS m FROM g JOIN b ON b.lo <= g.x AND b.hi >= g.x GROUP BY ALL), i AS (SELECT x, max(m) AS m FROM l GROUP BY x) SELECT max(x) AS upto, round(m, 8) AS mean FROM i GROUP BY 2""")
 def isotonic(t: Tables):
-    upto, mean = ml.isotonic(t.lineitem, "l_quantity", "l_discount")
-    return t.spark.createDataFrame([(float(x), round(float(y), 8)) for x, y in zip(upto, mean, strict=True)], "upto double, mean double")
+    return cal.isotonic_blocks(t.lineitem, "l_quantity", "l_discount").select("upto", F.round("mean", 8).alias("mean"))
+
+
+@query(f"WITH d AS ({DAILY}), l AS (SELECT day, list(n::DOUBLE) OVER (ORDER BY day) AS l FROM d) SELECT day, round(list_reduce(l, lambda a, x: 0.1::DOUBLE * x + 0.9::DOUBLE * a), 6) AS mean FROM l")
+def ewma_series(t: Tables):
+    """One series, without groups."""
+    return windows.ewma(daily(t), "n", 0.1, "day").select("day", F.round("`n_ewma_0.10`", 6).alias("mean"))
 
 
 @query(f"""WITH d AS (SELECT n - (SELECT avg(n) FROM ({DAILY})) AS d, row_number() OVER (ORDER BY day) AS t FROM ({DAILY})), r AS (SELECT k, sum(a.d * b.d) / (SELECT sum(d * d) FROM d) AS r FROM range(1, 3) r(k), d a JOIN d b ON b.t + k = a.t GROUP BY 1),
