@@ -7,10 +7,11 @@ driver, where p-values are computed. Nulls never count.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -286,22 +287,92 @@ def kaplan_meier(df: DataFrame, duration: str, event: str) -> DataFrame:
 
 def cox_ph(df: DataFrame, duration: str, event: str, covariates: Sequence[str], rounds: int = 25) -> np.ndarray:
     """Coefficients of a proportional hazards model (Breslow ties) by Newton's
-    method. Each round sums risk sets over distinct times: the sums of
-    exp(xb), x exp(xb) and xx' exp(xb) for each time are an aggregation, their
-    suffix sums over the times (no rows) are done on the driver."""
+    method; rows with a null take no part. Rows are dealt once by ranges of
+    falling duration. In each round a range gives the total of exp(xb), x exp(xb)
+    and xx' exp(xb) of its rows; these, added up over the ranges before it, are
+    what its risk sets start from, and the ranges then sum gradient and Hessian.
+    A few numbers for each range reach the driver, however many durations there
+    are, and rows of one duration may lie in several ranges."""
+    need(df, duration, event, *covariates)
     k = len(covariates)
+    zero = np.zeros(1 + k + k * k)
+    rows = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate([duration, event, *covariates])]).dropna()
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = F.desc("_0")
+    rows = rows.repartitionByRange(n, by, F.xxhash64(*rows.columns)).sortWithinPartitions(by)
+    rows = settle(rows.withColumn("range", F.spark_partition_id()))
+
+    def groups(batches: Iterator[pa.RecordBatch], beta: np.ndarray) -> Iterator[tuple[int, float, np.ndarray, float, np.ndarray]]:
+        """(range, duration, sums over its rows, events, covariates of events) of
+        runs of one duration; a run may come in parts."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t, e, *x = (c.to_numpy() for c in batch.columns[:-1])
+            x = np.column_stack(x)
+            risk = np.exp(x @ beta)
+            terms = np.column_stack([risk, risk[:, None] * x, (risk[:, None, None] * x[:, :, None] * x[:, None, :]).reshape(len(t), -1)])
+            at = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            number = batch.column(batch.num_columns - 1)[0].as_py()
+            sums, died, gone = np.add.reduceat(terms, at), np.add.reduceat(e, at), np.add.reduceat(e[:, None] * x, at)
+            yield from zip([number] * len(at), t[at].tolist(), sums, died.tolist(), gone, strict=True)
+
+    def totals(beta: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number, first, last, own, whole = None, None, None, zero, zero
+            for number, t, sums, _, _ in groups(batches, beta):
+                first = t if first is None else first
+                own = own + sums if t == first else own
+                last, whole = t, whole + sums
+            if number is not None:
+                yield pa.RecordBatch.from_pylist([{"range": number, "first": first, "last": last, "own": own.tolist(), "whole": whole.tolist()}])
+
+        return rows.mapInArrow(run, "range long, first double, last double, own array<double>, whole array<double>")
+
+    def slopes(beta: np.ndarray, starts: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made, before, last, open_sums, died, gone, more = np.zeros(k + k * k), None, None, zero, 0.0, np.zeros(k), zero
+
+            def close(back: np.ndarray) -> np.ndarray:
+                if not died:
+                    return np.zeros(k + k * k)
+                mean = back[1 : k + 1] / back[0]
+                return np.append(gone - died * mean, died * ((back[k + 1 :] / back[0]).reshape(k, k) - np.outer(mean, mean)))
+
+            for number, t, sums, d, xd in groups(batches, beta):
+                if before is None:
+                    before, more = starts[number]
+                elif t != last:
+                    before = before + open_sums
+                    made = made + close(before)
+                    open_sums, died, gone = zero, 0.0, np.zeros(k)
+                last, open_sums, died, gone = t, open_sums + sums, died + d, gone + xd
+            if before is not None:
+                made = made + close(before + open_sums + more)  # rows of the last duration in ranges after this one
+                yield pa.RecordBatch.from_pylist([{"v": made.tolist()}])
+
+        found = rows.mapInArrow(run, "v array<double>").select(F.posexplode("v")).groupBy("pos").agg(F.sum("col").alias("v")).collect()
+        out = np.zeros(k + k * k)
+        for r in found:
+            out[r["pos"]] = r["v"]
+        return out
+
     beta = np.zeros(k)
     for _ in range(rounds):
-        risk = F.exp(sum((F.col(c) * float(b) for c, b in zip(covariates, beta, strict=True)), F.lit(0.0)))
-        sums = [F.sum(risk)] + [F.sum(risk * F.col(c)) for c in covariates] + [F.sum(risk * F.col(a) * F.col(b)) for a in covariates for b in covariates]
-        events = F.col(event).cast("double")
-        rows = df.groupBy(duration).agg(F.sum(events), *[F.sum(events * F.col(c)) for c in covariates], *sums).orderBy(F.desc(duration)).collect()
-        table = np.array([list(r)[1:] for r in rows], float)
-        d, xd, back = table[:, 0], table[:, 1 : k + 1], np.cumsum(table[:, k + 1 :], 0)
-        mean = back[:, 1 : k + 1] / back[:, :1]
-        second = (back[:, k + 1 :] / back[:, :1]).reshape(-1, k, k) - mean[:, :, None] * mean[:, None, :]
-        gradient, hessian = (xd - d[:, None] * mean).sum(0), (d[:, None, None] * second).sum(0)
-        move = np.linalg.solve(hessian + 1e-9 * np.eye(k), gradient)
+        found = totals(beta).orderBy("range").collect()  # a row for each range
+        starts, before = {}, zero
+        for i, r in enumerate(found):
+            more = zero
+            for other in found[i + 1 :]:
+                if other["first"] != r["last"]:
+                    break
+                more = more + np.array(other["own"])
+                if other["last"] != r["last"]:
+                    break
+            starts[r["range"]] = (before, more)
+            before = before + np.array(r["whole"])
+        made = slopes(beta, starts)
+        move = np.linalg.solve(made[k:].reshape(k, k) + 1e-9 * np.eye(k), made[:k])
         beta = beta + np.clip(move, -2, 2)
         if np.abs(move).max() < 1e-9:
             break

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from ..functions.quantiles import of_columns
 from .frame import need, with_row_id
 
 TILE = 2048
+#: Small factors that a task of a tree takes together.
+FAN = 16
 #: Pivots of an index, the rows they are chosen from, and bytes of its summaries.
 PIVOTS, PIVOT_SAMPLE, SUMMARY_BYTES = 256, 4096, 64 << 20
 
@@ -160,16 +163,22 @@ def covariance(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]
     return n, mean, (values[d:].reshape(d, d) - n * np.outer(mean, mean)) / max(n - 1, 1)
 
 
-def pca(df: DataFrame, vector: str, components: int) -> dict[str, np.ndarray]:
+def pca(df: DataFrame, vector: str, components: int, widest: int = 1024) -> dict[str, np.ndarray]:
     """Components (rows, largest entry positive), explained variances and their
-    ratios among the kept ones; the covariance is the only thing that leaves
-    the executors."""
-    _, mean, cov = covariance(df, vector)
-    values, vectors = np.linalg.eigh(cov)
-    order = np.argsort(-values)[:components]
-    rows = vectors[:, order].T
+    ratios among the kept ones. Vectors up to ``widest`` long by their covariance,
+    the only thing that leaves the executors; wider ones by ``row_svd``."""
+    first = df.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+    if first and first[0] > widest:
+        mean, n = column_means(df, vector)
+        values, rows = row_svd(df, vector, components, power=6, center=mean)
+        values = values**2 / max(n - 1, 1)
+    else:
+        _, mean, cov = covariance(df, vector)
+        values, vectors = np.linalg.eigh(cov)
+        order = np.argsort(-values)[:components]
+        values, rows = values[order], vectors[:, order].T
     rows = rows * np.sign(rows[np.arange(len(rows)), np.abs(rows).argmax(1)])[:, None]
-    kept = np.maximum(values[order], 0)
+    kept = np.maximum(values, 0)
     return {"mean": mean, "components": rows, "variance": kept, "ratio": kept / (kept.sum() or 1)}
 
 
@@ -192,6 +201,88 @@ def randomized_svd(x: np.ndarray, rank: int, oversample: int = 10, power: int =
     return (q @ u)[:, :rank], s[:rank], vt[:rank]
 
 
+def column_means(df: DataFrame, vector: str) -> tuple[np.ndarray, int]:
+    rows = df.where(F.col(vector).isNotNull()).select(F.posexplode(vector).alias("p", "v")).groupBy("p").agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("n")).orderBy("p").collect()
+    if not rows:
+        raise EmptyInput("no rows")
+    return np.array([r["m"] for r in rows]), rows[0]["n"]
+
+
+def _summed(rows: DataFrame, vector: str, work, shape: tuple[int, int]) -> np.ndarray:
+    """The sum of ``work`` (a matrix of a block of rows) over all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for whole in batches:
+            for at in range(0, whole.num_rows, TILE):
+                total = total + work(_matrix(whole.column(0).slice(at, TILE).to_pandas()))
+        yield pa.RecordBatch.from_arrays([pa.array(range(shape[0]), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["row", "v"])
+
+    parts = rows.select(vector).mapInArrow(run, "row int, v array<double>").select("row", F.posexplode("v").alias("p", "v"))
+    found = parts.groupBy("row", "p").agg(F.sum("v").alias("v")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("p", "v"))).alias("v")).orderBy("row").collect()
+    return np.array([[x["v"] for x in r["v"]] for r in found]) if found else np.zeros(shape)
+
+
+def _tall_r(rows: DataFrame, vector: str, right: np.ndarray, center: np.ndarray) -> np.ndarray:
+    """R of the QR of (rows - center) @ right: each task reduces its blocks to one
+    small factor, and a tree of tasks stacks and reduces those, so no product
+    of the whole is ever squared."""
+    width = right.shape[1]
+
+    def reduced(blocks: Iterator[np.ndarray]) -> np.ndarray | None:
+        r = None
+        for block in blocks:
+            r = np.linalg.qr(block if r is None else np.vstack([r, block]), mode="r")
+        return r
+
+    def out(r: np.ndarray | None, part: int) -> Iterator[pa.RecordBatch]:
+        if r is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([np.ascontiguousarray(r).tobytes()], pa.binary())], names=["part", "r"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = ((_matrix(b.column(0).slice(at, TILE).to_pandas()) - center) @ right for b in batches for at in range(0, b.num_rows, TILE))
+        yield from out(reduced(blocks), TaskContext.get().partitionId())
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, parts = 0, []
+        for b in batches:
+            for part, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                number = part // FAN
+                parts.append(np.frombuffer(r).reshape(-1, width))
+        yield from out(reduced(iter(parts)), number)
+
+    found, n = rows.select(vector).mapInArrow(first, "part long, r binary"), max(rows.rdd.getNumPartitions(), 1)
+    while n > 1:
+        n = -(-n // FAN)
+        # each part's factors meet in one task, numbered by what they are called there
+        found = found.repartitionByRange(n, F.col("part")) if n > 1 else found.coalesce(1)
+        found = found.mapInArrow(merge, "part long, r binary")
+    rs = [np.frombuffer(r["r"]).reshape(-1, width) for r in found.collect()]  # FAN small factors at most
+    r = np.linalg.qr(np.vstack(rs), mode="r") if rs else np.zeros((0, width))
+    return r
+
+
+def row_svd(df: DataFrame, vector: str, rank: int, oversample: int = 10, power: int = 2, seed: int = 0, center: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values and right singular vectors (as rows) of the matrix whose
+    rows are the vectors: a randomised range finder on the narrow side. Power
+    steps multiply by the matrix and its transpose in one pass over the rows,
+    without either; the last pass takes the QR of the rows' projections by
+    tall-skinny factors, whose small SVD ends it. Only d x (rank + oversample)
+    numbers reach the driver."""
+    rows = df.where(F.col(vector).isNotNull())
+    head = rows.select(F.size(vector)).first()
+    if head is None:
+        raise EmptyInput("no rows")
+    d = head[0]
+    size = min(d, rank + oversample)
+    center = np.zeros(d) if center is None else center
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, size)))[0]
+    for _ in range(power + 1 if size < d else 0):
+        q = np.linalg.qr(_summed(rows, vector, lambda x, q=q: (x - center).T @ ((x - center) @ q), (d, size)))[0]
+    _, s, vt = np.linalg.svd(_tall_r(rows, vector, q, center), full_matrices=False)
+    return s[:rank], (vt @ q.T)[:rank]
+
+
 # ---- pairs within reach -------------------------------------------------------------
 
 
