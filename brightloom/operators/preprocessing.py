@@ -19,7 +19,7 @@ from ..checkpoints import settle
 from ..errors import InvalidParameter, NotFitted
 from ..functions.quantiles import of_columns
 from .frame import need, with_row_id
-from .vectors import tile_pairs, tiles
+from .vectors import neighbours, tile_pairs, tiles
 
 EPS = 1e-12
 
@@ -398,39 +398,36 @@ def undersample(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame
     return rows.where(keep).drop("_h", "_row")
 
 
-def smote(df: DataFrame, columns: Sequence[str], label: str, k: int = 5, seed: int = 0, block: int = 4096) -> DataFrame:
+def smote(df: DataFrame, columns: Sequence[str], label: str, k: int = 5, seed: int = 0) -> DataFrame:
     """Rows of ``columns`` and label, with synthetic ones that bring every class
-    to the size of the largest. A class is worked on in blocks of rows by a
-    seeded hash; neighbours are sought within the block."""
+    to the size of the largest. Each row of a class makes its share of what the
+    class lacks (the first by a seeded hash one more), each between the row and
+    one of its k nearest of the whole class, drawn by hash; a class of one row is
+    repeated."""
     names = list(columns)
-    sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-    most = max(sizes.values())
-    rows = df.select(*[F.col(c).cast("double") for c in names], label)
-    blocks = {x: max(1, n // block) for x, n in sizes.items()}
-    some = F.lit(0)
-    for x, n in blocks.items():
-        some = F.when(F.col(label).eqNullSafe(F.lit(x)), F.pmod(F.xxhash64(F.lit(seed), *names), F.lit(n)).cast("int")).otherwise(some)
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, cls, number = pdf[names].to_numpy(float), pdf[label].iloc[0], int(key[1])
-        rng = np.random.default_rng([seed, number, len(pdf)])
-        lack = (most - sizes[cls]) * (number + 1) // blocks[cls] - (most - sizes[cls]) * number // blocks[cls]
-        made = np.empty((lack, len(names)))
-        if lack:
-            x = x[np.lexsort(x.T[::-1])]
-            d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2) if len(x) <= 2048 else None
-            for i in range(lack):
-                a = int(rng.integers(len(x)))
-                row = d[a] if d is not None else ((x - x[a]) ** 2).sum(1)
-                near = np.argsort(row, kind="stable")[1 : k + 1]
-                b = int(rng.choice(near)) if len(near) else a
-                made[i] = x[a] + rng.random() * (x[b] - x[a])
-        out = pd.DataFrame(made, columns=names)
-        out[label] = cls
-        return pd.concat([pdf[[*names, label]], out])
-
-    schema = ", ".join([*[f"`{c}` double" for c in names], f"`{label}` {df.schema[label].dataType.simpleString()}"])
-    return rows.withColumn("_block", some).groupBy(label, "_block").applyInPandas(run, schema)
+    sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # a row for each class
+    most = max(sizes.values(), default=0)
+    vector = F.array(*[F.col(c).cast("double") for c in names])
+    kind = df.schema[label].dataType
+    plain = df.select(*[F.col(c).cast("double").alias(c) for c in names], label)
+    out = plain
+    for cls, n in sizes.items():
+        lack = most - n
+        if not lack:
+            continue
+        own = df.where(F.col(label).eqNullSafe(F.lit(cls))).select(vector.alias("_v")).withColumn("_h", F.xxhash64(F.lit(seed), "_v"))
+        rows = settle(with_row_id(own, ["_h"], "_id"))
+        near = neighbours(rows, "_id", "_v", k=k).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("distance", "other"))).alias("_near"))
+        share = F.lit(lack // n) + (F.col("_id") < lack % n).cast("int")
+        made = rows.join(near, "_id", "left").where(share > 0).select("_id", "_v", "_near", F.explode(F.sequence(F.lit(1), share.cast("int"))).alias("_nth"))
+        drawn = lambda what: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), "_id", "_nth"), F.lit(1 << 30))
+        other = F.get("_near", (drawn(1) % F.size("_near")).cast("int"))["other"]
+        made = made.select("_v", other.alias("_other"), (drawn(2) / F.lit(float(1 << 30))).alias("_u"))
+        made = made.join(rows.select(F.col("_id").alias("_other"), F.col("_v").alias("_to")), "_other", "left")
+        point = F.zip_with("_v", F.coalesce("_to", "_v"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        made = made.select(F.transform(point, lambda p: p["a"] + F.col("_u") * (p["b"] - p["a"])).alias("_p"))
+        out = out.unionByName(made.select(*[F.col("_p")[i].alias(c) for i, c in enumerate(names)], F.lit(cls).cast(kind).alias(label)))
+    return out
 
 
 # ---- composition -----------------------------------------------------------------------

@@ -72,3 +72,23 @@ def test_null_vectors_and_empty_tables(spark, monkeypatch):
     assert {r.id: r.cluster for r in vec.dbscan(df, "id", "v", 0.15, 2).collect()} == {1: 0, 2: -1, 3: 0, None: 0, 4: -1, 5: 0}
     assert sorted((r.id or -1, r.other or -1) for r in vec.neighbours(df, "id", "v", k=1).collect()) == [(-1, 3), (1, 5), (3, 1), (4, -1), (5, 1)]
     assert vec.dbscan(df.where(F.col("id") > 90), "id", "v").count() == 0
+
+
+def test_synthetic_rows_lie_between_near_rows(spark, monkeypatch):
+    from brightloom.operators import preprocessing as pp
+
+    monkeypatch.setattr(vec, "TILE", 16)
+    rng = np.random.default_rng(8)
+    many, few = rng.normal(0, 1, (150, 2)), np.concatenate([rng.normal(9, 0.1, (30, 2)), rng.normal(-9, 0.1, (10, 2))])
+    rows = [(*map(float, x), "many") for x in many] + [(*map(float, x), "few") for x in few] + [(1.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, y string").repartition(3)
+    got = pp.smote(df, ["a", "b"], "y", k=4, seed=3).collect()
+    made = np.array([(r.a, r.b) for r in got if r.y == "few"])
+    assert {y: sum(r.y == y for r in got) for y in ("many", "few", None)} == {"many": 150, "few": 150, None: 150}
+    assert {(r.a, r.b) for r in got if r.y is None} == {(1.0, 2.0)}
+    d = np.sqrt(((few[:, None] - few[None]) ** 2).sum(2))
+    near = [np.argsort(d[i])[1:5] for i in range(len(few))]
+    for p in made:
+        gaps = [abs(np.linalg.norm(p - few[i]) + np.linalg.norm(few[j] - p) - d[i, j]) for i in range(len(few)) for j in near[i]]
+        assert min(gaps) < 1e-9
+    assert sorted(map(tuple, pp.smote(df, ["a", "b"], "y", k=4, seed=3).select("a", "b").collect())) == sorted((r.a, r.b) for r in got)
