@@ -13,8 +13,9 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
@@ -47,14 +48,29 @@ def decompose(y: Sequence[float], period: int, kind: str = "additive") -> dict[s
 
 
 def decompose_frame(df: DataFrame, value: str, order_by: str, period: int, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Additive decomposition as window expressions."""
-    over = W.partitionBy(*partition_by).orderBy(order_by)
+    """Additive decomposition. Without ``partition_by`` the one series' moving
+    averages run over chunks of numbered rows, and the means of the phases, one
+    number each, are an aggregation."""
     half = period // 2
-    inner = F.avg(value).over(over.rowsBetween(-half, half))
-    if period % 2 == 0:
-        inner = (F.avg(value).over(over.rowsBetween(-half, half - 1)) + F.avg(value).over(over.rowsBetween(1 - half, half))) / 2
+
+    def centred(over: WindowSpec) -> Column:
+        if period % 2:
+            return F.avg(value).over(over.rowsBetween(-half, half))
+        return (F.avg(value).over(over.rowsBetween(-half, half - 1)) + F.avg(value).over(over.rowsBetween(1 - half, half))) / 2
+
+    if not partition_by:
+        n = df.count()
+        rows = over_rows(df, order_by, (), lambda over, number: {"t": (number - 1).cast("int"), "_inner": centred(over)}, half, half)
+        rows = rows.withColumn("trend", F.when((F.col("t") >= half) & (F.col("t") < n - half), F.col("_inner"))).drop("_inner")
+        found = rows.groupBy((F.col("t") % period).alias("p")).agg(F.avg(F.col(value) - F.col("trend")).alias("m")).collect()
+        means = {r["p"]: r["m"] for r in found if r["m"] is not None}
+        level = sum(means.values()) / len(means) if means else 0.0
+        seasons = F.array(*[F.lit(means[p] - level if p in means else None).cast("double") for p in range(period)])
+        rows = rows.withColumn("seasonal", F.get(seasons, (F.col("t") % period).cast("int")))
+        return rows.withColumn("residual", F.col(value) - F.col("trend") - F.col("seasonal"))
+    over = W.partitionBy(*partition_by).orderBy(order_by)
     rows = df.withColumns({"t": F.row_number().over(over) - 1, "_n": F.count(F.lit(1)).over(W.partitionBy(*partition_by))})
-    rows = rows.withColumn("trend", F.when((F.col("t") >= half) & (F.col("t") < F.col("_n") - half), inner))
+    rows = rows.withColumn("trend", F.when((F.col("t") >= half) & (F.col("t") < F.col("_n") - half), centred(over)))
     phase = W.partitionBy(*partition_by, "_p")
     rows = rows.withColumn("_p", F.col("t") % period).withColumn("_m", F.avg(F.col(value) - F.col("trend")).over(phase)).withColumn("_first", F.row_number().over(phase.orderBy("t")))
     rows = rows.withColumn("seasonal", F.col("_m") - F.avg(F.when(F.col("_first") == 1, F.col("_m"))).over(W.partitionBy(*partition_by)))

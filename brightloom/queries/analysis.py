@@ -157,6 +157,14 @@ def cox_hazards(t: Tables):
     return one_row(t, {"beta": float(st.cox_ph(rows, "d", "e", ["x"])[0])})
 
 
+@query()
+def cox_durations(t: Tables):
+    """Nearly as many durations as rows."""
+    rows = t.events.select((F.col("value") + 1).alias("d"), (F.col("event_id") % 3 > 0).cast("int").alias("e"), (F.col("user_id") % 10 / 10).alias("x"), (F.col("event_type") == "click").cast("int").alias("z"))
+    beta = st.cox_ph(rows, "d", "e", ["x", "z"])
+    return one_row(t, {"x": round(float(beta[0]), 8), "z": round(float(beta[1]), 8)})
+
+
 # ---- preprocessing -----------------------------------------------------------------------
 
 
@@ -510,6 +518,25 @@ def kmeans_fit(t: Tables):
     return vec.assign(t.embeddings, "embedding", centers).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cost"), 4).alias("cost"))
 
 
+@query("SELECT round(sum(v), 6) AS total FROM (SELECT var_samp(x) AS v FROM (SELECT unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY k)")
+def pca_trace(t: Tables):
+    """All components together explain the trace of the covariance."""
+    return one_row(t, {"total": round(float(vec.pca(t.embeddings, "embedding", 64)["variance"].sum()), 6)})
+
+
+@query("SELECT round(sum(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 3) AS energy FROM embeddings")
+def svd_energy(t: Tables):
+    """All singular values together hold the squares of all entries."""
+    values, _ = vec.row_svd(t.embeddings, "embedding", 64)
+    return one_row(t, {"energy": round(float((values**2).sum()), 3)})
+
+
+@query()
+def svd_fit(t: Tables):
+    values, _ = vec.row_svd(t.embeddings, "embedding", 4, power=6)
+    return t.spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(values)], "component int, value double")
+
+
 @query()
 def pca_fit(t: Tables):
     model = vec.pca(t.embeddings, "embedding", 3)

@@ -82,6 +82,17 @@ def sqlite_query(t: Tables):
     return databases.read_sql(t.spark, "SELECT n_name, count(*) AS n, round(sum(s_acctbal), 2) AS total FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1", url)
 
 
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders WHERE o_totalprice > 100000")
+def jdbc_query(t: Tables):
+    """Through JDBC, read in parts: Derby's tables live in the JVM that also runs
+    this query's tasks, so a local master is needed."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    databases.write_sql(t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"), "orders", url, "replace")
+    most = t.orders.agg(F.max("o_orderkey")).first()[0]
+    found = databases.read_sql(t.spark, 'SELECT * FROM orders WHERE "o_totalprice" > 100000', url, ("o_orderkey", 0, most, 4))
+    return found.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+
+
 @query("""WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS r, count(*) OVER () AS n FROM events), f AS (SELECT *, i, n - (3 - i) * (n // 4) AS cut FROM e, range(3) x(i))
  SELECT i::INTEGER AS fold, CASE WHEN r < cut THEN 'train' ELSE 'test' END AS part, event_id FROM f WHERE r < cut + n // 4""")
 def time_series_split(t: Tables):
