@@ -197,8 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) ->
 
         kind = dict(some.dtypes)["train_id"]
         scored = some.mapInArrow(run, f"train_id {kind}, raw double, toxic int").groupBy("train_id").agg(F.avg("raw").alias("raw"), F.max("toxic").alias("toxic"))
-        rows = scored.select("raw", "toxic").orderBy("raw", "toxic").collect()  # a row for each training id
-        model.slope, model.offset = fit_curve(np.array([r["raw"] for r in rows]), np.array([float(r["toxic"]) for r in rows]))
+        rows = sorted((r["raw"], r["toxic"]) for r in scored.select("raw", "toxic").collect())  # a row for each training id
+        model.slope, model.offset = fit_curve(np.array([x for x, _ in rows]), np.array([float(y) for _, y in rows]))
         return model
     finally:
         some.unpersist()
