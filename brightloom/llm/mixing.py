@@ -137,7 +137,7 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: floa
     plan = plan.join(on_point, F.col("source").eqNullSafe(F.col("src")), "left").select("source", "source_size", "target", "whole", "at")
     plan = materialize(plan)
 
-    shown = _join_on_source(documents, plan, ["source"])
+    shown = _join_on_source(documents if rest else rows, plan, ["source"])
     at = F.col("plan_at")
     first_id = (F.col("doc_id").isNull() & at["doc_id"].isNotNull()) | F.coalesce(F.col("doc_id") < at["doc_id"], F.lit(False))
     place = F.when(at.isNull() | (F.col("mix_hash") < at["mix_hash"]), -1).when(F.col("mix_hash") > at["mix_hash"], 1)
