@@ -158,10 +158,12 @@ class ArrowWriter(DataSourceArrowWriter):
         self.schema, self.overwrite, self.path = schema, overwrite, options["path"].rstrip("/")
         self.staging = f"_staging-{uuid.uuid4().hex}"
         self.compression = options.get("compression", "lz4")
+        # made once, here: a task that outlives an abort must not make it again
+        system, at = opened(f"{self.path}/{self.staging}")
+        system.create_dir(at, recursive=True)
 
     def _file(self, where: str, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> None:
         system, at = opened(f"{self.path}/{where}")
-        system.create_dir(at.rsplit("/", 1)[0], recursive=True)
         options = pa.ipc.IpcWriteOptions(compression=None if self.compression == "none" else self.compression)
         with system.open_output_stream(at) as out, pa.ipc.new_file(out, schema, options=options) as made:
             for batch in batches:
