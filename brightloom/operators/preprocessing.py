@@ -9,7 +9,6 @@ from dataclasses import dataclass, field
 from itertools import combinations, combinations_with_replacement
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W

@@ -15,7 +15,6 @@ from ..operators import models as ml
 from ..operators import preprocessing as pp
 from ..operators import trees
 from ..operators import vectors as vec
-from ..sources import generators as gen
 from ..streaming import streams
 from .registry import Tables, query
 
