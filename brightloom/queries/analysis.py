@@ -303,8 +303,11 @@ SCORED = "SELECT quality AS y, (n_chars > 1000)::INT AS p, round(least(n_chars,
 
 
 def scored(t: Tables) -> DataFrame:
+    """Scores rounded in binary, as the SQL does: 100 times the double 0.145 is
+    below 14.5, while ``F.round`` with digits goes by the decimal 0.145."""
     rows = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id")
-    return rows.select(F.col("quality").alias("y"), (F.col("n_chars") > 1000).cast("int").alias("p"), F.round(F.least("n_chars", F.lit(5000)) / 5000.0, 2).alias("s"))
+    s = F.round(F.least("n_chars", F.lit(5000)) / 5000.0 * 100) / 100
+    return rows.select(F.col("quality").alias("y"), (F.col("n_chars") > 1000).cast("int").alias("p"), s.alias("s"))
 
 
 @query(f"""WITH c AS (SELECT count_if(y = 1 AND p = 1)::DOUBLE AS tp, count_if(y <> 1 AND p = 1)::DOUBLE AS fp, count_if(y = 1 AND p <> 1)::DOUBLE AS fn, count_if(y <> 1 AND p <> 1)::DOUBLE AS tn, avg((y = p)::INT) AS accuracy FROM ({SCORED}))
