@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from itertools import combinations
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -239,13 +240,42 @@ def ks_normal(df: DataFrame, column: str) -> dict[str, float]:
 
 def shapiro_wilk(values: Sequence[float]) -> dict[str, float]:
     """W by normal scores of Blom's positions, p by Royston's log-normal
-    approximation; for at most 5,000 values, on the driver."""
+    approximation (fitted to at most 5,000 values, and carried on beyond), of
+    values that the driver holds."""
     x = np.sort(np.asarray(values, float))
     n = len(x)
-    if not 3 <= n <= 5000:
-        raise InvalidParameter("between 3 and 5,000 values are needed")
+    if n < 3:
+        raise InvalidParameter("at least 3 values are needed")
     m = np.array([special.normal_quantile((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    w = float((m @ x) ** 2 / ((m @ m) * ((x - x.mean()) ** 2).sum()))
+    return _shapiro(n, float((m @ x) ** 2 / ((m @ m) * ((x - x.mean()) ** 2).sum())))
+
+
+def shapiro_wilk_column(df: DataFrame, column: str) -> dict[str, float]:
+    """As ``shapiro_wilk``, of any number of rows: counts of different values,
+    cumulated over ranges, tell each value's positions, and tasks add up the
+    scores there."""
+    x = F.col(column).cast("double")
+    n, mean, spread = df.agg(F.count(x), F.avg(x), F.var_pop(x)).first()
+    if n < 3:
+        raise InvalidParameter("at least 3 values are needed")
+    levels = df.where(x.isNotNull()).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    score = NormalDist().inv_cdf
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_x = squares = 0.0
+        for batch in batches:
+            for v, c, upto in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                for at in range(upto - c, upto, 4096):
+                    m = np.array([score((i + 0.625) / (n + 0.25)) for i in range(at, min(at + 4096, upto))])
+                    by_x, squares = by_x + (v - mean) * m.sum(), squares + m @ m
+        yield pa.RecordBatch.from_arrays([pa.array([by_x]), pa.array([squares])], names=["m_x", "m_m"])
+
+    found = prefix_sums(levels, "x", {"upto": F.col("c")}).select("x", "c", "upto").mapInArrow(run, "m_x double, m_m double")
+    m_x, m_m = found.agg(F.sum("m_x"), F.sum("m_m")).first()
+    return _shapiro(n, m_x**2 / (m_m * spread * n) if spread else float("nan"))
+
+
+def _shapiro(n: int, w: float) -> dict[str, float]:
     if n < 12:
         g, mu = 0.459 * n - 2.273, 0.544 - 0.39978 * n + 0.025054 * n**2 - 0.0006714 * n**3
         sigma = math.exp(1.3822 - 0.77857 * n + 0.062767 * n**2 - 0.0020322 * n**3)

@@ -137,7 +137,7 @@ def ks_normal(t: Tables):
 
 @query()
 def shapiro_wilk(t: Tables):
-    return one_row(t, st.shapiro_wilk([r[0] for r in t.supplier.select("s_acctbal").collect()]))
+    return one_row(t, st.shapiro_wilk_column(t.supplier, "s_acctbal"))
 
 
 LIVES = "SELECT (event_id % 50) AS d, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS e FROM events"

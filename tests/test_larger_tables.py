@@ -1,5 +1,9 @@
 """Queries and verbs on more rows than the test tables have, and on odd ones."""
 
+import numpy as np
+import pytest
+
+from brightloom.functions import statistics as st
 from brightloom.queries import catalog
 
 
@@ -9,3 +13,14 @@ def test_scores_round_as_the_sql_does(spark, tmp_path):
     spark.createDataFrame(list(enumerate(n_chars)), "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     found = catalog.QUERIES["roc_curve"](spark, str(tmp_path)).collect()
     assert sorted(r["threshold"] for r in found) == [0.14, 0.28, 0.3, 0.56, 0.57, 1.0]
+
+
+def test_shapiro_wilk_of_many_rows(spark, tmp_path):
+    x = np.round(np.random.default_rng(3).gamma(20, size=6000), 1)
+    column = lambda v: spark.createDataFrame([(float(e),) for e in v], "s_acctbal double")
+    few = st.shapiro_wilk_column(column(x[:300]), "s_acctbal")
+    assert few["statistic"] == pytest.approx(st.shapiro_wilk(x[:300])["statistic"], rel=1e-12)
+    assert few["p_value"] == pytest.approx(st.shapiro_wilk(x[:300])["p_value"], rel=1e-9)
+    column(x).write.parquet(f"{tmp_path}/supplier.parquet")
+    many = catalog.QUERIES["shapiro_wilk"](spark, str(tmp_path)).first()
+    assert many["statistic"] == pytest.approx(st.shapiro_wilk(x)["statistic"], rel=1e-12) and many["p_value"] < 1e-6
