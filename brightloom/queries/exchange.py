@@ -6,7 +6,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import embeddings as emb
@@ -84,12 +86,11 @@ def sqlite_query(t: Tables):
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders WHERE o_totalprice > 100000")
 def jdbc_query(t: Tables):
-    """Through JDBC, read in parts: Derby's tables live in the JVM that also runs
-    this query's tasks, so a local master is needed."""
-    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
-    databases.write_sql(t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"), "orders", url, "replace")
+    """Through JDBC, read in parts, from Derby databases that all executors can open."""
+    urls = databases.write_derby(t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"), "orders", place(t))
     most = t.orders.agg(F.max("o_orderkey")).first()[0]
-    found = databases.read_sql(t.spark, 'SELECT * FROM orders WHERE "o_totalprice" > 100000', url, ("o_orderkey", 0, most, 4))
+    parts = [databases.read_sql(t.spark, 'SELECT * FROM orders WHERE "o_totalprice" > 100000', url, ("o_orderkey", 0, most, 4)) for url in urls]
+    found = reduce(DataFrame.union, parts)
     return found.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
 
 

@@ -5,6 +5,7 @@ import pytest
 
 from brightloom.functions import statistics as st
 from brightloom.queries import catalog
+from brightloom.sources import databases
 
 
 def test_scores_round_as_the_sql_does(spark, tmp_path):
@@ -24,3 +25,14 @@ def test_shapiro_wilk_of_many_rows(spark, tmp_path):
     column(x).write.parquet(f"{tmp_path}/supplier.parquet")
     many = catalog.QUERIES["shapiro_wilk"](spark, str(tmp_path)).first()
     assert many["statistic"] == pytest.approx(st.shapiro_wilk(x)["statistic"], rel=1e-12) and many["p_value"] < 1e-6
+
+
+def test_derby_for_many_processes(spark, tmp_path):
+    rows = [(1, 0.1, 'a "b", c'), (2, None, ""), (3, -1e300, None), (4, 5.0, "zwei\nZeilen, é")]
+    df = spark.createDataFrame(rows, "k long, x double, s string")
+    urls = databases.write_derby(df, "said", f"file://{tmp_path}/shared", part_rows=2)
+    assert len(urls) == 2 and all(u.startswith("jdbc:derby:jar:") for u in urls)  # read-only: no process locks it
+    found = [r for u in urls for r in databases.read_sql(spark, "SELECT * FROM said", u).collect()]
+    assert sorted(map(tuple, found)) == rows
+    (url,) = databases.write_derby(df.where("k < 0").coalesce(1), "said", f"file://{tmp_path}/shared")
+    assert databases.read_sql(spark, "SELECT * FROM said", url).count() == 0
