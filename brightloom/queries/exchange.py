@@ -72,7 +72,7 @@ def feather_round_trip(t: Tables):
 def feather_columns(t: Tables):
     """Three columns of a table in many batches."""
     path = place(t)
-    files.write_feather(t.lineitem.repartition(4, "l_orderkey"), path, compression="zstd")
+    files.write_feather(t.lineitem, path, compression="zstd")
     return files.read_feather(t.spark, path, ["l_orderkey", "l_linenumber", "l_shipdate"], split_bytes=1 << 18)
 
 

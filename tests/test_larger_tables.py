@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brightloom.functions import statistics as st
-from brightloom.queries import catalog
+from brightloom.queries import catalog, exchange
 from brightloom.sources import databases
 
 
@@ -36,3 +37,16 @@ def test_derby_for_many_processes(spark, tmp_path):
     assert sorted(map(tuple, found)) == rows
     (url,) = databases.write_derby(df.where("k < 0").coalesce(1), "said", f"file://{tmp_path}/shared")
     assert databases.read_sql(spark, "SELECT * FROM said", url).count() == 0
+
+
+def test_feather_columns_keeps_the_tables_parts(spark, tmp_path, monkeypatch):
+    rows = spark.range(60).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.current_date().alias("l_shipdate"), F.lit("x").alias("l_comment"))
+    rows.repartition(9).write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = []
+    monkeypatch.setattr(exchange.files, "write_feather", lambda df, path, write=exchange.files.write_feather, **more: (parts.append(df.rdd.getNumPartitions()), write(df, path, **more)))
+    spark.conf.set("spark.sql.files.openCostInBytes", 128 << 20)
+    try:
+        assert catalog.QUERIES["feather_columns"](spark, str(tmp_path)).count() == 60
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert parts == [9]
