@@ -29,6 +29,8 @@ TILE = 2048
 FAN = 16
 #: Pivots of an index, the rows they are chosen from, and bytes of its summaries.
 PIVOTS, PIVOT_SAMPLE, SUMMARY_BYTES = 256, 4096, 64 << 20
+#: Tiles meet in cells of blocks by blocks: blocks at least, and bytes of vectors in one.
+BLOCKS, BLOCK_BYTES = 6, 64 << 20
 
 
 # ---- vector store ----------------------------------------------------------------
@@ -315,11 +317,6 @@ def tile_pairs(some: DataFrame, others: DataFrame, column: str) -> DataFrame:
     return sent.join(others.select(F.col("tile").alias("other_tile"), F.col(column).alias("other"), F.col("data").alias("other_data")), "other_tile").select("tile", "own", "data", "other_tile", "other", "other_data")
 
 
-def _self_pairs(df: DataFrame, vector: str, column: str) -> DataFrame:
-    made = tiles(df, vector, column)
-    return tile_pairs(made, made, column)
-
-
 def _squares(data: bytes, n: int, other_data: bytes, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Both matrices, the squared distances by one matrix product, and a bound
     of their rounding."""
@@ -328,6 +325,39 @@ def _squares(data: bytes, n: int, other_data: bytes, m: int) -> tuple[np.ndarray
     return y, x, np.maximum(sy[:, None] - 2 * y @ x.T + sx, 0), 1e-12 * float(sy.max() + sx.max())
 
 
+def _meet(held: DataFrame, sent: DataFrame, work, schema: str) -> DataFrame:
+    """What ``work(state, own, others)`` yields for each row of ``sent`` (a, b,
+    tile, keys, data, ..., partners): ``others`` are the tiles of ``held`` (a, b,
+    tile, keys, data, ...) in the same cell (a, b) that are its partners, or all
+    if those are null; ``state`` is a dict that lasts as long as the cell. A task
+    keeps the held tiles of one cell, which are a block, and tiles sent there
+    pass by, so a tile is shuffled once for each block, not for each partner."""
+    names = [c for c in held.columns if c not in ("a", "b")]
+    none = F.lit(None).cast("array<bigint>").alias("partners")
+    both = held.select("a", "b", F.lit(0).alias("side"), *names, none).unionByName(sent.select("a", "b", F.lit(1).alias("side"), *names, "partners"))
+    dealt = both.repartition("a", "b").sortWithinPartitions("a", "b", "side", "tile")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, near, state = None, {}, {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                a, b, side, tile, *own = (c[r] for c in batch.columns)
+                if (a.as_py(), b.as_py()) != cell:
+                    cell, near, state = (a.as_py(), b.as_py()), {}, {}
+                row = [tile.as_py(), own[0].values, own[1].as_py(), *(v.as_py() for v in own[2:-1])]
+                if not side.as_py():
+                    near[row[0]] = row
+                else:
+                    chosen = own[-1].as_py()
+                    yield from work(state, row, [near[k] for k in (near if chosen is None else chosen)])
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _blocks(n_bytes: int) -> int:
+    return max(BLOCKS, -(-n_bytes // BLOCK_BYTES))
+
+
 class PivotIndex:
     """Vectors in tiles of near ones, with what rules pairs of tiles out.
 
@@ -357,40 +387,44 @@ class PivotIndex:
         self.tiles = tiles.withColumn("tile", F.lit(0).cast("long") if self.one else F.monotonically_increasing_id())
         if not self.one:
             self.tiles = settle(self.tiles)
-            found = self.tiles.select("tile", "low", "high", "norm").orderBy("tile").collect()
+            found = self.tiles.select("tile", "low", "high", "norm", F.length("data").alias("bytes")).orderBy("tile").collect()
             few = max(1, SUMMARY_BYTES // (16 * len(found)))
             low, high = (np.stack([np.frombuffer(r[c])[:few] for r in found]) for c in ("low", "high"))
             self.numbers = [r["tile"] for r in found]
+            self.blocks = _blocks(sum(r["bytes"] for r in found))
             self.slack = 1e-7 * max(r["norm"] for r in found)  # of distances by matrix products
             self.summary = df.sparkSession.sparkContext.broadcast((np.array(self.numbers), low, high))
 
     def partners(self, reach: DataFrame | float, itself: bool) -> DataFrame:
         """(tile, other_tile) of the pairs of which some rows may be within
-        ``reach``: one number, or (tile, reach) with one for each tile."""
-        summary, slack = self.summary, self.slack
+        ``reach``: one number, or (tile, reach) with one for each tile; and
+        their blocks (a, b)."""
+        summary, slack, blocks = self.summary, self.slack, self.blocks
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             numbers, low, high = summary.value
+            block = (np.arange(len(numbers)) * blocks // len(numbers)).astype("int32")
             for batch in batches:
                 for tile, far in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     at = int(np.searchsorted(numbers, tile))
                     gap = np.maximum(low - high[at], low[at] - high).max(1)
                     near = (gap <= far + slack) & (itself | (numbers != tile))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(near.sum()), tile)), pa.array(numbers[near])], names=["tile", "other_tile"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(near.sum()), tile)), pa.array(numbers[near]), pa.array(np.full(int(near.sum()), block[at])), pa.array(block[near])], names=["tile", "other_tile", "a", "b"])
 
         if not isinstance(reach, DataFrame):
             reach = self.tiles.select("tile", F.lit(float(reach)).alias("reach"))
-        return reach.select("tile", "reach").mapInArrow(run, "tile long, other_tile long")
+        return reach.select("tile", "reach").mapInArrow(run, "tile long, other_tile long, a int, b int")
 
-    def pairs(self, partners: DataFrame | None, *more: str) -> DataFrame:
-        """(tile, keys, data, *more, other_tile, other_keys, other_data,
-        *other_more) of partners; of the one tile with itself, if there is one."""
-        mine, names = self.tiles.select("tile", "keys", "data", *more), ["tile", "keys", "data", *more]
-        theirs = [F.col(c).alias(f"other_{c}") for c in names]
+    def meet(self, partners: DataFrame | None, work, schema: str, *more: str) -> DataFrame:
+        """``_meet`` of partners, with columns of the tiles; of the one tile
+        with itself, if there is one."""
+        tiles = self.tiles.select("tile", "keys", "data", *more)
         if self.one:
-            return mine.select(*names, *theirs)
-        dealt = partners.repartition("tile", "other_tile")
-        return mine.join(dealt, "tile").join(self.tiles.select(*theirs), "other_tile").select(*names, *[f"other_{c}" for c in names])
+            held = tiles.select(F.lit(0).alias("a"), F.lit(0).alias("b"), "*")
+            return _meet(held, held.withColumn("partners", F.lit(None).cast("array<bigint>")), work, schema)
+        sent = partners.groupBy("tile", "a", "b").agg(F.sort_array(F.collect_list("other_tile")).alias("partners"))
+        held = partners.select(F.col("other_tile").alias("tile"), "a", "b").distinct()
+        return _meet(tiles.join(held, "tile"), tiles.join(sent, "tile"), work, schema)
 
     def with_column(self, name: str, values: DataFrame) -> None:
         """Adds a column of arrays to the tiles, from rows (tile, at, value); what
@@ -470,9 +504,9 @@ class _Pair:
     """The rows of two tiles with their squared distances; rows of one key are
     infinitely far apart."""
 
-    def __init__(self, batch: pa.RecordBatch, r: int, keys: int, data: int, other_keys: int, other_data: int):
-        self.own, others = batch.column(keys)[r].values, batch.column(other_keys)[r].values
-        y, x, d2, self.slack = _squares(batch.column(data)[r].as_py(), len(self.own), batch.column(other_data)[r].as_py(), len(others))
+    def __init__(self, own: list, other: list):
+        self.own, others = own[1], other[1]
+        y, x, d2, self.slack = _squares(own[2], len(self.own), other[2], len(others))
         self.order = pc.array_sort_indices(others).to_numpy()  # ties go to smaller keys
         self.others, self.y, self.x, self.d2 = others.take(pa.array(self.order)), y, x[self.order], d2[:, self.order]
         code = {v: i for i, v in enumerate(dict.fromkeys([*self.own.to_pylist(), *self.others.to_pylist()]))}
@@ -483,7 +517,11 @@ class _Pair:
         """Rows, columns and exact distances of pairs up to the squared limits, or
         a little above."""
         row, col = np.nonzero((self.d2 <= limit[:, None] + self.slack) & np.isfinite(self.d2))
-        return row, col, np.sqrt(((self.y[row] - self.x[col]) ** 2).sum(1))
+        d = np.empty(len(row))
+        for at in range(0, len(row), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            d[part] = np.sqrt(((self.y[row[part]] - self.x[col[part]]) ** 2).sum(1))
+        return row, col, d
 
 
 def neighbours(df: DataFrame, key: str, vector: str, k: int | None = None, radius: float | None = None) -> DataFrame:
@@ -495,52 +533,73 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int | None = None, radiu
     index = PivotIndex(df, key, vector)
     kind = index.kind
 
-    def found(pair: _Pair, tile: int, kth: np.ndarray | None) -> pa.RecordBatch:
-        n, m = len(pair.own), len(pair.others)
-        if k is not None:
-            limit = np.partition(pair.d2, k - 1, axis=1)[:, k - 1] if k < m else np.full(n, np.inf)
-            limit = limit if kth is None else np.minimum(limit, kth**2 * (1 + 1e-12))
-        else:
-            limit = np.full(n, float(radius) ** 2)
+    def found(pair: _Pair, kth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if k is None:
+            row, col, d = pair.within(np.full(len(pair.own), float(radius) ** 2))
+            return row[d <= radius], col[d <= radius], d[d <= radius]
+        limit, far = kth**2 * (1 + 1e-12), np.flatnonzero(np.isinf(kth))
+        if len(far) and k < len(pair.others):
+            limit[far] = np.partition(pair.d2[far], k - 1, axis=1)[:, k - 1]
         row, col, d = pair.within(limit)
-        if k is not None:
-            by = np.lexsort((col, d, row))
-            row, col, d = row[by], col[by], d[by]
-            ok = np.arange(len(row)) - np.searchsorted(row, row) < k
-        else:
-            ok = d <= radius
-        row, col, d = row[ok], col[ok], d[ok]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), tile, np.int64)), pa.array(row, pa.int32()), pair.own.take(pa.array(row)), pair.others.take(pa.array(col)), pa.array(d)], names=["tile", "at", key, "other", "distance"])
+        return best(row, col, d)
+
+    def best(row: np.ndarray, col: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        by = np.lexsort((col, d, row))
+        row, col, d = row[by], col[by], d[by]
+        ok = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[ok], col[ok], d[ok]
+
+    def out(tile: int, own: pa.Array, row: np.ndarray, others: pa.Array, d: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), tile, np.int64)), pa.array(row, pa.int32()), own.take(pa.array(row)), others, pa.array(d)], names=["tile", "at", key, "other", "distance"])
 
     schema = f"tile long, at int, `{key}` {kind}, other {kind}, distance double"
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                yield found(_Pair(batch, r, 1, 2, 1, 2), batch.column(0)[r].as_py(), None)
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                kth = np.array([np.inf if v is None else v for v in batch.column(6)[r].as_py()]) if k is not None else None
-                yield found(_Pair(batch, r, 1, 2, 4, 5), batch.column(0)[r].as_py(), kth)
+                own = [batch.column(0)[r].as_py(), batch.column(1)[r].values, batch.column(2)[r].as_py()]
+                pair = _Pair(own, own)
+                row, col, d = found(pair, np.full(len(own[1]), np.inf))
+                yield out(own[0], own[1], row, pair.others.take(pa.array(col)), d)
+
+    def across(state: dict, own: list, others: list) -> Iterator[pa.RecordBatch]:
+        n = len(own[1])
+        if k is None:
+            for other in others:
+                pair = _Pair(own, other)
+                row, col, d = found(pair, np.full(n, np.inf))
+                yield out(own[0], own[1], row, pair.others.take(pa.array(col)), d)
+            return
+        kth = np.array([np.inf if v is None else v for v in own[3]])
+        row, d, names = np.zeros(0, np.int64), np.zeros(0), own[1].slice(0, 0)
+        for other in others:  # each row's k best of the block, which bound what comes
+            pair = _Pair(own, other)
+            more, col, far = found(pair, kth)
+            if not len(more):
+                continue
+            row, d, names = np.concatenate([row, more]), np.concatenate([d, far]), pa.concat_arrays([names, pair.others.take(pa.array(col))])
+            rank = np.empty(len(names), np.int64)
+            rank[pc.array_sort_indices(names).to_numpy()] = np.arange(len(names))  # ties go to smaller keys
+            row, rank, d = best(row, rank, d)
+            names = names.take(pc.array_sort_indices(names)).take(pa.array(rank))
+            full = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == k - 1)
+            kth[row[full]] = np.minimum(kth[row[full]], d[full])
+        yield out(own[0], own[1], row, names, d)
 
     tiles = index.tiles.select("tile", "keys", "data")
     if k is None:
         if index.one:
             return tiles.mapInArrow(inside, schema).select(key, "other", "distance")
-        pairs = index.pairs(index.partners(radius, True))
-        return pairs.mapInArrow(across, schema).select(key, "other", "distance")
-    best = lambda rows: rows.withColumn("_nth", F.row_number().over(W.partitionBy("tile", "at").orderBy("distance", F.asc_nulls_last("other")))).where(F.col("_nth") <= k)
+        return index.meet(index.partners(radius, True), across, schema).select(key, "other", "distance")
+    nearest = lambda rows: rows.withColumn("_nth", F.row_number().over(W.partitionBy("tile", "at").orderBy("distance", F.asc_nulls_last("other")))).where(F.col("_nth") <= k)
     own = tiles.mapInArrow(inside, schema)
     if index.one:
-        return best(own).select(key, "other", "distance")
+        return nearest(own).select(key, "other", "distance")
     own = settle(own)
     index.with_column("kth", own.groupBy("tile", "at").agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("value")))
     far = F.aggregate("kth", F.lit(0.0), lambda s, d: F.greatest(s, F.coalesce(d, F.lit(float("inf")))))
-    partners = index.partners(index.tiles.select("tile", far.alias("reach")), False)
-    pairs = index.pairs(partners, "kth").select("tile", "keys", "data", "other_tile", "other_keys", "other_data", "kth")
-    return best(own.unionByName(pairs.mapInArrow(across, schema))).select(key, "other", "distance")
+    partners = settle(index.partners(index.tiles.select("tile", far.alias("reach")), False))
+    return nearest(own.unionByName(index.meet(partners, across, schema, "kth"))).select(key, "other", "distance")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -572,22 +631,27 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples:
         index.tiles = settle(index.tiles)
     near = None if index.one else settle(index.partners(eps, True))
 
-    def over(work, schema: str, *more: str) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                half = batch.num_columns // 2
-                for r in range(batch.num_rows):
-                    pair = _Pair(batch, r, 1, 2, half + 1, half + 2)
+    def over(work, schema: str, *more: str, partners: DataFrame | None = near) -> DataFrame:
+        def run(state: dict, own: list, others: list) -> Iterator[pa.RecordBatch]:
+            values = lambda row: [np.array([np.nan if v is None else float(v) for v in c]) for c in row[3:]]
+            mine = values(own)
+
+            def pairs() -> Iterator[tuple]:
+                for other in others:
+                    pair = _Pair(own, other)
                     row, col, d = pair.within(np.full(len(pair.own), float(eps) ** 2))
-                    row, col = row[d <= eps], pair.order[col[d <= eps]]
-                    mine, theirs = ([np.array([np.nan if v is None else float(v) for v in batch.column(3 + side + i)[r].as_py()]) for i in range(len(more))] for side in (0, half))
-                    yield from work(batch.column(0)[r].as_py(), batch.column(half)[r].as_py(), row, col, mine, theirs)
+                    yield other[0], row[d <= eps], pair.order[col[d <= eps]], values(other)
+
+            yield from work(state, own[0], len(own[1]), mine, pairs())
 
-        return index.pairs(near, *more).mapInArrow(run, schema)
+        return index.meet(partners, run, schema, *more)
 
-    def counts(tile, other, row, col, mine, theirs):
-        at, n = np.unique(row, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tile)), pa.array(at, pa.int32()), pa.array(n)], names=["tile", "at", "n"])
+    def counts(state, tile, size, mine, pairs):
+        n = np.zeros(size, np.int64)
+        for _, row, _, _ in pairs:
+            n += np.bincount(row, minlength=size)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tile)), pa.array(at, pa.int32()), pa.array(n[at])], names=["tile", "at", "n"])
 
     counted = over(counts, "tile long, at int, n long").groupBy("tile", "at").agg(F.sum("n").alias("n"))
     every = index.tiles.select("tile", F.posexplode("keys").alias("at", "k"))
@@ -595,10 +659,8 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples:
     cores = settle(cores)
     index.with_column("core", cores.select("tile", "at", F.lit(True).alias("value")))
 
-    def links(tile, other, row, col, mine, theirs):
-        ok = (mine[0][row] == 1) & (theirs[0][col] == 1)
-        row, col = row[ok], col[ok]
-        root: dict[int, int] = {}
+    def links(state, tile, _, mine, pairs):
+        root = state  # of a cell: it leaves fewer links than it has rows
 
         def top(x: int) -> int:
             while root.get(x, x) != x:
@@ -606,16 +668,24 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples:
                 x = root[x]
             return x
 
+        def tops(ids: np.ndarray) -> np.ndarray:
+            different, at = np.unique(ids, return_inverse=True)
+            return np.array([top(x) for x in different.tolist()], np.int64)[at]
+
         took = []
-        for a, b in zip((tile * size + row).tolist(), (other * size + col).tolist(), strict=True):
-            x, y = top(a), top(b)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                took.append((a, b))
+        for other, row, col, theirs in pairs:
+            ok = (mine[0][row] == 1) & (theirs[0][col] == 1)
+            a, b = tops(tile * size + row[ok]), tops(other * size + col[ok])
+            for x, y in np.unique(np.stack([a, b], 1)[a != b], axis=0).tolist():
+                x, y = top(x), top(y)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    took.append((x, y))
         ends = list(zip(*took, strict=True)) or [(), ()]
         yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], names=["a", "b"])
 
-    roots = components(over(links, "a long, b long", "core"))
+    half = None if index.one else near.where("tile <= other_tile")
+    roots = components(over(links, "a long, b long", "core", partners=half))
     cores = cores.withColumn("node", F.col("tile") * size + F.col("at")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     cores = settle(cores)
     named = cores.groupBy("root").agg(F.min("k").alias("label"))
@@ -623,13 +693,14 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples:
     cores = settle(cores.join(named, "root").select("tile", "at", "cluster"))
     index.with_column("cluster", cores.select("tile", "at", F.col("cluster").alias("value")))
 
-    def borders(tile, other, row, col, mine, theirs):
-        label = theirs[0][col]
-        ok = np.isnan(mine[0][row]) & ~np.isnan(label)
-        row, label = row[ok], label[ok]
-        by = np.lexsort((label, row))
-        at, first = np.unique(row[by], return_index=True)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tile)), pa.array(at, pa.int32()), pa.array(label[by][first], pa.float64())], names=["tile", "at", "cluster"])
+    def borders(state, tile, size, mine, pairs):
+        low = np.full(size, np.inf)
+        for _, row, col, theirs in pairs:
+            label = theirs[0][col]
+            ok = np.isnan(mine[0][row]) & ~np.isnan(label)
+            np.minimum.at(low, row[ok], label[ok])
+        at = np.flatnonzero(np.isfinite(low))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tile)), pa.array(at, pa.int32()), pa.array(low[at])], names=["tile", "at", "cluster"])
 
     touched = over(borders, "tile long, at int, cluster double", "cluster").groupBy("tile", "at").agg(F.min("cluster").cast("int").alias("cluster"))
     known = cores.unionByName(touched)
@@ -699,27 +770,31 @@ def outlier_labels(df: DataFrame, score: str, contamination: float = 0.1, name:
 def silhouette(df: DataFrame, key: str, vector: str, label: str) -> float:
     """Mean silhouette by Euclidean distance; singleton clusters don't count,
     rows without a label or a vector take no part. Rows are dealt by label, so
-    a tile holds few of them and a pair of tiles leaves few sums for each row."""
+    a block holds few of them and leaves few sums for each row of a tile."""
     rows = df.where(F.col(label).isNotNull() & F.col(vector).isNotNull())
     kind = df.schema[label].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                own, others = batch.column(1)[r].values, batch.column(4)[r].values
-                tile, other_tile = batch.column(0)[r].as_py(), batch.column(3)[r].as_py()
-                d = np.sqrt(_squares(batch.column(2)[r].as_py(), len(own), batch.column(5)[r].as_py(), len(others))[2])
-                if tile == other_tile:
-                    np.fill_diagonal(d, 0.0)
-                said = others.dictionary_encode()
-                code = said.indices.to_numpy()
-                for c in range(len(said.dictionary)):
-                    n = len(own)
-                    named = said.dictionary.take(pa.array(np.full(n, c)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, tile, np.int64)), pa.array(np.arange(n), pa.int32()), own, named, pa.array(d[:, code == c].sum(1))], names=["tile", "at", "own", "other", "s"])
+    def run(state: dict, own: list, others: list) -> Iterator[pa.RecordBatch]:
+        n, sums = len(own[1]), {}
+        for other in others:
+            d = np.sqrt(_squares(own[2], n, other[2], len(other[1]))[2])
+            if own[0] == other[0]:
+                np.fill_diagonal(d, 0.0)
+            said = other[1].dictionary_encode()
+            code = said.indices.to_numpy()
+            for c, name in enumerate(said.dictionary.to_pylist()):
+                sums[name] = sums.get(name, 0.0) + d[:, code == c].sum(1)
+        for name, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, own[0], np.int64)), pa.array(np.arange(n), pa.int32()), own[1], pa.array([name] * n, own[1].type), pa.array(total)], names=["tile", "at", "own", "other", "s"])
 
     dealt = rows.repartitionByRange(label, key).sortWithinPartitions(label, key)
-    sums = _self_pairs(dealt, vector, label).mapInArrow(run, f"tile long, at int, own {kind}, other {kind}, s double")
+    made = tiles(dealt, vector, label)
+    n, n_bytes = made.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("data")), F.lit(0))).first()
+    blocks = _blocks(n_bytes)
+    each, mine = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.floor(F.col("tile") * blocks / max(n, 1)).cast("int")
+    made = made.select("tile", F.col(label).alias("keys"), "data")
+    held, sent = made.select(each.alias("a"), mine.alias("b"), "*"), made.select(mine.alias("a"), each.alias("b"), "*", F.lit(None).cast("array<bigint>").alias("partners"))
+    sums = _meet(held, sent, run, f"tile long, at int, own {kind}, other {kind}, s double")
     sizes = rows.groupBy(F.col(label).alias("other")).agg(F.count(F.lit(1)).alias("n"))
     sums = sums.groupBy("tile", "at", "own", "other").agg(F.sum("s").alias("s")).join(sizes, "other")
     same = F.col("own") == F.col("other")

@@ -1,10 +1,12 @@
 """Queries and verbs on more rows than the test tables have, and on odd ones."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from brightloom.functions import statistics as st
+from brightloom.operators import vectors as vec
 from brightloom.queries import catalog, exchange
 from brightloom.sources import databases
 
@@ -50,3 +52,19 @@ def test_feather_columns_keeps_the_tables_parts(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert parts == [9]
+
+
+def test_tiles_are_sent_once_a_block(spark, monkeypatch):
+    monkeypatch.setattr(vec, "TILE", 8)
+    x = np.random.default_rng(1).normal(size=(160, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    index = vec.PivotIndex(df, "id", "v")
+    near = index.partners(100.0, True)
+
+    def seen(state, own, others):
+        yield pa.RecordBatch.from_arrays([pa.array([own[0]] * len(others), pa.int64()), pa.array([o[0] for o in others], pa.int64())], names=["tile", "other"])
+
+    met = index.meet(near, seen, "tile long, other long").collect()
+    n = len(index.numbers)
+    assert n > 2 * index.blocks and len(met) == len(set(met)) == n * n
+    assert near.select("tile", "b").distinct().count() == near.select("other_tile", "a").distinct().count() == n * index.blocks
