@@ -5,7 +5,11 @@ from __future__ import annotations
 import csv
 import io
 import json
-from collections.abc import Mapping, Sequence
+import os
+import shutil
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -131,9 +135,58 @@ def _typed(rows: DataFrame, null_values: Sequence[str], infer: bool, kinds: Mapp
     return rows.select(*[F.col(f"`{c}`") if kinds.get(c, "string") == "string" else _try(c, kinds[c]).cast(kinds[c]).alias(c) for c in names])
 
 
+#: Bytes that one task copies into a single file.
+COPY_BYTES = 64 << 20
+
+
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """Nulls as empty fields; one file on request only, as one task writes it."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("emptyValue", "").option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    """Nulls as empty fields. One file on request only: parts are written side
+    by side, and tasks copy ranges of them to their places in it, on a file
+    system where a file may be written at any place (``file:``); elsewhere one
+    task writes it."""
+    local = single and (path.startswith(("file:", "/")))
+    where = f"{path.rstrip('/')}-{uuid.uuid4().hex}" if local else path
+    # without headers: only the single file's first line is one
+    (df.coalesce(1) if single and not local else df).write.mode("overwrite").option("header", not local).option("emptyValue", "").option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(where)
+    if local:
+        _joined(df, where, path)
+
+
+def _joined(df: DataFrame, parts: str, path: str) -> None:
+    """The one file of ``path``, of the header and the parts in their order."""
+    spark, at = df.sparkSession, lambda p: "/" + p.removeprefix("file:").lstrip("/")
+    head = spark.createDataFrame([tuple(df.columns)], ", ".join(f"c{i} string" for i in range(len(df.columns)))).coalesce(1)
+    head.write.mode("overwrite").option("escape", '"').csv(path)
+    target = next(str(p) for p in Path(at(path)).glob("part-*"))
+    place, ranges = os.path.getsize(target), []
+    for part in sorted(str(p) for p in Path(at(parts)).glob("part-*")):
+        size = os.path.getsize(part)
+        ranges += [(part, k, min(COPY_BYTES, size - k), place + k) for k in range(0, size, COPY_BYTES)]
+        place += size
+    for crc in Path(at(path)).glob(".*.crc"):  # of the header alone
+        crc.unlink()
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                with open(r["part"], "rb") as source, open(target, "r+b") as out:
+                    source.seek(r["start"])
+                    out.seek(r["place"])
+                    left = r["size"]
+                    while left:
+                        piece = source.read(min(left, 1 << 20))
+                        if not piece:
+                            raise OSError(f"{r['part']} ends early")
+                        out.write(piece)
+                        left -= len(piece)
+        yield pa.RecordBatch.from_arrays([pa.array([1])], names=["done"])
+
+    if ranges:
+        rows = spark.createDataFrame(ranges, "part string, start long, size long, place long")
+        rows.repartitionByRange(len(ranges), "place").mapInArrow(copy, "done long").count()
+    if os.path.getsize(target) != place:
+        raise OSError(f"{target} has not {place} bytes")
+    shutil.rmtree(at(parts))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Queries and verbs on more rows than the test tables have, and on odd ones."""
 
+import csv
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from brightloom.functions import statistics as st
 from brightloom.operators import vectors as vec
 from brightloom.queries import catalog, exchange
-from brightloom.sources import databases
+from brightloom.sources import databases, files
 
 
 def test_scores_round_as_the_sql_does(spark, tmp_path):
@@ -68,3 +70,16 @@ def test_tiles_are_sent_once_a_block(spark, monkeypatch):
     n = len(index.numbers)
     assert n > 2 * index.blocks and len(met) == len(set(met)) == n * n
     assert near.select("tile", "b").distinct().count() == near.select("other_tile", "a").distinct().count() == n * index.blocks
+
+
+def test_one_csv_file_of_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "COPY_BYTES", 50)
+    rows = [(i, f'a "{i}",\nb' if i % 3 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, 'id long, `said, "so"` string').repartitionByRange(4, "id")
+    files.write_csv(df, f"file://{tmp_path}/one", single=True)
+    (path,) = (tmp_path / "one").glob("part-*")
+    with path.open(newline="") as f:
+        found = list(csv.reader(f))
+    assert found[0] == df.columns and found[1:] == [[str(i), s or ""] for i, s in rows]
+    assert sorted(map(tuple, files.read_csv(spark, f"file://{tmp_path}/one", kinds={"id": "bigint"}).collect())) == rows
+    assert [p.name for p in tmp_path.iterdir()] == ["one"]
