@@ -7,7 +7,10 @@ out by ranges of (tree, node, feature, value), so a feature of any number of
 values is spread over tasks; a few numbers for each range give it what lies
 before it, and each range then weighs every cut between two of its neighbours,
 for all open nodes, features and trees of a forest at once. The driver gets the
-best cut of each open node: it holds the trees, never rows.
+best cut of each open node: it holds the trees, never rows. Rows that agree in all
+features (and in their class) go the same way in every tree, so where a sketch says
+that they are many, one pass makes them one row with its weight in each tree, and
+the levels run over those.
 
 Thresholds are midpoints between neighbouring values (the lower one, where no
 number lies between); ties of gains go to the earlier feature, then the lower
@@ -34,6 +37,8 @@ from .frame import need
 #: A classifier has at most so many classes.
 CLASSES = 1000
 KINDS = ("gini", "entropy", "mse")
+#: Rows are put together if so many or more of them, on average, are alike.
+ALIKE = 4
 
 
 @dataclass
@@ -212,32 +217,44 @@ def _grown(df: DataFrame, columns: list[str], target: str, kind: str, max_depth:
     if kind not in KINDS:
         raise InvalidParameter(f"criterion must be one of {KINDS}")
     rows = df.where(F.col(target).isNotNull())
-    y = F.col(target)
-    classes, shift = None, 0.0
+    y, values = F.col(target), [_value(c).alias(c) for c in columns]
+    classes, shift, kinds = None, 0.0, F.approx_count_distinct(F.xxhash64(*values)).alias("kinds")
     if kind == "mse":
-        first = rows.agg(F.count(F.lit(1)), F.avg(y.cast("double"))).first()
-        n, shift = first[0], first[1]
+        first = rows.agg(F.count(F.lit(1)), F.avg(y.cast("double")), kinds).first()
+        n, shift, alike = first[0], first[1], first["kinds"] * ALIKE <= first[0]
         y = y.cast("double") - F.lit(shift)
         own = F.array(F.lit(1.0), y, y * y)
     else:
-        found = rows.groupBy(target).agg(F.count(F.lit(1)).alias("n")).limit(CLASSES + 1).collect()
+        found = rows.groupBy(target).agg(F.count(F.lit(1)).alias("n"), kinds).limit(CLASSES + 1).collect()
         if len(found) > CLASSES:
             raise InvalidParameter(f"{target} has more than {CLASSES} classes")
         n, classes = sum(r["n"] for r in found), sorted(r[0] for r in found)
+        alike = sum(r["kinds"] for r in found) * ALIKE <= n
         own = F.array(*[(y == F.lit(c)).cast("double") for c in classes])
     if not n:
         raise EmptyInput(target)
     width = 3 if classes is None else len(classes)
-    rows = rows.select(*columns, own.alias("_stats"))
-    weight = [F.lit(1)] * trees
+    weight, parts = [F.lit(1)] * trees, [F.col("_stats")] * trees
+    rows = rows.select(*(values if alike else columns), own.alias("_stats") if kind == "mse" or not alike else y.alias("_class"))
     if bootstrap:  # Poisson weights: how often a row is drawn
-        rows = settle(rows.withColumn("_row", F.monotonically_increasing_id()))
-        for k in range(trees):
-            u = F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("_row")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-            steps = np.cumsum([np.exp(-1) / np.prod(range(1, i + 1)) for i in range(12)])
-            weight[k] = sum(((u >= F.lit(float(s))).cast("int") for s in steps), F.lit(0))
+        rows = rows.withColumn("_row", F.monotonically_increasing_id())
+        rows = rows if alike else settle(rows)
+        u = [F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("_row")), F.lit(1 << 40)) / F.lit(float(1 << 40)) for k in range(trees)]
+        if alike:
+            rows = rows.select("*", *[x.alias(f"_u{k}") for k, x in enumerate(u)])
+            u = [F.col(f"_u{k}") for k in range(trees)]
+        steps = np.cumsum([np.exp(-1) / np.prod(range(1, i + 1)) for i in range(12)])
+        weight = [sum(((x >= F.lit(float(s))).cast("int") for s in steps), F.lit(0)) for x in u]
+    if alike and kind == "mse":
+        rows = settle(rows.groupBy(*columns).agg(*[F.array(*[F.sum(F.col("_stats")[i] * w) for i in range(width)]).alias(f"_s{k}") for k, w in enumerate(weight)]))
+        parts = [F.col(f"_s{k}") for k in range(trees)]
+        weight = [(s[0] > 0).cast("int") for s in parts]
+    elif alike:
+        rows = rows.groupBy(*columns, "_class").agg(*[F.sum(w).alias(f"_w{k}") for k, w in enumerate(weight)])
+        weight = [F.col(f"_w{k}") for k in range(trees)]
+        rows = settle(rows.select(*columns, F.array(*[(F.col("_class") == F.lit(c)).cast("double") for c in classes]).alias("_stats"), *weight))
     names, rng = list(columns), np.random.default_rng(seed)
-    starts = rows.agg(*[F.sum(F.col("_stats")[i] * weight[k]).alias(f"s{k}_{i}") for k in range(trees) for i in range(width)]).first()
+    starts = rows.agg(*[F.sum(parts[k][i] * weight[k]).alias(f"s{k}_{i}") for k in range(trees) for i in range(width)]).first()
     grown = [Tree(names, classes, shift, [Node(np.array([starts[k * width + i] for i in range(width)], float), 0)]) for k in range(trees)]
     is_open = {(k, 0) for k in range(trees)}
     size = lambda node: node.stats[0] if kind == "mse" else node.stats.sum()
@@ -246,12 +263,12 @@ def _grown(df: DataFrame, columns: list[str], target: str, kind: str, max_depth:
     while is_open:
         drawn = {key: sorted(rng.choice(len(names), features, replace=False).tolist()) if features and features < len(names) else range(len(names)) for key in sorted(is_open)}
         wanted = df.sparkSession.createDataFrame([(k, i, f) for (k, i), own in drawn.items() for f in own], "tree int, node int, feature int")
-        places = F.array(*[F.struct(F.lit(k).alias("tree"), t.node().alias("node"), weight[k].alias("w")) for k, t in enumerate(grown)])
+        places = F.array(*[F.struct(F.lit(k).alias("tree"), t.node().alias("node"), weight[k].alias("w"), parts[k].alias("stats")) for k, t in enumerate(grown)])
         cells = F.array(*[F.struct(F.lit(f).alias("feature"), _value(c).alias("v")) for f, c in enumerate(names)])
-        placed = rows.select("_stats", cells.alias("cells"), F.explode(places).alias("p")).where("p.w > 0")
-        long = placed.select("_stats", "p.tree", "p.node", "p.w", F.explode("cells").alias("c")).select("tree", "node", "c.feature", "c.v", "w", "_stats")
+        placed = rows.select(cells.alias("cells"), F.explode(places).alias("p")).where("p.w > 0")
+        long = placed.select("p.tree", "p.node", "p.w", "p.stats", F.explode("cells").alias("c")).select("tree", "node", "c.feature", "c.v", "w", "stats")
         long = long.join(F.broadcast(wanted), ["tree", "node", "feature"])  # a row for each open node and feature
-        totals = long.groupBy("tree", "node", "feature", "v").agg(F.array(*[F.sum(F.col("_stats")[i] * F.col("w")) for i in range(width)]).alias("stats"))
+        totals = long.groupBy("tree", "node", "feature", "v").agg(F.array(*[F.sum(F.col("stats")[i] * F.col("w")) for i in range(width)]).alias("stats"))
         fresh = set()
         for r in _best_cuts(totals, kind, width):
             tree, cut = grown[r["tree"]], r["cut"]

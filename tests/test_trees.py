@@ -92,3 +92,25 @@ def test_forest(spark):
     assert [shape(t) for t in forest.trees] == [shape(t) for t in again.trees]
     means = trees.random_forest(df, list("abcd"), "z", "mse", trees=3, max_depth=5, features=4)
     assert means.transform(df).agg(F.corr("prediction", "z")).first()[0] > 0.9
+
+
+@pytest.mark.parametrize("kind", ["gini", "mse"])
+def test_rows_that_are_alike_are_put_together(spark, monkeypatch, kind):
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 4, (600, 3)) / 2
+    rows = [(*map(float, r), int(r[0] + r[1] > 1.5 + (r[2] > 1)), None if i % 50 == 0 else float(3 * r[0] - r[2])) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y int, z double").withColumn("b", F.when(F.col("b") > 0, F.col("b"))).repartition(4)
+    df = trees.settle(df)
+    grow = lambda: trees.random_forest(df, list("abc"), "z" if kind == "mse" else "y", kind, trees=3, max_depth=3, features=2).trees
+    settled = []
+    monkeypatch.setattr(trees, "settle", lambda d, settle=trees.settle: (settled.append(settle(d)), settled[-1])[1])
+    near = grow()
+    assert settled[0].count() <= 4**3 * 2  # not 600 rows, at each level again
+    monkeypatch.setattr(trees, "ALIKE", 10**9)
+    far = grow()
+    assert all(flat(shape(a)) == pytest.approx(flat(shape(b))) for a, b in zip(near, far, strict=True))
+    assert [n.stats[0] for t in near for n in t.nodes] == [n.stats[0] for t in far for n in t.nodes]
+    ones = lambda: trees.decision_tree(df, list("abc"), "y", max_depth=3)
+    whole = ones()
+    monkeypatch.setattr(trees, "ALIKE", 1)
+    assert shape(ones()) == shape(whole)
