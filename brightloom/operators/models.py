@@ -10,6 +10,7 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline as MLPipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml import classification as mlc
 from pyspark.ml import regression as mlr
 from pyspark.ml.feature import VectorAssembler
@@ -144,6 +145,24 @@ def estimator(kind: str, columns: Sequence[str], target: str, **params) -> MLPip
     return MLPipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="_f", handleInvalid="keep"), model])
 
 
+#: Estimators that only total their rows, and what would make them draw or number rows.
+TOTALLING = ("decision_tree_classifier", "decision_tree_regressor", "gbt_regressor", "gbt_classifier")
+BY_ROW = {"subsamplingRate", "minInstancesPerNode", "weightCol"}
+#: About so many rows are a partition of a fit (some 300 bytes each, as the ML library keeps them).
+PART_ROWS = 1 << 18
+
+
+def fit_counted(df: DataFrame, kind: str, columns: Sequence[str], target: str, **params) -> PipelineModel:
+    """``estimator(...).fit`` to the different rows of ``df``, weighted by how often
+    they occur. The ML library keeps a fit's rows in the partitions that it gets them
+    in; here these are of ``PART_ROWS``, however large the parts of a table are."""
+    if kind not in TOTALLING or BY_ROW & set(params):
+        raise InvalidParameter(f"kind must be one of {TOTALLING}, without {sorted(BY_ROW)}")
+    kinds = df.agg(F.approx_count_distinct(F.xxhash64(*columns, target))).first()[0]
+    rows = df.groupBy(*columns, target).agg(F.count(F.lit(1)).cast("double").alias("_weight")).repartition(kinds // PART_ROWS + 1)
+    return estimator(kind, columns, target, weightCol="_weight", **params).fit(rows)
+
+
 def one_vs_rest(df: DataFrame, columns: Sequence[str], target: str, fit: Callable[..., LinearModel] = logistic_regression, **more) -> dict[object, LinearModel]:
     classes = sorted(r[0] for r in df.select(target).distinct().collect())
     return {c: fit(df.withColumn("_y", (F.col(target) == F.lit(c)).cast("double")), columns, "_y", **more) for c in classes}

@@ -679,7 +679,7 @@ def random_forest(t: Tables):
 @query()
 def boosted_trees(t: Tables):
     rows = labelled(t).select("l_quantity", "l_discount", "l_tax", "value")
-    fitted = ml.estimator("gbt_regressor", ["l_quantity", "l_discount", "l_tax"], "value", maxIter=5, seed=1).fit(rows)
+    fitted = ml.fit_counted(rows, "gbt_regressor", ["l_quantity", "l_discount", "l_tax"], "value", maxIter=5, seed=1)
     return ev.regression_metrics(fitted.transform(rows), "value", "prediction", 3)
 
 
@@ -709,5 +709,5 @@ def kernel_shap(t: Tables):
 @query()
 def tree_shap(t: Tables):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice")
-    fitted = ml.estimator("decision_tree_regressor", ["l_quantity", "l_discount"], "l_extendedprice", maxDepth=3).fit(rows)
+    fitted = ml.fit_counted(rows, "decision_tree_regressor", ["l_quantity", "l_discount"], "l_extendedprice", maxDepth=3)
     return ml.tree_shap_frame(rows, ["l_quantity", "l_discount"], fitted.stages[-1], np.array([[q, d] for q in (5, 15, 25, 35, 45) for d in (0.0, 0.05, 0.1)])).drop("l_extendedprice")

@@ -7,7 +7,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from brightloom.errors import InvalidParameter
 from brightloom.functions import statistics as st
+from brightloom.operators import models
 from brightloom.operators import vectors as vec
 from brightloom.queries import catalog, exchange
 from brightloom.sources import databases, files
@@ -83,3 +85,25 @@ def test_one_csv_file_of_many_tasks(spark, tmp_path, monkeypatch):
     assert found[0] == df.columns and found[1:] == [[str(i), s or ""] for i, s in rows]
     assert sorted(map(tuple, files.read_csv(spark, f"file://{tmp_path}/one", kinds={"id": "bigint"}).collect())) == rows
     assert [p.name for p in tmp_path.iterdir()] == ["one"]
+
+
+def test_trees_are_fitted_to_counted_rows(spark, tmp_path, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(models.mlr.GBTRegressor, "fit", lambda self, df, fit=models.mlr.GBTRegressor.fit: (fitted.append(df), fit(self, df))[1])
+    lines = spark.range(3000).select((F.col("id") % 7).cast("double").alias("l_quantity"), (F.col("id") % 5 / 50).alias("l_discount"), F.lit(0.1).alias("l_tax"))
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(models, "PART_ROWS", 10, raising=False)
+    assert catalog.QUERIES["boosted_trees"](spark, str(tmp_path)).first()["r2"] > 0.9
+    (rows,) = fitted
+    assert rows.count() == 35 and rows.rdd.getNumPartitions() == 4
+    assert rows.agg(F.sum("_weight")).first()[0] == 3000
+    # few different values: all of them are cuts, so the weighted fit is that of all rows
+    df = spark.read.parquet(f"{tmp_path}/lineitem.parquet").withColumn("y", 9 * F.col("l_quantity") + F.pmod(F.xxhash64("l_quantity", "l_discount"), F.lit(997)) / 7)
+    for kind in ("gbt_regressor", "decision_tree_regressor"):
+        few = models.fit_counted(df, kind, ["l_quantity", "l_discount"], "y").transform(df)
+        all_rows = models.estimator(kind, ["l_quantity", "l_discount"], "y").fit(df).transform(df)
+        ends = [d.agg(F.sum("prediction"), F.sum(F.col("prediction") * F.col("prediction"))).first() for d in (few, all_rows)]
+        assert ends[0] == pytest.approx(ends[1])
+    for kind, more in (("random_forest_regressor", {}), ("gbt_regressor", {"subsamplingRate": 0.5})):
+        with pytest.raises(InvalidParameter):
+            models.fit_counted(df, kind, ["l_quantity"], "y", **more)
