@@ -15,16 +15,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..checkpoints import settle
 from ..errors import EmptyInput, InvalidParameter
-from ..operators.joins import join_counted
+from ..operators.joins import join_counted, small
 
 #: Rows whose tokens are counted together.
 ROWS = 1024
+#: Up to so many classes have columns of their own in naive Bayes.
+CLASS_COLUMNS = 32
+#: So many tokens are weighed where the rows are read.
+WEIGHED = 1 << 15
 
 #: Common English function words.
 STOP_WORDS = """
@@ -258,20 +263,48 @@ def counted(df: DataFrame, tokens: Column, *keys: str) -> DataFrame:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
                 lists = batch.column(len(keys))
-                coded = lists.flatten().dictionary_encode()
                 size = lists.value_lengths().to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(len(size)), size)
-                code = coded.indices.fill_null(len(coded.dictionary)).to_numpy()
-                both, n = np.unique(row * (len(coded.dictionary) + 1) + code, return_counts=True)
-                row, code = np.divmod(both, len(coded.dictionary) + 1)
+                row, code, n, words = _coded(lists)
                 taken = pa.array(row)
                 columns = [batch.column(k).take(taken) for k in range(len(keys))]
-                known = pa.array(code, mask=code == len(coded.dictionary))
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(size[row].astype(np.int64)), coded.dictionary.take(known), pa.array(n.astype(np.int64))], names=names)
+                known = pa.array(code, mask=code == len(words))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(size[row].astype(np.int64)), words.take(known), pa.array(n.astype(np.int64))], names=names)
 
     return rows.mapInArrow(run, schema)
 
 
+def totalled(df: DataFrame, tokens: Column, label: str) -> DataFrame:
+    """(label, token, n, df): numbers of tokens, and of rows that have them, by
+    label; several rows of a label and token are still to be added up."""
+    rows = df.select(F.col(f"`{label}`").alias("label"), tokens.alias("_tokens")).where(F.size("_tokens") > 0)
+    schema = T.StructType([rows.schema["label"], T.StructField("token", T.StringType()), T.StructField("n", T.LongType()), T.StructField("df", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                row, code, n, words = _coded(batch.column(1))
+                labels = batch.column(0).dictionary_encode()
+                label = labels.indices.fill_null(len(labels.dictionary)).to_numpy()[row].astype(np.int64)
+                both, at_both = np.unique(label * (len(words) + 1) + code, return_inverse=True)
+                label, code = np.divmod(both, len(words) + 1)
+                totals = [np.bincount(at_both, w, len(both)).astype(np.int64) for w in (n, None)]
+                taken = [pool.take(pa.array(k, mask=k == len(pool))) for pool, k in ((labels.dictionary, label), (words, code))]
+                yield pa.RecordBatch.from_arrays([*taken, *map(pa.array, totals)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _coded(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, code, n) of the different tokens of each row, and the tokens by code;
+    the code after the last is null."""
+    coded = lists.flatten().dictionary_encode()
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    row, code = np.repeat(np.arange(len(size)), size), coded.indices.fill_null(len(coded.dictionary)).to_numpy()
+    both, n = np.unique(row * (len(coded.dictionary) + 1) + code, return_counts=True)
+    return *np.divmod(both, len(coded.dictionary) + 1), n, coded.dictionary
+
+
 def _is_unique(df: DataFrame, key: str) -> bool:
     """Whether no key occurs twice: rows can be counted on their own then."""
     return df.groupBy(F.col(f"`{key}`")).count().where("count > 1").limit(1).count() == 0
@@ -388,9 +421,8 @@ def naive_bayes(train: DataFrame, label: str, tokens: str, alpha: float = 1.0, c
     if alpha <= 0:
         raise InvalidParameter("alpha must be above 0")
     docs = train.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("docs"))
-    counts = counted(train.select(F.col(label).alias("label"), tokens), F.col(tokens), "label")
-    pairs = settle(counts.groupBy("token", "label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df")))
-    by_token = pairs.groupBy("token").agg(F.sum("n").alias("all"), F.sum("df").alias("df"), F.collect_list(F.struct("label", "n")).alias("in"))  # a pair for each class at most
+    pairs = totalled(train, F.col(tokens), label).groupBy("token", "label").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    by_token = settle(pairs.groupBy("token").agg(F.sum("n").alias("all"), F.sum("df").alias("df"), F.collect_list(F.struct("label", "n")).alias("in")))  # a pair for each class at most
     if complement:
         base = F.log(F.col("all") + alpha)
         correction = lambda n: F.log((F.col("all") - n + alpha) / (F.col("all") + alpha))
@@ -400,14 +432,14 @@ def naive_bayes(train: DataFrame, label: str, tokens: str, alpha: float = 1.0, c
     seen = F.transform("in", lambda p: F.struct(p["label"].alias("label"), correction(p["n"]).alias("w")))
     words = by_token.select("token", base.alias("base"), "df", seen.alias("seen"))
     size, whole, bases = by_token.agg(F.count(F.lit(1)), F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum(base), F.lit(0.0))).first()
-    sums = pairs.join(by_token.select("token", "all"), "token").groupBy("label").agg(F.sum("n").alias("total"), F.sum(correction(F.col("n"))).alias("corrections"))
+    sums = by_token.select("all", F.explode("in").alias("p")).select("all", "p.label", "p.n").groupBy("label").agg(F.sum("n").alias("total"), F.sum(correction(F.col("n"))).alias("corrections"))
     joined = docs.join(sums, docs["label"].eqNullSafe(sums["label"]), "left").select(docs["label"], "docs", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("corrections", F.lit(0.0)).alias("corrections"))
     every = joined.agg(F.sum("docs")).first()[0] or 0
     others = F.lit(whole) - F.col("total") if complement else F.col("total")
     rest = (F.lit(0.0) if complement else F.log(F.lit(float(alpha)))) - F.log(others + F.lit(float(alpha * size)))
     norm = -(F.lit(float(size)) * rest + F.lit(float(bases)) + F.col("corrections")) if complement else F.lit(1.0)
     classes = joined.select("label", F.log(F.col("docs") / F.lit(every)).alias("prior"), rest.alias("rest"), norm.alias("norm"))
-    return NaiveBayes(settle(words), settle(classes))
+    return NaiveBayes(words, settle(classes))
 
 
 def naive_bayes_predict(df: DataFrame, key: str, tokens: str, model: NaiveBayes, label: str, complement: bool = False) -> DataFrame:
@@ -416,23 +448,66 @@ def naive_bayes_predict(df: DataFrame, key: str, tokens: str, model: NaiveBayes,
     classes = model.classes.collect()  # a row for each class
     if not classes:
         raise EmptyInput(label)
-    counts = counted(df, F.col(tokens), key)
-    found = join_counted(counts, model.tokens, ["token"], "df")
-    known = found.groupBy(key).agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.col("base")).alias("bases"))
-    parts = found.select(key, "n", F.explode("seen").alias("s")).groupBy(key, F.col("s.label").alias("l")).agg(F.sum(F.col("n") * F.col("s.w")).alias("w"))
-    parts = parts.groupBy(key).agg(F.collect_list(F.struct("l", "w")).alias("parts"))
-    same = lambda a, b: F.col(f"_key.{key}").eqNullSafe(b[key])
+    words = model.tokens
+    weight_of = lambda seen, c: F.coalesce(F.get(F.filter(seen, lambda p: p["label"].eqNullSafe(F.lit(c["label"]))), F.lit(0))["w"], F.lit(0.0))
+    if len(classes) <= CLASS_COLUMNS:
+        words = words.select("token", "base", "df", *[weight_of("seen", c).alias(f"_w{k}") for k, c in enumerate(classes)])
+        own = [F.coalesce(F.col(f"_w{k}"), F.lit(0.0)) for k in range(len(classes))]
+        sums = _weighed(df, tokens, key, words, ["base", *[f"_w{k}" for k in range(len(classes))]]).withColumnRenamed("base", "bases")
+    else:
+        found = join_counted(counted(df, F.col(tokens), key), words, ["token"], "df").select(key, "n", "base", F.posexplode("seen").alias("at", "s"))  # a token has been seen in some class
+        once = lambda x: F.sum(F.when(F.col("at") == 0, x))
+        parts = found.groupBy(key, F.col("s.label").alias("label")).agg(F.sum(F.col("n") * F.col("s.w")).alias("w"), once(F.col("n")).alias("known"), once(F.col("n") * F.col("base")).alias("bases"))
+        sums = parts.groupBy(key).agg(F.sum("known").alias("known"), F.sum("bases").alias("bases"), F.collect_list(F.struct("label", "w")).alias("parts"))
+        own = [weight_of("parts", c) for c in classes]
     every = df.select(F.struct(key).alias("_key")).distinct()
-    every = every.join(known, same(every, known), "left").drop(key).join(parts, same(every, parts), "left").drop(key)
-    part_of = lambda name: F.get(F.filter("parts", lambda p: p["l"].eqNullSafe(F.lit(name))), F.lit(0))["w"]
+    every = every.join(sums, F.col(f"_key.{key}").eqNullSafe(sums[key]), "left").drop(key)
     scored = []
-    for c in classes:
-        own = part_of(c["label"])
-        s = (F.coalesce("bases", F.lit(0.0)) + F.coalesce("known", F.lit(0)) * F.lit(c["rest"]) + F.coalesce(own, F.lit(0.0))) / F.lit(c["norm"])
+    for c, part in zip(classes, own, strict=True):
+        s = (F.coalesce("bases", F.lit(0.0)) + F.coalesce("known", F.lit(0)) * F.lit(c["rest"]) + part) / F.lit(c["norm"])
         scored.append(F.struct((s if complement else -(s + F.lit(c["prior"]))).alias("minus"), F.lit(c["label"]).alias("label")))
     return every.select(f"_key.{key}", F.array_min(F.array(*scored))["label"].alias(label))
 
 
+def _weighed(df: DataFrame, tokens: str, key: str, words: DataFrame, weights: list[str]) -> DataFrame:
+    """(key, known, weights): the number of tokens that ``words`` has, and totals of
+    their weights. The most common tokens, a bounded number of them and of their
+    bytes, are weighed where the rows are read; only the others meet their weights by
+    a shuffle. So rows are tokenised once, and what they mostly hold doesn't move."""
+    n = F.col("n")
+    if small(words):
+        found = counted(df, F.col(tokens), key).join(F.broadcast(words), "token")
+        return found.groupBy(key).agg(F.sum("n").alias("known"), *[F.sum(n * F.col(w)).alias(w) for w in weights])
+    short = F.octet_length("token") <= F.lit(256)
+    top = words.where(short).select("df").orderBy(F.desc("df")).limit(WEIGHED + 1).collect()
+    common = short & (F.col("df") > F.lit(top[WEIGHED]["df"] if len(top) > WEIGHED else 0))
+    most = words.where(common).select("token", *weights).collect()  # WEIGHED rows at most
+    shared = df.sparkSession.sparkContext.broadcast(([r["token"] for r in most], np.array([[1.0, *r[1:]] for r in most]).reshape(len(most), 1 + len(weights))))
+    rows = df.select(F.col(f"`{key}`"), F.col(f"`{tokens}`").alias("_tokens")).where(F.size("_tokens") > 0)
+    sums = ["known", *weights]
+    schema = T.StructType([rows.schema.fields[0], T.StructField("token", T.StringType()), T.StructField("n", T.LongType()), *[T.StructField(f"_{w}", T.DoubleType()) for w in sums]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, weight = pa.array(shared.value[0], pa.string()), shared.value[1]
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                row, code, n, found = _coded(batch.column(1))
+                place = np.append(pc.index_in(found, value_set=names).fill_null(-1).to_numpy(), -1)[code]  # nulls have no weight
+                is_common, is_rest = place >= 0, (place < 0) & (code < len(found))
+                totals = [np.bincount(row[is_common], n[is_common] * weight[place[is_common], k], batch.num_rows).astype(float) for k in range(len(sums))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(batch.num_rows, pa.string()), pa.array(np.zeros(batch.num_rows, np.int64)), *map(pa.array, totals)], names=schema.names)
+                k = int(is_rest.sum())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[is_rest])), found.take(pa.array(code[is_rest])), pa.array(n[is_rest].astype(np.int64)), *[pa.array(np.zeros(k))] * len(sums)], names=schema.names)
+
+    # rows of totals have no token: they are dealt out by key, and meet nothing
+    salt = F.when(F.col("token").isNull(), F.pmod(F.xxhash64(key), F.lit(1024)).cast("int")).otherwise(-1)
+    left = rows.mapInArrow(run, schema).withColumn("_salt", salt).withColumn("token", F.coalesce("token", F.lit("")))
+    found = left.join(words.where(~common).withColumn("_salt", F.lit(-1)), ["token", "_salt"], "left")
+    known = (F.sum("_known").cast("long") + F.sum(F.when(F.col("df").isNotNull(), n).otherwise(0))).alias("known")
+    return found.groupBy(key).agg(known, *[F.sum(F.col(f"_{w}") + F.coalesce(n * F.col(w), F.lit(0.0))).alias(w) for w in weights])
+
+
 #: Function words of languages.
 PROFILES = {
     "de": "der die das und ist nicht ein eine zu mit von auf".split(),

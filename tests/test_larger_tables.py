@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brightloom.errors import InvalidParameter
 from brightloom.functions import statistics as st
+from brightloom.functions import text
 from brightloom.operators import models
 from brightloom.operators import vectors as vec
 from brightloom.queries import catalog, exchange
@@ -107,3 +108,24 @@ def test_trees_are_fitted_to_counted_rows(spark, tmp_path, monkeypatch):
     for kind, more in (("random_forest_regressor", {}), ("gbt_regressor", {"subsamplingRate": 0.5})):
         with pytest.raises(InvalidParameter):
             models.fit_counted(df, kind, ["l_quantity"], "y", **more)
+
+
+@pytest.mark.parametrize("columns", [32, 1])
+def test_naive_bayes_tokenises_once(spark, monkeypatch, columns):
+    x = np.random.default_rng(5).zipf(1.3, (120, 30)) % 200
+    rows = [(i, f"c{i % 3}" if i % 7 else None, [f"t{v + i % 3}" if v % 17 else None for v in r]) for i, r in enumerate(x)] + [(200, "c1", []), (201, "c1", None), (202, None, ["unseen", ""]), (None, "c2", ["t1", "t1"])]
+    df = spark.createDataFrame(rows, "id long, lang string, w array<string>").repartition(3)
+    want = None
+    model = text.naive_bayes(df.where("id % 2 = 0"), "lang", "w")
+    monkeypatch.setattr(text, "CLASS_COLUMNS", columns)
+    for small in (True, False):
+        monkeypatch.setattr(text, "small", lambda d, small=small: small)
+        for weighed in (1 << 15, 20, 0):
+            monkeypatch.setattr(text, "WEIGHED", weighed)
+            seen = spark.sparkContext.accumulator(0)
+            own = F.udf(lambda w, seen=seen: (seen.add(1), w)[1], "array<string>").asNondeterministic()
+            asked = df.select("id", own("w").alias("w")) if columns > 1 else df
+            found = sorted(map(tuple, text.naive_bayes_predict(asked, "id", "w", model, "lang").collect()), key=str)
+            want = want or found
+            assert found == want and len(found) == len(rows)
+            assert columns == 1 or seen.value <= 2 * len(rows)  # the filter on sizes may take one more look
