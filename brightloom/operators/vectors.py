@@ -31,6 +31,8 @@ FAN = 16
 PIVOTS, PIVOT_SAMPLE, SUMMARY_BYTES = 256, 4096, 64 << 20
 #: Tiles meet in cells of blocks by blocks: blocks at least, and bytes of vectors in one.
 BLOCKS, BLOCK_BYTES = 6, 64 << 20
+#: Rows of a tile that meet another at a time.
+STRIP = 128
 
 
 # ---- vector store ----------------------------------------------------------------
@@ -325,17 +327,19 @@ def _squares(data: bytes, n: int, other_data: bytes, m: int) -> tuple[np.ndarray
     return y, x, np.maximum(sy[:, None] - 2 * y @ x.T + sx, 0), 1e-12 * float(sy.max() + sx.max())
 
 
-def _meet(held: DataFrame, sent: DataFrame, work, schema: str) -> DataFrame:
+def _meet(held: DataFrame, sent: DataFrame, work, schema: str, last=None, parts: int | None = None) -> DataFrame:
     """What ``work(state, own, others)`` yields for each row of ``sent`` (a, b,
     tile, keys, data, ..., partners): ``others`` are the tiles of ``held`` (a, b,
     tile, keys, data, ...) in the same cell (a, b) that are its partners, or all
     if those are null; ``state`` is a dict that lasts as long as the cell. A task
     keeps the held tiles of one cell, which are a block, and tiles sent there
-    pass by, so a tile is shuffled once for each block, not for each partner."""
+    pass by, so a tile is shuffled once for each block, not for each partner.
+    ``last(state)`` yields what a cell leaves; cells go to ``parts`` tasks, or as
+    many as any shuffle has."""
     names = [c for c in held.columns if c not in ("a", "b")]
     none = F.lit(None).cast("array<bigint>").alias("partners")
     both = held.select("a", "b", F.lit(0).alias("side"), *names, none).unionByName(sent.select("a", "b", F.lit(1).alias("side"), *names, "partners"))
-    dealt = both.repartition("a", "b").sortWithinPartitions("a", "b", "side", "tile")
+    dealt = both.repartition(*([parts] if parts else []), "a", "b").sortWithinPartitions("a", "b", "side", "tile")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, near, state = None, {}, {}
@@ -343,6 +347,8 @@ def _meet(held: DataFrame, sent: DataFrame, work, schema: str) -> DataFrame:
             for r in range(batch.num_rows):
                 a, b, side, tile, *own = (c[r] for c in batch.columns)
                 if (a.as_py(), b.as_py()) != cell:
+                    if last and cell:
+                        yield from last(state)
                     cell, near, state = (a.as_py(), b.as_py()), {}, {}
                 row = [tile.as_py(), own[0].values, own[1].as_py(), *(v.as_py() for v in own[2:-1])]
                 if not side.as_py():
@@ -350,6 +356,8 @@ def _meet(held: DataFrame, sent: DataFrame, work, schema: str) -> DataFrame:
                 else:
                     chosen = own[-1].as_py()
                     yield from work(state, row, [near[k] for k in (near if chosen is None else chosen)])
+        if last and cell:
+            yield from last(state)
 
     return dealt.mapInArrow(run, schema)
 
@@ -415,16 +423,22 @@ class PivotIndex:
             reach = self.tiles.select("tile", F.lit(float(reach)).alias("reach"))
         return reach.select("tile", "reach").mapInArrow(run, "tile long, other_tile long, a int, b int")
 
-    def meet(self, partners: DataFrame | None, work, schema: str, *more: str) -> DataFrame:
+    def halves(self, reach: float) -> DataFrame:
+        """``partners`` with each pair of tiles once, in cells of smaller blocks: as
+        a tile then goes to half as many, they shuffle no more than ``partners``."""
+        self.blocks = min(2 * self.blocks - 1, len(self.numbers))
+        return self.partners(reach, True).where("tile <= other_tile")
+
+    def meet(self, partners: DataFrame | None, work, schema: str, *more: str, last=None, parts: int | None = None) -> DataFrame:
         """``_meet`` of partners, with columns of the tiles; of the one tile
         with itself, if there is one."""
         tiles = self.tiles.select("tile", "keys", "data", *more)
         if self.one:
             held = tiles.select(F.lit(0).alias("a"), F.lit(0).alias("b"), "*")
-            return _meet(held, held.withColumn("partners", F.lit(None).cast("array<bigint>")), work, schema)
+            return _meet(held, held.withColumn("partners", F.lit(None).cast("array<bigint>")), work, schema, last, parts)
         sent = partners.groupBy("tile", "a", "b").agg(F.sort_array(F.collect_list("other_tile")).alias("partners"))
         held = partners.select(F.col("other_tile").alias("tile"), "a", "b").distinct()
-        return _meet(tiles.join(held, "tile"), tiles.join(sent, "tile"), work, schema)
+        return _meet(tiles.join(held, "tile"), tiles.join(sent, "tile"), work, schema, last, parts)
 
     def with_column(self, name: str, values: DataFrame) -> None:
         """Adds a column of arrays to the tiles, from rows (tile, at, value); what
@@ -617,50 +631,150 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("new").alias("root"))
 
 
+class _Rows:
+    """Rows of a tile by their places there; ``first`` of them come first."""
+
+    def __init__(self, tile: int, keys: pa.Array, data: bytes, at: Sequence[int], first: int):
+        self.tile, self.at, self.first, self.keys = tile, np.array(at), first, keys.to_pylist()
+        self.x = np.frombuffer(data).reshape(len(self.at), -1)
+        self.squares = (self.x * self.x).sum(1)
+        self.most, self.different, self.sides = float(self.squares.max()), set(self.keys), {}
+
+    def side(self, kind: type, left: bool) -> np.ndarray:
+        """Matrices of which a left row times a right one is half their squared
+        distance below 0."""
+        if (kind, left) not in self.sides:
+            half, one = -self.squares / 2, np.ones(len(self.x))
+            self.sides[kind, left] = np.column_stack([self.x, *((half, one) if left else (one, half))]).astype(kind)
+        return self.sides[kind, left]
+
+
+def _within(own: _Rows, other: _Rows, eps: float, both_first: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of ``own`` and of ``other``, a few at a time, of the pairs within
+    ``eps`` with a first row; without those of two first rows unless
+    ``both_first``; of a tile with itself, those with a first row of ``own``. Rows
+    of one key are no pair.
+
+    Products are in single precision if that rounds by a small part of ``eps``,
+    and pairs so near the limit that rounding may matter are measured one by one."""
+    if not eps >= 0:
+        return
+    rounding = lambda kind: 4 * (own.x.shape[1] + 8) * float(np.finfo(kind).eps) * (own.most + other.most)
+    kind = np.float32 if eps * eps > 1e-30 and own.most + other.most < 1e30 and rounding(np.float32) <= eps * eps / 64 else np.float64
+    limit, slack = -eps * eps / 2, rounding(kind)
+    codes = {k: i for i, k in enumerate(own.different & other.different)}
+    if codes:
+        mine, theirs = np.array([codes.get(k, -1) for k in own.keys]), np.array([codes.get(k, -2) for k in other.keys])
+    n, m = len(own.x), len(other.x)
+    parts = [(0, own.first, 0 if both_first else other.first, m), (own.first, n, 0, other.first)]
+    for top, bottom, left, right in parts[: 1 if own.tile == other.tile else 2]:
+        if left == right:
+            continue
+        for at in range(top, bottom, STRIP):
+            near = (own.side(kind, True)[at : min(at + STRIP, bottom)] @ other.side(kind, False)[left:right].T).ravel()
+            hit = np.flatnonzero(near >= limit - slack)
+            if not len(hit):
+                continue
+            row, col = hit // (right - left) + at, hit % (right - left) + left
+            ok = near[hit] >= limit + slack
+            unsure = np.flatnonzero(~ok)
+            for k in range(0, len(unsure), 1 << 14):
+                some = unsure[k : k + (1 << 14)]
+                ok[some] = np.sqrt(((own.x[row[some]] - other.x[col[some]]) ** 2).sum(1)) <= eps
+            if codes:
+                ok &= mine[row] != theirs[col]
+            if ok.any():
+                yield row[ok], col[ok]
+
+
+def _arranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tiles (tile, keys, data, mark) with the rows marked 0, then those marked
+    1, and no others: (tile, keys, data, at, first)."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            marks = batch.column(3)[r].values.to_numpy()
+            at = np.argsort(marks, kind="stable")[: int((marks < 2).sum())]
+            if len(at):
+                x = np.frombuffer(batch.column(2)[r].as_py()).reshape(len(marks), -1)[at]
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), v) for v in (batch.column(1)[r].values.take(pa.array(at)), pa.array(at, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), lists[0], pa.array([x.tobytes()], pa.binary()), lists[1], pa.array([int((marks == 0).sum())], pa.int32())], names=["tile", "keys", "data", "at", "first"])
+
+
 def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """(key, cluster): clusters from 0 in the order of their smallest core key,
     noise -1; a border point joins the smallest cluster it touches.
 
-    Pairs of tiles leave a count for each row, which tells the cores; then
-    links that join up what core rows of the two join up, fewer than rows; and
-    last the smallest cluster that each border row touches there. Pairs of
-    rows within reach are never listed."""
+    Rows are counted within their own tile first, which already tells many cores
+    where rows are dense. One pass over half of the pairs of tiles counts what
+    the others have within reach, and a second one, of rows that have any, takes
+    links that join up what core rows of the two join up, fewer than rows, and
+    the cores that border rows touch, who have fewer than ``min_samples``. Pairs
+    of core rows within reach are never listed."""
     index = PivotIndex(df, key, vector)
     size = index.size  # rows are known by tile and place
-    if index.one:
-        index.tiles = settle(index.tiles)
-    near = None if index.one else settle(index.partners(eps, True))
-
-    def over(work, schema: str, *more: str, partners: DataFrame | None = near) -> DataFrame:
-        def run(state: dict, own: list, others: list) -> Iterator[pa.RecordBatch]:
-            values = lambda row: [np.array([np.nan if v is None else float(v) for v in c]) for c in row[3:]]
-            mine = values(own)
-
-            def pairs() -> Iterator[tuple]:
-                for other in others:
-                    pair = _Pair(own, other)
-                    row, col, d = pair.within(np.full(len(pair.own), float(eps) ** 2))
-                    yield other[0], row[d <= eps], pair.order[col[d <= eps]], values(other)
+    whole = settle(index.tiles) if index.one else index.tiles
+    near = None if index.one else settle(index.halves(eps))
 
-            yield from work(state, own[0], len(own[1]), mine, pairs())
+    def over(marks: DataFrame, work, schema: str, last=None) -> DataFrame:
+        """``work(state, own, other)`` for pairs of tiles of the rows marked 0 or 1, with a 0 in one."""
+        index.tiles = settle(whole.join(marks, "tile").select("tile", "keys", "data", "mark").mapInArrow(_arranged, f"tile long, keys array<{index.kind}>, data binary, at array<int>, first int"))
+        pairs = near
+        if not index.one:
+            has = index.tiles.select("tile", "first")
+            pairs = near.join(has, "tile").join(has.select(F.col("tile").alias("other_tile"), F.col("first").alias("more")), "other_tile").where("first + more > 0")
 
-        return index.meet(partners, run, schema, *more)
+        def run(state: dict, own: list, others: list) -> Iterator[pa.RecordBatch]:
+            rows = state.setdefault("rows", {})  # of the held tiles
+            mine = _Rows(*own)
+            for other in others:
+                if other[0] not in rows:
+                    rows[other[0]] = _Rows(*other)
+                yield from work(state, mine, rows[other[0]])
 
-    def counts(state, tile, size, mine, pairs):
-        n = np.zeros(size, np.int64)
-        for _, row, _, _ in pairs:
-            n += np.bincount(row, minlength=size)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tile)), pa.array(at, pa.int32()), pa.array(n[at])], names=["tile", "at", "n"])
+        cells = 1 if index.one else index.blocks * (index.blocks + 1) // 2
+        return index.meet(pairs, run, schema, "at", "first", last=last, parts=cells)
 
-    counted = over(counts, "tile long, at int, n long").groupBy("tile", "at").agg(F.sum("n").alias("n"))
-    every = index.tiles.select("tile", F.posexplode("keys").alias("at", "k"))
-    cores = every.join(counted, ["tile", "at"], "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("tile", "at", "k")
-    cores = settle(cores)
-    index.with_column("core", cores.select("tile", "at", F.lit(True).alias("value")))
+    def counted(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        found = [(tile, n.tobytes()) for tile, n in counts.items() if n.any()]
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.int64()), pa.array([n for _, n in found], pa.binary())], names=["tile", "n"])
 
-    def links(state, tile, _, mine, pairs):
-        root = state  # of a cell: it leaves fewer links than it has rows
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                keys = batch.column(1)[r].values
+                own = _Rows(batch.column(0)[r].as_py(), keys, batch.column(2)[r].as_py(), range(len(keys)), len(keys))
+                n = np.zeros(len(keys), np.int64)
+                for row, _ in _within(own, own, eps):
+                    n += np.bincount(row, minlength=len(n))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), pa.array([n.tobytes()], pa.binary())], names=["tile", "n"])
+
+    def across(state: dict, own: _Rows, other: _Rows) -> Iterator[pa.RecordBatch]:
+        if own.tile != other.tile:
+            for places in _within(own, other, eps):
+                for rows, at in zip((own, other), places, strict=True):
+                    n = state.setdefault("n", {}).setdefault(rows.tile, np.zeros(size, np.int64))
+                    n += np.bincount(rows.at[at], minlength=size)
+        return iter(())
+
+    def marks(counts: DataFrame, core: int, some: int, none: int) -> DataFrame:
+        """(tile, mark): of core rows, of others that have some within reach, and of those that have none."""
+
+        def run(table: pa.Table) -> pa.Table:
+            found = [np.frombuffer(n, np.int64) for n in table.column("n").to_pylist()]
+            rows = min(map(len, found))  # the tile's own counts are as many as its rows
+            n = sum(v[:rows] for v in found)
+            mark = np.where(n + 1 >= min_samples, core, np.where(n > 0, some, none))
+            return pa.table({"tile": table.column("tile").slice(0, 1), "mark": pa.array([mark.tolist()], pa.list_(pa.int32()))})
+
+        return settle(counts.groupBy("tile").applyInArrow(run, "tile long, mark array<int>"))
+
+    counts = settle(whole.select("tile", "keys", "data").mapInArrow(inside, "tile long, n binary"))
+    if not index.one:
+        counts = counts.unionByName(over(marks(counts, 1, 0, 0), across, "tile long, n binary", lambda state: iter([counted(state.get("n", {}))])))
+    kinds = marks(counts, 0, 1, 2)
+
+    def links(state: dict, own: _Rows, other: _Rows) -> Iterator[pa.RecordBatch]:
+        root = state.setdefault("root", {})  # of a cell: it leaves fewer links than it has rows
 
         def top(x: int) -> int:
             while root.get(x, x) != x:
@@ -668,43 +782,41 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples:
                 x = root[x]
             return x
 
-        def tops(ids: np.ndarray) -> np.ndarray:
-            different, at = np.unique(ids, return_inverse=True)
-            return np.array([top(x) for x in different.tolist()], np.int64)[at]
-
-        took = []
-        for other, row, col, theirs in pairs:
-            ok = (mine[0][row] == 1) & (theirs[0][col] == 1)
-            a, b = tops(tile * size + row[ok]), tops(other * size + col[ok])
-            for x, y in np.unique(np.stack([a, b], 1)[a != b], axis=0).tolist():
+        def tops(rows: _Rows, at: np.ndarray) -> np.ndarray:
+            found = np.zeros(len(rows.at), np.int64)
+            for i in np.flatnonzero(np.bincount(at, minlength=len(found))).tolist():
+                found[i] = top(rows.tile * size + int(rows.at[i]))
+            return found[at]
+
+        now = (top(rows.tile * size + i) for rows in (own, other) for i in rows.at[: rows.first].tolist())
+        start = next(now, None)
+        both = own.tile == other.tile or any(x != start for x in now)  # core rows that are joined up need no more links
+        for row, col in _within(own, other, eps, both):
+            mine, theirs = row < own.first, col < other.first
+            ends = np.stack([tops(own, row[mine & theirs]), tops(other, col[mine & theirs])], 1)
+            took = []
+            for x, y in np.unique(ends[ends[:, 0] != ends[:, 1]], axis=0).tolist():
                 x, y = top(x), top(y)
                 if x != y:
                     root[max(x, y)] = min(x, y)
-                    took.append((x, y))
-        ends = list(zip(*took, strict=True)) or [(), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], names=["a", "b"])
-
-    half = None if index.one else near.where("tile <= other_tile")
-    roots = components(over(links, "a long, b long", "core", partners=half))
-    cores = cores.withColumn("node", F.col("tile") * size + F.col("at")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+                    took.append((x, y, True))
+            for one, at, edge, rows in ((other, col[mine & ~theirs], row[mine & ~theirs], own), (own, row[~mine], col[~mine], other)):
+                touch = np.stack([one.tile * size + one.at[at], tops(rows, edge)], 1)
+                took.extend((x, y, False) for x, y in np.unique(touch, axis=0).tolist())
+            if took:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*took, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "core"])
+
+    found = settle(over(kinds, links, "a long, b long, core boolean"))
+    roots = components(found.where("core"))
+    every = whole.join(kinds, "tile").select("tile", F.posexplode(F.arrays_zip("keys", "mark")).alias("at", "row"))
+    every = every.select((F.col("tile") * size + F.col("at")).alias("node"), F.col("row.keys").alias("k"), F.col("row.mark").alias("mark"))
+    cores = every.where("mark = 0").join(roots, "node", "left").select("node", "k", F.coalesce("root", "node").alias("root"))
     cores = settle(cores)
     named = cores.groupBy("root").agg(F.min("k").alias("label"))
     named = with_row_id(named, ["label", "root"], "cluster").select("root", F.col("cluster").cast("int").alias("cluster"))
-    cores = settle(cores.join(named, "root").select("tile", "at", "cluster"))
-    index.with_column("cluster", cores.select("tile", "at", F.col("cluster").alias("value")))
-
-    def borders(state, tile, size, mine, pairs):
-        low = np.full(size, np.inf)
-        for _, row, col, theirs in pairs:
-            label = theirs[0][col]
-            ok = np.isnan(mine[0][row]) & ~np.isnan(label)
-            np.minimum.at(low, row[ok], label[ok])
-        at = np.flatnonzero(np.isfinite(low))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tile)), pa.array(at, pa.int32()), pa.array(low[at])], names=["tile", "at", "cluster"])
-
-    touched = over(borders, "tile long, at int, cluster double", "cluster").groupBy("tile", "at").agg(F.min("cluster").cast("int").alias("cluster"))
-    known = cores.unionByName(touched)
-    out = every.join(known, ["tile", "at"], "left").select(F.col("k").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    cores = settle(cores.join(named, "root").select("node", "cluster"))
+    touched = found.where("not core").join(cores.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("cluster").alias("cluster"))
+    out = every.join(cores.unionByName(touched), "node", "left").select(F.col("k").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
     none = df.where(F.col(vector).isNull()).select(F.col(key), F.lit(-1).alias("cluster"))
     return out.unionByName(none)
 

@@ -1,6 +1,7 @@
 """Neighbours and density clusters through the pivot index, against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,46 @@ def test_synthetic_rows_lie_between_near_rows(spark, monkeypatch):
         gaps = [abs(np.linalg.norm(p - few[i]) + np.linalg.norm(few[j] - p) - d[i, j]) for i in range(len(few)) for j in near[i]]
         assert min(gaps) < 1e-9
     assert sorted(map(tuple, pp.smote(df, ["a", "b"], "y", k=4, seed=3).select("a", "b").collect())) == sorted((r.a, r.b) for r in got)
+
+
+def test_clusters_compare_each_pair_of_tiles_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 24))
+    near = x[:4, None] + rng.normal(0, 0.02, (4, 7, 24))
+    far = x[:4] + 0.25 * rng.normal(size=(4, 24))  # some touch a group from outside
+    x = np.concatenate([x, near.reshape(-1, 24), far])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(4)
+    monkeypatch.setattr(vec, "TILE", 32)
+    pairs, meet = [], vec._meet
+
+    def counted(held, sent, *more, **named):
+        pairs.append(sent.agg(F.sum(F.size("partners"))).first()[0] or 0)
+        return meet(held, sent, *more, **named)
+
+    monkeypatch.setattr(vec, "_meet", counted)
+    tiles = len(vec.PivotIndex(df, "id", "v").numbers)
+    for eps, least in ((1.3, 6), (0.2, 8), (3.0, 3)):
+        pairs.clear()
+        found = {r.id: r.cluster for r in vec.dbscan(df, "id", "v", eps, least).collect()}
+        assert [found[i] for i in range(len(x))] == brute_clusters(d, eps, least)
+        assert sum(pairs) <= tiles * (tiles + 1)  # half of them twice; before, half of them five times
+
+
+@pytest.mark.parametrize("offset, scale", [(0, 1), (300, 1), (1e7, 1), (0, 1e-20), (0, 1e25)])
+def test_rows_within_reach_in_either_precision(offset, scale):
+    rng = np.random.default_rng(7)
+    x = (rng.integers(-3, 4, (400, 3)) + float(offset)) * scale  # many distances are the limit itself
+    keys = [*range(170), None, *range(60, 70), None, *range(182, 400)]
+    part = [(0, slice(0, 150), 90), (1, slice(150, 400), 140)]
+    own, other = (vec._Rows(tile, pa.array(keys[s], pa.int64()), x[s].tobytes(), range(s.stop - s.start), first) for tile, s, first in part)
+    for a, b in ((own, other), (other, own), (other, other)):
+        for eps in (0, scale, 2 * scale, 3 * scale):
+            for both in (True, False):
+                got = [(int(i), int(j)) for row, col in vec._within(a, b, eps, both) for i, j in zip(row, col, strict=True)]
+                d = np.sqrt(((a.x[:, None] - b.x[None]) ** 2).sum(2))
+                ok = (d <= eps) & np.array([[p != q for q in b.keys] for p in a.keys])
+                first, more = np.arange(len(a.x))[:, None] < a.first, np.arange(len(b.x))[None] < b.first
+                ok &= first if a is b else first | more
+                ok &= both | ~(first & more)
+                assert sorted(got) == list(zip(*map(np.ndarray.tolist, np.nonzero(ok)), strict=True))
